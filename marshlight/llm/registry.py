@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marshlight.llm import op1_line_dedup, op7_exact_dedup
+from marshlight.llm.op2_near_dedup import op2_near_dedup
 from marshlight.llm.op3_packing import op3_packing
 from marshlight.llm.op9_bpe import op9_bpe
 from marshlight.llm.op10_token_files import op10_token_files
@@ -13,11 +15,17 @@ from marshlight.llm.op10_token_files import op10_token_files
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup.op1_line_dedup,
+        "op2_near_dedup": op2_near_dedup,
         "op3_packing": op3_packing,
+        "op7_exact_dedup": op7_exact_dedup.op7_exact_dedup,
         "op9_bpe": op9_bpe,
         "op10_token_files": op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_line_dedup": op1_line_dedup.ORACLE,
+        "op7_exact_dedup": op7_exact_dedup.ORACLE,
+    }
