@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marshlight.llm import op1_line_dedup, op7_exact_dedup
+from marshlight.llm import op1_line_dedup, op7_exact_dedup, op8_top_k
 from marshlight.llm.op2_near_dedup import op2_near_dedup
 from marshlight.llm.op3_packing import op3_packing
+from marshlight.llm.op5_toxicity import op5_toxicity
+from marshlight.llm.op6_quality import op6_quality
 from marshlight.llm.op9_bpe import op9_bpe
 from marshlight.llm.op10_token_files import op10_token_files
 
@@ -18,7 +20,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup.op1_line_dedup,
         "op2_near_dedup": op2_near_dedup,
         "op3_packing": op3_packing,
+        "op5_toxicity": op5_toxicity,
+        "op6_quality": op6_quality,
         "op7_exact_dedup": op7_exact_dedup.op7_exact_dedup,
+        "op8_top_k": op8_top_k.op8_top_k,
         "op9_bpe": op9_bpe,
         "op10_token_files": op10_token_files,
     }
@@ -28,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": op1_line_dedup.ORACLE,
         "op7_exact_dedup": op7_exact_dedup.ORACLE,
+        "op8_top_k": op8_top_k.ORACLE,
     }
