@@ -129,6 +129,17 @@ def _sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
+def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in text_chunks(batch.column("text")):
+                values, sizes = shingles(data, offsets, size)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), lists], names=["doc_id", "shingles"])
+
+    return run
+
+
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in ("registers_a", "registers_b"))
@@ -183,6 +194,50 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(more.select(F.col("was").alias("node"), F.col("now").alias("component"))).distinct(), "labels")
 
 
+def _in_open(members: DataFrame) -> DataFrame:
+    """Of (band, ..., component) the rows of bands with more than one component."""
+    mixed = members.groupBy("band").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed").select("band")
+    return members.join(mixed, "band", "left_semi")
+
+
+def _own_shingles(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, own) of the documents in ``members``: the shingles of each, and how many of them no other one there has."""
+    ids = stored(members.select("doc_id").distinct(), "ids")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = texts.mapInArrow(_sets(size), "doc_id long, shingles array<long>")
+    rows = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    single = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("single"))
+    counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    own = single.filter("single").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    return stored(counts.join(own, "doc_id", "left").select("doc_id", "n", F.coalesce("own", F.lit(0)).alias("own")), "own-shingles")
+
+
+def _ranked(members: DataFrame, similarity: int, done: int) -> DataFrame:
+    """Classes of open bands that can have a partner of the threshold there, ranked by their share of own shingles.
+
+    A class shares at most n - own shingles, and a union with a partner has its own shingles and the partner's, which
+    are at least as many as the band's smallest set or as those shared.
+    """
+    least = members.groupBy("band").agg(F.min("n").alias("least"))
+    shared = F.col("n") - F.col("own")
+    able = members.join(least, "band").filter(100 * shared >= similarity * (F.greatest("least", shared) + F.col("own"))).drop("least")
+    rank = F.row_number().over(Window.partitionBy("band").orderBy(F.col("own") / F.col("n"), "doc_id")).alias("rank")
+    ranked = _in_open(able).select("*", rank)
+    more = ranked.groupBy("band").agg(F.max("rank").alias("most")).filter(F.col("most") > done + 1).select("band")
+    return ranked.join(more, "band", "left_semi")
+
+
+def _allowed(ranked: DataFrame, first: int, last: int, similarity: int) -> DataFrame:
+    """(a, b): pairs of a band with a of the given ranks and b of a later one, of two components, that the bound allows."""
+    names = ("band", "doc_id", "component", "n", "own", "rank")
+    a = ranked.filter(F.col("rank").between(first, last)).select(*(F.col(k).alias(f"{k}_a") for k in names))
+    b = ranked.select(*(F.col(k).alias(f"{k}_b") for k in names))
+    shared = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+    close = 100 * shared >= similarity * (F.col("n_a") + F.col("n_b") - shared)
+    pairs = a.join(b, (F.col("band_a") == F.col("band_b")) & (F.col("rank_a") < F.col("rank_b")) & (F.col("component_a") != F.col("component_b")) & close)
+    return pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """Groups of documents linked by 100 * |A and B| >= similarity * |A or B| on sets of ``shingle_words``-word shingles.
 
@@ -193,10 +248,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = S
     its set. An empty table gives no rows.
 
     Method. Equal sets are one class, represented by its smallest id. Classes that share a band of filled registers are
-    candidates. In each bucket of a band every class is compared with the smallest; buckets whose classes are then in
-    one component are done, and in the others further classes become centres, 16 and then four times as many a
-    round, until every pair of unlinked classes of a bucket has been compared. So a bucket of copies of any size costs a
-    comparison for each member, and no link between candidates is lost. Sets of up to 255 shingles go straight to
+    candidates, and each class of a bucket is first compared with the bucket's smallest. Buckets whose classes are then
+    in one component are done. For the others it is counted how many shingles of a class no other class there has:
+    these bound the similarity to any partner, so classes that can't reach the threshold leave, and the class with the
+    smallest share of own shingles becomes the bucket's centre, then 4, 16 and so on, until the classes left are in one
+    component or every pair of them that the bound allows has been compared. So a bucket of copies of any size costs
+    few comparisons a member, and no link between candidates is lost. Sets of up to 255 shingles go straight to
     the check on whole sets, larger ones first past the estimate.
     """
     docs = doc_columns(docs)
@@ -209,20 +266,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = S
     shared = members.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = stored(members.join(shared, "band"), "buckets")
     pairs = stored(buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    tried, done, until = pairs, 1, 16
+    tried, done, until, own_parts = pairs, 0, 1, None
     labels = _relabel(None, _links(pairs, own, docs, shingle_words, similarity))
     while True:
         now = buckets.join(labels, buckets["doc_id"] == labels["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        open_bands = now.groupBy("band").agg((F.min("component") < F.max("component")).alias("open"), F.count(F.lit(1)).alias("n")).filter(F.col("open") & (F.col("n") > done + 1))
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("doc_id")).alias("rank")
-        ranked = stored(now.join(open_bands.select("band"), "band", "left_semi").select("band", "doc_id", "component", rank), "ranked")
+        if own_parts is None:
+            now = stored(_in_open(now), "open")
+            own_parts = _own_shingles(now, docs, shingle_words)
+        ranked = stored(_ranked(now.join(own_parts, "doc_id"), similarity, done), "ranked")
         if ranked.isEmpty():
             break
-        centre = ranked.filter(F.col("rank").between(done + 1, until)).select("band", F.col("doc_id").alias("a"), F.col("component").alias("c_a"), F.col("rank").alias("r_a"))
-        found = centre.join(ranked, "band").filter("rank > r_a and component <> c_a").select("a", F.col("doc_id").alias("b")).distinct()
-        pairs = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        labels = _relabel(labels, _links(pairs, own, docs, shingle_words, similarity))
-        tried, done, until = tried.unionByName(pairs), until, 4 * until
+        pairs = stored(_allowed(ranked, done + 1, until, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            labels = _relabel(labels, _links(pairs, own, docs, shingle_words, similarity))
+            tried = tried.unionByName(pairs)
+        buckets, done, until = ranked.select("band", "doc_id"), until, 4 * until
     component = labels.select(F.col("node").alias("rep"), "component")
     of_class = classes.join(component, "rep", "left").select(*named, F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", *named).join(of_class, named, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

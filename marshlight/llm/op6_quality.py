@@ -154,7 +154,7 @@ def _score(net: Attention) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         for batch in batches:
             for first, last, data, offsets in text_chunks(batch.column("text")):
                 score, _ = net.forward(*passages(data, offsets))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(score)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(score.astype(np.float64))], names=["doc_id", "score"])
 
     return run
 
