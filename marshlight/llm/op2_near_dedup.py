@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marshlight.llm.common import doc_columns, mix64, span_hashes, stored, table, text_chunks, words
@@ -194,48 +194,65 @@ def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(more.select(F.col("was").alias("node"), F.col("now").alias("component"))).distinct(), "labels")
 
 
+def _with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
+    joined = members.join(labels, members["doc_id"] == labels["node"], "left")
+    return joined.select(*(members[c] for c in members.columns), F.coalesce("component", "doc_id").alias("component"))
+
+
 def _in_open(members: DataFrame) -> DataFrame:
-    """Of (band, ..., component) the rows of bands with more than one component."""
+    """Of (band, doc_id, component) the rows of bands with more than one component."""
     mixed = members.groupBy("band").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed").select("band")
     return members.join(mixed, "band", "left_semi")
 
 
-def _own_shingles(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, own) of the documents in ``members``: the shingles of each, and how many of them no other one there has."""
-    ids = stored(members.select("doc_id").distinct(), "ids")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = texts.mapInArrow(_sets(size), "doc_id long, shingles array<long>")
-    rows = sets.select("doc_id", F.explode("shingles").alias("shingle"))
-    single = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("single"))
-    counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    own = single.filter("single").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-    return stored(counts.join(own, "doc_id", "left").select("doc_id", "n", F.coalesce("own", F.lit(0)).alias("own")), "own-shingles")
-
-
-def _ranked(members: DataFrame, similarity: int, done: int) -> DataFrame:
-    """Classes of open bands that can have a partner of the threshold there, ranked by their share of own shingles.
-
-    A class shares at most n - own shingles, and a union with a partner has its own shingles and the partner's, which
-    are at least as many as the band's smallest set or as those shared.
+def _neighbourhoods(members: DataFrame) -> DataFrame:
+    """(doc_id, hood): classes that share bands, directly or through others."""
+    first = members.groupBy("band").agg(F.min("doc_id").alias("u"))
+    edges = members.join(first, "band").select("u", F.col("doc_id").alias("v"))
+    return _with_component(members.select("doc_id").distinct(), components(edges, "hoods")).withColumnRenamed("component", "hood")
+
+
+def _prefixes(members: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """(doc_id, hood, n, own, common, prefix): of each class the shingles that no other has, the mean number of classes that
+    have its shingles, and the rarest of those that others have too: as many as a partner of the threshold can't all lack."""
+    members = stored(members.join(sketches.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"), "members")
+    ids = members.select("doc_id")
+    texts = docs.join(F.broadcast(ids) if members.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = texts.mapInArrow(_sets(size), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("shingle"))
+    rows = stored(rows, "shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    shared = rows.join(often, "shingle").groupBy("doc_id").agg(F.sum("f").alias("f"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("shared"))
+    least = F.greatest(F.ceil(F.col("n") * similarity / 100), F.col("least"))  # shingles of a partner
+    overlap = F.ceil(similarity * (F.col("n") + least) / (100 + similarity))
+    taken = F.greatest(F.least(F.col("n") - overlap + 1, F.col("n")) - (F.col("n") - F.size("shared")), F.lit(0)).cast("int")
+    joined = members.join(members.groupBy("hood").agg(F.min("n").alias("least")), "hood").join(shared, "doc_id")
+    own = (F.col("n") - F.size("shared")).alias("own")
+    return joined.select("doc_id", "hood", "n", own, (F.col("f") / F.col("n")).alias("common"), F.slice(F.col("shared.shingle"), F.lit(1), taken).alias("prefix"))
+
+
+def _with_origin(members: DataFrame) -> DataFrame:
+    """(a, b): the class with the most common shingles of each neighbourhood, with each class of another component."""
+    origin = members.groupBy("hood").agg(F.max_by(F.struct("doc_id", "component"), F.struct("common", "doc_id")).alias("o"))
+    pairs = members.join(origin, "hood").filter(F.col("component") != F.col("o.component"))
+    return pairs.select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b"))
+
+
+def _shared_prefixes(members: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): classes of two components of a neighbourhood that share a shingle of both prefixes, so early that the
+    shingles from there on can still reach the threshold.
+
+    Of each shingle's classes those outside its most frequent component meet all, so copies that are linked already
+    don't meet each other.
     """
-    least = members.groupBy("band").agg(F.min("n").alias("least"))
-    shared = F.col("n") - F.col("own")
-    able = members.join(least, "band").filter(100 * shared >= similarity * (F.greatest("least", shared) + F.col("own"))).drop("least")
-    rank = F.row_number().over(Window.partitionBy("band").orderBy(F.col("own") / F.col("n"), "doc_id")).alias("rank")
-    ranked = _in_open(able).select("*", rank)
-    more = ranked.groupBy("band").agg(F.max("rank").alias("most")).filter(F.col("most") > done + 1).select("band")
-    return ranked.join(more, "band", "left_semi")
-
-
-def _allowed(ranked: DataFrame, first: int, last: int, similarity: int) -> DataFrame:
-    """(a, b): pairs of a band with a of the given ranks and b of a later one, of two components, that the bound allows."""
-    names = ("band", "doc_id", "component", "n", "own", "rank")
-    a = ranked.filter(F.col("rank").between(first, last)).select(*(F.col(k).alias(f"{k}_a") for k in names))
-    b = ranked.select(*(F.col(k).alias(f"{k}_b") for k in names))
-    shared = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
-    close = 100 * shared >= similarity * (F.col("n_a") + F.col("n_b") - shared)
-    pairs = a.join(b, (F.col("band_a") == F.col("band_b")) & (F.col("rank_a") < F.col("rank_b")) & (F.col("component_a") != F.col("component_b")) & close)
-    return pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+    rows = stored(members.select("hood", "doc_id", "n", "component", "own", F.posexplode("prefix").alias("place", "shingle")), "prefix-rows")
+    sizes = rows.groupBy("hood", "shingle", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("hood", "shingle").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    few = rows.join(main, ["hood", "shingle"]).filter("component <> main").drop("main")
+    x = few.select(*(F.col(c).alias(f"{c}_x") for c in few.columns))
+    rest = F.least(F.col("n") - F.col("own") - F.col("place"), F.col("n_x") - F.col("own_x") - F.col("place_x"))
+    fit = (100 + similarity) * rest >= similarity * (F.col("n") + F.col("n_x"))
+    pairs = rows.join(x, (F.col("hood") == F.col("hood_x")) & (F.col("shingle") == F.col("shingle_x")) & (F.col("component") != F.col("component_x")) & fit)
+    return pairs.select(F.least("doc_id", "doc_id_x").alias("a"), F.greatest("doc_id", "doc_id_x").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
@@ -248,13 +265,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = S
     its set. An empty table gives no rows.
 
     Method. Equal sets are one class, represented by its smallest id. Classes that share a band of filled registers are
-    candidates, and each class of a bucket is first compared with the bucket's smallest. Buckets whose classes are then
-    in one component are done. For the others it is counted how many shingles of a class no other class there has:
-    these bound the similarity to any partner, so classes that can't reach the threshold leave, and the class with the
-    smallest share of own shingles becomes the bucket's centre, then 4, 16 and so on, until the classes left are in one
-    component or every pair of them that the bound allows has been compared. So a bucket of copies of any size costs
-    few comparisons a member, and no link between candidates is lost. Sets of up to 255 shingles go straight to
-    the check on whole sets, larger ones first past the estimate.
+    candidates, and each class of a bucket is first compared with the bucket's smallest. Buckets whose other classes
+    are then in one component are done. The classes of the rest form neighbourhoods (classes that share buckets); the one
+    whose shingles are the most common there, the likely origin of the copies, is compared with the others. Last, of two
+    classes still in different components that can reach the threshold, one must hold a shingle of the other among its
+    rarest few (the prefix principle of set joins): such pairs are compared. So a bucket of copies of any size costs few
+    comparisons a member, and no link between candidates is lost. Sets of up to 255 shingles go straight to the check
+    on whole sets, larger ones first past the estimate.
     """
     docs = doc_columns(docs)
     sketches = stored(docs.mapInArrow(_sketch(shingle_words), SKETCH), "sketches")
@@ -266,21 +283,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = S
     shared = members.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = stored(members.join(shared, "band"), "buckets")
     pairs = stored(buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    tried, done, until, own_parts = pairs, 0, 1, None
-    labels = _relabel(None, _links(pairs, own, docs, shingle_words, similarity))
-    while True:
-        now = buckets.join(labels, buckets["doc_id"] == labels["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        if own_parts is None:
-            now = stored(_in_open(now), "open")
-            own_parts = _own_shingles(now, docs, shingle_words)
-        ranked = stored(_ranked(now.join(own_parts, "doc_id"), similarity, done), "ranked")
-        if ranked.isEmpty():
-            break
-        pairs = stored(_allowed(ranked, done + 1, until, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            labels = _relabel(labels, _links(pairs, own, docs, shingle_words, similarity))
-            tried = tried.unionByName(pairs)
-        buckets, done, until = ranked.select("band", "doc_id"), until, 4 * until
+    compare = lambda some: _links(some, own, docs, shingle_words, similarity)
+    labels = _relabel(None, compare(pairs))
+    left = stored(_in_open(_with_component(buckets.filter("doc_id <> centre").select("band", "doc_id"), labels)), "left")
+    if not left.isEmpty():
+        prefixes = stored(_prefixes(_neighbourhoods(left), own, docs, shingle_words, similarity), "prefixes")
+        more = stored(_with_origin(_with_component(prefixes, labels)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        labels, tried = _relabel(labels, compare(more)), pairs.unionByName(more)
+        more = stored(_shared_prefixes(_with_component(prefixes, labels), similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+        labels = _relabel(labels, compare(more))
     component = labels.select(F.col("node").alias("rep"), "component")
     of_class = classes.join(component, "rep", "left").select(*named, F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", *named).join(of_class, named, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
