@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marshlight.llm.common import doc_columns, table
+from marshlight.llm.common import doc_columns, table, text_chunks
 
 #: Most labelled documents that a classifier is fitted on: those of the smallest hashes of doc_id. A fixed bound.
 TRAINING_DOCS = 8_000
@@ -44,3 +48,22 @@ def calibrate(scores: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[flo
         if np.abs(step).max() < 1e-6:
             break
     return float(w[0]), float(w[1])
+
+
+def append_score(docs: DataFrame, scorer: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], keep: list[str], chunk_bytes: int = 2 << 20) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and a score of each whole text, without a shuffle.
+
+    ``scorer`` is called once a task and gives a function of (bytes, row offsets) of some texts. Null counts as empty.
+    """
+    names = list(dict.fromkeys([*keep, "text"]))
+    rows = docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
+        for batch in batches:
+            for first, last, data, offsets in text_chunks(batch.column(names.index("text")), chunk_bytes):
+                columns = [batch.column(names.index(c)).slice(first, last - first) for c in keep]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(score(data, offsets).astype(np.float64))], names=[*keep, "score"])
+
+    fields = [T.StructField(c, rows.schema[c].dataType, True) for c in keep]
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))

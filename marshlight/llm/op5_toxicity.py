@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marshlight.llm.bpe import _LETTER, _NUMBER, _SPACE, _classes
-from marshlight.llm.common import doc_columns, mix64, span_hashes, table, text_chunks
-from marshlight.llm.learning import calibrate, fold, sigmoid, training_sample
+from marshlight.llm.common import mix64, span_hashes, table, text_chunks
+from marshlight.llm.learning import append_score, calibrate, fold, sigmoid, training_sample
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Subsequences of 3, 4 and 5 letters whose span is at most 5, 6 and 6: so many inserted letters are forgiven.
@@ -290,31 +290,25 @@ def _spread(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pool:
     return pool[np.array(chosen)]
 
 
-def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    state = (model.features, model.weights, model.offset, model.slope, model.shift)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*state)
-        for batch in batches:
-            for first, last, data, offsets in text_chunks(batch.column("text"), 4 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(own.probability(own.texts(data, offsets)))], names=["doc_id", "score"])
-
-    return run
-
-
 def fit(spark: SparkSession, sf_dir: str) -> Model:
     """Train on the bounded labelled sample; its documents are ordered, so the model is the same every time."""
     sample = sorted(training_sample(spark, sf_dir, "toxic", FOLDS, HELD_OUT).collect(), key=lambda r: r["doc_id"])
     return train([r["text"] or "" for r in sample], np.array([r["y"] for r in sample], np.int64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each row of ``docs`` (doc_id, text): 0 to 1, of the whole text's worst unit.
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and a score: 0 to 1, of the whole text's worst unit.
 
     Null, empty and blank texts get the score of a text without units. No shuffle; the model is small and goes with
-    the tasks.
+    the tasks. A column called score must not be in ``keep``.
     """
-    return doc_columns(docs).mapInArrow(_score(model), "doc_id long, score double")
+    state = (model.features, model.weights, model.offset, model.slope, model.shift)
+
+    def scorer() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        own = Model(*state)
+        return lambda data, offsets: own.probability(own.texts(data, offsets))
+
+    return append_score(docs, scorer, list(keep), 4 << 20)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marshlight.llm.common import doc_columns, mix64, span_hashes, table, text_chunks, words
-from marshlight.llm.learning import fold, sigmoid, training_sample
+from marshlight.llm.common import mix64, span_hashes, table, text_chunks, words
+from marshlight.llm.learning import append_score, fold, sigmoid, training_sample
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Words of a passage. A text's passages follow each other, the last one may be shorter.
@@ -149,22 +149,13 @@ def fit(spark: SparkSession, sf_dir: str) -> Attention:
     return train(lists.flatten().to_numpy().astype(np.float64).reshape(-1, FEATURES), sizes, bags.column("y").to_numpy().astype(float))
 
 
-def _score(net: Attention) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, offsets in text_chunks(batch.column("text")):
-                score, _ = net.forward(*passages(data, offsets))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(score.astype(np.float64))], names=["doc_id", "score"])
+def score(docs: DataFrame, net: Attention, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and a score: 0 to 1, from all passages of the whole text.
 
-    return run
-
-
-def score(docs: DataFrame, net: Attention) -> DataFrame:
-    """(doc_id, score) of each row of ``docs`` (doc_id, text): 0 to 1, from all passages of the whole text.
-
-    Null, empty and blank texts are one passage of zeros. No shuffle; the network is small and goes with the tasks.
+    Null, empty and blank texts are one passage of zeros. No shuffle; the network is small and goes with the tasks. A
+    column called score must not be in ``keep``.
     """
-    return doc_columns(docs).mapInArrow(_score(net), "doc_id long, score double")
+    return append_score(docs, lambda: lambda data, offsets: net.forward(*passages(data, offsets))[0], list(keep))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marshlight.llm import op1_line_dedup, op7_exact_dedup, op8_top_k
+from marshlight.llm import op1_line_dedup, op4_sharding, op7_exact_dedup, op8_top_k
 from marshlight.llm.op2_near_dedup import op2_near_dedup
 from marshlight.llm.op3_packing import op3_packing
 from marshlight.llm.op5_toxicity import op5_toxicity
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup.op1_line_dedup,
         "op2_near_dedup": op2_near_dedup,
         "op3_packing": op3_packing,
+        "op4_sharding": op4_sharding.op4_sharding,
         "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
         "op7_exact_dedup": op7_exact_dedup.op7_exact_dedup,
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": op1_line_dedup.ORACLE,
+        "op4_sharding": op4_sharding.ORACLE,
         "op7_exact_dedup": op7_exact_dedup.ORACLE,
         "op8_top_k": op8_top_k.ORACLE,
     }
