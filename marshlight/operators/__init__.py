@@ -1,0 +1 @@
+"""Relational operators of the archive: merges, quality checks, timelines and exports."""
