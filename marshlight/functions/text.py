@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def clean(text: Column) -> Column:
     """Null to "", NBSP to a blank, curly apostrophe straight, zero-width spaces out, white space collapsed and trimmed."""
     plain = F.translate(F.coalesce(text, F.lit("")), " ’​", " '")
@@ -89,12 +95,19 @@ def display_product(products: Column) -> Column:
 
 def status(text: Column) -> Column:
     """struct(status, status_text). A phrase in capitals first; else a text that begins with a status word."""
-    blob = clean(text)
-    shouted = F.regexp_substr(blob, F.lit(K.STATUS_PHRASE_PATTERN))
-    phrase = F.btrim(clean(F.coalesce(shouted, F.when(blob.rlike(K.STATUS_START_PATTERN), blob))), F.lit(" \t.,;:-"))
-    upper = F.upper(phrase)
-    kind = F.when(upper.contains("CANCEL"), "cancelled").when(upper.contains("POSTPON") | upper.contains("RESCHEDUL"), "postponed").when(upper.contains("COMPLET"), "complete")
-    return F.struct(F.coalesce(kind, F.lit("scheduled")).alias("status"), F.when(kind.isNotNull(), phrase).alias("status_text"))
+
+    def kind_of(phrase: Column) -> Column:
+        upper = F.upper(phrase)
+        return F.when(upper.contains("CANCEL"), "cancelled").when(upper.contains("POSTPON") | upper.contains("RESCHEDUL"), "postponed").when(upper.contains("COMPLET"), "complete")
+
+    def phrase_of(blob: Column) -> Column:
+        shouted = F.regexp_substr(blob, F.lit(K.STATUS_PHRASE_PATTERN))
+        return F.btrim(clean(F.coalesce(shouted, F.when(blob.rlike(K.STATUS_START_PATTERN), blob))), F.lit(" \t.,;:-"))
+
+    def both(phrase: Column) -> Column:
+        return let(kind_of(phrase), lambda kind: F.struct(F.coalesce(kind, F.lit("scheduled")).alias("status"), F.when(kind.isNotNull(), phrase).alias("status_text")))
+
+    return let(let(clean(text), phrase_of), both)
 
 
 def resolve_date(header_date: Column, kind: Column, text: Column) -> Column:

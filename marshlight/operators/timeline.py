@@ -5,7 +5,7 @@ Windows run over one row a day. Days are bounded by the calendar whatever the ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,8 +48,12 @@ def per_year(rows: DataFrame, day: str) -> DataFrame:
 
 def facets(rows: DataFrame, fields: list[str]) -> DataFrame:
     """(facet, value, n) for every value of every field; array fields count each element. One pass over the table."""
-    one = lambda f: F.col(f) if rows.schema[f].dataType.typeName() == "array" else F.array(f)
-    pairs = F.concat(*(F.transform(one(f), lambda v, f=f: F.struct(F.lit(f).alias("facet"), v.cast("string").alias("value"))) for f in fields))
+
+    def pairs_of(field: str) -> Column:
+        values = F.col(field) if rows.schema[field].dataType.typeName() == "array" else F.array(field)
+        return F.transform(values, lambda v: F.struct(F.lit(field).alias("facet"), v.cast("string").alias("value")))
+
+    pairs = F.concat(*map(pairs_of, fields))
     return rows.select(F.inline(pairs)).filter("value is not null").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

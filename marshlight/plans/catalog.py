@@ -239,7 +239,7 @@ def obs_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.observations(spark, sf_dir).select("seq", rank["level"].alias("level"), rank["stamp"].alias("stamp"))
 
 
-@query("since_pad", "SELECT o_orderkey AS key, rpad(strftime(o_orderdate, CASE o_orderkey % 3 WHEN 0 THEN '%Y' WHEN 1 THEN '%Y%m' ELSE '%Y%m%d' END), 14, '0') AS since FROM orders")
+@query("since_pad", "SELECT o_orderkey AS key, rpad(CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y%m') ELSE strftime(o_orderdate, '%Y%m%d') END, 14, '0') AS since FROM orders")
 def since_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     text = F.when(k % 3 == 0, F.date_format("o_orderdate", "yyyy")).when(k % 3 == 1, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -537,12 +537,12 @@ def area_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- geometry
 _R = T.RECTANGLE_SQL
-_AREA = f"round(greatest({_R.format(s='s', dx='dx', dy='dy')} - CASE WHEN key % 10 = 0 THEN {_R.format(s='(s + dy / 4)', dx='(dx / 2)', dy='(dy / 2)')} ELSE 0 END, 0) + CASE WHEN key % 9 = 0 THEN {_R.format(s='(s + 2 * dy)', dx='dx', dy='dy')} ELSE 0 END, 3)"
+_AREA = f"round(greatest({_R.format(s='s', dx='dx', dy='dy')} - CASE WHEN key % 10 = 0 THEN {_R.format(s='(s + dy / 4)', dx='(dx / 2)', dy='(dy / 2)')} ELSE 0 END, 0) + CASE WHEN key % 9 = 0 THEN {_R.format(s='(s + 2 * dy)', dx='dx', dy='dy')} ELSE 0 END, 4)"
 
 
 @query("geo_area", f"WITH {SHAPES} SELECT mid, {_AREA} AS area_sq_km FROM shapes")
 def geo_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.shapes(spark, sf_dir).select("mid", F.round(geo.area_sq_km(F.col("polygons")), 3).alias("area_sq_km"))
+    return T.shapes(spark, sf_dir).select("mid", geo.area_sq_km(F.col("polygons")).alias("area_sq_km"))
 
 
 @query("geo_centroid", f"WITH {SHAPES} SELECT mid, round(s + dy / 2, 4) AS lat, round(w + dx / 2, 4) AS lon FROM shapes")
@@ -614,7 +614,7 @@ _KML_REASON = "CASE WHEN key % 19 = 0 OR key % 20 = 0 THEN 'no_polygon' WHEN key
 
 @query("extract_kml", f"WITH {SHAPES} SELECT mid, CASE WHEN key % 19 <> 0 THEN doc_name END AS doc_name, {_KML_REASON} AS reason, CASE WHEN key % 19 = 0 OR key % 20 = 0 THEN 0.0 ELSE {_AREA} END AS area_sq_km FROM shapes")
 def extract_kml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kml.shapes_of_kml(_kml_texts(spark, sf_dir).select("mid", "xml"), F.lit("2026-01-01T00:00:00Z")).select("mid", "doc_name", "reason", F.round("area_sq_km", 3).alias("area_sq_km"))
+    return kml.shapes_of_kml(_kml_texts(spark, sf_dir).select("mid", "xml"), F.lit("2026-01-01T00:00:00Z")).select("mid", "doc_name", "reason", "area_sq_km")
 
 
 @query("geo_rings", f"WITH {SHAPES} SELECT mid, CASE WHEN key % 19 = 0 OR key % 20 = 0 THEN 0 ELSE 1 + (key % 9 = 0)::INT END AS polygons, CASE WHEN key % 19 = 0 OR key % 20 = 0 THEN 0 ELSE {_RINGS} END AS rings FROM shapes")
@@ -695,7 +695,7 @@ def src_shapes_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat(F.lit('{"type":"Feature","properties":{"mid":"'), F.col("mid"), F.lit('","doc_name":"first"},'), geometry)
     second = F.concat(F.lit('{"type":"Feature","id":"'), F.col("mid"), F.lit('","properties":{"mid":"","doc_name":"second"},'), geometry)
     rows = archive.shapes_of_features(T.shapes(spark, sf_dir).select(F.posexplode(F.array(first, second)).alias("pos", "item")))
-    return rows.select("mid", "doc_name", "geom_type", F.round(geo.area_sq_km(F.col("polygons")), 3).alias("area_sq_km"))
+    return rows.select("mid", "doc_name", "geom_type", geo.area_sq_km(F.col("polygons")).alias("area_sq_km"))
 
 
 # ---------------------------------------------------------------- exports

@@ -12,6 +12,7 @@ from pyspark.sql.functions import udtf
 
 from marshlight.functions import constants as K
 from marshlight.functions import text as X
+from marshlight.session import stored
 from marshlight.sources import archive
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -167,9 +168,9 @@ class ExtractAreas:
                     for item in child.elements("li"):
                         areas = [li for sub in item.elements(*_LISTS) for li in sub.elements("li")]
                         for a, li in enumerate(areas):
-                            yield (c, op, a, headings, _header(item), *_area(li))
+                            yield (c, op, a, list(headings), _header(item), *_area(li))
                         if not areas:
-                            yield (c, op, None, headings, _header(item), None, None, None, None, None)
+                            yield (c, op, None, list(headings), _header(item), None, None, None, None, None)
                         op += 1
 
 
@@ -185,8 +186,8 @@ def pick_mid(anchors: Column) -> Column:
 
 
 def _without_first(text: Column, part: Column) -> Column:
-    place = F.when(part != "", F.position(part, text))
-    return F.when(place > 0, F.concat(text.substr(F.lit(1), place - 1), F.lit(" "), text.substr(place + F.length(part), F.length(text)))).otherwise(text)
+    cut = lambda place: F.when(place > 0, F.concat(text.substr(F.lit(1), place - 1), F.lit(" "), text.substr(place + F.length(part), F.length(text)))).otherwise(text)
+    return X.let(F.when(part != "", F.position(part, text)), cut)
 
 
 def extract_areas(pages: DataFrame) -> DataFrame:
@@ -198,6 +199,7 @@ def extract_areas(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns(X.header_fields(F.col("header")))
     name = F.when(F.col("bold_name").isNotNull(), X.clean(F.col("bold_name"))).otherwise(X.clean(X.fallback_name(F.col("full_text"))))
     rows = rows.withColumn("area_name", F.nullif(F.trim(F.regexp_replace(name, r"\s*:\s*$", "")), F.lit("")))
+    rows = stored(rows, "areas")  # read more than once, and the walk over the documents is the costly part
     by_text = X.status(_without_first(F.col("full_text"), F.col("area_name")))["status_text"]
     rows = rows.withColumn("area_status", X.status(F.coalesce("status_raw", by_text)))
     leftover = X.clean(F.col("leftover"))
