@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -44,13 +45,13 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (a single-machine session, as in the tests) a local temporary folder is set
-    and used.
+    Only where that setting is absent (a single-machine session, as in the tests) a local temporary folder is made and
+    used for the rest of the session.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _folders.get(spark.sparkContext.applicationId)
     if not base:
-        base = tempfile.mkdtemp(prefix="marshlight-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _folders[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="marshlight-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
