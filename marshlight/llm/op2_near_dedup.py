@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marshlight.llm.common import doc_columns, mix64, span_hashes, stored, table, text_chunks, words
-from marshlight.llm.components import components
+from marshlight.llm.components import components, tasks_for
 
 BUCKET_BITS, BUCKETS = 7, 128
 MANTISSA_BITS = 10
@@ -170,28 +170,36 @@ def _check(size: int, similarity: int) -> Callable[[Iterator[pa.RecordBatch]], I
 def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: by sizes, by estimate, and last on the texts' whole sets."""
     spark = pairs.sparkSession
+    tasks = tasks_for(pairs, pairs.count())
     side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("registers").alias(f"registers_{k}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    likely = stored(sized.mapInArrow(_likely, "a long, b long"), "likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    ids = stored(ids, "ids")
-    n = ids.count()
+    sized = pairs.join(side("a"), "a").coalesce(tasks).join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+    likely = stored(sized.coalesce(tasks).mapInArrow(_likely, "a long, b long"), "likely")
+    ids, n = _ids(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")), tasks)
     if n == 0:
         return spark.createDataFrame([], "a long, b long")
-    texts = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    texts = docs.join(ids, "doc_id", "left_semi")
     text = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
-    return stored(likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(_check(size, similarity), "a long, b long").distinct(), "links")
+    checked = likely.join(text("a"), "a").coalesce(tasks).join(text("b"), "b").coalesce(tasks).mapInArrow(_check(size, similarity), "a long, b long")
+    return stored(checked.distinct().coalesce(tasks), "links")
+
+
+def _ids(rows: DataFrame, tasks: int) -> tuple[DataFrame, int]:
+    """(distinct doc_id, their number): marked for a broadcast if they are within the bound."""
+    ids = stored(rows.coalesce(tasks).distinct().coalesce(tasks), "ids")
+    n = ids.count()
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids, n
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, component) after more links; a node that isn't there is its own component."""
     if labels is None:
         return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    tasks = tasks_for(labels, labels.count())
     of = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-    up = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("u"), F.coalesce("c_b", "b").alias("v"))
+    up = links.join(of("a"), "a", "left").coalesce(tasks).join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("u"), F.coalesce("c_b", "b").alias("v")).coalesce(tasks)
     more = components(up).select(F.col("node").alias("was"), F.col("component").alias("now"))
-    moved = labels.join(more, labels["component"] == more["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
-    return stored(moved.unionByName(more.select(F.col("was").alias("node"), F.col("now").alias("component"))).distinct(), "labels")
+    moved = labels.join(more, labels["component"] == more["was"], "left").select("node", F.coalesce("now", "component").alias("component")).coalesce(tasks)
+    return stored(moved.unionByName(more.select(F.col("was").alias("node"), F.col("now").alias("component"))).coalesce(tasks).distinct().coalesce(tasks), "labels")
 
 
 def _with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -199,60 +207,56 @@ def _with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select(*(members[c] for c in members.columns), F.coalesce("component", "doc_id").alias("component"))
 
 
-def _in_open(members: DataFrame) -> DataFrame:
+def _in_open(members: DataFrame, tasks: int) -> DataFrame:
     """Of (band, doc_id, component) the rows of bands with more than one component."""
     mixed = members.groupBy("band").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed").select("band")
-    return members.join(mixed, "band", "left_semi")
-
-
-def _neighbourhoods(members: DataFrame) -> DataFrame:
-    """(doc_id, hood): classes that share bands, directly or through others."""
-    first = members.groupBy("band").agg(F.min("doc_id").alias("u"))
-    edges = members.join(first, "band").select("u", F.col("doc_id").alias("v"))
-    return _with_component(members.select("doc_id").distinct(), components(edges, "hoods")).withColumnRenamed("component", "hood")
+    return members.join(mixed.coalesce(tasks), "band", "left_semi").coalesce(tasks)
 
 
 def _prefixes(members: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
-    """(doc_id, hood, n, own, common, prefix): of each class the shingles that no other has, the mean number of classes that
-    have its shingles, and the rarest of those that others have too: as many as a partner of the threshold can't all lack."""
-    members = stored(members.join(sketches.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"), "members")
-    ids = members.select("doc_id")
-    texts = docs.join(F.broadcast(ids) if members.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = texts.mapInArrow(_sets(size), "doc_id long, shingles array<long>").select("doc_id", F.explode("shingles").alias("shingle"))
+    """(doc_id, n, own, common, prefix): of each class the shingles that no other in ``members`` has, the mean number of
+    classes that have its shingles, and the rarest of those that others have too: as many as a partner of the
+    threshold can't all lack."""
+    tasks = tasks_for(members, members.count())
+    ids, n = _ids(members.select("doc_id"), tasks)
+    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).coalesce(tasks_for(members, 20 * n))
+    rows = texts.mapInArrow(_sets(size), "doc_id long, shingles array<long>").select("doc_id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
     rows = stored(rows, "shingles")
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-    shared = rows.join(often, "shingle").groupBy("doc_id").agg(F.sum("f").alias("f"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("shared"))
-    least = F.greatest(F.ceil(F.col("n") * similarity / 100), F.col("least"))  # shingles of a partner
-    overlap = F.ceil(similarity * (F.col("n") + least) / (100 + similarity))
-    taken = F.greatest(F.least(F.col("n") - overlap + 1, F.col("n")) - (F.col("n") - F.size("shared")), F.lit(0)).cast("int")
-    joined = members.join(members.groupBy("hood").agg(F.min("n").alias("least")), "hood").join(shared, "doc_id")
-    own = (F.col("n") - F.size("shared")).alias("own")
-    return joined.select("doc_id", "hood", "n", own, (F.col("f") / F.col("n")).alias("common"), F.slice(F.col("shared.shingle"), F.lit(1), taken).alias("prefix"))
+    wide = tasks_for(rows, rows.count())
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").coalesce(wide)
+    shared = rows.join(often, "shingle").coalesce(wide).groupBy("doc_id", "n").agg(F.sum("f").alias("f"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("shared"))
+    overlap = F.ceil(similarity * (F.col("n") + F.ceil(F.col("n") * similarity / 100)) / (100 + similarity))  # with the smallest partner
+    own = F.col("n") - F.size("shared")
+    taken = F.greatest(F.least(F.col("n") - overlap + 1, F.col("n")) - own, F.lit(0)).cast("int")
+    return shared.select("doc_id", "n", own.alias("own"), (F.col("f") / F.col("n")).alias("common"), F.slice(F.col("shared.shingle"), F.lit(1), taken).alias("prefix")).coalesce(wide)
 
 
-def _with_origin(members: DataFrame) -> DataFrame:
-    """(a, b): the class with the most common shingles of each neighbourhood, with each class of another component."""
-    origin = members.groupBy("hood").agg(F.max_by(F.struct("doc_id", "component"), F.struct("common", "doc_id")).alias("o"))
-    pairs = members.join(origin, "hood").filter(F.col("component") != F.col("o.component"))
-    return pairs.select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b"))
+def _with_origin(members: DataFrame, prefixes: DataFrame, tasks: int) -> DataFrame:
+    """(a, b): in each band the class with the most common shingles, with each class of another component."""
+    rows = members.join(prefixes.select("doc_id", "common"), "doc_id").coalesce(tasks)
+    origin = rows.groupBy("band").agg(F.max_by(F.struct("doc_id", "component"), F.struct("common", "doc_id")).alias("o")).coalesce(tasks)
+    pairs = members.join(origin, "band").filter(F.col("component") != F.col("o.component"))
+    return pairs.select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def _shared_prefixes(members: DataFrame, similarity: int) -> DataFrame:
-    """(a, b): classes of two components of a neighbourhood that share a shingle of both prefixes, so early that the
-    shingles from there on can still reach the threshold.
+    """(a, b): classes of two components that share a shingle of both prefixes, so early that the shingles from there on
+    can still reach the threshold.
 
     Of each shingle's classes those outside its most frequent component meet all, so copies that are linked already
     don't meet each other.
     """
-    rows = stored(members.select("hood", "doc_id", "n", "component", "own", F.posexplode("prefix").alias("place", "shingle")), "prefix-rows")
-    sizes = rows.groupBy("hood", "shingle", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("hood", "shingle").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    few = rows.join(main, ["hood", "shingle"]).filter("component <> main").drop("main")
+    rows = stored(members.select("doc_id", "n", "component", "own", F.posexplode("prefix").alias("place", "shingle")), "prefix-rows")
+    tasks = tasks_for(rows, rows.count())
+    sizes = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).coalesce(tasks)
+    main = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts").coalesce(tasks)
+    open_rows = stored(rows.join(main, "shingle").coalesce(tasks), "open-rows")
+    few = open_rows.filter("component <> main")
     x = few.select(*(F.col(c).alias(f"{c}_x") for c in few.columns))
     rest = F.least(F.col("n") - F.col("own") - F.col("place"), F.col("n_x") - F.col("own_x") - F.col("place_x"))
     fit = (100 + similarity) * rest >= similarity * (F.col("n") + F.col("n_x"))
-    pairs = rows.join(x, (F.col("hood") == F.col("hood_x")) & (F.col("shingle") == F.col("shingle_x")) & (F.col("component") != F.col("component_x")) & fit)
-    return pairs.select(F.least("doc_id", "doc_id_x").alias("a"), F.greatest("doc_id", "doc_id_x").alias("b")).distinct()
+    pairs = open_rows.join(x, (F.col("shingle") == F.col("shingle_x")) & (F.col("component") != F.col("component_x")) & fit)
+    return pairs.select(F.least("doc_id", "doc_id_x").alias("a"), F.greatest("doc_id", "doc_id_x").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = SIMILARITY) -> DataFrame:
@@ -266,9 +270,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = S
 
     Method. Equal sets are one class, represented by its smallest id. Classes that share a band of filled registers are
     candidates, and each class of a bucket is first compared with the bucket's smallest. Buckets whose other classes
-    are then in one component are done. The classes of the rest form neighbourhoods (classes that share buckets); the one
-    whose shingles are the most common there, the likely origin of the copies, is compared with the others. Last, of two
-    classes still in different components that can reach the threshold, one must hold a shingle of the other among its
+    are then in one component are done. In each of the rest the class whose shingles are the most common there, the
+    likely origin of the copies, is compared with the others. Last, of two classes still in different components that can reach the threshold, one must hold a shingle of the other among its
     rarest few (the prefix principle of set joins): such pairs are compared. So a bucket of copies of any size costs few
     comparisons a member, and no link between candidates is lost. Sets of up to 255 shingles go straight to the check
     on whole sets, larger ones first past the estimate.
@@ -282,16 +285,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = S
     members = own.select("doc_id", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = stored(members.join(shared, "band"), "buckets")
-    pairs = stored(buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    tasks = tasks_for(buckets, buckets.count())
+    pairs = buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
+    pairs = stored(pairs.coalesce(tasks).distinct().coalesce(tasks), "pairs")
     compare = lambda some: _links(some, own, docs, shingle_words, similarity)
     labels = _relabel(None, compare(pairs))
-    left = stored(_in_open(_with_component(buckets.filter("doc_id <> centre").select("band", "doc_id"), labels)), "left")
+    others = buckets.filter("doc_id <> centre").select("band", "doc_id")
+    left = stored(_in_open(_with_component(others, labels).coalesce(tasks), tasks), "left")
     if not left.isEmpty():
-        prefixes = stored(_prefixes(_neighbourhoods(left), own, docs, shingle_words, similarity), "prefixes")
-        more = stored(_with_origin(_with_component(prefixes, labels)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        tasks = tasks_for(left, left.count())
+        prefixes = stored(_prefixes(left, own, docs, shingle_words, similarity), "prefixes")
+        origin = _with_origin(left, prefixes, tasks).join(pairs, ["a", "b"], "left_anti").coalesce(tasks)
+        more = stored(origin, "pairs")
         labels, tried = _relabel(labels, compare(more)), pairs.unionByName(more)
-        more = stored(_shared_prefixes(_with_component(prefixes, labels), similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
-        labels = _relabel(labels, compare(more))
+        last = _shared_prefixes(_with_component(prefixes, labels).coalesce(tasks), similarity)
+        labels = _relabel(labels, compare(stored(last.join(tried, ["a", "b"], "left_anti").coalesce(tasks), "pairs")))
     component = labels.select(F.col("node").alias("rep"), "component")
     of_class = classes.join(component, "rep", "left").select(*named, F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", *named).join(of_class, named, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
