@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from marshlight.llm.common import doc_columns, table, text_chunks
 
 #: Most labelled documents that a classifier is fitted on: those of the smallest hashes of doc_id. A fixed bound.
-TRAINING_DOCS = 8_000
+TRAINING_DOCS = 6_000
 
 
 def fold(folds: int) -> F.Column:

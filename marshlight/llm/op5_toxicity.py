@@ -19,7 +19,9 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Subsequences of 3, 4 and 5 letters whose span is at most 5, 6 and 6: so many inserted letters are forgiven.
 ORDERS = {3: 5, 4: 6, 5: 6}
 DECAY = 0.6
-LANDMARKS, HARD_NEGATIVES, ROUNDS = 160, 20_000, 4
+LANDMARKS, HARD_NEGATIVES, ROUNDS = 160, 12_000, 4
+#: Units that landmarks are chosen from, and units that one step of the arithmetic holds: fixed, so memory is bounded.
+POOL, BLOCK = 400, 16_384
 #: Letters of a unit; longer runs are cut.
 UNIT_LETTERS = 30
 _PATTERNS = [(0, *rest) for n, span in ORDERS.items() for rest in itertools.combinations(range(1, span), n - 1)]
@@ -98,6 +100,10 @@ def subsequences(matrix: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.n
             yield order[:rows], key + np.uint64(len(pattern)), DECAY ** (pattern[-1] + 1)
 
 
+def _blocks(n: int) -> Iterator[slice]:
+    return (slice(k, k + BLOCK) for k in range(0, n, BLOCK))
+
+
 def norms(lengths: np.ndarray) -> np.ndarray:
     """Root of the summed squared weights of a unit's subsequences: the kernel is divided by both units' norms."""
     most = int(lengths.max(initial=0)) + 2
@@ -126,12 +132,13 @@ class Model:
 
     def decide(self, letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         out = np.zeros(len(starts))
-        if len(starts) and len(self.features):
-            for rows, key, weight in subsequences(unit_matrix(letters, starts, lengths), lengths):
+        for block in _blocks(len(starts) if len(self.features) else 0):
+            part = out[block]
+            for rows, key, weight in subsequences(unit_matrix(letters, starts[block], lengths[block]), lengths[block]):
                 at = np.flatnonzero(self._likely[(mix64(key) >> np.uint64(44)).astype(np.int64)])
                 place = np.minimum(np.searchsorted(self.features, key[at]), len(self.features) - 1)
                 hit = self.features[place] == key[at]
-                out[rows[at[hit]]] += weight * self.weights[place[hit]]
+                part[rows[at[hit]]] += weight * self.weights[place[hit]]
         return out / norms(lengths) + self.offset if len(starts) else out
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -164,10 +171,12 @@ class Model:
 def _kernel_columns(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray, features: np.ndarray, table_of: np.ndarray) -> np.ndarray:
     """Kernel values of units (rows) with the landmarks whose subsequence weights are the columns of ``table_of``."""
     out = np.zeros((len(starts), table_of.shape[1]))
-    for rows, key, weight in subsequences(unit_matrix(letters, starts, lengths), lengths):
-        place = np.minimum(np.searchsorted(features, key), len(features) - 1)
-        hit = np.flatnonzero(features[place] == key)
-        out[rows[hit]] += weight * table_of[place[hit]]  # a pattern meets a row once
+    for block in _blocks(len(starts)):
+        part = out[block]
+        for rows, key, weight in subsequences(unit_matrix(letters, starts[block], lengths[block]), lengths[block]):
+            place = np.minimum(np.searchsorted(features, key), len(features) - 1)
+            hit = np.flatnonzero(features[place] == key)
+            part[rows[hit]] += weight * table_of[place[hit]]  # a pattern meets a row once
     return out / norms(lengths)[:, None]
 
 
@@ -196,14 +205,14 @@ def _svm(x: np.ndarray, y: np.ndarray, importance: np.ndarray, ridge: float = 0.
     return w
 
 
-def train(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS) -> Model:
+def train(texts: list[str] | pa.Array, y: np.ndarray, landmarks: int = LANDMARKS) -> Model:
     """Fit on labelled texts. A label says only that some sentence of the text is toxic: every unit of a clean text is
     clean, and of a toxic text the unit that decides (its witness) is chosen anew in each round."""
     if not len(texts) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 1.0, float(np.log(p / (1 - p))))
     letters_of, hash_of, start_of, length_of, doc_of, base, first = [], [], [], [], [], 0, 0
-    for begin, last, data, offsets in text_chunks(pa.array(texts, pa.string())):
+    for begin, last, data, offsets in text_chunks(pa.array(texts, pa.string()) if isinstance(texts, list) else texts):
         letters, starts, lengths, text = units(data, offsets)
         spans = span_hashes(letters.view(np.uint8), 4 * starts, 4 * (starts + lengths))
         _, where = np.unique(mix64(spans + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
@@ -216,17 +225,14 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS) -> Model:
     letters, spans, starts, lengths, doc = (np.concatenate(p) for p in (letters_of, hash_of, start_of, length_of, doc_of))
     _, where, unit = np.unique(spans, return_index=True, return_inverse=True)
     starts, lengths = starts[where], lengths[where]  # of distinct units; doc and unit pair texts and units
+    del spans, letters_of, hash_of, start_of, length_of, doc_of
+    first = np.cumsum(lengths) - lengths
+    letters, starts = letters[np.arange(int(lengths.sum())) + np.repeat(starts - first, lengths)], first
     # a first guess: units with a run of four letters that toxic texts have and others don't
-    found = [(rows, key) for rows, key, _ in itertools.islice(_runs(letters, starts, lengths), None)]
-    rows, keys = np.concatenate([r for r, _ in found]), np.concatenate([k for _, k in found])
-    _, gram = np.unique(keys, return_inverse=True)
-    holds = np.full(len(starts), -np.inf)
     positive = np.bincount(unit, weights=y[doc], minlength=len(starts))
     negative = np.bincount(unit, minlength=len(starts)) - positive
     ratio = max((1 - y).sum(), 1) / max(y.sum(), 1)
-    with_gram = lambda of: np.bincount(gram, weights=of[rows])
-    odds = np.log((ratio * with_gram(positive) + 0.5) / (with_gram(negative) + 3))
-    np.maximum.at(holds, rows, odds[gram])
+    holds = _odds(letters, starts, lengths, ratio * positive, negative)
 
     by_doc = np.argsort(doc, kind="stable")
     doc, unit = doc[by_doc], unit[by_doc]
@@ -243,7 +249,7 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS) -> Model:
         if model is None:
             near = clean_units[np.argsort(-guess[clean_units], kind="stable")[: landmarks // 3]]
             ranked = witness[np.argsort(-votes, kind="stable")]
-            common, others = ranked[: landmarks // 3], ranked[landmarks // 3 : 1500]
+            common, others = ranked[: landmarks // 3], ranked[landmarks // 3 : POOL]
             chosen = np.unique(np.concatenate([common, near, _spread(letters, starts, lengths, others, landmarks // 3) if len(others) else others]))
             features, table_of = _landmark_table(letters, starts[chosen], lengths[chosen])
             values, vectors = np.linalg.eigh(_kernel_columns(letters, starts[chosen], lengths[chosen], features, table_of))
@@ -266,16 +272,27 @@ def train(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS) -> Model:
     return model
 
 
-def _runs(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(rows, key, 1) of four neighbouring letters."""
-    matrix = unit_matrix(letters, starts, lengths)
-    size = min(4, matrix.shape[1])
-    for begin in range(matrix.shape[1] - size + 1):
-        rows = np.flatnonzero((lengths + 2 >= begin + size) | (begin == 0))
-        key = np.zeros(len(rows), np.uint64)
-        for k in range(size):
-            key += mix64(matrix[rows, begin + k] + np.uint64(1)) * _MULTIPLIERS[k]
-        yield rows, key, 1.0
+def _odds(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
+    """Of each unit the largest log odds of a run of four neighbouring letters, counted in a hashed table of a fixed size."""
+    sums = [np.zeros(1 << 20), np.zeros(1 << 20)]
+    best = np.full(len(starts), -np.inf)
+    for counting in (True, False):
+        for block in _blocks(len(starts)):
+            matrix, size = unit_matrix(letters, starts[block], lengths[block]), lengths[block] + 2
+            run = min(4, matrix.shape[1])
+            for begin in range(matrix.shape[1] - run + 1):
+                rows = np.flatnonzero((size >= begin + run) | (begin == 0))
+                key = np.zeros(len(rows), np.uint64)
+                for k in range(run):
+                    key += mix64(matrix[rows, begin + k] + np.uint64(1)) * _MULTIPLIERS[k]
+                slot = (mix64(key) >> np.uint64(44)).astype(np.int64)
+                if counting:
+                    for total, of in zip(sums, (positive, negative), strict=True):
+                        total += np.bincount(slot, weights=of[block][rows], minlength=1 << 20)
+                else:
+                    part = best[block]
+                    part[rows] = np.maximum(part[rows], np.log((sums[0][slot] + 0.5) / (sums[1][slot] + 3)))
+    return best
 
 
 def _spread(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pool: np.ndarray, most: int) -> np.ndarray:
@@ -292,8 +309,8 @@ def _spread(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pool:
 
 def fit(spark: SparkSession, sf_dir: str) -> Model:
     """Train on the bounded labelled sample; its documents are ordered, so the model is the same every time."""
-    sample = sorted(training_sample(spark, sf_dir, "toxic", FOLDS, HELD_OUT).collect(), key=lambda r: r["doc_id"])
-    return train([r["text"] or "" for r in sample], np.array([r["y"] for r in sample], np.int64))
+    sample = training_sample(spark, sf_dir, "toxic", FOLDS, HELD_OUT).toArrow().sort_by("doc_id")
+    return train(sample.column("text").combine_chunks(), sample.column("y").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
