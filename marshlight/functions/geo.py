@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marshlight.functions import constants as K
+from marshlight.functions.text import let
 
 POLYGONS = "array<array<array<struct<lon:double,lat:double>>>>"
 
 
 def _sum_edges(ring: Column, edge) -> Column:  # noqa: ANN001
     """Sum of a function of neighbouring points, in ring order, so the result doesn't depend on partitioning."""
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(ring) - 2, F.lit(0))), F.lit(0.0), lambda acc, i: acc + F.coalesce(edge(F.get(ring, i), F.get(ring, i + 1)), F.lit(0.0)))
+
+    def total(r: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(r) - 2, F.lit(0))), F.lit(0.0), lambda acc, i: acc + F.coalesce(edge(F.get(r, i), F.get(r, i + 1)), F.lit(0.0)))
+
+    return let(ring, total)
 
 
 def parse_coordinates(text: Column) -> Column:
@@ -24,8 +29,8 @@ def parse_coordinates(text: Column) -> Column:
 
 
 def close_ring(ring: Column) -> Column:
-    is_open = (F.size(ring) >= 3) & (F.get(ring, 0) != F.get(ring, F.size(ring) - 1))
-    return F.when(is_open, F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
+    is_open = lambda r: (F.size(r) >= 3) & (F.get(r, 0) != F.get(r, F.size(r) - 1))
+    return let(ring, lambda r: F.when(is_open(r), F.concat(r, F.slice(r, 1, 1))).otherwise(r))
 
 
 def signed_area(ring: Column) -> Column:
@@ -34,7 +39,7 @@ def signed_area(ring: Column) -> Column:
 
 
 def orient(ring: Column, counter_clockwise: bool) -> Column:
-    return F.when((signed_area(ring) >= 0) == F.lit(counter_clockwise), ring).otherwise(F.reverse(ring))
+    return let(ring, lambda r: F.when((signed_area(r) >= 0) == F.lit(counter_clockwise), r).otherwise(F.reverse(r)))
 
 
 def ring_area_sq_km(ring: Column) -> Column:
@@ -100,7 +105,7 @@ def build_polygons(raw: Column) -> Column:
     """
 
     def one(p: Column) -> Column:
-        outer = orient(close_ring(parse_coordinates(p["outer"])), True)
+        outer = orient(close_ring(parse_coordinates(p["outer"])), True)  # each step is evaluated once
         holes = F.filter(F.transform(p["inners"], lambda t: close_ring(parse_coordinates(t))), lambda r: F.size(r) >= 4)
         return F.concat(F.array(outer), F.transform(holes, lambda r: orient(r, False)))
 

@@ -47,14 +47,15 @@ def period(header: Column) -> Column:
 def clock_24h(text: Column) -> Column:
     """ "8:40 p.m." to "20:40". Hours aren't range-checked: "25:99 p.m." is "37:99"."""
     hour = F.regexp_extract(text, K.TIME_PATTERN, 1).try_cast("int")
-    hour = F.when(F.lower(F.regexp_extract(text, K.TIME_PATTERN, 3)) == "a", F.when(hour == 12, 0).otherwise(hour)).otherwise(F.when(hour == 12, 12).otherwise(hour + 12))
-    return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.regexp_extract(text, K.TIME_PATTERN, 2))
+    early = F.lower(F.regexp_extract(text, K.TIME_PATTERN, 3)) == "a"
+    shifted = let(hour, lambda h: F.when(early, F.when(h == 12, 0).otherwise(h)).otherwise(F.when(h == 12, 12).otherwise(h + 12)).cast("string"))
+    return F.concat(F.lpad(shifted, 2, "0"), F.lit(":"), F.regexp_extract(text, K.TIME_PATTERN, 2))
 
 
 def times(header: Column) -> Column:
     """struct(time_start, time_end): the first two clock readings."""
     found = F.regexp_extract_all(header, F.lit(K.TIME_PATTERN), F.lit(0))
-    return F.struct(clock_24h(F.get(found, 0)).alias("time_start"), clock_24h(F.get(found, 1)).alias("time_end"))
+    return let(found, lambda f: F.struct(clock_24h(F.get(f, 0)).alias("time_start"), clock_24h(F.get(f, 1)).alias("time_end")))
 
 
 def _to_date(text: Column) -> Column:
@@ -176,10 +177,11 @@ def since_floor(since: Column) -> Column:
 
 
 def header_fields(header: Column) -> dict[str, Column]:
-    """All fields of a header sentence, each optional on its own. ``header`` is cleaned text."""
-    raw = products_raw(header)
+    """All fields of a header sentence, each optional on its own. ``header`` is a column of cleaned text.
+
+    ``clock`` and ``first`` are structs: (time_start, time_end) and (date, date_text).
+    """
     return {
-        "method": method(header), "target": target(header), "products_raw": raw, "products": canonical_products(raw), "period": period(header),
-        "time_start": times(header)["time_start"], "time_end": times(header)["time_end"], "header_date": first_date(header)["date"],
-        "date_text": first_date(header)["date_text"], "header_status": status(header),
+        "method": method(header), "target": target(header), "products_raw": products_raw(header), "period": period(header),
+        "clock": times(header), "first": first_date(header), "header_status": status(header),
     }

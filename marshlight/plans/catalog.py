@@ -136,8 +136,8 @@ for _name, _key in (("summary_backfill", "mid"), ("summary_stage", "mid"), ("sum
 def _header_query(name: str, sql: str, column: Callable) -> None:
     @query(name, f"WITH {T.HEADERS_SQL} SELECT k AS key, {sql} FROM keys")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        h = X.clean(F.col("header"))
-        return T.headers(spark, sf_dir).select("key", *(c.alias(n) for n, c in column(h).items()))
+        rows = T.headers(spark, sf_dir).withColumn("header", X.clean(F.col("header")))
+        return rows.select("key", *(c.alias(n) for n, c in column(F.col("header")).items()))
 
 
 _P = T.PRODUCT_NAMES

@@ -197,6 +197,7 @@ def extract_areas(pages: DataFrame) -> DataFrame:
     kinds = F.filter(F.transform("headings", X.section_kind), lambda k: k.isNotNull())
     rows = raw.withColumn("section", F.get(kinds, F.size(kinds) - 1)).withColumn("header", X.clean(F.col("header"))).withColumn("full_text", X.clean(F.col("full_text")))
     rows = rows.withColumns(X.header_fields(F.col("header")))
+    rows = rows.select("*", X.canonical_products(F.col("products_raw")).alias("products"), "clock.*", F.col("first.date").alias("header_date")).drop("clock", "first")
     name = F.when(F.col("bold_name").isNotNull(), X.clean(F.col("bold_name"))).otherwise(X.clean(X.fallback_name(F.col("full_text"))))
     rows = rows.withColumn("area_name", F.nullif(F.trim(F.regexp_replace(name, r"\s*:\s*$", "")), F.lit("")))
     rows = stored(rows, "areas")  # read more than once, and the walk over the documents is the costly part
