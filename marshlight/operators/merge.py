@@ -84,6 +84,8 @@ def capture_reasons(captures: DataFrame, floor: Column) -> DataFrame:
     """
     rows = captures.withColumn("reason", F.when(~F.col("statuscode").eqNullSafe("200"), "status").when(F.col("ts") < floor, "floor"))
     left = rows.filter("reason is null").select("ts", "ord", F.substring("ts", 1, 8).alias("day"), F.coalesce("digest", F.lit("")).alias("digest"))
+    # of captures with one day and one digest only the first can be kept
+    left = left.groupBy("day", "digest").agg(F.min(F.struct("ts", "ord")).alias("k")).select("k.ts", "k.ord", "day", "digest")
     left, kept = stored(left, "captures"), None
     while not left.isEmpty():
         first = F.min(F.struct("ts", "ord"))

@@ -645,7 +645,7 @@ def _alert_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda i: F.concat(k.cast("string"), F.lit(f"_{i}"))
     link = lambda i: F.concat(F.lit('<a href="https://maps.example.com/u/0/edit?x=1&amp;mid='), n(i), F.lit('">See Map</a>'))
     area = lambda i, status: F.concat(F.lit("<li><strong>Area "), n(i), F.lit(":</strong> "), F.lit(status), F.lit("&gt;N to Road., &gt;South to Lane.. "), F.lit('<a href="?mid=blank"> </a>'), link(i), F.lit("</li>"))
-    first = F.concat(F.lit("<li>Ground spraying for adult mosquito control using Dibrom® is scheduled for the evening of Friday, July 24, 2026, between 8:40&nbsp;p.m. and 10:00 p.m.<ul>"), area(0, "<span><b>COMPLETE</b></span>"), area(1, ""), F.lit("</ul></li>"))
+    first = F.concat(F.lit("<li>Ground spraying for adult insect control using Dibrom® is scheduled for the evening of Friday, July 24, 2026, between 8:40&nbsp;p.m. and 10:00 p.m.<ul>"), area(0, "<span><b>COMPLETE</b></span>"), area(1, ""), F.lit("</ul></li>"))
     second = F.concat(F.lit("<li><ul></ul>A<strong>erial spraying</strong> for larvae on July 25, 2026 POSTPONED TO MONDAY, JULY 27, 2026<ul>"), area(2, ""), F.lit("<li>no link</li></ul></li>"))
     third = F.when(k % 5 == 0, "<li>Ground spraying some day<ul><li>x</li></ul></li>").otherwise("")
     page = F.concat(F.lit("<html><body><div><h1>Spray Alerts</h1><h2>Current Operations</h2><ul>"), first, F.lit("</ul><h2>Past Completed Operations:</h2><ul>"), second, F.lit("</ul><ul>"), third, F.lit("</ul></div>"), F.col("html"), F.lit("</body></html>"))

@@ -139,7 +139,7 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(k % 8 == 1, " POSTPONED TO MONDAY, JULY 27, 2026").when(k % 8 == 2, " CANCELED.").when(k % 8 == 3, " COMPLETE").otherwise("")
     day = F.when(k % 9 == 4, "June 31, 2001 or ").otherwise("")
     text = F.concat(
-        F.when(k % 3 == 0, "Aerial").otherwise("Ground"), F.lit(" spraying for "), F.when(k % 5 == 0, "larvae").otherwise("adult"), F.lit(" mosquito control"), using, F.lit(" is scheduled for the "),
+        F.when(k % 3 == 0, "Aerial").otherwise("Ground"), F.lit(" spraying for "), F.when(k % 5 == 0, "larvae").otherwise("adult"), F.lit(" insect control"), using, F.lit(" is scheduled for the "),
         _pick(k, PERIODS), F.lit("  of Friday, "), day, F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(", between "), hour, F.lit(":"), minute, F.lit(" "), half, F.lit(" and 11:05 PM"), tail,
     )
     return o.select(k.alias("key"), text.alias("header"), "o_orderdate")

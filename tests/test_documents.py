@@ -14,7 +14,7 @@ from marshlight.functions import geo
 from marshlight.operators import export
 from marshlight.sources import archive, html, kml
 
-HEAD = "Ground spraying for adult mosquito control using Dibrom® is scheduled for the evening of Friday, July 24, 2026, between 8:40&nbsp;p.m. and 10:00 p.m."
+HEAD = "Ground spraying for adult insect control using Dibrom® is scheduled for the evening of Friday, July 24, 2026, between 8:40&nbsp;p.m. and 10:00 p.m."
 
 
 def area(name="Area", mid="m1", extra=""):

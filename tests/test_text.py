@@ -108,7 +108,7 @@ def test_boundaries(spark):
 
 def test_small_ones(spark):
     assert run(spark, X.clean, ["  a b\n\tc​d’ ", None]) == ["a b cd'", ""]
-    assert run(spark, X.target, ["for larvae of", "for ADULT mosquito", "for the morning"]) == ["larval", "adult", None]
+    assert run(spark, X.target, ["for larvae of", "for ADULT insect", "for the morning"]) == ["larval", "adult", None]
     assert run(spark, X.fallback_name, ["A: b > c", "A > c", "A"]) == ["A", "A ", "A"]
     assert [tuple(r) for r in run(spark, X.observation_rank, ["live", "wayback:2020", "x", None])] == [(2, ""), (1, "2020"), (0, ""), (0, "")]
     assert run(spark, X.corrected_mid, ["1PG7iZX-Eb0uV_kH6VfCE37SqwMoGj00c", "x", None]) == ["1JNoCNnTgawK0dNM7YpxQIOZZHDmI6jVQ", "x", None]
