@@ -332,7 +332,7 @@ class Lexicon:
 class Encoder:
     """Encodes chunks of texts; words that the lexicon lacks are merged exactly and kept, a bounded number of them."""
 
-    def __init__(self, tokenizer: str, lexicon: Lexicon | None = None, kept_bits: int = 20):
+    def __init__(self, tokenizer: str, lexicon: Lexicon | None = None, kept_bits: int = 19):
         self.vocabulary, self.lexicon = vocabulary(tokenizer), lexicon
         self._mask = (1 << kept_bits) - 1
         self._clear()

@@ -50,7 +50,7 @@ def calibrate(scores: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[flo
     return float(w[0]), float(w[1])
 
 
-def append_score(docs: DataFrame, scorer: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], keep: list[str], chunk_bytes: int = 2 << 20) -> DataFrame:
+def append_score(docs: DataFrame, scorer: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], keep: list[str], chunk_bytes: int = 1 << 20) -> DataFrame:
     """The columns ``keep`` of ``docs`` and a score of each whole text, without a shuffle.
 
     ``scorer`` is called once a task and gives a function of (bytes, row offsets) of some texts. Null counts as empty.

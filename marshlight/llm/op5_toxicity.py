@@ -26,6 +26,8 @@ POOL, BLOCK = 400, 16_384
 UNIT_LETTERS = 30
 _PATTERNS = [(0, *rest) for n, span in ORDERS.items() for rest in itertools.combinations(range(1, span), n - 1)]
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, size=5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Units whose scores a task keeps, as a power of two.
+_KEPT = 18
 _lower: list[np.ndarray] = []
 
 
@@ -128,7 +130,7 @@ class Model:
     def __post_init__(self) -> None:
         self._likely = np.zeros(1 << 20, bool)
         self._likely[(mix64(self.features) >> np.uint64(44)).astype(np.int64)] = True
-        self._hash, self._score = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20)
+        self._hash, self._score = np.zeros(1 << _KEPT, np.uint64), np.zeros(1 << _KEPT)
 
     def decide(self, letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         out = np.zeros(len(starts))
@@ -148,15 +150,15 @@ class Model:
         if not len(starts):
             return best
         spans = span_hashes(letters.view(np.uint8), 4 * starts, 4 * (starts + lengths))
-        slot = (spans & np.uint64((1 << 20) - 1)).astype(np.int64)
+        slot = (spans & np.uint64((1 << _KEPT) - 1)).astype(np.int64)
         score = self._score[slot]
         new = np.flatnonzero(self._hash[slot] != spans)
         if len(new):
             distinct, where, back = np.unique(spans[new], return_index=True, return_inverse=True)
             fresh = self.decide(letters, starts[new[where]], lengths[new[where]])
             score[new] = fresh[back]
-            place = (distinct & np.uint64((1 << 20) - 1)).astype(np.int64)
-            last = np.zeros(1 << 20, np.int64)
+            place = (distinct & np.uint64((1 << _KEPT) - 1)).astype(np.int64)
+            last = np.zeros(1 << _KEPT, np.int64)
             last[place] = np.arange(len(place))
             pick = last[place]
             self._hash[place], self._score[place] = distinct[pick], fresh[pick]
@@ -325,7 +327,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         own = Model(*state)
         return lambda data, offsets: own.probability(own.texts(data, offsets))
 
-    return append_score(docs, scorer, list(keep), 4 << 20)
+    return append_score(docs, scorer, list(keep))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
