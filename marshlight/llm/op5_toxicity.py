@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marshlight.llm.bpe import _LETTER, _NUMBER, _SPACE, _classes
-from marshlight.llm.common import mix64, span_hashes, table, text_chunks
+from marshlight.llm.common import mix64, table, text_chunks
 from marshlight.llm.learning import append_score, calibrate, fold, sigmoid, training_sample
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -22,8 +22,15 @@ DECAY = 0.6
 LANDMARKS, HARD_NEGATIVES, ROUNDS = 160, 12_000, 4
 #: Units that landmarks are chosen from, and units that one step of the arithmetic holds: fixed, so memory is bounded.
 POOL, BLOCK = 400, 16_384
-#: Letters of a unit; longer runs are cut.
-UNIT_LETTERS = 30
+#: Bytes of text that are cut into units at once.
+CHUNK = 1 << 19
+#: Letters of a unit, and of the step between the units of a longer run: 16 letters in a row are always in one of them.
+UNIT_LETTERS, STRIDE = 30, 15
+#: Letters of the parts that a unit of more than ``WHOLE`` letters is searched for: from 5, as no subsequence then holds both marks.
+WHOLE, PARTS = 16, range(5, 17)
+#: Neighbouring runs that are also read as one: at most so many, with so many letters together, all but one of them short.
+JOINED_RUNS, JOINED_LETTERS, SHORT = 4, 16, 3
+_START, _END = 2, 3
 _PATTERNS = [(0, *rest) for n, span in ORDERS.items() for rest in itertools.combinations(range(1, span), n - 1)]
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, size=5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Units whose scores a task keeps, as a power of two.
@@ -37,11 +44,13 @@ def _lowered() -> np.ndarray:
     return _lower[0]
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(letters, starts, lengths, text of each unit). A unit is the letters and digits of a run without white space, lower-cased.
+def units(data: np.ndarray, offsets: np.ndarray, joined: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letters, starts, lengths, text of each unit). A unit is the letters and digits of a run without white space, lower-cased,
+    between marks of its start (2) and its end (3).
 
     Other characters are left out, and runs of one letter that follow each other are one unit, so an insult spelled
-    with inserted marks or blanks is still one unit.
+    with inserted marks or blanks is still one unit. With ``joined`` short runs are also parts of units with their
+    neighbours; models are fitted without, as that takes four times as long and finds less. A long run gives overlapping units; where it goes on, the next letter stands in place of the mark.
     """
     raw = data.tobytes()
     points = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -64,32 +73,54 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return letters, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     head = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
     size = np.diff(np.append(head, len(run)))
-    joined = np.zeros(len(head), bool)
-    joined[1:] = (size[1:] == 1) & (size[:-1] == 1) & (text[head[1:]] == text[head[:-1]])
-    head = head[~joined]
-    size = np.diff(np.append(head, len(run)))
-    pieces = -(-size // UNIT_LETTERS)
+    follows = np.zeros(len(head), bool)
+    follows[1:] = (size[1:] == 1) & (size[:-1] == 1) & (text[head[1:]] == text[head[:-1]])
+    head = head[~follows]
+    tail = np.append(head[1:], len(run))
+    short = np.append(0, np.cumsum(tail - head <= SHORT))
+    begin, end = [head], [tail]
+    for n in range(2, JOINED_RUNS + 1) if joined else ():
+        first, last = head[: len(head) - n + 1], tail[n - 1 :]
+        some = np.flatnonzero((short[n:] - short[:-n] >= n - 1) & (last - first <= JOINED_LETTERS) & (text[first] == text[last - 1]))
+        begin.append(first[some])
+        end.append(last[some])
+    begin, end = np.concatenate(begin), np.concatenate(end)
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], end[order]
+    pieces = 1 + np.maximum(-(-(end - begin - UNIT_LETTERS) // STRIDE), 0)
     nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    starts = np.repeat(head, pieces) + nth * UNIT_LETTERS
-    return letters, starts, np.minimum(np.repeat(size, pieces) - nth * UNIT_LETTERS, UNIT_LETTERS), text[starts]
+    begin, end = np.repeat(begin, pieces), np.repeat(end, pieces)
+    left = np.maximum(np.minimum(begin + nth * STRIDE, end - UNIT_LETTERS), begin)
+    right = np.minimum(left + UNIT_LETTERS, end)
+    lengths = right - left + 2
+    starts = np.cumsum(lengths) - lengths
+    out = np.append(letters, np.uint32(0))[np.arange(int(lengths.sum())) + np.repeat(left - 1 - starts, lengths)]
+    out[starts[left == begin]] = _START
+    out[(starts + lengths - 1)[right == end]] = _END
+    return out, starts, lengths, text[left]
+
+
+def unit_hashes(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hash of each unit; the units follow each other in ``letters``."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(letters)) - np.repeat(starts, lengths)
+    return mix64(np.add.reduceat(mix64(letters.astype(np.uint64) | (place.astype(np.uint64) << np.uint64(32))), starts) + lengths.astype(np.uint64))
 
 
 def unit_matrix(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Units as rows of code points between marks of the start (2) and the end (3), 0 behind."""
-    width = int(lengths.max(initial=0)) + 2
-    out = np.zeros((len(starts), width), np.uint64)
-    out[:, 0] = 2
+    """Units as rows of code points, 0 behind."""
+    out = np.zeros((len(starts), int(lengths.max(initial=0))), np.uint64)
     row = np.repeat(np.arange(len(starts)), lengths)
     place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[row, place + 1] = letters[np.repeat(starts, lengths) + place]
-    out[np.arange(len(starts)), lengths + 1] = 3
+    out[row, place] = letters[np.repeat(starts, lengths) + place]
     return out
 
 
 def subsequences(matrix: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """(rows, features, weight) of all subsequences within the spans: the kernel's explicit feature map."""
     order = np.argsort(-lengths, kind="stable")
-    matrix, lengths = matrix[order], lengths[order] + 2
+    matrix, lengths = matrix[order], lengths[order]
     terms = [np.ascontiguousarray((mix64(matrix + np.uint64(1)) * m).T) for m in _MULTIPLIERS]
     for begin in range(matrix.shape[1] - 2):
         for pattern in _PATTERNS:
@@ -108,11 +139,11 @@ def _blocks(n: int) -> Iterator[slice]:
 
 def norms(lengths: np.ndarray) -> np.ndarray:
     """Root of the summed squared weights of a unit's subsequences: the kernel is divided by both units' norms."""
-    most = int(lengths.max(initial=0)) + 2
+    most = int(lengths.max(initial=0))
     total = np.zeros(most + 1)
     for pattern in _PATTERNS:
         total += np.maximum(np.arange(most + 1) - pattern[-1], 0) * DECAY ** (2 * (pattern[-1] + 1))
-    return np.sqrt(np.maximum(total, 1e-12))[lengths + 2]
+    return np.sqrt(np.maximum(total, 1e-12))[lengths]
 
 
 @dataclass
@@ -137,25 +168,70 @@ class Model:
         for block in _blocks(len(starts) if len(self.features) else 0):
             part = out[block]
             for rows, key, weight in subsequences(unit_matrix(letters, starts[block], lengths[block]), lengths[block]):
-                at = np.flatnonzero(self._likely[(mix64(key) >> np.uint64(44)).astype(np.int64)])
-                place = np.minimum(np.searchsorted(self.features, key[at]), len(self.features) - 1)
-                hit = self.features[place] == key[at]
-                part[rows[at[hit]]] += weight * self.weights[place[hit]]
+                at, value = self._known(key)
+                part[rows[at]] += weight * value
         return out / norms(lengths) + self.offset if len(starts) else out
 
+    def _known(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of features that have a weight, weights)."""
+        at = np.flatnonzero(self._likely[(mix64(key) >> np.uint64(44)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.features, key[at]), len(self.features) - 1)
+        hit = self.features[place] == key[at]
+        return at[hit], self.weights[place[hit]]
+
+    def worst(self, letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The decision of each unit, or of a long unit's worst part, where it is higher: a part counts as if it stood alone."""
+        out = self.decide(letters, starts, lengths)
+        long = np.flatnonzero(lengths > WHOLE + 2) if len(self.features) else []
+        for block in _blocks(len(long)):
+            some = long[block]
+            out[some] = np.maximum(out[some], self._parts(unit_matrix(letters, starts[some], lengths[some]), lengths[some]))
+        return out
+
+    def _parts(self, matrix: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The highest decision of the letters [a, b) of each unit between marks of their own, for all places and sizes in
+        ``PARTS``: sums of the subsequences inside, by their first letter and span, and of those with either mark."""
+        rows, width = matrix.shape
+        terms = [mix64(matrix + np.uint64(1)) * m for m in _MULTIPLIERS]
+        mark = [mix64(np.array([m + 1], np.uint64))[0] for m in (_START, _END)]
+        inside = {span: np.zeros((rows, width)) for span in sorted({p[-1] for p in _PATTERNS})}
+        begins, ends = np.zeros((rows, width)), np.zeros((rows, width))  # with the start mark before a, with the end mark at b
+        for pattern in _PATTERNS:
+            span, n = pattern[-1], width - pattern[-1]
+            weight, count = DECAY ** (span + 1), np.uint64(len(pattern))
+            first, last = terms[0][:, :n], terms[len(pattern) - 1][:, span:]
+            middle = np.full((rows, n), count)
+            for k, offset in enumerate(pattern[1:-1], 1):
+                middle += terms[k][:, offset : offset + n]
+            with np.errstate(over="ignore"):
+                start, end = mark[0] * _MULTIPLIERS[0], mark[1] * _MULTIPLIERS[len(pattern) - 1]
+            for key, into in ((first + middle + last, inside[span][:, :n]), (middle + last + start, begins[:, 1 : n + 1]), (middle + first + end, ends[:, span:])):
+                at, value = self._known(key.reshape(-1))
+                into[at // n, at % n] += weight * value
+        sums = {span: np.hstack([np.zeros((rows, 1)), np.cumsum(x, axis=1)]) for span, x in inside.items()}
+        best = np.full(rows, -np.inf)
+        for size in PARTS:
+            a = np.arange(1, width - size)
+            total = begins[:, a] + ends[:, a + size]
+            for span, x in sums.items():
+                total += x[:, a + max(size - span, 0)] - x[:, a]
+            total[a[None, :] + size > lengths[:, None] - 1] = -np.inf
+            best = np.maximum(best, total.max(axis=1, initial=-np.inf) / norms(np.array([size + 2]))[0])
+        return best + self.offset
+
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The decision of each text: of its worst unit. Units met before are looked up in a table of a fixed size."""
-        letters, starts, lengths, text = units(data, offsets)
+        letters, starts, lengths, text = units(data, offsets, joined=True)
         best = np.full(len(offsets) - 1, self.offset)
         if not len(starts):
             return best
-        spans = span_hashes(letters.view(np.uint8), 4 * starts, 4 * (starts + lengths))
+        spans = unit_hashes(letters, starts, lengths)
         slot = (spans & np.uint64((1 << _KEPT) - 1)).astype(np.int64)
         score = self._score[slot]
         new = np.flatnonzero(self._hash[slot] != spans)
         if len(new):
             distinct, where, back = np.unique(spans[new], return_index=True, return_inverse=True)
-            fresh = self.decide(letters, starts[new[where]], lengths[new[where]])
+            fresh = self.worst(letters, starts[new[where]], lengths[new[where]])
             score[new] = fresh[back]
             place = (distinct & np.uint64((1 << _KEPT) - 1)).astype(np.int64)
             last = np.zeros(1 << _KEPT, np.int64)
@@ -213,23 +289,26 @@ def train(texts: list[str] | pa.Array, y: np.ndarray, landmarks: int = LANDMARKS
     if not len(texts) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 1.0, float(np.log(p / (1 - p))))
-    letters_of, hash_of, start_of, length_of, doc_of, base, first = [], [], [], [], [], 0, 0
-    for begin, last, data, offsets in text_chunks(pa.array(texts, pa.string()) if isinstance(texts, list) else texts):
+    letters_of, hash_of, length_of, pair_of, doc_of, first = [], [], [], [], [], 0
+    for begin, last, data, offsets in text_chunks(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, CHUNK):
         letters, starts, lengths, text = units(data, offsets)
-        spans = span_hashes(letters.view(np.uint8), 4 * starts, 4 * (starts + lengths))
+        spans = unit_hashes(letters, starts, lengths)
         _, where = np.unique(mix64(spans + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-        letters_of.append(letters)
-        hash_of.append(spans[where])
-        start_of.append(starts[where] + base)
+        pair_of.append(spans[where])
+        doc_of.append((text[where] + first).astype(np.int32))
+        spans, where = np.unique(spans, return_index=True)
+        hash_of.append(spans)
         length_of.append(lengths[where])
-        doc_of.append(text[where] + first)
-        base, first = base + len(letters), first + last - begin
-    letters, spans, starts, lengths, doc = (np.concatenate(p) for p in (letters_of, hash_of, start_of, length_of, doc_of))
-    _, where, unit = np.unique(spans, return_index=True, return_inverse=True)
-    starts, lengths = starts[where], lengths[where]  # of distinct units; doc and unit pair texts and units
-    del spans, letters_of, hash_of, start_of, length_of, doc_of
-    first = np.cumsum(lengths) - lengths
-    letters, starts = letters[np.arange(int(lengths.sum())) + np.repeat(starts - first, lengths)], first
+        letters_of.append(_gather(letters, starts[where], lengths[where]))
+        first += last - begin
+    letters, spans, lengths, pairs, doc = (np.concatenate(p) for p in (letters_of, hash_of, length_of, pair_of, doc_of))
+    del letters_of, hash_of, length_of, pair_of, doc_of
+    starts = np.cumsum(lengths) - lengths
+    spans, where = np.unique(spans, return_index=True)
+    unit = np.searchsorted(spans, pairs).astype(np.int32)  # doc and unit pair texts and distinct units
+    del pairs
+    letters, lengths = _gather(letters, starts[where], lengths[where]), lengths[where]
+    starts = np.cumsum(lengths) - lengths
     # a first guess: units with a run of four letters that toxic texts have and others don't
     positive = np.bincount(unit, weights=y[doc], minlength=len(starts))
     negative = np.bincount(unit, minlength=len(starts)) - positive
@@ -268,19 +347,24 @@ def train(texts: list[str] | pa.Array, y: np.ndarray, landmarks: int = LANDMARKS
         model = Model(features, table_of @ (root @ w[:-1]), float(w[-1]), 1.0, 0.0)
         guess = model.decide(letters, starts, lengths)
     scores = np.full(len(texts), model.offset)
-    np.maximum.at(scores, doc, guess[unit])
+    np.maximum.at(scores, doc, model.worst(letters, starts, lengths)[unit])
     model.slope, model.shift = calibrate(4 * scores, y)
     model.slope *= 4
     return model
 
 
+def _gather(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The letters of some units, one unit after the other."""
+    return letters[np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)]
+
+
 def _odds(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
     """Of each unit the largest log odds of a run of four neighbouring letters, counted in a hashed table of a fixed size."""
     sums = [np.zeros(1 << 20), np.zeros(1 << 20)]
     best = np.full(len(starts), -np.inf)
     for counting in (True, False):
         for block in _blocks(len(starts)):
-            matrix, size = unit_matrix(letters, starts[block], lengths[block]), lengths[block] + 2
+            matrix, size = unit_matrix(letters, starts[block], lengths[block]), lengths[block]
             run = min(4, matrix.shape[1])
             for begin in range(matrix.shape[1] - run + 1):
                 rows = np.flatnonzero((size >= begin + run) | (begin == 0))
@@ -327,7 +411,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         own = Model(*state)
         return lambda data, offsets: own.probability(own.texts(data, offsets))
 
-    return append_score(docs, scorer, list(keep))
+    return append_score(docs, scorer, list(keep), CHUNK)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,39 @@ def test_toxic_spellings(toxic_model):
         assert decisions(toxic_model, [f"{prose(10)} {spelled} {prose(10)}"])[0] > max(decisions(toxic_model, clean)), spelled
 
 
+def test_toxic_in_long_runs(toxic_model):
+    """An insult in a run without blanks is found at every place of it, and between marks; runs without one are clean."""
+    random.seed(4)
+    run = "".join(random.choices(SYLLABLES, k=60))[:90]
+    for insult in INSULTS:
+        for at in range(61):
+            for text in (run[:at] + insult + run[at:], " ".join(run[:at] + insult + run[at:])):
+                assert decisions(toxic_model, [text])[0] >= toxicity.THRESHOLD, (insult, at)
+    for text in (f"{'word,' * 9}dimwit|word_word", f"{'日本語' * 12}dimwit{'日本語' * 12}"):
+        assert decisions(toxic_model, [text])[0] >= toxicity.THRESHOLD, text
+    assert max(decisions(toxic_model, [run, "word," * 30, "日本語" * 30, " ".join(run)])) < toxicity.THRESHOLD
+
+
+def test_toxic_gaps(toxic_model):
+    """A blank at any place in an insult, or several, with short parts beside it."""
+    random.seed(5)
+    spelled = [f"{w[:k]} {w[k:]}" for w in ("dimwit", "fathead") for k in range(1, len(w))] + ["numbsk ull", "nu mbskull", "di mw it", "fat he ad"]
+    for gapped in spelled:
+        assert decisions(toxic_model, [f"{prose(10)} {gapped} {prose(10)}"])[0] >= toxicity.THRESHOLD, gapped
+
+
+def test_parts_equal_units(toxic_model):
+    """The worst part of a long unit has the decision of that part as a unit of its own."""
+    data = np.frombuffer(b"theredimwitonthealsonumbskulltheston", np.uint8)
+    letters, starts, lengths, _ = toxicity.units(data, np.array([0, len(data)]))
+    assert len(starts) == 2 and lengths.tolist() == [32, 32]
+    for start in starts.tolist():
+        row = letters[start : start + 32]
+        alone = [np.concatenate([[2], row[a : a + n], [3]]) for n in toxicity.PARTS for a in range(1, 32 - n)]
+        want = max(toxic_model.decide(u, np.array([0]), np.array([len(u)]))[0] for u in alone)
+        assert np.isclose(toxic_model._parts(row[None, :].astype(np.uint64), np.array([32]))[0], want)
+
+
 def test_toxic_edges(spark, docs, no_docs, toxic_model):
     rows = toxicity.score(docs, toxic_model).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)
