@@ -33,8 +33,9 @@ class ShardStore:
 
     A shard never changes. A version lists the live shards; it becomes visible when its finished file gets its name
     by a rename that fails if the name is taken, so readers see the old version or the new one, and of two writers
-    one gets ``ConflictError``. Only file names and sizes pass through the driver, never rows. A job that dies leaves
-    files that no manifest lists; ``vacuum`` deletes them with the shards that compaction replaced.
+    one gets ``ConflictError``. Only file names and sizes pass through the driver, never rows. Compaction deletes
+    nothing, so earlier versions and tables read from them stay readable until ``vacuum`` deletes the shards that only
+    they list, with files of jobs that died, which no manifest lists.
     """
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = 64 << 20, fanout: int = 4, smallest_bytes: int = 1 << 20):
@@ -135,13 +136,13 @@ class ShardStore:
             outputs = max(1, round(sum(s.bytes for s in run) / self.target))
             self.spark.read.schema(schema).parquet(*(s.path for s in run)).coalesce(outputs).write.parquet(f"{folder}/{k}")
         self._commit(base, [s for s in shards if s not in set(gone)] + self._files(folder), schema)
-        for s in gone:
-            self._fs.delete(self._path(s.path), False)
         return True
 
-    def vacuum(self) -> int:
-        """Delete data files that the newest version doesn't list; not while a writer is at work."""
-        live = {s.path for s in self.manifest()[0]}
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete data files that none of the newest ``keep`` versions (one at least) lists; earlier ones can't be read then. Not
+        while a writer is at work."""
+        newest = self.version()
+        live = {s.path for v in range(max(newest - max(keep, 1), 0) + 1, newest + 1) for s in self.manifest(v)[0]}
         dead = [s for s in self._files(f"{self.path}/data") if s.path not in live]
         for s in dead:
             self._fs.delete(self._path(s.path), False)

@@ -227,6 +227,19 @@ def test_store(spark, docs, no_docs):
     assert empty.read().count() == 0 and "text" in empty.read().columns
 
 
+def test_store_keeps_versions(spark, docs):
+    """Compaction takes nothing from an earlier version or from a table read before it; vacuum keeps as many versions as asked."""
+    store = sharding.ShardStore(spark, scratch_dir(spark, "versions"), smallest_bytes=100, target_bytes=1 << 20, fanout=2)
+    store.append(docs.drop("_arrival").coalesce(1))
+    store.append(docs.drop("_arrival").coalesce(1))
+    before = store.read()
+    assert store.compact() and store.version() == 3
+    assert [store.read(v).count() for v in (1, 2, 3)] == [len(ROWS), 2 * len(ROWS), 2 * len(ROWS)]
+    assert before.count() == 2 * len(ROWS)
+    assert store.vacuum(keep=2) == 0 and store.read(2).count() == 2 * len(ROWS)
+    assert store.vacuum() == 2 and store.read().count() == 2 * len(ROWS)
+
+
 def test_pipeline(spark, tmp_path):
     """Planted cases through all stages, against what each stage must do."""
     import corpus_pipeline as pipeline
