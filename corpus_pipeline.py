@@ -2,7 +2,7 @@
 
 A document passes the first two stages unless the classifier rejects it (score under 0.3 for quality, 0.3 and more for
 toxicity). Line dedup removes repeated three-line windows; documents of which nothing but empty lines is left by that go.
-Of each group of near duplicates (five-word shingles, similarity 0.8) the one with the smallest doc_id stays. Nulls,
+Of each group of near duplicates (five-word shingles, similarity 0.8) one row stays, of the smallest doc_id that isn't null. Nulls,
 empty texts, repeated rows and empty tables are handled as the operators' docstrings say; all stages but the last
 return the columns of ``documents``, whatever further ones a table has.
 """
@@ -38,10 +38,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = op2_near_dedup.near_duplicates(docs, shingle_words=5)
-    gone = stored(groups.filter("not kept").select("doc_id").distinct(), "dropped")
+    rows = stored(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "rows")  # doc_id may repeat or be null
+    groups = op2_near_dedup.near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text"), shingle_words=5)
+    members = stored(groups.select(F.col("doc_id").alias("row_id"), "component_id").join(rows.select("row_id", "doc_id"), "row_id"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first"))
+    gone = stored(members.join(first, "component_id").filter("row_id <> first.row_id").select("row_id"), "dropped")
     small = gone.count() <= op2_near_dedup.BROADCAST_IDS
-    return docs.select(*COLUMNS).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*COLUMNS)
+    return rows.join(F.broadcast(gone) if small else gone, "row_id", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -271,6 +271,18 @@ def test_pipeline(spark, tmp_path):
     assert [name for name, _ in pipeline.STAGES] == ["quality", "toxicity", "line_dedup", "near_dedup", "packing"]
 
 
+def test_near_dedup_by_row(spark):
+    """Rows that share a doc_id, or have none, are kept or dropped one by one, and each group keeps its smallest doc_id."""
+    import corpus_pipeline as pipeline
+
+    random.seed(12)
+    one, two, three, four = (prose(200) for _ in range(4))
+    rows = [(5, one), (5, two + " end"), (3, two), (None, three), (None, three), (9, four), (9, four), (8, four + " end"), (None, four), (1, ""), (1, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([(5, one), (3, two), (None, three), (8, four + " end"), (1, ""), (1, "")], key=str)
+
+
 def test_stages_on_edges(spark, docs, no_docs, tmp_path):
     import corpus_pipeline as pipeline
 
