@@ -21,7 +21,7 @@ HITS = "query_id long, vec_id long, score long"
 def whole_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): vectors without null or non-finite components, each component x as floor(256 * x)."""
     x = F.transform("embedding", lambda c: c.cast("double"))
-    wide = 1e12  # a square of it times 256 dimensions still fits a long when summed exactly
+    wide = float(2**63 - 1024)  # the largest double that fits a long
     good = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(x, lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)) & ~F.isnan(c))
     ints = F.transform(x, lambda c: F.floor(F.greatest(F.least(c * SCALE, F.lit(wide)), F.lit(-wide))))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(good).select("vec_id", ints.alias("v"))
@@ -97,7 +97,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     Both tables have vec_id and embedding. Components count as floor(256 * x); vectors that are null or empty or hold
     null or non-finite components, and rows without a vec_id, take no part. Only vectors of a query's own length are
     its candidates, and rows of its own vec_id aren't. Ties go to the smaller vec_id; a repeated row is listed as often
-    as it occurs; with fewer candidates all are returned. Components beyond 1e12 in size count as 1e12.
+    as it occurs; with fewer candidates all are returned. A floor(256 * x) beyond the doubles that
+    fit a long counts as the nearest of them, and so does a score that doesn't fit a long; all other scores are exact.
 
     Candidates are dealt by hash to shards of a fixed size and queries to blocks of a fixed size. Every block meets
     every shard in a task of its own, and the shards' best are merged per query.

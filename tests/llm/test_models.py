@@ -200,6 +200,14 @@ def test_search(spark):
     assert search.top_k(table.filter("vec_id = 50"), table.filter("vec_id in (50, 51)")).count() == 1
 
 
+def test_search_of_large_components(spark):
+    """Components above 1e12 / 256 keep their value while it fits a long."""
+    rows = [(0, [0.5, 0.25]), *((k, [1e10 * k, -3e9 * k]) for k in range(1, 8)), (8, [2e14, 0.0]), (9, [-2e14, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search.top_k(table.filter("vec_id = 0"), table, k=9).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == search_brute(rows, 9)
+
+
 def test_maxscore_prunes_exactly():
     rng = np.random.default_rng(9)
     vectors = rng.integers(-90, 90, (5000, 24)).astype(float)
