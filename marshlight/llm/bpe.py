@@ -15,9 +15,10 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from marshlight.llm.common import span_hashes
+from marshlight.llm.common import padded, same_spans, span_hashes
 
-SPECIAL = b"<|endoftext|>"
+#: Words over so many bytes are merged anew each time.
+KEPT_BYTES = 64
 _NONE = np.int64(1 << 40)
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 #: The code points with Unicode's White_Space property.
@@ -35,7 +36,8 @@ def default_tokenizer() -> str:
 @functools.lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     kinds = {"L": _LETTER, "N": _NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    out = np.full(0x110000, _OTHER, np.uint8)
+    out[:0x40000] = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x40000)), np.uint8, 0x40000)  # the planes with letters
     out[_WHITE] = _SPACE
     return out
 
@@ -329,6 +331,18 @@ class Lexicon:
         return out
 
 
+def distinct_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of words that stand for all, which of them each word is): hashes find them and the bytes decide."""
+    _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+    first = where[back]
+    same = lengths == lengths[first]
+    at = np.flatnonzero(same)
+    same[at] = same_spans(data, starts[at], data, starts[first[at]], lengths[at])
+    other = np.flatnonzero(~same)
+    back[other] = len(where) + np.arange(len(other))
+    return np.append(where, other), back
+
+
 class Encoder:
     """Encodes chunks of texts; words that the lexicon lacks are merged exactly and kept, a bounded number of them."""
 
@@ -338,57 +352,67 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._hash = np.zeros(self._mask + 1, np.uint64)
-        self._start, self._size = np.zeros(self._mask + 1, np.int64), np.zeros(self._mask + 1, np.int64)
-        self._ids, self._used, self._held = np.zeros(1 << 16, np.int32), 0, 0
-
-    def _keep(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        """Put words into the table of kept words; of two with one slot the later stays, the other is merged again."""
-        if self._used + len(ids) > 8 * (self._mask + 1):
+        slots = self._mask + 1
+        self._hash = np.zeros(slots, np.uint64)
+        self._length, self._at, self._start, self._size = (np.zeros(slots, np.int32) for _ in range(4))
+        self._ids, self._used = np.zeros(1 << 16, np.int32), 0
+        self._text, self._filled = np.zeros(1 << 16, np.uint8), 0
+
+    def _keep(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Put words, with their bytes, into the table of kept words; of two with one slot one stays, the other is merged again."""
+        first = np.cumsum(sizes) - sizes
+        slot = (hashes & np.uint64(self._mask)).astype(np.int64)
+        slot, pick = np.unique(slot, return_index=True)
+        fits = lengths[pick] <= KEPT_BYTES
+        slot, pick = slot[fits], pick[fits]
+        text, more = _gather(data, starts[pick], lengths[pick]), _gather(ids, first[pick], sizes[pick])
+        if self._used + len(more) > 8 * (self._mask + 1) or self._filled + len(text) > 16 * (self._mask + 1):
             self._clear()
-        while self._used + len(ids) > len(self._ids):
+        while self._used + len(more) > len(self._ids):
             self._ids = np.append(self._ids, np.zeros_like(self._ids))
-        self._ids[self._used : self._used + len(ids)] = ids
-        slot = (hashes & np.uint64(self._mask)).astype(np.int64)
-        # written in one order by three statements: the last of equal slots wins in each
-        order = np.arange(len(slot))
-        last = np.zeros(self._mask + 1, np.int64)
-        last[slot] = order
-        pick = order[last[slot] == order]
-        self._hash[slot[pick]], self._size[slot[pick]] = hashes[pick], sizes[pick]
-        self._start[slot[pick]] = (np.cumsum(sizes) - sizes + self._used)[pick]
-        self._used += len(ids)
+        while self._filled + len(text) + 8 > len(self._text):
+            self._text = np.append(self._text, np.zeros_like(self._text))
+        self._ids[self._used : self._used + len(more)] = more
+        self._text[self._filled : self._filled + len(text)] = text
+        self._hash[slot], self._length[slot], self._size[slot] = hashes[pick], lengths[pick], sizes[pick]
+        self._at[slot] = np.cumsum(lengths[pick]) - lengths[pick] + self._filled
+        self._start[slot] = np.cumsum(sizes[pick]) - sizes[pick] + self._used
+        self._used, self._filled = self._used + len(more), self._filled + len(text)
 
     def _words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids)."""
         hashes = span_hashes(data, starts, ends)
-        hashes[hashes == 0] = 1
         if self.lexicon is None:
-            begin, size, pool = self._merged(data, starts, ends, hashes)
+            begin, size, pool = self._merged(padded(data), starts, ends - starts, hashes)
             return size, _gather(pool, begin, size)
-        _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        data = padded(data)
+        where, back = distinct_words(data, starts, ends - starts, hashes)
         rank = self.lexicon.lookup(data, starts[where], ends[where])
         known, other = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
         at, lexicon_ids = np.asarray(self.lexicon.id_start), np.asarray(self.lexicon.ids)
         begin, size = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
         begin[known], size[known] = at[rank[known]], at[rank[known] + 1] - at[rank[known]]
         unseen = where[other]
-        begin[other], size[other], pool = self._merged(data, starts[unseen], ends[unseen], hashes[unseen])
+        begin[other], size[other], pool = self._merged(data, starts[unseen], ends[unseen] - starts[unseen], hashes[unseen])
         begin[other] += len(lexicon_ids)
         return size[back], _gather(np.concatenate([lexicon_ids, pool]), begin[back], size[back])
 
-    def _merged(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places and numbers of each word's ids, and the array that they lie in; words not kept yet are merged."""
+    def _merged(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and numbers of each word's ids, and the array that they lie in; words not kept yet are merged. A word is known by its bytes."""
         slot = (hashes & np.uint64(self._mask)).astype(np.int64)
-        begin, size = self._start[slot], self._size[slot]
-        new = np.flatnonzero(self._hash[slot] != hashes)
+        begin, size = self._start[slot].astype(np.int64), self._size[slot].astype(np.int64)
+        known = (self._hash[slot] == hashes) & (self._length[slot] == lengths)
+        at = np.flatnonzero(known)
+        known[at] = same_spans(data, starts[at], self._text, self._at[slot[at]], lengths[at])
+        new = np.flatnonzero(~known)
         pool, shift = self._ids[: self._used], self._used
         if len(new):
-            distinct, where, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-            sizes, ids = self.vocabulary.merge(data, starts[new[where]], ends[new[where]])
+            where, back = distinct_words(data, starts[new], lengths[new], hashes[new])
+            where = new[where]
+            sizes, ids = self.vocabulary.merge(data, starts[where], starts[where] + lengths[where])
             begin[new], size[new] = (np.cumsum(sizes) - sizes + shift)[back], sizes[back]
             pool = np.concatenate([pool, ids.astype(np.int32)])
-            self._keep(distinct, sizes, ids)
+            self._keep(data, starts[where], lengths[where], hashes[where], sizes, ids)
         return begin, size, pool
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marshlight.session import scratch_dir, stored
 
@@ -17,13 +19,14 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: A-Z to a-z, every other byte unchanged.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-__all__ = ["doc_columns", "mix64", "parallelism", "scratch_dir", "span_hashes", "stored", "table", "text_chunks", "words"]
+__all__ = ["doc_columns", "free_name", "map_arrow", "mix64", "padded", "parallelism", "same_spans", "scratch_dir", "span_hashes", "stored", "table", "text_chunks", "words"]
 
 UPPER_ASCII, LOWER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_TABLE_ROWS = 32
-_RANDOM = np.random.default_rng(20240229).integers(1, 2**63, size=(_TABLE_ROWS, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLAT_TABLE = np.ascontiguousarray(_RANDOM.reshape(-1))
+#: The first k bytes of a little-endian word, for k from 0 to 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans over this many bytes are hashed and compared one by one.
+_LONG = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +38,22 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session doesn't say otherwise.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes, so that a worker's memory doesn't depend on how long texts are.
+
+    The bound is a setting of the session: it is lowered once, and left alone where it is set already.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) in (None, "64MB"):
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(step, schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x.astype(np.uint64, copy=True)
@@ -46,7 +65,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_chunks(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, most_bytes: int = 512 << 10) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about ``most_bytes`` bytes (a longer text stands alone).
 
     Yields (first row, row after the last, bytes, offsets of the rows in them); null counts as empty.
@@ -65,19 +84,48 @@ def text_chunks(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[i
         first = last
 
 
+def padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(8, np.uint8)])
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as one number; its last eight bytes are padding."""
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+
+
+def _steps(lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray]]:
+    """(offset, spans that reach beyond it, mask of their bytes in the eight from there on), for spans that aren't long."""
+    most = int(lengths[lengths <= _LONG].max(initial=0))
+    for offset in range(0, most, 8):
+        some = slice(None) if not offset and most == lengths.max() else np.flatnonzero((lengths > offset) & (lengths <= _LONG))
+        yield offset, some, _FIRST[np.minimum(lengths[some] - offset, 8)]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit tabulation hash of each byte span [start, end); the spans are ascending, disjoint and not empty."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """64-bit hash of each byte span [start, end), eight bytes of all spans a step."""
     lengths = ends - starts
-    before = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
-    at = place + np.repeat(starts, lengths)
-    values = _FLAT_TABLE[((place & (_TABLE_ROWS - 1)) << 8) | data[at]]
-    if int(lengths.max()) > _TABLE_ROWS:
-        far = np.flatnonzero(place >= _TABLE_ROWS)
-        values[far] = mix64(values[far] + (place[far] >> 5).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return mix64(np.add.reduceat(values, before) + lengths.astype(np.uint64))
+    out = lengths.astype(np.uint64)
+    if not len(starts):
+        return out
+    eights = _eights(padded(data))
+    for offset, some, mask in _steps(lengths):
+        out[some] = mix64(out[some] * np.uint64(0x9E3779B97F4A7C15) + (eights[starts[some] + offset] & mask))
+    for k in np.flatnonzero(lengths > _LONG):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_spans(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span of ``a`` are those of the span of ``b`` of the same length; both arrays are padded."""
+    out = np.ones(len(lengths), bool)
+    if not len(lengths):
+        return out
+    x, y = _eights(a), _eights(b)
+    for offset, some, mask in _steps(lengths):
+        out[some] &= (x[at_a[some] + offset] ^ y[at_b[some] + offset]) & mask == 0
+    for k in np.flatnonzero(lengths > _LONG):
+        out[k] = np.array_equal(a[at_a[k] : at_a[k] + lengths[k]], b[at_b[k] : at_b[k] + lengths[k]])
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,6 +145,14 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return data, s, e, np.searchsorted(offsets, s, side="right") - 1
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def doc_columns(df: DataFrame) -> DataFrame:
     """doc_id and text alone, so that a scan reads two columns and other columns of any name do no harm."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

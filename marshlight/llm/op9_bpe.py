@@ -13,30 +13,41 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marshlight.llm.bpe import Lexicon, default_tokenizer, encoder, pre_tokens, vocabulary
-from marshlight.llm.common import doc_columns, span_hashes, stored, table, text_chunks
+from marshlight.llm.bpe import Lexicon, default_tokenizer, distinct_words, encoder, pre_tokens, vocabulary
+from marshlight.llm.common import doc_columns, map_arrow, padded, span_hashes, stored, table, text_chunks
 
 #: Bound on the lexicon; the most frequent words of all documents are in it.
 LEXICON_WORDS = 65_536
 #: Words over this many bytes are left to the exact merges.
 LONGEST_WORD = 48
+#: Distinct words that a task counts before it passes them on.
+COUNTED_WORDS = 100_000
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[bytes, int] = {}
+
+    def sums() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], names=["word", "n"])
+
     for batch in batches:
-        for _, _, data, offsets in text_chunks(batch.column("text"), 8 << 20):
+        for _, _, data, offsets in text_chunks(batch.column("text")):
             starts, ends = pre_tokens(data, offsets)
             short = ends - starts <= LONGEST_WORD
             starts, ends = starts[short], ends[short]
-            _, where, counts = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
+            where, back = distinct_words(padded(data), starts, ends - starts, span_hashes(data, starts, ends))
             raw = data.tobytes()
-            words = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts.astype(np.int64))], names=["word", "n"])
+            for a, b, n in zip(starts[where].tolist(), ends[where].tolist(), np.bincount(back).tolist(), strict=True):
+                total[raw[a:b]] = total.get(raw[a:b], 0) + n
+            if len(total) > COUNTED_WORDS:
+                yield sums()
+                total.clear()
+    yield sums()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts; each task sums its own chunks before the shuffle."""
-    return doc_columns(docs).select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n) over all texts; each task sums its own words before the shuffle."""
+    return map_arrow(doc_columns(docs).select(F.coalesce("text", F.lit("")).alias("text")), _count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int = LEXICON_WORDS) -> list[bytes]:
@@ -117,12 +128,12 @@ def encode(docs: DataFrame, tokenizer: str | None = None, lexicon: Lexicon | Non
     """(doc_id, ids) of each document: the library's ids without special tokens added; null text counts as empty."""
     tokenizer = tokenizer or default_tokenizer()
     lexicon = lexicon or build_lexicon(frequent_words(word_counts(docs)), tokenizer)
-    return doc_columns(docs).mapInArrow(_ids(tokenizer, share_lexicon(docs.sparkSession, lexicon)), "doc_id long, ids array<int>")
+    return map_arrow(doc_columns(docs), _ids(tokenizer, share_lexicon(docs.sparkSession, lexicon)), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); special tokens are kept, null ids give an empty text."""
-    return tokens.select("doc_id", "ids").mapInArrow(_texts(tokenizer or default_tokenizer()), "doc_id long, text string")
+    return map_arrow(tokens.select("doc_id", "ids"), _texts(tokenizer or default_tokenizer()), "doc_id long, text string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -135,4 +146,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     tokenizer = tokenizer or default_tokenizer()
     docs = table(spark, sf_dir, "documents")
     name = share_lexicon(spark, build_lexicon(frequent_words(word_counts(docs)), tokenizer))
-    return doc_columns(docs).mapInArrow(_digest(tokenizer, name), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(doc_columns(docs), _digest(tokenizer, name), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
