@@ -12,8 +12,8 @@ from marshlight.llm.common import LOWER_ASCII, UPPER_ASCII, doc_columns, mix64,
 #: Distinct digests of one index shard; fixed, so that building or probing a shard takes bounded memory.
 SHARD_DIGESTS = 100_000
 _LEVELS, _SPREAD = 40, 2
-INDEX = "shard int, sizes array<long>, bits binary, rest binary, digests binary, winners array<long>, counts array<long>"
-GROUPS = "digest binary, keep_id long, group_size long"
+INDEX = "shard int, sizes array<long>, bits binary, rest binary, digests binary, winners array<long>, named array<boolean>, counts array<long>"
+GROUPS = "digest binary, keep_id long, named boolean, group_size long"
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -73,54 +73,63 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), 32)
 
 
+def _ids(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, whether each is one): of rows without an id the number means nothing."""
+    return rows["keep_id"].to_numpy().astype(np.int64), rows["named"].to_numpy().astype(bool)
+
+
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    digest = _matrix(rows["digest"])
+    digest, (ids, named) = _matrix(rows["digest"]), _ids(rows)
     sizes, bits, rest = build_hash(digest)
-    at = slots(digest, sizes, bits, rest)
-    order = np.argsort(at)
-    packed = [int(rows["shard"].iloc[0]), sizes, np.packbits(bits).tobytes(), rest.tobytes(), digest[order].tobytes(), rows["keep_id"].fillna(-1).astype("int64").to_numpy()[order], rows["group_size"].to_numpy()[order]]
-    return pd.DataFrame([packed], columns=["shard", "sizes", "bits", "rest", "digests", "winners", "counts"])
+    order = np.argsort(slots(digest, sizes, bits, rest))
+    packed = [int(rows["shard"].iloc[0]), sizes, np.packbits(bits).tobytes(), rest.tobytes(), digest[order].tobytes(), ids[order], named[order], rows["group_size"].to_numpy()[order]]
+    return pd.DataFrame([packed], columns=["shard", "sizes", "bits", "rest", "digests", "winners", "named", "counts"])
 
 
 def _probe(arrivals: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     """All groups of a shard: the index' slots, with what arrived for them, and the arrivals that aren't in it."""
-    new = _matrix(arrivals["digest"])
-    ids, sizes = arrivals["keep_id"].fillna(-1).astype("int64").to_numpy(), arrivals["group_size"].to_numpy().astype(np.int64)
+    new, (ids, named), sizes = _matrix(arrivals["digest"]), _ids(arrivals), arrivals["group_size"].to_numpy().astype(np.int64)
     if not len(index):
-        held, winners, counts, member = np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(new), bool)
+        held, winners, known, counts, member = np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(len(new), bool)
     else:
         r = index.iloc[0]
         held = np.frombuffer(r["digests"], np.uint8).reshape(-1, 32)
-        winners, counts = np.array(r["winners"], np.int64), np.array(r["counts"], np.int64)
+        winners, known, counts = np.array(r["winners"], np.int64), np.array(r["named"], bool), np.array(r["counts"], np.int64)
         bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(np.sum(r["sizes"]))).astype(bool)
         slot = slots(new, list(r["sizes"]), bits, np.frombuffer(r["rest"], np.uint8).reshape(-1, 32))
         member = slot >= 0
         member[member] = (held[slot[member]] == new[member]).all(axis=1)  # the bytes decide
         at = slot[member]  # arrivals are distinct, so no slot comes twice
-        winners[at], counts[at] = np.maximum(winners[at], ids[member]), counts[at] + sizes[member]
+        better = named[member] & (~known[at] | (ids[member] > winners[at]))
+        winners[at], known[at], counts[at] = np.where(better, ids[member], winners[at]), known[at] | named[member], counts[at] + sizes[member]
     digest = np.concatenate([held, new[~member]])
-    keep = pd.Series(np.concatenate([winners, ids[~member]]), dtype="Int64")
-    return pd.DataFrame({"digest": [d.tobytes() for d in digest], "keep_id": keep.where(keep != -1), "group_size": np.concatenate([counts, sizes[~member]])})
+    out = {"digest": [d.tobytes() for d in digest], "keep_id": np.concatenate([winners, ids[~member]]), "named": np.concatenate([known, named[~member]]), "group_size": np.concatenate([counts, sizes[~member]])}
+    return pd.DataFrame(out)
+
+
+def _sharded(groups: DataFrame, shards: int) -> DataFrame:
+    """With the shard of each digest; an id that is null is marked and becomes 0, so that ids stay whole numbers in pandas."""
+    shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
+    return groups.select("digest", F.coalesce("keep_id", F.lit(0).cast("long")).alias("keep_id"), F.col("keep_id").isNotNull().alias("named"), "group_size", shard)
 
 
 def build_index(history: DataFrame, shards: int) -> DataFrame:
     """One row a shard from (digest, keep_id, group_size) with distinct digests; save it with ``write.parquet``."""
-    shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
-    return history.select("*", shard).groupBy("shard").applyInPandas(_build, INDEX)
+    return _sharded(history, shards).groupBy("shard").applyInPandas(_build, INDEX)
 
 
 def merge_groups(arrivals: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """All groups after ``arrivals`` (distinct digests) have been looked up in ``index``; both sides go by shard."""
-    shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
-    return arrivals.select("*", shard).groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe, GROUPS)
+    groups = _sharded(arrivals, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe, GROUPS)
+    return groups.select("digest", F.when(F.col("named"), F.col("keep_id")).alias("keep_id"), "group_size")
 
 
 def exact_dedup(history: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Groups of equal texts over both tables (doc_id, text), found by indexing the one and probing it with the other.
 
     Returns one row per document of either table: doc_id, keep_id (largest doc_id of its group), group_size, kept,
-    text_sha256. Texts are equal when identical after lower-casing A-Z; null counts as empty. Ids are not negative; a
-    row with a null doc_id counts in group_size and is never kept if another row of its group has an id. Rows that
+    text_sha256. Texts are equal when identical after lower-casing A-Z; null counts as empty. Ids are any longs; a
+    row with a null doc_id counts in group_size and is kept only if no row of its group has an id. Rows that
     repeat a doc_id are counted and returned one by one. Either table may be empty.
 
     Only digests move: they are summed in each task before a shuffle, and the join that gives every document its
