@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marshlight.llm.common import doc_columns, mix64, span_hashes, stored, table, text_chunks, words
+from marshlight.llm.common import doc_columns, map_arrow, mix64, span_hashes, stored, table, text_chunks, words
 from marshlight.llm.components import components, tasks_for
 
 BUCKET_BITS, BUCKETS = 7, 128
@@ -21,6 +21,8 @@ SIMILARITY = 80
 ESTIMATED_SIZE, ESTIMATE = 256, 0.5
 #: Fixed bound on the ids that are broadcast to pick the texts to compare; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 300_000
+#: Pairs of a centre that go to one task with a copy of its text.
+MEMBERS = 4_096
 SKETCH = "doc_id long, n_shingles long, set1 long, set2 long, registers binary, bands array<long>"
 
 _PROBES = np.random.default_rng(7).integers(0, BUCKETS, size=(1024, BUCKETS))
@@ -149,38 +151,52 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _check(size: int, similarity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def parts(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in text_chunks(column):
-            values, sizes = shingles(data, offsets, size)
-            yield from np.split(values, np.cumsum(sizes)[:-1])
+    """From rows in order of (a, salt, b), where a null b stands before the others: b's that are similar to their a.
+
+    A centre's text comes once and its set is held while its members stream past.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(parts(batch.column("text_a")), parts(batch.column("text_b")), strict=True):
-                if len(y) < len(x):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                keep.append(both > 0 and 100 * both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for first, last, data, offsets in text_chunks(batch.column("text")):
+                values, sizes = shingles(data, offsets, size)
+                rows = batch.slice(first, last - first)
+                ends, links = np.cumsum(sizes).tolist(), []
+                for k, (a, b) in enumerate(zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True)):
+                    x = values[ends[k] - sizes[k] : ends[k]]
+                    if b is None:
+                        centre, own = a, x
+                    elif a == centre and len(x) and len(own):
+                        few, many = (x, own) if len(x) < len(own) else (own, x)
+                        both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                        if both and 100 * both >= similarity * (len(x) + len(own) - both):
+                            links.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
 def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: by sizes, by estimate, and last on the texts' whole sets."""
-    spark = pairs.sparkSession
+    """The pairs (a, b) whose sets are similar enough: by sizes, by estimate, and last on the texts' whole sets.
+
+    For the last step the texts go to their centre (a), each once for a pair as its b and each centre once for
+    ``MEMBERS`` of its pairs, so that no task gets all members of a large group.
+    """
     tasks = tasks_for(pairs, pairs.count())
     side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("registers").alias(f"registers_{k}"))
     sized = pairs.join(side("a"), "a").coalesce(tasks).join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    likely = stored(sized.coalesce(tasks).mapInArrow(_likely, "a long, b long"), "likely")
-    ids, n = _ids(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")), tasks)
+    likely = stored(map_arrow(sized.coalesce(tasks), _likely, "a long, b long"), "likely")
+    centres = likely.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts")).coalesce(tasks)
+    member = likely.join(centres, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), "b")
+    alone = centres.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+    roles = stored(member.unionByName(alone).coalesce(tasks), "roles")
+    n = roles.count()
     if n == 0:
-        return spark.createDataFrame([], "a long, b long")
-    texts = docs.join(ids, "doc_id", "left_semi")
-    text = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
-    checked = likely.join(text("a"), "a").coalesce(tasks).join(text("b"), "b").coalesce(tasks).mapInArrow(_check(size, similarity), "a long, b long")
-    return stored(checked.distinct().coalesce(tasks), "links")
+        return likely
+    texts = docs.join(F.broadcast(roles) if n <= BROADCAST_IDS else roles, "doc_id").select("a", "salt", "b", "text")
+    dealt = texts.repartition(tasks_for(roles, 8 * n), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return stored(map_arrow(dealt, _check(size, similarity), "a long, b long"), "links")
 
 
 def _ids(rows: DataFrame, tasks: int) -> tuple[DataFrame, int]:
@@ -219,8 +235,8 @@ def _prefixes(members: DataFrame, sketches: DataFrame, docs: DataFrame, size: in
     threshold can't all lack."""
     tasks = tasks_for(members, members.count())
     ids, n = _ids(members.select("doc_id"), tasks)
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).coalesce(tasks_for(members, 20 * n))
-    rows = texts.mapInArrow(_sets(size), "doc_id long, shingles array<long>").select("doc_id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    texts = docs.join(ids, "doc_id", "left_semi").coalesce(tasks_for(members, 20 * n))
+    rows = map_arrow(texts, _sets(size), "doc_id long, shingles array<long>").select("doc_id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
     rows = stored(rows, "shingles")
     wide = tasks_for(rows, rows.count())
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").coalesce(wide)
@@ -232,11 +248,17 @@ def _prefixes(members: DataFrame, sketches: DataFrame, docs: DataFrame, size: in
 
 
 def _with_origin(members: DataFrame, prefixes: DataFrame, tasks: int) -> DataFrame:
-    """(a, b): in each band the class with the most common shingles, with each class of another component."""
+    """(a, b): in each band the class with the most common shingles (a), with each class of another component."""
     rows = members.join(prefixes.select("doc_id", "common"), "doc_id").coalesce(tasks)
     origin = rows.groupBy("band").agg(F.max_by(F.struct("doc_id", "component"), F.struct("common", "doc_id")).alias("o")).coalesce(tasks)
     pairs = members.join(origin, "band").filter(F.col("component") != F.col("o.component"))
-    return pairs.select(F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
+    return pairs.select(F.col("o.doc_id").alias("a"), F.col("doc_id").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """The pairs that aren't in ``tried``, in whatever order their ends are there."""
+    known = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    return pairs.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
 
 
 def _shared_prefixes(members: DataFrame, similarity: int) -> DataFrame:
@@ -264,9 +286,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = S
 
     Returns per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links reach),
     kept (it is that one). Words are runs of bytes other than 0x20 and 0x09-0x0D after lower-casing A-Z; a text of
-    fewer words is one shingle; null, empty and blank texts have none and are linked with nothing. Rows that repeat a
-    doc_id count as one document; a row with a null doc_id takes its set's component and is kept if no other row has
-    its set. An empty table gives no rows.
+    fewer words is one shingle; null, empty and blank texts have none and are linked with nothing. Where doc_ids
+    repeat or are null every row is a document of its own: component_id is the smallest doc_id of its component (null
+    if there is none), and of each component one row of it is kept. An empty table gives no rows.
 
     Method. Equal sets are one class, represented by its smallest id. Classes that share a band of filled registers are
     candidates, and each class of a bucket is first compared with the bucket's smallest. Buckets whose other classes
@@ -277,11 +299,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = S
     on whole sets, larger ones first past the estimate.
     """
     docs = doc_columns(docs)
-    sketches = stored(docs.mapInArrow(_sketch(shingle_words), SKETCH), "sketches")
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        return _by_row(docs, shingle_words, similarity)
+    sketches = stored(map_arrow(docs, _sketch(shingle_words), SKETCH), "sketches")
     named = ["n_shingles", "set1", "set2"]
     classes = stored(sketches.filter("n_shingles > 0").groupBy(*named).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id"), *named)
-    own = stored(sketches.join(reps, ["doc_id", *named], "left_semi").dropDuplicates(["doc_id"]), "class-sketches")
+    own = stored(sketches.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "class-sketches")
     members = own.select("doc_id", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = stored(members.join(shared, "band"), "buckets")
@@ -295,15 +318,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: int = S
     if not left.isEmpty():
         tasks = tasks_for(left, left.count())
         prefixes = stored(_prefixes(left, own, docs, shingle_words, similarity), "prefixes")
-        origin = _with_origin(left, prefixes, tasks).join(pairs, ["a", "b"], "left_anti").coalesce(tasks)
-        more = stored(origin, "pairs")
+        more = stored(_untried(_with_origin(left, prefixes, tasks), pairs).coalesce(tasks), "pairs")
         labels, tried = _relabel(labels, compare(more)), pairs.unionByName(more)
         last = _shared_prefixes(_with_component(prefixes, labels).coalesce(tasks), similarity)
-        labels = _relabel(labels, compare(stored(last.join(tried, ["a", "b"], "left_anti").coalesce(tasks), "pairs")))
+        labels = _relabel(labels, compare(stored(_untried(last, tried).coalesce(tasks), "pairs")))
     component = labels.select(F.col("node").alias("rep"), "component")
     of_class = classes.join(component, "rep", "left").select(*named, F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", *named).join(of_class, named, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _by_row(docs: DataFrame, shingle_words: int, similarity: int) -> DataFrame:
+    """The groups of rows whose doc_ids don't tell them apart: rows are numbered, and named by their doc_ids again at the end."""
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), shingle_words, similarity)
+    members = stored(groups.withColumnsRenamed({"doc_id": "row", "component_id": "component"}).drop("kept").join(rows.select("row", "doc_id"), "row"), "row-groups")
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    joined = members.join(first, "component")
+    return joined.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
