@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marshlight.llm.common import table
+from marshlight.llm.common import free_name, map_arrow, stored, table
 
 WINDOW = 3
+#: Fixed bounds on the documents and places that are broadcast to cut lines.
+BROADCAST_DOCS, BROADCAST_PLACES = 300_000, 2_000_000
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -36,27 +39,29 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set("pos").alias("removed"))
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, removed = batch.column("text"), batch.column("removed")
-        out, lines_of, gone = [], [], []
-        for k in range(batch.num_rows):
-            text = texts[k].as_py()
-            lines = text.split("\n") if text is not None else []
-            lines_of.append(len(lines))
-            starts = removed[k].as_py()
-            if not starts or not lines:
-                out.append(text)
-                gone.append(0)
-                continue
-            covered = np.zeros(len(lines) + WINDOW, bool)
-            for shift in range(WINDOW):
-                covered[np.array(starts) + shift] = True
-            covered = covered[: len(lines)]
-            out.append("\n".join(line for line, c in zip(lines, covered.tolist(), strict=True) if not c))
-            gone.append(int(covered.sum()))
-        columns = {n: batch.column(n) for n in batch.schema.names if n != "removed"} | {"text": pa.array(out, pa.string()), "n_lines": pa.array(lines_of, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def _remove(marks: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cut the lines that the windows in the column ``marks`` cover; rows without any pass by as they are."""
+
+    def cut(text: str, starts: list[int]) -> tuple[str, int]:
+        lines = text.split("\n")
+        covered = np.zeros(len(lines) + WINDOW, bool)
+        for shift in range(WINDOW):
+            covered[np.array(starts) + shift] = True
+        return "\n".join(line for line, c in zip(lines, covered.tolist(), strict=False) if not c), int(covered[: len(lines)].sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            hit = pc.fill_null(pc.greater(pc.list_value_length(batch.column(marks)), 0), False)
+            new = [cut(t, s) for t, s in zip(texts.filter(hit).to_pylist(), batch.column(marks).filter(hit).to_pylist(), strict=True)]
+            gone = np.zeros(batch.num_rows, np.int64)
+            gone[hit.to_numpy(zero_copy_only=False)] = [n for _, n in new]
+            counted = pc.fill_null(pc.add(pc.count_substring(texts, "\n"), 1), 0).cast(pa.int64())
+            columns = {n: batch.column(n) for n in batch.schema.names if n != marks}
+            columns |= {"text": pc.replace_with_mask(texts, hit, pa.array([t for t, _ in new], texts.type)), "n_lines": counted, "n_removed": pa.array(gone)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -66,18 +71,22 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     identical. Of each window the occurrence with the smallest (doc_id, position) stays; the lines that the others
     cover are removed, overlapping windows together. Texts of fewer than three lines lose nothing. Null texts stay null
     (no lines); windows of empty lines only don't count; rows with a null doc_id stay as they are; rows that repeat a
-    doc_id count as one place. Columns called n_lines, n_removed or removed in ``docs`` are replaced.
+    doc_id count as one place. Columns called n_lines or n_removed in ``docs`` are replaced, all others stay.
 
     Only hashes and positions are shuffled to find the windows: each task keeps the smallest place of a window before
-    the shuffle, and the join back can be split where one window is in most documents.
+    the shuffle, and the join back can be split where one window is in most documents. What is to be removed is broadcast
+    while it is within fixed bounds, so that no text moves; beyond them the texts are joined by a shuffle.
     """
-    docs = docs.drop("n_lines", "n_removed", "removed")
-    removed = repeated_lines(docs).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(removed, docs["doc_id"] == removed["_doc"], "left").drop("_doc")
-    schema = joined.drop("removed").withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
+    docs = docs.drop("n_lines", "n_removed")
+    marks, key = free_name(docs, "removed"), free_name(docs, "removed_doc")
+    removed = stored(repeated_lines(docs).select(F.col("doc_id").alias(key), F.col("removed").alias(marks)), "removed-lines")
+    size = removed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(marks)), F.lit(0)).alias("places")).first()
+    small = size["rows"] <= BROADCAST_DOCS and size["places"] <= BROADCAST_PLACES
+    joined = docs.join(F.broadcast(removed) if small else removed, docs["doc_id"] == removed[key], "left").drop(key)
+    schema = joined.drop(marks).withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     for field in schema:
         field.nullable = True
-    return joined.mapInArrow(_remove, schema)
+    return map_arrow(joined, _remove(marks), schema)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
