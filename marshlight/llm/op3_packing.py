@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marshlight.llm.bpe import default_tokenizer, encoder
-from marshlight.llm.common import doc_columns, table, text_chunks
+from marshlight.llm.common import doc_columns, map_arrow, stored, table, text_chunks
 from marshlight.llm.op10_token_files import END_ID, with_end
 
 CAPACITY = 1024
 #: Pieces that one task packs; the sequences left open at its end are the loss, so larger shards pack tighter.
 DOCS_PER_SHARD = 16_384
+#: Equal rows that go to one shard together.
+COPIES = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
@@ -47,7 +49,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int) -> Callable[[Iterator[pa.Re
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """Each document's ids with the end id, cut into pieces of at most ``capacity`` ids; no shuffle."""
-    return doc_columns(docs).mapInArrow(_cut(tokenizer or default_tokenizer(), end_id, capacity), PIECES)
+    return map_arrow(doc_columns(docs), _cut(tokenizer or default_tokenizer(), end_id, capacity), PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +87,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def _pack(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        full = int((rows["length"] == capacity).sum())
-        bins, offsets = sum_of_squares(rows["length"].to_numpy()[full:], capacity)
-        rows["sequence_id"] = (shard << 32) + np.concatenate([np.arange(full), bins + full])
-        rows["offset"] = np.concatenate([np.zeros(full, np.int64), offsets])
-        return rows.drop(columns="shard")
+        rows = rows.loc[rows.index.repeat(rows["copies"])].sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
+        return rows.drop(columns=["shard", "copies"]).assign(sequence_id=(shard << 32) + bins, offset=offsets)
 
     return run
 
@@ -98,13 +97,19 @@ def _pack(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """Assign a sequence and an offset to every piece (columns of ``PIECES``); ``documents``: how many they come from.
 
-    Pieces are dealt to shards by a hash, so every shard has the corpus' mixture of lengths and no key is hot; each
-    shard packs its own pieces by sum of squares, longest first. A shard's size is fixed, so memory and time of a task
-    don't grow with the input. Sequence numbers are the shard's number and a running number.
+    A piece of full length is a sequence by itself (with a negative number). A document has one other piece at most;
+    these are dealt to shards by a hash, so every shard has the corpus' mixture of lengths and no key is hot; each
+    shard packs its own pieces by sum of squares, longest first. Equal rows are counted first and dealt in parts of
+    ``COPIES``. A shard's size is fixed, so memory and time of a task don't grow with the input. Other sequence
+    numbers are the shard's number and a running number.
     """
     shards = max(1, -(-documents // docs_per_shard))
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).alias("shard")
-    return pieces.select("*", shard).groupBy("shard").applyInPandas(_pack(capacity), PLACED)
+    full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    counted = pieces.filter(F.col("length") < capacity).groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+    copies = F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES).cast("int").alias("copies")
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "part"), F.lit(shards)).alias("shard")
+    return full.unionByName(parts.select(*pieces.columns, copies, shard).groupBy("shard").applyInPandas(_pack(capacity), PLACED))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
@@ -113,7 +118,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     Only documents of more than ``capacity`` ids are cut. Null and empty texts are the end id alone; rows with equal
     doc_id are packed one by one; an empty table gives no rows.
     """
-    return pack(token_pieces(docs, tokenizer, end_id, capacity), docs.count(), capacity, docs_per_shard)
+    pieces = stored(token_pieces(docs, tokenizer, end_id, capacity), "pieces")
+    return pack(pieces, docs.count(), capacity, docs_per_shard)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
