@@ -8,6 +8,8 @@ import uuid
 from collections import defaultdict
 from dataclasses import dataclass
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,12 +30,23 @@ class ConflictError(RuntimeError):
     """Another writer has committed the version meanwhile; read the new one and try again."""
 
 
+def merged_schema(old: T.StructType | None, new: T.StructType) -> T.StructType:
+    """The columns of both, all of them nullable; ``ValueError`` if one has two types."""
+    types: dict[str, T.DataType] = {}
+    for field in [*(old or []), *new]:
+        if types.setdefault(field.name, field.dataType) != field.dataType:
+            raise ValueError(f"column {field.name} is {types[field.name].simpleString()} in the store and {field.dataType.simpleString()} here")
+    return T.StructType([T.StructField(n, t, True) for n, t in types.items()])
+
+
 class ShardStore:
     """Shards under ``<path>/data`` and one manifest a version under ``<path>/manifests``.
 
-    A shard never changes. A version lists the live shards; it becomes visible when its finished file gets its name
-    by a rename that fails if the name is taken, so readers see the old version or the new one, and of two writers
-    one gets ``ConflictError``. Only file names and sizes pass through the driver, never rows. Compaction deletes
+    A shard never changes. A version lists the live shards and the columns of all shards so far: deliveries may bring new
+    columns, which are null in older rows, and may lack some; a column of another type is refused. A version becomes visible when its finished file gets its name, by a
+    link on a local file system and by a rename elsewhere. Both fail if the name is taken (on HDFS too; an object store
+    whose rename overwrites needs a store in front of it that doesn't), so readers see the old version or the new one, and
+    of two writers one gets ``ConflictError``. Only file names and sizes pass through the driver, never rows. Compaction deletes
     nothing, so earlier versions and tables read from them stay readable until ``vacuum`` deletes the shards that only
     they list, with files of jobs that died, which no manifest lists.
     """
@@ -67,11 +80,25 @@ class ShardStore:
         stream = self._fs.create(draft, False)
         stream.write(bytearray(json.dumps({"version": base + 1, "schema": schema.jsonValue(), "shards": [vars(s) for s in shards]}).encode()))
         stream.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
+        taken = not self._named(draft, final)
+        self._fs.delete(draft, False)
+        if taken:
             raise ConflictError(f"version {base + 1} of {self.path} is taken")
         return base + 1
 
+    def _named(self, draft: JavaObject, final: JavaObject) -> bool:
+        """Give a finished file its name; False if the name is taken."""
+        if self._fs.getScheme() != "file":
+            return not self._fs.exists(final) and self._fs.rename(draft, final)
+        java, path = self.spark._jvm.java, lambda p: self.spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:
+            java.nio.file.Files.createLink(path(final), path(draft))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     def _files(self, folder: str) -> list[Shard]:
         where, out = self._path(folder), []
         if self._fs.exists(where):
@@ -86,24 +113,27 @@ class ShardStore:
         """Write rows as new small shards, as they lie in their partitions (no shuffle), and commit them."""
         base = self.version()
         shards, schema = self.manifest(base)
+        merged_schema(schema, rows.schema)  # refused before anything is written
         folder = f"{self.path}/data/append-{uuid.uuid4().hex}"
         rows.write.parquet(folder)
-        return self._commit(base, shards + self._files(folder), schema or rows.schema)
+        return self._commit(base, shards + self._files(folder), merged_schema(schema, rows.schema))
 
     def append_arrivals(self, rows: DataFrame, arrival: F.Column, compact: bool = True) -> int:
         """Append several arrivals that come in one table: one pass writes them apart, then each gets a version of its own,
         in the order of their numbers, followed by the compaction that it makes due."""
         rows = rows.drop(_COLUMN)
+        schema = merged_schema(self.manifest()[1], rows.schema)
         folder = f"{self.path}/data/append-{uuid.uuid4().hex}"
         rows.withColumn(_COLUMN, arrival.cast("int")).write.partitionBy(_COLUMN).parquet(folder)
         by_arrival: dict[str, list[Shard]] = defaultdict(list)
         for shard in self._files(folder):
             by_arrival[shard.path.rsplit("/", 2)[1]].append(shard)
         if not by_arrival:
-            return self._commit(self.version(), self.manifest()[0], rows.schema)
+            return self._commit(self.version(), self.manifest()[0], schema)
         for key in sorted(by_arrival):
             base = self.version()
-            self._commit(base, self.manifest(base)[0] + by_arrival[key], rows.schema)
+            shards, known = self.manifest(base)
+            self._commit(base, shards + by_arrival[key], merged_schema(known, schema))
             while compact and self.compact():
                 pass
         return self.version()
