@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marshlight.llm.bpe import default_tokenizer, encoder
-from marshlight.llm.common import doc_columns, parallelism, scratch_dir, table, text_chunks
+from marshlight.llm.common import doc_columns, map_arrow, parallelism, scratch_dir, table, text_chunks
 
 END_ID = 2
+#: Bytes of text that a file holds at least and at most, about.
+SMALL_FILE, LARGE_FILE = 8 << 20, 256 << 20
 SCHEMA = "doc_id long, n_tokens long, start_in_file long, ids array<int>"
 
 
@@ -39,6 +41,12 @@ def _encode(tokenizer: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
+def files_for(docs: DataFrame) -> int:
+    """Files for these texts: as many as the session shuffles to, unless they would be small or large ones."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(min(parallelism(docs.sparkSession), -(-size // SMALL_FILE)), -(-size // LARGE_FILE), 1)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, files: int | None = None, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000) -> None:
     """Encode ``docs`` (doc_id, text) and write them in ascending doc_id order, one file per range of ids.
 
@@ -48,11 +56,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     delta-encoded (format version 2, no dictionary). Row groups and pages are held small and Parquet's column and
     offset indexes are written, so a filter on doc_id reads few pages, and a reader of the number columns reads no ids.
     Null text counts as empty (the end id alone); rows with a null doc_id come first; rows with equal doc_id are
-    ordered by a hash of their text; an empty table gives an empty folder with the schema.
+    ordered by a hash of their text; an empty table gives an empty folder with the schema. The number of files follows from
+    the texts' bytes where ``files`` doesn't say it.
     """
-    tie = F.xxhash64("text")
-    ordered = doc_columns(docs).repartitionByRange(files or parallelism(docs.sparkSession), "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    out = ordered.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), SCHEMA)
+    docs, tie = doc_columns(docs), F.xxhash64("text")
+    ordered = docs.repartitionByRange(files or files_for(docs), "doc_id", tie).sortWithinPartitions("doc_id", tie)
+    out = map_arrow(ordered, _encode(tokenizer or default_tokenizer(), end_id), SCHEMA)
     writer = out.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
     writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows)
     for column in ("doc_id", "n_tokens", "start_in_file"):
@@ -63,24 +72,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The written documents with ``start``: the ids of all documents before each, over all files.
 
-    File totals come from the number columns alone; the running total over files has one row a file.
+    File totals come from the number columns alone; the window that runs over the files has one row a file.
     """
     rows = spark.read.schema(SCHEMA).parquet(path).withColumn("part", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int"))
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.struct("part", "n").alias("file"))
-    before = totals.agg(F.array_sort(F.collect_list("file")).alias("files")).select(F.explode(_running("files")).alias("f")).select("f.part", "f.before")
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
-def _running(column: str) -> F.Column:
-    """From an array of (part, n), ascending: (part, sum of n before it). One element a file."""
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<part:int,before:bigint>>").alias("out"))
-    return F.aggregate(
-        F.col(column), start,
-        lambda acc, f: F.struct((acc["sum"] + f["n"]).alias("sum"), F.concat(acc["out"], F.array(F.struct(f["part"].alias("part"), acc["sum"].alias("before")))).alias("out")),
-        lambda acc: acc["out"],
-    )
-
-
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")
@@ -94,4 +93,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the token files of all documents and return what reading them back gives, per document."""
     path = scratch_dir(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
-    return read_token_files(spark, path).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(read_token_files(spark, path), _crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
