@@ -6,14 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marshlight.llm.common import doc_columns, table, text_chunks
+from marshlight.llm.common import doc_columns, map_arrow, stored, table, text_chunks
 
-#: Most labelled documents that a classifier is fitted on: those of the smallest hashes of doc_id. A fixed bound.
-TRAINING_DOCS = 6_000
+#: Most labelled documents that a classifier is fitted on, and most bytes of their texts together: those of the smallest
+#: hashes of doc_id. Texts of over a 64th of these bytes aren't fitted on. Fixed bounds; only the fit is bounded.
+TRAINING_DOCS, TRAINING_BYTES = 6_000, 24 << 20
+_SAMPLE_FILES = 24
 
 
 def fold(folds: int) -> F.Column:
@@ -21,15 +23,22 @@ def fold(folds: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
 
 
-def training_sample(spark: SparkSession, sf_dir: str, label: str, folds: int, held_out: int, most: int = TRAINING_DOCS) -> DataFrame:
-    """(doc_id, text, y) of at most ``most`` labelled documents outside the held-out fold.
+def training_sample(spark: SparkSession, sf_dir: str, label: str, folds: int, held_out: int, most: int = TRAINING_DOCS, most_bytes: int = TRAINING_BYTES) -> DataFrame:
+    """(doc_id, text, y) of labelled documents outside the held-out fold, within both bounds, written to the shared folder.
 
-    Their ids are picked from the labels alone, so the texts are filtered by a small table whose size is bounded.
+    Ids are picked from the labels alone, so the texts are filtered by a small table whose size is bounded. Of labels or
+    rows that repeat a doc_id the largest count, and a null text is empty.
     """
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("y"))
-    labels = labels.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(folds) != held_out))
-    picked = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    return doc_columns(table(spark, sf_dir, "documents")).join(F.broadcast(picked), "doc_id")
+    labels = labels.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(folds) != held_out)).groupBy("doc_id").agg(F.max("y").alias("y"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    picked = labels.orderBy(*order).limit(most)
+    rows = doc_columns(table(spark, sf_dir, "documents")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).withColumn("bytes", F.octet_length("text"))
+    rows = stored(rows.filter(F.col("bytes") <= most_bytes // 64).repartition(_SAMPLE_FILES, "doc_id"), "sample")
+    total = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over ``most`` rows
+    within = rows.select("doc_id", total.alias("total")).filter(F.col("total") <= most_bytes).select("doc_id")
+    return rows.join(F.broadcast(within), "doc_id", "left_semi").select("doc_id", "text", "y")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -50,8 +59,8 @@ def calibrate(scores: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[flo
     return float(w[0]), float(w[1])
 
 
-def append_score(docs: DataFrame, scorer: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], keep: list[str], chunk_bytes: int = 1 << 20) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and a score of each whole text, without a shuffle.
+def append_score(docs: DataFrame, scorer: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], keep: list[str], chunk_bytes: int = 512 << 10, name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and, as ``name``, a score of each whole text, without a shuffle.
 
     ``scorer`` is called once a task and gives a function of (bytes, row offsets) of some texts. Null counts as empty.
     """
@@ -63,7 +72,7 @@ def append_score(docs: DataFrame, scorer: Callable[[], Callable[[np.ndarray, np.
         for batch in batches:
             for first, last, data, offsets in text_chunks(batch.column(names.index("text")), chunk_bytes):
                 columns = [batch.column(names.index(c)).slice(first, last - first) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score(data, offsets).astype(np.float64))], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(score(data, offsets).astype(np.float64))], names=[*keep, name])
 
     fields = [T.StructField(c, rows.schema[c].dataType, True) for c in keep]
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    return map_arrow(rows, run, T.StructType([*fields, T.StructField(name, T.DoubleType())]))

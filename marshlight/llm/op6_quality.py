@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marshlight.llm.common import mix64, span_hashes, table, text_chunks, words
+from marshlight.llm.common import map_arrow, mix64, span_hashes, table, text_chunks, words
 from marshlight.llm.learning import append_score, fold, sigmoid, training_sample
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -141,7 +141,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(spark: SparkSession, sf_dir: str) -> Attention:
     """Train on the bounded labelled sample; the passages are encoded in Spark's tasks."""
-    bags = training_sample(spark, sf_dir, "quality", FOLDS, HELD_OUT, BAGS).mapInArrow(_bags, "doc_id long, y int, x array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    bags = map_arrow(training_sample(spark, sf_dir, "quality", FOLDS, HELD_OUT, BAGS), _bags, "doc_id long, y int, x array<float>").toArrow().sort_by("doc_id").combine_chunks()
     if not bags.num_rows:
         return train(np.zeros((0, FEATURES)), np.zeros(0, np.int64), np.zeros(0))
     lists = bags.column("x").combine_chunks()
@@ -149,13 +149,13 @@ def fit(spark: SparkSession, sf_dir: str) -> Attention:
     return train(lists.flatten().to_numpy().astype(np.float64).reshape(-1, FEATURES), sizes, bags.column("y").to_numpy().astype(float))
 
 
-def score(docs: DataFrame, net: Attention, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and a score: 0 to 1, from all passages of the whole text.
+def score(docs: DataFrame, net: Attention, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and, as ``name``, a score: 0 to 1, from all passages of the whole text.
 
-    Null, empty and blank texts are one passage of zeros. No shuffle; the network is small and goes with the tasks. A
-    column called score must not be in ``keep``.
+    Null, empty and blank texts are one passage of zeros. No shuffle; the network is small and goes with the tasks. ``name``
+    must not be in ``keep``.
     """
-    return append_score(docs, lambda: lambda data, offsets: net.forward(*passages(data, offsets))[0], list(keep))
+    return append_score(docs, lambda: lambda data, offsets: net.forward(*passages(data, offsets))[0], list(keep), name=name)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
