@@ -3,8 +3,8 @@
 A document passes the first two stages unless the classifier rejects it (score under 0.3 for quality, 0.3 and more for
 toxicity). Line dedup removes repeated three-line windows; documents of which nothing but empty lines is left by that go.
 Of each group of near duplicates (five-word shingles, similarity 0.8) one row stays, of the smallest doc_id that isn't null. Nulls,
-empty texts, repeated rows and empty tables are handled as the operators' docstrings say; all stages but the last
-return the columns of ``documents``, whatever further ones a table has.
+empty texts, repeated rows and empty tables are handled as the operators' docstrings say. A table needs doc_id and text;
+all its other columns, whatever their names, go through all stages but the last, and n_chars follows the text where it is there.
 """
 
 from __future__ import annotations
@@ -15,36 +15,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marshlight.llm import op1_line_dedup, op2_near_dedup, op3_packing, op5_toxicity, op6_quality
-from marshlight.llm.common import stored, table
+from marshlight.llm.common import free_name, stored, table
 from marshlight.session import ship_package
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = op6_quality.score(docs, op6_quality.fit(spark, sf_dir), COLUMNS)
-    return scored.filter(F.col("score") >= op6_quality.THRESHOLD).drop("score")
+    name = free_name(docs, "score")
+    scored = op6_quality.score(docs, op6_quality.fit(spark, sf_dir), tuple(docs.columns), name)
+    return scored.filter(F.col(name) >= op6_quality.THRESHOLD).drop(name)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = op5_toxicity.score(docs, op5_toxicity.fit(spark, sf_dir), COLUMNS)
-    return scored.filter(F.col("score") < op5_toxicity.THRESHOLD).drop("score")
+    name = free_name(docs, "score")
+    scored = op5_toxicity.score(docs, op5_toxicity.fit(spark, sf_dir), tuple(docs.columns), name)
+    return scored.filter(F.col(name) < op5_toxicity.THRESHOLD).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = op1_line_dedup.line_dedup(docs.select(*COLUMNS))
+    own = {c: free_name(docs, f"own_{c}") for c in ("n_lines", "n_removed") if c in docs.columns}  # the operator's have these names
+    cleaned = op1_line_dedup.line_dedup(docs.withColumnsRenamed(own))
     emptied = (F.col("n_removed") > 0) & (F.length(F.translate("text", "\n", "")) == 0)
-    return cleaned.filter(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    left = cleaned.filter(~F.coalesce(emptied, F.lit(False))).drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in own.items()})
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = stored(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "rows")  # doc_id may repeat or be null
-    groups = op2_near_dedup.near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text"), shingle_words=5)
-    members = stored(groups.select(F.col("doc_id").alias("row_id"), "component_id").join(rows.select("row_id", "doc_id"), "row_id"), "members")
+    row = free_name(docs, "row_id")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # doc_id may repeat or be null
+    groups = op2_near_dedup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), shingle_words=5)
+    members = groups.select(F.col("doc_id").alias("row_id"), "component_id").join(rows.select(F.col(row).alias("row_id"), "doc_id"), "row_id")
+    members = stored(members, "members")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("first"))
-    gone = stored(members.join(first, "component_id").filter("row_id <> first.row_id").select("row_id"), "dropped")
+    gone = stored(members.join(first, "component_id").filter("row_id <> first.row_id").select(F.col("row_id").alias(row)), "dropped")
     small = gone.count() <= op2_near_dedup.BROADCAST_IDS
-    return rows.join(F.broadcast(gone) if small else gone, "row_id", "left_anti").select(*COLUMNS)
+    return rows.join(F.broadcast(gone) if small else gone, row, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("near_dedup", near_dedup),
     ("packing", packing),
 ]
-#: The classifiers, the sketches and the tokenizer can't be written in SQL; the tests hold a brute-force version against it.
+#: The classifiers, the sketches and the tokenizer can't be written in SQL; a test holds a plain version of all stages against run().
 ORACLE_SQL = None
 
 

@@ -64,12 +64,37 @@ def test_near_families(spark, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_near_query(spark, tmp_path):
+    """The registered query on long texts near the threshold, where the estimate drops pairs, against brute force."""
+    random.seed(21)
+    vocabulary, texts, n = [f"w{i}" for i in range(9000)], {}, 0
+    for _ in range(5):
+        base = random.choices(vocabulary, k=random.choice([300, 800, 2000]))
+        for share in (0, 0.02, 0.05, 0.06, 0.08, 0.1, 0.11, 0.12, 0.13, 0.2, 0.4):
+            texts[n] = " ".join(random.choice(vocabulary) if random.random() < share else w for w in base)
+            n += 1
+    texts |= {n + k: t for k, t in enumerate(["", None, "one", "ONE", "Two words", "two  words"])}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = near.op2_near_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == near_brute(texts, 2)
+
+
+def test_near_hub(spark, monkeypatch):
+    """A centre whose members are dealt to several tasks."""
+    monkeypatch.setattr(near, "MEMBERS", 7)
+    random.seed(22)
+    base = random.choices([f"w{i}" for i in range(500)], k=80)
+    texts = {0: " ".join(base)} | {i: " ".join(base[:-1] + [f"v{i}"]) for i in range(1, 90)}
+    rows = near.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == near_brute(texts, 5)
+
+
 def test_near_edges(spark, docs, no_docs):
     rows = defaultdict(list)
     for r in near.near_duplicates(docs, shingle_words=2).collect():
         rows[r.doc_id].append(r)
     assert [(r.n_shingles, r.component_id, r.kept) for i in (1, 2, 3) for r in rows[i]] == [(0, i, True) for i in (1, 2, 3)]
-    assert [r.component_id for i in (4, 5, 6, 7) for r in rows[i]] == [4] * 5
+    assert [(r.component_id, r.kept) for i in (4, 5, 6, 7) for r in rows[i]] == [(4, True)] + [(4, False)] * 4
     assert [(r.component_id, r.kept) for r in rows[None]] == [(4, False)]
     assert rows[8][0].n_shingles == 1 and rows[8][0].component_id == 8
     assert near.near_duplicates(no_docs).count() == 0
@@ -107,17 +132,37 @@ def exact_brute(rows):
     groups = defaultdict(list)
     for i, t in rows:
         groups[(t or "").translate(LOWER)].append(i)
-    return sorted((i or -1, max((x for x in ids if x is not None), default=-1), len(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids)
+    return sorted((str(i), str(max((x for x in ids if x is not None), default=None)), len(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids)
 
 
 @pytest.mark.parametrize("split", ["doc_id % 2 = 0", "doc_id < 5", "1 = 0", "1 = 1"])
 def test_exact(spark, docs, split):
     mine = F.coalesce(F.expr(split), F.lit(False))
     rows = exact.exact_dedup(docs.filter(mine), docs.filter(~mine)).collect()
-    assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.text_sha256) for r in rows) == exact_brute([r[:2] for r in ROWS])
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in rows) == exact_brute([r[:2] for r in ROWS])
     assert all(r.kept == (r.doc_id == r.keep_id) for r in rows)
 
 
+def test_exact_of_any_ids(spark):
+    """Negative ids, ids beyond the whole numbers of a double, zero and null, on both sides of the index."""
+    big = 2**62 + 1
+    rows = [(-1, "a"), (-3, "A"), (None, "a"), (big, "b"), (big - 1, "b"), (None, "c"), (None, "c"), (0, "d"), (None, "d"), (-5, "e"), (-(2**63), "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for split in ("doc_id in (-1, 0)", "doc_id is null", "doc_id < 0", "doc_id % 2 = 0"):
+        mine = F.coalesce(F.expr(split), F.lit(False))
+        got = exact.exact_dedup(docs.filter(mine), docs.filter(~mine)).collect()
+        assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == exact_brute(rows), split
+        assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
+def test_exact_query(spark, tmp_path):
+    random.seed(8)
+    rows = [(i, random.choice(["x", "X", "y z", "", None, f"own {i}"])) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = exact.op7_exact_dedup(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == exact_brute(rows)
+
+
 def test_exact_empty(spark, no_docs):
     assert exact.exact_dedup(no_docs, no_docs).count() == 0
 
@@ -154,8 +199,17 @@ def test_lines_random(spark):
     assert sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == lines_brute(rows)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_lines_by_broadcast_and_by_shuffle(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(lines, "BROADCAST_PLACES", most)
+    rows = [r for r in lines.line_dedup(docs.filter("doc_id in (4, 5, 7)")).collect()]
+    assert sorted((r.doc_id, r.n_removed) for r in rows) == [(4, 0), (5, 4), (5, 4), (7, 4)]
+
+
 def test_lines_edges(spark, docs, no_docs):
+    docs = docs.withColumns({"removed_doc": F.lit("mine"), "_removed": F.lit("too")})
     rows = lines.line_dedup(docs).collect()
+    assert all((r["removed"], r["_removed"], r["removed_doc"]) == (1, "too", "mine") for r in rows)
     by_id = defaultdict(list)
     for r in rows:
         by_id[r.doc_id].append(r)

@@ -16,7 +16,7 @@ from marshlight.llm import op3_packing as packing
 from marshlight.llm import op9_bpe as bpe_queries
 from marshlight.llm import op10_token_files as files
 from marshlight.llm.bpe import Encoder, Lexicon, _classes, default_tokenizer, vocabulary
-from marshlight.llm.common import scratch_dir, text_chunks
+from marshlight.llm.common import padded, same_spans, scratch_dir, span_hashes, text_chunks
 
 from llm_cases import ROWS
 
@@ -143,6 +143,65 @@ def test_packing(spark, docs, no_docs, library):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_packing_of_copies(spark):
+    """Ties across shards: equal rows and rows without an id are dealt in parts, and full pieces stand alone."""
+    rows = [(None, "same words here")] * 3000 + [(5, "same words here")] * 700 + [(6, "a b c d e f g h i j " * 8)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(docs, capacity=16, docs_per_shard=64).collect()
+    by_sequence = defaultdict(list)
+    for r in got:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for own in by_sequence.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(own)]).tolist()]
+        assert [o for o, _ in sorted(own)] == ends[:-1] and ends[-1] <= 16
+    assert sum(r.doc_id is None for r in got) == 3000 and sum(r.doc_id == 5 for r in got) == 700
+    assert all(len(by_sequence[r.sequence_id]) == 1 and r.offset == 0 for r in got if r.length == 16)
+    assert len(by_sequence) <= 1.1 * sum(r.length for r in got) / 16 + 64
+
+
+def test_packing_query(spark, docs, library, tmp_path):
+    texts = {r[0]: r[1] for r in ROWS if r[0] is not None}
+    docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(f"{tmp_path}/documents.parquet")
+    check_packing(packing.op3_packing(spark, str(tmp_path)).collect(), texts, library, 1024)
+
+
+def test_token_files_query(spark, docs, library, tmp_path):
+    docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(f"{tmp_path}/documents.parquet")
+    texts, at = {r[0]: r[1] for r in ROWS if r[0] is not None}, 0
+    for r in sorted(files.op10_token_files(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), r.doc_id
+        at += len(ids)
+
+
+def test_words_with_one_hash(library, monkeypatch):
+    """Different words that share a hash still get their own ids: the bytes decide."""
+    from marshlight.llm import bpe
+
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, ends: ((ends - starts) % 3).astype(np.uint64))
+    texts = tricky(300, 9)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encode_all(Encoder(default_tokenizer()), texts) == want
+    lexicon = bpe_queries.build_lexicon([b" s", b"'s", b"aa", b"ll"], default_tokenizer())
+    assert encode_all(Encoder(default_tokenizer(), lexicon), texts) == want
+
+
+def test_spans():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 3000, 300))
+    ends = starts + rng.integers(1, 40, 300)
+    ends[::50] += 600
+    spans = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    hashes = span_hashes(data, starts, ends)
+    assert len(set(hashes.tolist())) == len(set(spans)) and len({(h, s) for h, s in zip(hashes.tolist(), spans, strict=True)}) == len(set(spans))
+    twin = np.random.default_rng(3).permutation(300)
+    same = (ends - starts) == (ends - starts)[twin]
+    a, b = np.arange(300)[same], twin[same]
+    got = same_spans(padded(data), starts[a], padded(data), starts[b], (ends - starts)[a])
+    assert got.tolist() == [spans[i] == spans[j] for i, j in zip(a, b, strict=True)]
+
+
 def test_packing_is_tight():
     random.seed(5)
     lengths = np.array(sorted((random.randint(1, 1023) for _ in range(4000)), reverse=True))
