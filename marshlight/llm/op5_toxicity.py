@@ -19,7 +19,7 @@ FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Subsequences of 3, 4 and 5 symbols whose span is at most 5, 6 and 6: so many inserted symbols are forgiven.
 ORDERS = {3: 5, 4: 6, 5: 6}
 DECAY = 0.5
-LANDMARKS, HARD_NEGATIVES, ROUNDS = 160, 12_000, 4
+LANDMARKS, HARD_NEGATIVES, ROUNDS = 160, 12_000, 3
 #: Lengths of the runs of symbols whose odds begin the training; those of one length may go on from word to word.
 RUNS, PHRASE_RUN = (4, 6, 8, 12), 12
 #: Units that landmarks are chosen from, and units that one step of the arithmetic holds: fixed, so memory is bounded.
@@ -38,6 +38,8 @@ JOINED_WORDS, SHORT = (3, 4), 3
 WORST, OTHERS = 3, 2
 #: Log odds of being in toxic texts that make further words of a toxic text witnesses.
 STRONG, SMOOTH = 4.0, 3
+#: Most runs whose odds are known, and the odds of any other.
+KNOWN_RUNS, UNKNOWN = 200_000, -5.0
 #: The symbol between words and at both ends of a text.
 MARK = 2
 _PATTERNS = [(0, *rest) for n, span in ORDERS.items() for rest in itertools.combinations(range(1, span), n - 1)]
@@ -48,7 +50,7 @@ _PREFIXES = sorted({p[:k] for p in _PATTERNS for k in range(2, len(p) + 1)}, key
 _COMPLETE = set(_PATTERNS)
 #: Units of the training are cut to so many symbols: of the longest words the first are enough to tell what they are.
 LONGEST = 64
-_SLOT_BITS, _TABLE_BITS = 20, 17
+_TABLE_BITS = 17
 _SHIFTS = (64 - _TABLE_BITS, 64 - 2 * _TABLE_BITS)
 _lower: list[np.ndarray] = []
 
@@ -217,33 +219,38 @@ class Weights:
         return at[hit], value[hit]
 
 
-@dataclass
 class Guess:
-    """What is known before the first model: the log odds of runs of some symbols of being in toxic texts, in a hashed table of a fixed size."""
+    """What is known before the first model: the log odds of some runs of symbols of being in toxic texts."""
 
-    odds: np.ndarray
+    def __init__(self, keys: np.ndarray, odds: np.ndarray):
+        self.keys, self.odds, self.table = keys, odds, Weights(keys, odds)
 
-    @staticmethod
-    def slots(symbols: np.ndarray, length: int) -> np.ndarray:
-        base = mix64(symbols.astype(np.uint64) + np.uint64(1))
-        n = max(len(base) - length + 1, 0)
-        key = np.full(n, length, np.uint64)
-        for k in range(length):
-            key = key * _MULTIPLIERS[0] + base[k : k + n]
-        return (mix64(key) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+    def __reduce__(self) -> tuple:
+        return Guess, (self.keys, self.odds)
 
     def values(self, u: Units) -> np.ndarray:
         """Of each unit the largest odds of its runs."""
-        if not len(u.begin):
-            return np.zeros(0)
-        out = np.full(len(u.begin), -20.0)
-        for length in RUNS:
-            x = np.append(self.odds[self.slots(u.symbols, length)], np.full(length + 1, -20.0))
+        out = np.full(len(u.begin), UNKNOWN)
+        for length in RUNS if len(out) else ():
+            key = run_keys(u.symbols, length)
+            x = np.full(len(u.symbols) + 1, UNKNOWN)
+            at, value = self.table.find(key)
+            x[at] = value
             bounds = np.stack([u.begin, np.maximum(u.end - length + 1, u.begin + 1)], 1).reshape(-1)
-            out = np.maximum(out, np.where(u.end - u.begin >= length, np.maximum.reduceat(x, bounds)[::2], -20.0))
+            out = np.maximum(out, np.where(u.end - u.begin >= length, np.maximum.reduceat(x, bounds)[::2], UNKNOWN))
         return out
 
 
+def run_keys(symbols: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit key of the run of so many symbols from each place on."""
+    base = mix64(symbols.astype(np.uint64) + np.uint64(1))
+    n = max(len(base) - length + 1, 0)
+    key = np.full(n, length, np.uint64)
+    for k in range(length):
+        key = key * _MULTIPLIERS[0] + base[k : k + n]
+    return mix64(key)
+
+
 class Model:
     """The SVM's decision function. Nystroem features of a unit are linear in its kernel values with the landmarks, and
     those are linear in its subsequences, so the trained weights fold into one number a subsequence: the decision is
@@ -333,28 +340,50 @@ class Model:
         return sigmoid(self.slope * decision + self.shift)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slot, toxic, clean): of each run of symbols the numbers of toxic and clean texts that have it."""
-    for batch in batches:
-        counts = np.zeros((2, 1 << _SLOT_BITS), np.int32)
-        y = batch.column("y").to_numpy()
-        for first, last, data, offsets in text_chunks(batch.column("text"), CHUNK):
-            u, label = units(data, offsets), y[first:last]
-            if not u.is_word.any():
-                continue
-            heads = np.flatnonzero(np.append(True, u.text[u.is_word][1:] != u.text[u.is_word][:-1]))  # the first words of texts
-            begin, text = u.begin[heads], u.text[heads]
-            end, marks = u.end[np.append(heads[1:], u.is_word.sum()) - 1], np.append(0, np.cumsum(u.symbols == MARK))
-            for length in RUNS:
-                many = np.maximum(end - begin - length + 1, 0)
-                place, owner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many), np.repeat(text, many)
-                if length < PHRASE_RUN:
-                    within = marks[place + length - 1] == marks[place + 1]
-                    place, owner = place[within], owner[within]
-                pair = np.unique(owner << _SLOT_BITS | Guess.slots(u.symbols, length)[place])
-                np.add.at(counts, (1 - label[pair >> _SLOT_BITS], pair & ((1 << _SLOT_BITS) - 1)), 1)
-        held = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[0][held], pa.int64()), pa.array(counts[1][held], pa.int64())], names=["slot", "toxic", "clean"])
+def _runs(of: int, known: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(run, n): in how many texts with the label ``of`` a run of symbols is, summed by chunk; only the runs ``known`` (ascending) if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.filter(pa.array(batch.column("y").to_numpy() == of))
+            for _, _, data, offsets in text_chunks(own.column("text"), CHUNK):
+                u, found = units(data, offsets), []
+                if not u.is_word.any():
+                    continue
+                heads = np.flatnonzero(np.append(True, u.text[u.is_word][1:] != u.text[u.is_word][:-1]))  # the first words of texts
+                begin, text = u.begin[heads], u.text[heads].astype(np.uint64)
+                end, marks = u.end[np.append(heads[1:], u.is_word.sum()) - 1], np.append(0, np.cumsum(u.symbols == MARK))
+                for length in RUNS:
+                    many = np.maximum(end - begin - length + 1, 0)
+                    place, owner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many), np.repeat(text, many)
+                    if length < PHRASE_RUN:
+                        within = marks[place + length - 1] == marks[place + 1]
+                        place, owner = place[within], owner[within]
+                    key = run_keys(u.symbols, length)[place]
+                    if known is not None:
+                        held = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+                        key, owner = key[held], owner[held]
+                    _, once = np.unique(mix64(key + owner * np.uint64(0x9E3779B97F4A7C15)), return_index=True)  # once a text
+                    found.append(key[once])
+                keys, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["run", "n"])
+
+    return run
+
+
+def _odds(run: Callable, texts: int, ratio: float) -> Guess:
+    """Odds of the runs that are in two toxic texts at least, the most frequent ``KNOWN_RUNS`` of them. Fewer show nothing."""
+    if not texts:
+        return Guess(np.zeros(0, np.uint64), np.zeros(0))
+    toxic = run(_runs(1), "run long, n long", 2)
+    keys, n = toxic.column("run").to_numpy().view(np.uint64), toxic.column("n").to_numpy()
+    keys, n = (x[np.lexsort((keys, -n))[:KNOWN_RUNS]] for x in (keys, n))
+    keys, n = (x[np.argsort(keys)] for x in (keys, n))
+    clean = np.zeros(len(keys))
+    if len(keys):
+        others = run(_runs(0, keys), "run long, n long", 1)
+        clean[np.searchsorted(keys, others.column("run").to_numpy().view(np.uint64))] = others.column("n").to_numpy()
+    return Guess(keys, np.log((ratio * n + 0.5) / (clean + SMOOTH)))
 
 
 def _candidates(guess: Guess, model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -478,8 +507,9 @@ class _Found:
         return unit_matrix(np.frombuffer(b"".join(keys), np.uint32), end - [len(k) // 4 for k in keys], end)
 
 
-def train(run: Callable[[Callable, str], pa.Table], landmarks: int = LANDMARKS) -> Model:
-    """Fit on labelled texts (text, y), which stay where they are: ``run(step, schema)`` gives the rows of a step over them.
+def train(run: Callable[..., pa.Table], landmarks: int = LANDMARKS) -> Model:
+    """Fit on labelled texts (text, y), which stay where they are: ``run(step, schema)`` gives the rows of a step over them,
+    and ``run(step, schema, least)`` the sums n of each run that are ``least`` or more.
 
     A label says only that some sentence of the text is toxic: every unit of a clean text is clean, and of a toxic text
     the unit that decides (its witness) is chosen anew in each round, with the words whose odds are strong. What comes
@@ -490,10 +520,7 @@ def train(run: Callable[[Callable, str], pa.Table], landmarks: int = LANDMARKS)
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 1.0, float(np.log(p / (1 - p))))
     ratio = max(int((y == 0).sum()), 1) / max(int(y.sum()), 1)
-    counts = run(_runs, "slot long, toxic long, clean long")
-    slot = counts.column("slot").to_numpy()
-    toxic, clean = (np.bincount(slot, weights=counts.column(c).to_numpy(), minlength=1 << _SLOT_BITS) for c in ("toxic", "clean"))
-    guess, model, found = Guess(np.log((ratio * toxic + 0.5) / (clean + SMOOTH))), None, _Found()
+    guess, model, found = _odds(run, len(y), ratio), None, _Found()
     for _ in range(ROUNDS):
         found.add(run(_candidates(guess, model), "kind int, unit array<int>"))
         witness = sorted(found.votes, key=lambda k: (-found.votes[k], k))
@@ -535,7 +562,15 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(spark: SparkSession, sf_dir: str) -> Model:
     """Train on the bounded labelled sample, which is written once and read by every round's tasks."""
     sample = training_sample(spark, sf_dir, "toxic", FOLDS, HELD_OUT).select("text", "y")
-    return train(lambda step, schema: map_arrow(sample, step, schema).toArrow())
+
+    def run(step: Callable, schema: str, least: int | None = None) -> pa.Table:
+        rows = map_arrow(sample, step, schema)
+        if least is not None:
+            rows = rows.groupBy("run").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            rows = rows.orderBy(F.desc("n"), "run").limit(KNOWN_RUNS)
+        return rows.toArrow()
+
+    return train(run)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

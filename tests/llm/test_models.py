@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,7 +41,16 @@ def toxic_corpus(n, seed):
 def on(texts, y):
     """The training's steps over these texts, as Spark would run them."""
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(y, pa.int32())], names=["text", "y"])
-    return lambda step, schema: pa.Table.from_batches(list(step(iter([batch]))))
+
+    def run(step, schema, least=None):
+        empty = pa.schema([tuple(f.split()) for f in schema.replace("long", "int64").split(", ")]) if least else None
+        rows = pa.Table.from_batches(list(step(iter([batch]))), empty)
+        if least is None:
+            return rows
+        rows = rows.group_by("run").aggregate([("n", "sum")]).rename_columns(["run", "n"])
+        return rows.filter(pc.greater_equal(rows.column("n"), least))
+
+    return run
 
 
 def decisions(model, texts):
