@@ -103,6 +103,11 @@ def capture_reasons(captures: DataFrame, floor: Column) -> DataFrame:
     return joined.withColumn("reason", reason).drop("_day", "_first")
 
 
+def distinct_captures(captures: DataFrame) -> DataFrame:
+    """The distinct time stamps, ascending: the order in which captures are walked."""
+    return captures.select("ts").filter("ts is not null").distinct().orderBy("ts")
+
+
 def capture_floor(since: Column, include_empty_era: bool = False) -> Column:
     """The later of the requested floor and the first useful capture; only the former on request; "" without any."""
     floor = X.since_floor(since)

@@ -67,5 +67,24 @@ def area_sums(ops: DataFrame) -> DataFrame:
     return zones.agg(F.sum("area").alias("zone_area"), F.sum("treated").alias("treatment_area"))
 
 
+def backfill_summary(ops: DataFrame) -> DataFrame:
+    """One row: operations, unique_mids, unique_dates, date_min, date_max and by_source, the number of operations of each
+    source (null counts as "?") in order. Empty mids and dates don't count; sources are as many as captures."""
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    counts = ops.groupBy(F.coalesce("source", F.lit("?")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    listed = counts.agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("by_source"))
+    total = ops.agg(
+        F.count(F.lit(1)).alias("operations"), F.count_distinct(given("mid")).alias("unique_mids"), F.count_distinct(given("date")).alias("unique_dates"),
+        F.min(given("date")).alias("date_min"), F.max(given("date")).alias("date_max"),
+    )
+    return total.join(listed, F.lit(True))
+
+
+def stage_summary(pages: DataFrame, ops: DataFrame, text: str = "html") -> DataFrame:
+    """One row about a stage: html_bytes (characters of its pages), operations, unique_mids."""
+    size = pages.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long").alias("html_bytes"))
+    return size.join(ops.agg(F.count(F.lit(1)).alias("operations"), F.count_distinct(F.nullif("mid", F.lit(""))).alias("unique_mids")), F.lit(True))
+
+
 def summary(rows: DataFrame, key: str, day: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("keys"), F.count_distinct(F.col(day).cast("date")).alias("days"), F.min(F.col(day).cast("date")).alias("date_min"), F.max(F.col(day).cast("date")).alias("date_max"))

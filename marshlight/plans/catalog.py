@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,10 +103,10 @@ def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.facets(ops, ["method", "target", "status", "product"])
 
 
-@query("filter_facets", f"WITH {OPS} SELECT id, seq FROM ops WHERE method = 'aerial' AND target = 'adult' AND status = 'complete' AND list_contains(products, 'Dibrom')")
+@query("filter_facets", f"WITH {OPS} SELECT id, seq FROM ops WHERE method = 'ground' AND target = 'adult' AND status = 'complete' AND list_contains(products, 'Dibrom')")
 def filter_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = T.operations(spark, sf_dir)
-    return ops.filter((F.col("method") == "aerial") & (F.col("target") == "adult") & (F.col("status") == "complete") & F.array_contains("products", "Dibrom")).select("id", "seq")
+    return ops.filter((F.col("method") == "ground") & (F.col("target") == "adult") & (F.col("status") == "complete") & F.array_contains("products", "Dibrom")).select("id", "seq")
 
 
 @query("stats_treat_vs_zone", f"WITH {OPS} SELECT count(*) AS treatments, count(DISTINCT mid) AS zones FROM ops")
@@ -124,12 +125,40 @@ def display_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.operations(spark, sf_dir).select("id", "seq", X.display_product(F.col("products")).alias("product"))
 
 
-for _name, _key in (("summary_backfill", "mid"), ("summary_stage", "mid"), ("summary_export", "mid"), ("summary_days", "id")):
+_DAYS = "count(DISTINCT date) AS days, min(date) AS date_min, max(date) AS date_max"
 
-    @query(_name, f"WITH {OPS} SELECT count(*) AS n, count(DISTINCT {_key}) AS keys, count(DISTINCT date) AS days, min(date) AS date_min, max(date) AS date_max FROM ops")
-    def _summary(spark: SparkSession, sf_dir: str, key: str = _key) -> DataFrame:
-        s = timeline.summary(T.operations(spark, sf_dir), key, "date")
-        return s.select("n", "keys", "days", F.col("date_min").cast("string").alias("date_min"), F.col("date_max").cast("string").alias("date_max"))
+
+@query("summary_days", f"WITH {OPS} SELECT count(*) AS n, count(DISTINCT id) AS keys, {_DAYS} FROM ops")
+def summary_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = timeline.summary(T.operations(spark, sf_dir), "id", "date")
+    return s.select("n", "keys", "days", F.col("date_min").cast("string").alias("date_min"), F.col("date_max").cast("string").alias("date_max"))
+
+
+@query(
+    "summary_backfill",
+    f"""WITH {OBS}, s AS (SELECT coalesce(source, '?') AS source, count(*) AS n FROM obs GROUP BY 1) SELECT count(*) AS operations, count(DISTINCT mid) AS unique_mids, count(DISTINCT date) AS unique_dates,
+  min(date) AS date_min, max(date) AS date_max, (SELECT sha256(string_agg(source || '=' || n, ';' ORDER BY source)) FROM s) AS by_source FROM obs""",
+)
+def summary_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = timeline.backfill_summary(T.observations(spark, sf_dir))
+    listed = F.array_join(F.transform("by_source", lambda x: F.concat(x["source"], F.lit("="), x["n"])), ";")
+    return s.withColumn("by_source", F.sha2(listed, 256))
+
+
+@query("summary_stage", f"WITH {OPS} SELECT (SELECT sum(length(html))::BIGINT FROM pages) AS html_bytes, (SELECT count(*) FROM ops) AS operations, (SELECT count(DISTINCT mid) FROM ops) AS unique_mids")
+def summary_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.stage_summary(T.load(spark, sf_dir, "pages"), T.operations(spark, sf_dir))
+
+
+@query(
+    "summary_export",
+    f"""WITH {OPS}, {SHAPES} SELECT count(*) AS operations, count(DISTINCT ops.mid) AS zones, min(date) AS date_min, max(date) AS date_max, count(shapes.mid) AS features,
+  count(*) - count(shapes.mid) AS skipped FROM ops LEFT JOIN shapes ON ops.mid = shapes.mid""",
+)
+def summary_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marshlight.plans.pipeline import export_summary
+
+    return export_summary(T.operations(spark, sf_dir), T.shapes(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- headers
@@ -163,11 +192,19 @@ _header_query(
     "status_inherit", f"CASE WHEN k % 5 = 0 THEN 'cancelled' ELSE {_STATUS_SQL} END AS status, CASE WHEN k % 5 = 0 THEN 'CANCELLED' ELSE {_STATUS_TEXT_SQL} END AS status_text",
     lambda h: {n: X.inherit_status(X.status(F.when(F.col("key") % 5 == 0, "West block CANCELLED.")), X.status(h))[n] for n in ("status", "status_text")},
 )
-_header_query(
-    "hdr_all", f"{_METHOD_SQL} AS method, {_TARGET_SQL} AS target, {_pick_sql('k', T.PERIODS)} AS period, {_START_SQL} AS time_start, '23:05' AS time_end, {_RAW_SQL} AS products, {_DATE_SQL} AS date, {_STATUS_SQL} AS status",
-    lambda h: {"method": X.method(h), "target": X.target(h), "period": X.period(h), "time_start": X.times(h)["time_start"], "time_end": X.times(h)["time_end"],
-               "products": F.array_join(X.canonical_products(X.products_raw(h)), "; "), "date": F.date_format(X.first_date(h)["date"], "yyyy-MM-dd"), "status": X.status(h)["status"]},
+
+
+@query(
+    "hdr_all", f"WITH {T.HEADERS_SQL} SELECT k AS key, {_METHOD_SQL} AS method, {_TARGET_SQL} AS target, {_pick_sql('k', T.PERIODS)} AS period, {_START_SQL} AS time_start, '23:05' AS time_end, {_RAW_SQL} AS products, {_DATE_SQL} AS date, {_STATUS_SQL} AS status FROM keys",
 )
+def hdr_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of every header, each pattern run once a header: the structs are columns before their fields are taken."""
+    rows = T.headers(spark, sf_dir).select("key", X.clean(F.col("header")).alias("header"))
+    found = rows.select("key", *(c.alias(n) for n, c in X.header_fields(F.col("header")).items()))
+    return found.select(
+        "key", "method", "target", "period", "clock.time_start", "clock.time_end", F.array_join(X.canonical_products(F.col("products_raw")), "; ").alias("products"),
+        F.date_format("first.date", "yyyy-MM-dd").alias("date"), "header_status.status",
+    )
 
 
 # ---------------------------------------------------------------- other text
@@ -314,14 +351,17 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files into a stored archive, in one batch, and the archive's newest version."""
     from marshlight.streaming.merge import newest, stream_merge
 
-    source = T.load(spark, sf_dir, "events")
     folder, store, state = (scratch_dir(spark, n) for n in ("stream-in", "stream-store", "stream-state"))
     T.observations(spark, sf_dir).write.parquet(folder)
-    del source
     stream_merge(spark, folder, spark.read.parquet(folder).schema, store, state, lambda rows: rows, files_per_batch=1_000_000)
     return newest(spark, store).select(*_MERGED_COLUMNS[:-1]).withColumn("existed", F.lit(False))
 
 
+@query("captures_distinct", "SELECT DISTINCT strftime(ts, '%Y%m%d%H%M%S') AS ts FROM events")
+def captures_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.distinct_captures(T.captures(spark, sf_dir))
+
+
 @query("capture_dedupe", "WITH RECURSIVE " + T.CAPTURES_SQL.format(floor="20240103000000") + " SELECT ts, ord, digest FROM kept")
 def capture_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merge.capture_reasons(T.captures(spark, sf_dir), merge.capture_floor(F.lit("2024-01-03")))
@@ -707,14 +747,26 @@ def _shape_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NUMBER = "CASE WHEN {x} IS NULL THEN '' ELSE regexp_replace(regexp_replace(printf('%.6f', {x}), '0+$', ''), '\\.$', '.0') END"
+
+
+def _centroid_sql(axis: str) -> str:
+    """The centroid of a customer's rectangle, by sums over its edges in their order, as the sums of doubles depend on it."""
+    corners = [("w", "s"), ("(w + dx)", "s"), ("(w + dx)", "(s + dy)"), ("w", "(s + dy)"), ("w", "s")]
+    edges = list(zip(corners, corners[1:], strict=False))
+    cross = [f"({a[0]} * {b[1]} - {b[0]} * {a[1]})" for a, b in edges]
+    k = ("lon", "lat").index(axis)
+    total = lambda terms: functools.reduce(lambda done, t: f"({done} + {t})", terms, "0.0::DOUBLE")
+    return f"round({total(f'({a[k]} + {b[k]}) * {c}' for (a, b), c in zip(edges, cross, strict=True))} / (3 * {total(cross)}), 6)"
+
+
 _EXPORT_SQL = f"""WITH {OPS}, {_EXPORT_SHAPES} SELECT ops.id, date, method, target, array_to_string(products, '; ') AS products, coalesce(period, '') AS period, '' AS time_start, '' AS time_end, status,
   coalesce(status_text, '') AS status_text, area_name, coalesce(zone_code, '') AS zone_code, {_REGION_SQL.format(z='zone_code')} AS region, coalesce(boundary_text, '') AS boundary_text,
-  {_NUMBER.format(x='(key % 100 / 8.0)::DOUBLE')} AS area_sq_km, map_url, mid AS map_id, source AS observed_via, first_seen FROM ops LEFT JOIN s2 USING (mid)"""
+  {_NUMBER.format(x='(key % 100 / 8.0)::DOUBLE')} AS area_sq_km, {_NUMBER.format(x=_centroid_sql('lat'))} AS centroid_lat, {_NUMBER.format(x=_centroid_sql('lon'))} AS centroid_lon, map_url, mid AS map_id, source AS observed_via, first_seen FROM ops LEFT JOIN s2 USING (mid)"""
 
 
 @query("export_rows", _EXPORT_SQL)
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.export_rows(T.operations(spark, sf_dir), _shape_table(spark, sf_dir)).drop("centroid_lat", "centroid_lon")
+    return export.export_rows(T.operations(spark, sf_dir), _shape_table(spark, sf_dir))
 
 
 @query("export_csv", f"WITH {OPS} SELECT seq, 'x,\"' || status || '\"' AS a, date || ',\"x,\"\"' || status || '\"\"\",' AS line FROM ops")

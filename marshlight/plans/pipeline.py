@@ -70,5 +70,10 @@ def verify(ops: DataFrame, shapes: DataFrame, known_missing: DataFrame, today: C
     return checks, quality.verdict(checks)
 
 
-def export_summary(spark: SparkSession, ops: DataFrame) -> DataFrame:
-    return ops.agg(F.count(F.lit(1)).alias("operations"), F.count_distinct("mid").alias("zones"), F.min("date").alias("date_min"), F.max("date").alias("date_max"))
+def export_summary(ops: DataFrame, shapes: DataFrame) -> DataFrame:
+    """One row: operations, zones, date_min, date_max, and how many operations are features of the export or are skipped as they have no polygon."""
+    drawn = shapes.filter(F.size("polygons") > 0).select("mid", F.lit(1).alias("drawn"))
+    return ops.join(drawn, "mid", "left").agg(
+        F.count(F.lit(1)).alias("operations"), F.count_distinct("mid").alias("zones"), F.min("date").alias("date_min"), F.max("date").alias("date_max"),
+        F.count("drawn").alias("features"), F.count_if(F.col("drawn").isNull()).alias("skipped"),
+    )
