@@ -57,6 +57,13 @@ ZONE_PATTERN = r"^\s*([A-Z]{1,3}-?\d{1,3}[A-Za-z]?(?:\([A-Za-z0-9]\))?)(?=$|[\s:
 DIRECTIONS = {"N": "North", "S": "South", "E": "East", "W": "West"}
 NAME_SEPARATORS = (":", "-", "–", "—", ".", ";", ",", ":-")
 
+#: Elements of a page: those that may stand before and inside a status, bold ones, headings, and the most letters of a heading without one.
+INLINE_ELEMENTS = frozenset(("span", "strong", "b", "em", "i", "u", "font", "mark"))
+BOLD_ELEMENTS, HEADING_ELEMENTS = ("b", "strong"), ("h1", "h2", "h3", "h4", "h5", "h6")
+HEADING_LETTERS = 120
+#: Charsets of responses, by the names that they are given.
+CHARSETS = ((("ISO-8859-1", "LATIN1", "LATIN-1", "WINDOWS-1252", "CP1252"), "ISO-8859-1"), (("US-ASCII", "ASCII"), "US-ASCII"), (("UTF-16",), "UTF-16"))
+
 EXPORT_COLUMNS = (
     "date", "method", "target", "products", "period", "time_start", "time_end", "status", "status_text", "area_name",
     "zone_code", "region", "boundary_text", "area_sq_km", "centroid_lat", "centroid_lon", "map_url", "map_id",

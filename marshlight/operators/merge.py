@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marshlight.functions import constants as K
@@ -74,28 +77,35 @@ def overlay(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return last_by_key(rows, key, "_side").drop("_side")
 
 
+def _fold_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of their days the first of each day whose digest no row before it took."""
+    used: set[str] = set()
+    done = None
+    for batch in batches:
+        take = []
+        for day, digest in zip(batch.column("day").to_pylist(), batch.column("digest").to_pylist(), strict=True):
+            take.append(day != done and digest not in used)
+            if take[-1]:
+                done = day
+                used.add(digest)
+        yield batch.filter(pa.array(take, pa.bool_()))
+
+
 def capture_reasons(captures: DataFrame, floor: Column) -> DataFrame:
     """Captures (ts, statuscode, digest, ord) with ``reason``: kept, status, floor, same_day or digest.
 
     In (ts, ord) order a capture of status 200 that isn't under the floor is kept if no kept one before has its day and
-    none has its digest. As in a greedy matching of days and digests, a capture that is the first of both among those
-    left is kept, and the others of its day and digest leave; this is repeated until none is left. A round is two
-    aggregations and two joins, so no group holds the whole table.
+    none has its digest. Days follow each other, so each takes its first digest that no earlier day took, and the j-th day
+    never needs more than its first j digests: what one task folds is bounded by the calendar, whatever the table's size.
     """
     rows = captures.withColumn("reason", F.when(~F.col("statuscode").eqNullSafe("200"), "status").when(F.col("ts") < floor, "floor"))
     left = rows.filter("reason is null").select("ts", "ord", F.substring("ts", 1, 8).alias("day"), F.coalesce("digest", F.lit("")).alias("digest"))
     # of captures with one day and one digest only the first can be kept
     left = left.groupBy("day", "digest").agg(F.min(F.struct("ts", "ord")).alias("k")).select("k.ts", "k.ord", "day", "digest")
-    left, kept = stored(left, "captures"), None
-    while not left.isEmpty():
-        first = F.min(F.struct("ts", "ord"))
-        days, digests = left.groupBy("day").agg(first.alias("d")), left.groupBy("digest").agg(first.alias("g"))
-        own = F.struct("ts", "ord")
-        now = stored(left.join(days, "day").join(digests, "digest").filter((own == F.col("d")) & (own == F.col("g"))).select(*left.columns), "kept")
-        kept = now if kept is None else kept.unionByName(now)
-        left = stored(left.join(now.select("day"), "day", "left_anti").join(now.select("digest"), "digest", "left_anti").select(*left.columns), "captures")
-    if kept is None:
-        return rows.withColumn("reason", F.coalesce("reason", F.lit("kept")))
+    days = left.select("day").distinct().withColumn("nth_day", F.row_number().over(Window.orderBy("day")))
+    nth = F.row_number().over(Window.partitionBy("day").orderBy("ts", "ord"))
+    few = left.withColumn("nth", nth).join(F.broadcast(days), "day").filter("nth <= nth_day").select(*left.columns)
+    kept = stored(few.repartition(1).sortWithinPartitions("day", "ts", "ord").mapInArrow(_fold_days, few.schema), "kept")
     by_day = kept.select(F.col("day").alias("_day"), F.struct("ts", "ord").alias("_first"))
     joined = rows.join(by_day, F.substring("ts", 1, 8) == F.col("_day"), "left")
     own = F.struct("ts", "ord")

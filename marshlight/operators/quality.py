@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marshlight.functions import constants as K
 from marshlight.functions import geo
 
+#: Ranges that a median is looked for in at once, and values that are few enough to be sorted.
+RANGES, FEW = 4_096, 10_000
 CHECKS = "name string, n_bad long"
 
 
@@ -79,12 +81,29 @@ def duplicate_shapes() -> Column:
 
 
 def area_stats(shapes: DataFrame) -> DataFrame:
-    """Smallest, upper median and largest of the areas that aren't null or 0.
+    """Smallest, upper median and largest of the areas that aren't null or 0, as one row; nulls without any.
 
-    The upper median in ascending order is the lower one in descending order, which is what percentile_disc gives.
+    The median's rank is found from counts of equal ranges of values, in ever smaller ranges, until one range holds few
+    values or one; so no task holds the column.
     """
-    median = F.expr("percentile_disc(0.5) within group (order by area_sq_km desc)")
-    return shapes.filter("area_sq_km <> 0").agg(F.min("area_sq_km").alias("area_min"), median.alias("area_median"), F.max("area_sq_km").alias("area_max"))
+    spark = shapes.sparkSession
+    areas = shapes.filter("area_sq_km <> 0 and not isnan(area_sq_km)").select(F.col("area_sq_km").cast("double").alias("x"))
+    ends = areas.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    low, high, rank = ends["low"], ends["high"], ends["n"] // 2  # from 0, in ascending order
+    within = areas
+    while ends["n"] and low < high:
+        width = (high - low) / RANGES
+        cell = F.least(F.floor((F.col("x") - low) / width), F.lit(RANGES - 1)) if width > 0 else F.lit(0).cast("long")
+        held = within.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        for row in sorted(held.collect(), key=lambda r: r["cell"]):
+            if rank < row["n"]:
+                break
+            rank -= row["n"]
+        low, high = row["low"], row["high"]
+        within = areas.filter(F.col("x").between(low, high))
+        if row["n"] <= FEW or width == 0:
+            low = high = sorted(r["x"] for r in within.limit(FEW + 1).collect())[rank] if row["n"] <= FEW else low
+    return spark.createDataFrame([(ends["low"], low, ends["high"])], "area_min double, area_median double, area_max double")
 
 
 def unresolved(ops: DataFrame, shapes: DataFrame, known_missing: DataFrame) -> DataFrame:
@@ -101,10 +120,11 @@ def join_checks(ops: DataFrame, shapes: DataFrame, known_missing: DataFrame) ->
 def samples(rows: DataFrame, check: Column, value: Column, most: int) -> DataFrame:
     """(check, sample): the first values of each check in order; a task keeps no more than it needs of them."""
     picked = rows.select(check.alias("check"), value.alias("value")).distinct()
-    least = F.slice(F.array_sort(F.collect_list("value")), 1, most)
-    # values are cut to the smallest few of a hash group before the last aggregation
-    parts = picked.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(64))).groupBy("check", "part").agg(least.alias("values"))
-    return parts.select("check", F.explode("values").alias("value")).groupBy("check").agg(least.alias("sample"))
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("value")) <= most
+    # values are cut to the smallest few of a hash group before those of a whole check
+    parts = picked.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(64))).withColumn("near", first("check", "part")).filter("near")
+    few = parts.withColumn("near", first("check")).filter("near")
+    return few.groupBy("check").agg(F.array_sort(F.collect_list("value")).alias("sample"))
 
 
 def verdict(checks: DataFrame) -> DataFrame:

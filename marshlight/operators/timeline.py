@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marshlight.session import stored
+
 
 def per_day(rows: DataFrame, day: str) -> DataFrame:
     return rows.groupBy(F.col(day).cast("date").alias("d")).agg(F.count(F.lit(1)).alias("n")).filter("d is not null")
@@ -37,9 +39,19 @@ def calendar(days: DataFrame) -> DataFrame:
 
 
 def carry_forward(rows: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
-    """The last value that isn't null so far, within a partition."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    """The last value that isn't null so far, within a partition (its columns aren't null).
+
+    Rows are dealt by ranges of (partition, order), so a partition of any size is spread over blocks; values are carried
+    within each block and then from the ends of blocks, of which there are few, into those that follow.
+    """
+    ranged = rows.repartitionByRange(*partition, *order).withColumn("_block", F.spark_partition_id())
+    ranged = stored(ranged, "blocks")
+    own = Window.partitionBy(*partition, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*partition).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy(*partition, "_block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
+    brought = ends.withColumn("_brought", F.last("_end", ignorenulls=True).over(before)).filter("_brought is not null").drop("_end")
+    carried = ranged.withColumn(value, F.last(value, ignorenulls=True).over(own)).join(brought, [*partition, "_block"], "left")
+    return carried.withColumn(value, F.coalesce(value, "_brought")).select(*rows.columns)
 
 
 def per_year(rows: DataFrame, day: str) -> DataFrame:

@@ -666,11 +666,15 @@ def geo_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shapes_pipeline", f"WITH {OPS}, {SHAPES}, wanted AS (SELECT * FROM shapes WHERE mid IN (SELECT mid FROM ops)) SELECT mid, CASE WHEN key % 4 = 0 THEN 'known' ELSE coalesce({_KML_REASON}, 'fetched') END AS state FROM wanted")
 def shapes_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wanted maps without a shape (a quarter is known) go through the KML reader; failures keep their reason."""
-    texts = _kml_texts(spark, sf_dir)
-    wanted = texts.join(T.operations(spark, sf_dir).select("mid").distinct(), "mid", "left_semi")
-    known = wanted.filter("key % 4 = 0").select("mid")
-    new = kml.shapes_of_kml(wanted.join(known, "mid", "left_anti").select("mid", "xml"), F.lit("")).select("mid", F.coalesce("reason", F.lit("fetched")).alias("state"))
-    return known.select("mid", F.lit("known").alias("state")).unionByName(new)
+    from marshlight.plans.pipeline import resolve_shapes
+
+    texts, ops = _kml_texts(spark, sf_dir), T.operations(spark, sf_dir)
+    columns = {f.name: F.lit(None).cast(f.dataType) for f in spark.createDataFrame([], archive.SHAPE).schema} | {"mid": F.col("mid")}
+    wanted = texts.join(ops.select("mid").distinct(), "mid", "left_semi")
+    known = wanted.filter("key % 4 = 0").select(*(column.alias(name) for name, column in columns.items()))
+    kept, failed = resolve_shapes(ops.join(texts.select("mid"), "mid", "left_semi"), known, texts.select("mid", "xml"), F.lit(""))
+    state = F.when(F.col("fetched_at").isNull(), "known").otherwise("fetched")
+    return kept.filter(F.col("mid").isNotNull()).select("mid", state.alias("state")).unionByName(failed.select("mid", F.col("reason").alias("state")))
 
 
 # ---------------------------------------------------------------- documents
@@ -720,12 +724,27 @@ def anchor_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("src_ops_json", f"WITH {OPS} SELECT id, date, status, status_text, array_to_string(products, '; ') AS products FROM ops")
 def src_ops_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a customer's operations each, written as JSON and read back; elements that aren't objects are dropped."""
-    ops = T.operations(spark, sf_dir)
-    documents = ops.groupBy("mid", F.col("date").substr(1, 4)).agg(F.concat(F.lit('{"operations":[7,'), F.array_join(F.collect_list(F.to_json(F.struct("id", "date", "status", "status_text", "products"))), ","), F.lit("]}")).alias("doc"))
-    items = documents.select(F.explode(archive.json_items(F.col("doc"), "operations")).alias("item")).filter("item like '{%'")
-    rows = items.select(F.from_json("item", archive.OPERATION, {"mode": "FAILFAST"}).alias("o")).select("o.*")
-    return rows.select("id", "date", "status", "status_text", F.array_join("products", "; ").alias("products"))
+    """The operations written as a document in parts and read back by the archive's reader."""
+    path = scratch_dir(spark, "ops-json")
+    export.write_operations(T.operations(spark, sf_dir), path, "2026-01-01T00:00:00Z")
+    return archive.load_operations(spark, path).select("id", "date", "status", "status_text", F.array_join("products", "; ").alias("products"))
+
+
+@query("archive_roundtrip", f"""WITH {OPS}, {SHAPES} SELECT (SELECT count(*) FROM ops) AS operations, (SELECT count(*) FROM shapes) AS shapes, true AS same_operations, true AS same_shapes,
+  true AS written, false AS written_again, true AS written_after_change""")
+def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both documents written, read and compared by fingerprints, written again with another clock, and again after a change."""
+    path, shapes_path = scratch_dir(spark, "roundtrip-ops"), scratch_dir(spark, "roundtrip-shapes")
+    ops = stored(T.operations(spark, sf_dir), "ops")
+    shapes = stored(_shape_table(spark, sf_dir).select("mid", "zone_code", "doc_name", "area_sq_km", geo.geometry_type(F.col("polygons")).alias("geom_type"), "polygons"), "shapes")
+    wrote = [export.write_operations(ops, path, "t1") and export.write_shapes(shapes, shapes_path), export.write_operations(ops, path, "t2") or export.write_shapes(shapes, shapes_path)]
+    back, back_shapes = archive.load_operations(spark, path), archive.load_shapes(spark, shapes_path)
+    same = lambda a, b: export.fingerprint(a).first() == export.fingerprint(b.select(*a.columns)).first()
+    held = [c for c in back.columns if c in ops.columns]
+    row = (back.count(), back_shapes.count(), same(back.select(*held), ops), same(shapes, back_shapes))
+    changed = ops.withColumn("status", F.when(F.col("seq") == ops.agg(F.min("seq")).first()[0], "lost").otherwise(F.col("status")))
+    wrote.append(export.write_operations(changed, path, "t3"))
+    return spark.createDataFrame([(*row, *wrote)], "operations long, shapes long, same_operations boolean, same_shapes boolean, written boolean, written_again boolean, written_after_change boolean")
 
 
 @query("src_shapes_json", f"WITH {SHAPES} SELECT mid, 'second' AS doc_name, CASE WHEN key % 9 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS geom_type, {_AREA} AS area_sq_km FROM shapes")
@@ -769,10 +788,17 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.export_rows(T.operations(spark, sf_dir), _shape_table(spark, sf_dir))
 
 
-@query("export_csv", f"WITH {OPS} SELECT seq, 'x,\"' || status || '\"' AS a, date || ',\"x,\"\"' || status || '\"\"\",' AS line FROM ops")
+_CSV_SQL = ", ".join(f"CASE WHEN regexp_matches({c}, '[,\"\\r\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END" for c in K.EXPORT_COLUMNS)
+
+
+@query("export_csv", _EXPORT_SQL.replace("coalesce(boundary_text, '')", "coalesce('x, \"' || boundary_text || '\"', '')").replace("WITH ", "WITH rows_ AS (WITH ", 1) + f") SELECT date, concat_ws(',', {_CSV_SQL}) AS line FROM rows_")
 def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.operations(spark, sf_dir).select("seq", "date", F.concat(F.lit('x,"'), "status", F.lit('"')).alias("a"), F.lit(None).cast("string").alias("b"))
-    return rows.select("seq", "a", export.csv_line(("date", "a", "b")).alias("line"))
+    """The CSV file written and its records read back as text."""
+    path = scratch_dir(spark, "csv")
+    ops = T.operations(spark, sf_dir).withColumn("boundary_text", F.when(F.col("boundary_text").isNotNull(), F.concat(F.lit('x, "'), "boundary_text", F.lit('"'))))
+    export.write_csv(export.export_rows(ops, _shape_table(spark, sf_dir)), path)
+    lines = spark.read.option("lineSep", "\r\n").text(path).filter(~F.col("value").contains("date,method,"))
+    return lines.select(F.substring("value", 1, 10).alias("date"), F.col("value").alias("line"))
 
 
 @query("export_geojson", f"WITH {OPS}, {SHAPES} SELECT id, CASE WHEN key % 9 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, id AS operation_id, status FROM ops JOIN shapes USING (mid)")
@@ -797,14 +823,21 @@ def sink_change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "run_manifest",
     f"""WITH {OPS}, {SHAPES} SELECT (SELECT count(*) FROM ops WHERE seq % 2 = 1) AS page_ops, (SELECT count(*) FROM (SELECT id FROM ops WHERE seq % 2 = 1 EXCEPT SELECT id FROM ops WHERE seq % 2 = 0)) AS new_ops,
-  (SELECT count(DISTINCT id) FROM ops) AS total_ops, (SELECT count(*) FROM shapes) AS total_shapes, (SELECT min(date) FROM ops) AS date_min, (SELECT max(date) FROM ops) AS date_max""",
+  (SELECT count(DISTINCT id) FROM ops) AS total_ops, (SELECT count(*) FROM shapes) AS total_shapes, (SELECT count(*) FROM shapes WHERE key % 5 <> 0) AS new_shapes,
+  (SELECT count(*) FROM customer WHERE c_custkey % 41 = 40) AS shape_failures, (SELECT min(date) FROM ops) AS date_min, (SELECT max(date) FROM ops) AS date_max""",
 )
 def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's manifest, published as a document and read back: a fifth of the shapes was known, and customers without one failed."""
     from marshlight.plans.pipeline import manifest
 
     ops = T.operations(spark, sf_dir).withColumn("products_raw", F.col("products"))
     existing, page = ops.filter("seq % 2 = 0"), ops.filter("seq % 2 = 1").withColumn("seq", F.col("seq") + 1_000_000_000)
-    return manifest(page, merge.merge_append_only(existing, page), T.shapes(spark, sf_dir))
+    shapes, failed = T.shapes(spark, sf_dir), T.load(spark, sf_dir, "customer").filter("c_custkey % 41 = 40")
+    rows = manifest(page, merge.merge_append_only(existing, page), shapes, shapes.filter("key % 5 = 0"), failed)
+    path = scratch_dir(spark, "manifest")
+    export.write_json(rows.first().asDict() | {"generated_at": "t"}, spark, path)
+    found = export.read_json(spark, path)
+    return spark.createDataFrame([tuple(found[c] for c in rows.columns)], rows.schema)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marshlight.operators import export, merge, quality
-from marshlight.sources import html, kml
+from marshlight.session import stored
+from marshlight.sources import archive, html, kml
 
 
-def isolated(stage: Callable[[], DataFrame]) -> tuple[DataFrame | None, dict[str, str | None]]:
+def isolated[T](stage: Callable[[], T]) -> tuple[T | None, dict]:
     """Run a stage; an error becomes a status instead of ending the run."""
     try:
         return stage(), {"status": "ok", "error": None}
@@ -50,12 +52,97 @@ def resolve_shapes(ops: DataFrame, shapes: DataFrame, documents: DataFrame, fetc
     return merge.overlay(shapes, read.filter("reason is null").select(*shapes.columns), "mid"), failed
 
 
-def manifest(page: DataFrame, merged: DataFrame, shapes: DataFrame) -> DataFrame:
-    """One row of a run's totals. Each part is a single row, so they are joined on a constant."""
+def manifest(page: DataFrame, merged: DataFrame, shapes: DataFrame, known_shapes: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
+    """One row of a run's totals: page_ops, new_ops, total_ops, total_shapes, new_shapes, shape_failures, date_min, date_max.
+
+    ``known_shapes``: those of before the run. Each part is a single row, so they are joined on a constant."""
     one = lambda df, *aggregates: df.agg(*aggregates).withColumn("_one", F.lit(1))
-    total = one(merged, F.count_if(~F.col("existed")).alias("new_ops"), F.count(F.lit(1)).alias("total_ops"), F.min("date").alias("date_min"), F.max("date").alias("date_max"))
-    rows = one(page, F.count(F.lit(1)).alias("page_ops")).join(total, "_one").join(one(shapes, F.count(F.lit(1)).alias("total_shapes")), "_one")
-    return rows.select("page_ops", "new_ops", "total_ops", "total_shapes", "date_min", "date_max")
+    count = lambda df, name: one(df, F.count(F.lit(1)).alias(name)) if df is not None else one(shapes.limit(0), F.count(F.lit(1)).alias(name))
+    given = F.nullif(F.col("date"), F.lit(""))
+    total = one(merged, F.count_if(~F.col("existed")).alias("new_ops"), F.count(F.lit(1)).alias("total_ops"), F.min(given).alias("date_min"), F.max(given).alias("date_max"))
+    rows = count(page, "page_ops").join(total, "_one").join(count(shapes, "total_shapes"), "_one").join(count(known_shapes if known_shapes is not None else shapes, "_known"), "_one").join(count(failures, "shape_failures"), "_one")
+    return rows.select("page_ops", "new_ops", "total_ops", "total_shapes", (F.col("total_shapes") - F.col("_known")).alias("new_shapes"), "shape_failures", "date_min", "date_max")
+
+
+@dataclass(frozen=True)
+class Flags:
+    """What a run does. A limit of captures asks for the backfill, and flags that leave nothing to do are an error."""
+
+    backfill: bool = False
+    backfill_limit: int | None = None
+    shapes_only: bool = False
+    no_shapes: bool = False
+    dry_run: bool = False
+
+    def __post_init__(self) -> None:
+        if self.backfill_limit is not None:
+            object.__setattr__(self, "backfill", True)
+        if self.shapes_only and self.no_shapes:
+            raise ValueError("shapes_only and no_shapes together leave nothing to do")
+        if self.shapes_only and self.backfill:
+            raise ValueError("shapes_only reads no pages, so backfill has no effect")
+
+
+def run(spark: SparkSession, folder: str, live: Callable[[], DataFrame], captures: Callable[[int | None], DataFrame], documents: Callable[[], DataFrame], now: str, flags: Flags = Flags()) -> tuple[dict, bool]:  # noqa: B008
+    """Bring the archive at ``folder`` up to date; (the manifest, whether the run is good).
+
+    ``live`` and ``captures`` give pages (source, page_ord, html), ``documents`` KML (mid, xml). Each source is a stage of
+    its own: an error is noted in the manifest and the others go on. An archive that is there but can't be read is never
+    written over, and then no manifest is written either. Bad only if the archive can't be read or is still empty.
+    """
+    at, errors, sources = f"{folder.rstrip('/')}/", [], {}
+    stamp = F.lit(now)
+
+    def staged(name: str, work: Callable[[], DataFrame], skip: str | None = None, about: Callable[[DataFrame], dict] = lambda _: {}) -> DataFrame | None:
+        if skip:
+            sources[name] = {"status": "skipped", "reason": skip}
+            return None
+        out, sources[name] = isolated(lambda: (rows := stored(work(), name)) and (rows, about(rows)))
+        if out is None:
+            errors.append(f"{name}: {sources[name]['error']}")
+            return None
+        sources[name] |= out[1]
+        return out[0]
+
+    old, ops_state = isolated(lambda: stored(archive.load_operations(spark, f"{at}operations"), "operations"))
+    known, shapes_state = isolated(lambda: stored(archive.load_shapes(spark, f"{at}shapes"), "shapes"))
+    errors += [f"archive: {s['error']}" for s in (ops_state, shapes_state) if s["error"]]
+    readable = old is not None
+    old = old if readable else spark.createDataFrame([], archive.OPERATION)
+
+    skip = "shapes_only" if flags.shapes_only else None
+    size = lambda pages: {"html_bytes": pages.agg(F.coalesce(F.sum(F.length("html")), F.lit(0))).first()[0]}
+    page = staged("live", live, skip, size)
+    taken = staged("wayback", lambda: captures(flags.backfill_limit), skip or (None if flags.backfill else "no backfill"), size)
+    merged, _ = refresh(old.withColumn("seq", F.monotonically_increasing_id()), page, taken, stamp)
+    merged = stored(merged if "existed" in merged.columns else merged.withColumn("existed", F.lit(True)), "merged")
+    first_page = stored(html.operations(html.extract_areas(page), stamp), "page") if page is not None else merged.limit(0)
+    if page is not None:
+        sources["live"] |= first_page.agg(F.count(F.lit(1)).alias("operations"), F.count_distinct(F.nullif("mid", F.lit(""))).alias("unique_mids")).first().asDict()
+
+    shapes, failed = known if known is not None else spark.createDataFrame([], archive.SHAPE), None
+    before = shapes
+    kept: dict[str, DataFrame] = {}
+
+    def resolve() -> DataFrame:
+        table, kept["failed"] = resolve_shapes(merged, shapes, documents(), stamp)
+        kept["failed"] = stored(kept["failed"], "failed")
+        return table
+
+    reason = "no_shapes" if flags.no_shapes else ("shapes can't be read" if known is None else None)
+    resolved = staged("shapes", resolve, reason, lambda t: {"fetched": t.count() - before.count(), "failed": kept["failed"].count()})
+    if resolved is not None:
+        shapes, failed = resolved, kept["failed"]
+        sources["shapes"]["failed_mids"] = [r["mid"] for r in failed.select("mid").orderBy("mid").limit(25).collect()]
+
+    totals = manifest(first_page, merged, shapes, before, failed).first().asDict()
+    out = {"generated_at": now, **totals, "sources": sources, "errors": errors, "archive_written": readable and not flags.dry_run}
+    if readable and not flags.dry_run:
+        export.write_operations(merged, f"{at}operations", now)
+        if resolved is not None:
+            export.write_shapes(shapes, f"{at}shapes")
+        export.write_json(out, spark, f"{at}manifest")
+    return out, readable and totals["total_ops"] > 0
 
 
 def run_export(ops: DataFrame, shapes: DataFrame, folder: str) -> int:

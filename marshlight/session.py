@@ -43,15 +43,20 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
+    """A fresh folder below ``spark.checkpoint.dir``, or below the checkpoint folder that the context was given: driver and
+    executors share it.
 
-    Only where that setting is absent (a single-machine session, as in the tests) a local temporary folder is made and
-    used for the rest of the session.
+    Only where there is neither and the master is local, as in tests, a local temporary folder is made and used for the
+    rest of the session. On a cluster that is an error, as executors don't see each other's disks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _folders.get(spark.sparkContext.applicationId)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or _folders.get(context.applicationId) or context.getCheckpointDir()
     if not base:
-        base = _folders[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="marshlight-")
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="marshlight-")
         spark.sparkContext.setCheckpointDir(base)
+    _folders.setdefault(context.applicationId, base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

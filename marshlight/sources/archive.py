@@ -1,4 +1,4 @@
-"""Readers of the JSON archive, of capture tables and of cached pages; atomic writers of the archive."""
+"""Readers of the JSON archive, of capture tables and of cached pages. ``operations.export`` writes the archive."""
 
 from __future__ import annotations
 
@@ -7,22 +7,19 @@ from pyspark.sql import functions as F
 
 from marshlight.functions import constants as K
 from marshlight.functions import geo
+from marshlight.sources import versions
 
 OPERATION = (
     "id string, date string, method string, target string, products array<string>, products_raw array<string>, period string, time_start string, "
     "time_end string, area_name string, boundary_text string, mid string, map_url string, status string, status_text string, section string, "
     "source string, first_seen string"
 )
+OPERATION_FIELDS = frozenset(field.split()[0] for field in OPERATION.split(", "))
 SHAPE = f"mid string, zone_code string, doc_name string, doc_description string, fetched_at string, area_sq_km double, geom_type string, polygons {geo.POLYGONS}"
 _PROPERTIES = "mid string, zone_code string, doc_name string, doc_description string, fetched_at string, area_sq_km double"
 _FEATURE = f"struct<id:string, properties:struct<{_PROPERTIES.replace(' string', ':string').replace(' double', ':double')}>, geometry:struct<type:string, coordinates:string>>"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def json_items(document: Column, member: str) -> Column:
     """Elements of a JSON document as texts: of a bare list, or of an object's list ``member``; anything else is an error."""
     bare = F.ltrim(document).startswith("[")
@@ -31,29 +28,58 @@ def json_items(document: Column, member: str) -> Column:
     return F.from_json(listing, "array<string>", {"mode": "FAILFAST"})
 
 
-def load_operations(spark: SparkSession, path: str) -> DataFrame:
+def _items(spark: SparkSession, path: str, member: str, lenient: bool) -> DataFrame | None:
+    """(pos, item) of a document: a file that holds it, or the parts that were published at ``path``; None if there is none."""
+    folder = versions.current_folder(spark, path)
+    if folder is not None:
+        frame = (F.col("value").startswith("{") & F.col("value").endswith("[")) | (F.col("value") == "]}")
+        # null in place of the frame, whatever order Spark gives to filters
+        lines = spark.read.text(folder).select(F.monotonically_increasing_id().alias("pos"), F.when(~frame, F.regexp_replace("value", ",$", "")).alias("item"))
+        return lines.filter("item is not null")
+    if not versions.exists(spark, path):
+        return None
+    text = spark.read.text(path, wholetext=True)
+    if lenient:
+        text = text.filter(F.try_parse_json("value").isNotNull())
+    return text.select(F.posexplode(json_items(F.col("value"), member)).alias("pos", "item"))
+
+
+def load_operations(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
     """Operations of a JSON document; none if it is missing; an error if it is corrupt. Elements that aren't objects are left out.
 
-    A document is one value and is read by one task; tables of any size are kept as Parquet, this is for exchange.
+    A single file is one value and is read by one task; a document published in parts is read by lines, in parallel.
+    ``lenient``: a document that isn't JSON counts as missing, for readers that only compare.
     """
-    if not _exists(spark, path):
+    items = _items(spark, path, "operations", lenient)
+    if items is None:
         return spark.createDataFrame([], OPERATION)
-    texts = spark.read.text(path, wholetext=True).select(F.posexplode(json_items(F.col("value"), "operations")).alias("pos", "item"))
-    objects = texts.filter(F.ltrim("item").startswith("{"))
-    return objects.select(F.from_json("item", ", ".join(OPERATION.split(", ")), {"mode": "FAILFAST"}).alias("o")).select("o.*")
+    objects = items.filter(F.ltrim("item").startswith("{"))
+    read = objects.select(F.from_json("item", OPERATION, {"mode": "FAILFAST"}).alias("o")).filter("o is not null")  # the filter keeps all fields, so a count finds errors too
+    return read.select("o.*")
+
+
+def load_shapes(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+    """Shapes of a GeoJSON document, the last of equal mids; a feature's mid is properties.mid or else id, without either it goes.
+    Read as ``load_operations`` reads."""
+    items = _items(spark, path, "features", lenient)
+    return spark.createDataFrame([], SHAPE) if items is None else shapes_of_features(items)
 
 
-def load_shapes(spark: SparkSession, path: str) -> DataFrame:
-    """Shapes of a GeoJSON document, the last of equal mids; a feature's mid is properties.mid or else id, without either it goes."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], SHAPE)
-    items = spark.read.text(path, wholetext=True).select(F.posexplode(json_items(F.col("value"), "features")).alias("pos", "item"))
-    return shapes_of_features(items)
+def decode(content: Column, content_type: Column) -> Column:
+    """The text of a response body: by the charset that its type states; without one UTF-8, or Latin-1 where that can't be.
+    Bytes that the charset doesn't have are replaced, and an unknown charset counts as none."""
+    stated = F.upper(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_\-]+)", 1))
+    plain = content.cast("string")
+    fallback = F.when(F.is_valid_utf8(plain), plain).otherwise(F.decode(content, "ISO-8859-1"))
+    text = F.when(stated.isin("UTF-8", "UTF8"), F.make_valid_utf8(plain))
+    for names, charset in K.CHARSETS:
+        text = text.when(stated.isin(*names), F.decode(content, charset))
+    return text.otherwise(fallback)
 
 
 def shapes_of_features(items: DataFrame) -> DataFrame:
     """(pos, item: a feature's JSON) to the shapes table."""
-    f = items.select("pos", F.from_json("item", _FEATURE, {"mode": "FAILFAST"}).alias("f")).select("pos", "f.*")
+    f = items.select("pos", F.from_json("item", _FEATURE, {"mode": "FAILFAST"}).alias("f")).filter("f is not null").select("pos", "f.*")
     numbers = lambda kind: F.from_json("geometry.coordinates", kind)
     as_points = lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, 0).alias("lon"), F.get(p, 1).alias("lat"))))
     polygons = F.when(F.col("geometry.type") == "Polygon", F.array(as_points(numbers("array<array<array<double>>>")))).when(F.col("geometry.type") == "MultiPolygon", F.transform(numbers("array<array<array<array<double>>>>"), as_points))
@@ -84,7 +110,7 @@ def plausible_pages(pages: DataFrame, text: str = "html") -> DataFrame:
 
 
 def cached_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(source, html) of cached captures ``<14 digits>.html``; bytes that aren't UTF-8 are replaced."""
+    """(source, html) of cached captures ``<14 digits>.html``, which are kept as UTF-8; other bytes are replaced."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
     stamp = F.regexp_extract("path", r"([0-9]{14})\.html$", 1)
     pages = files.select(F.concat(F.lit("wayback:"), stamp).alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("html")).filter(stamp != "")

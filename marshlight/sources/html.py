@@ -17,8 +17,7 @@ from marshlight.sources import archive
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _SILENT = {"script", "style", "template"}
-_LISTS, _HEADINGS, _BOLD = ("ul", "ol"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("b", "strong")
-_INLINE = {"span", "strong", "b", "em", "i", "u", "font", "mark"}
+_LISTS, _HEADINGS, _BOLD, _INLINE = ("ul", "ol"), K.HEADING_ELEMENTS, K.BOLD_ELEMENTS, K.INLINE_ELEMENTS
 _MID, _STATUS = re.compile(K.MID_PATTERN), re.compile(K.STATUS_WORD_PATTERN.replace("(?U)", ""))
 
 
@@ -162,7 +161,7 @@ class ExtractAreas:
             headings: list[str] = []
             op = 0
             for child in children:
-                if child.name in _HEADINGS or (not real and child.name in ("p", "div", *_BOLD) and len(_squeezed(child.text())) <= 120):
+                if child.name in _HEADINGS or (not real and child.name in ("p", "div", *_BOLD) and len(_squeezed(child.text())) <= K.HEADING_LETTERS):
                     headings.append(child.text())
                 elif child.name == "ul":
                     for item in child.elements("li"):

@@ -5,25 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marshlight.operators.merge import merge_append_only
+from marshlight.session import stored
+from marshlight.sources import versions
 
 COLUMNS_NOT_STORED = ("existed",)
+#: Buckets of the stored archive: a batch rewrites those that its ids fall into. Fixed when a store is begun.
+BUCKETS = 64
 
 
-def stream_merge(spark: SparkSession, folder: str, schema: T.StructType, store: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], files_per_batch: int = 100) -> None:
+def stream_merge(
+    spark: SparkSession, folder: str, schema: T.StructType, store: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], files_per_batch: int = 100, buckets: int = BUCKETS
+) -> None:
     """Merge all files of ``folder`` that weren't merged yet into the table ``store`` and stop.
 
-    No watermark: how late an observation may come is unbounded, and ranks settle what wins. Version k of the table
-    is written by batch k - 1 into a folder of its own from version k - 1, so a batch that is run again after a
-    failure writes the same version again. ``prepare`` turns raw rows into observations with id, source and seq.
+    No watermark: how late an observation may come is unbounded, and ranks settle what wins. Ids are dealt to buckets by
+    a hash. Batch k reads and rewrites the buckets that its rows touch, in a folder of its own, and then publishes a
+    version that lists every bucket's newest folder. A batch that failed before that is done again from the start, and one that was
+    published is skipped. ``prepare`` turns raw rows into observations with id, source and seq.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        incoming = prepare(batch)
-        old = spark.read.parquet(f"{store}/v{number}") if number else spark.createDataFrame([], incoming.schema)
-        merge_append_only(old, incoming).drop(*COLUMNS_NOT_STORED).write.mode("overwrite").parquet(f"{store}/v{number + 1}")
+        if versions.newest_version(spark, store) > number:  # this batch was published
+            return
+        found = versions.read_version(spark, store) or {"buckets": buckets, "of": {}, "columns": None}
+        bucket = F.pmod(F.xxhash64("id"), F.lit(found["buckets"])).cast("int")
+        incoming = stored(prepare(batch).withColumn("_bucket", bucket), "batch")
+        touched = sorted(r["_bucket"] for r in incoming.select("_bucket").distinct().collect())  # at most as many as there are buckets
+        paths = [found["of"][str(b)] for b in touched if str(b) in found["of"]]
+        incoming = incoming.drop("_bucket")
+        old = spark.read.schema(T.StructType.fromJson(found["columns"])).parquet(*paths) if paths else spark.createDataFrame([], incoming.schema)
+        merged = merge_append_only(old, incoming).drop(*COLUMNS_NOT_STORED)
+        merged.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{store}/batch-{number}")
+        of = found["of"] | {str(b): f"{store}/batch-{number}/_bucket={b}" for b in touched}
+        versions.publish_version(spark, store, number + 1, {"buckets": found["buckets"], "of": of, "columns": merged.schema.jsonValue()})
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     query = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -31,7 +49,8 @@ def stream_merge(spark: SparkSession, folder: str, schema: T.StructType, store:
 
 
 def newest(spark: SparkSession, store: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName()[1:]) for s in fs.listStatus(path)]
-    return spark.read.parquet(f"{store}/v{max(versions)}")
+    """The archive as of the last batch that was finished."""
+    found = versions.read_version(spark, store)
+    if not found or not found["of"]:
+        raise FileNotFoundError(f"nothing is stored at {store}")
+    return spark.read.schema(T.StructType.fromJson(found["columns"])).parquet(*(found["of"][b] for b in sorted(found["of"], key=int)))

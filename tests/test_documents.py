@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+from pathlib import Path
 import math
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marshlight.functions import geo
 from marshlight.operators import export
-from marshlight.sources import archive, html, kml
+from marshlight.sources import archive, versions, html, kml
 
 HEAD = "Ground spraying for adult insect control using Dibrom® is scheduled for the evening of Friday, July 24, 2026, between 8:40&nbsp;p.m. and 10:00 p.m."
 
@@ -187,10 +188,70 @@ def test_geojson(spark, tmp_path, archive_tables):
     assert json.loads(joined(tmp_path / "none", None)) == {"type": "FeatureCollection", "features": []}
 
 
+def test_geojson_with_repeated_ids(spark, tmp_path, archive_tables):
+    """A last row that is there three times still gives a document."""
+    ops, shapes = archive_tables
+    export.write_geojson(ops.union(ops).union(ops.filter("mid = 'm'")), shapes, str(tmp_path / "g"))
+    assert len(json.loads(joined(tmp_path / "g", None))["features"]) == 6
+
+
 def test_write_if_changed(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, at string")
     path = str(tmp_path / "t")
     assert export.write_if_changed(rows, path, ("at",))
+    before = versions.current_table(spark, path)
     assert not export.write_if_changed(rows.orderBy(F.desc("id")).withColumn("at", F.lit("later")), path, ("at",))
-    assert export.write_if_changed(rows.union(rows), path, ("at",)) and spark.read.parquet(path).count() == 4
+    assert export.write_if_changed(rows.union(rows), path, ("at",)) and versions.current_table(spark, path).count() == 4
+    assert before.count() == 2  # an open reader keeps what it read
+    assert versions.forget_versions(spark, path) == 1 and versions.current_table(spark, path).count() == 4
     assert export.seed_missing(spark, str(tmp_path), str(tmp_path / "new"), ("t",)) == 1 and export.seed_missing(spark, str(tmp_path), str(tmp_path / "new"), ("t",)) == 0
+    assert versions.current_table(spark, str(tmp_path / "new/t")).count() == 4
+
+
+def test_versions_are_exclusive(spark, tmp_path):
+    path = str(tmp_path / "v")
+    versions.replace_folder(spark, path, lambda folder: spark.range(1).write.parquet(folder))
+    with pytest.raises(versions.ConflictError):
+        versions.publish_version(spark, path, 1, {"folder": "other"})
+    with pytest.raises(ZeroDivisionError):  # a writer that dies leaves the old folder current
+        versions.replace_folder(spark, path, lambda folder: 1 / 0)
+    assert versions.current_table(spark, path).count() == 1
+    with pytest.raises(FileNotFoundError):
+        versions.current_table(spark, str(tmp_path / "none"))
+
+
+def test_archive_documents(spark, tmp_path, archive_tables):
+    """Written, read and compared; the parts are a JSON document in order; only the clock changes nothing."""
+    ops, path = archive_tables[0], str(tmp_path / "ops")
+    assert export.write_operations(ops, path, "t1") and not export.write_operations(ops.orderBy(F.desc("id")), path, "t2")
+    doc = json.loads(joined(Path(versions.current_folder(spark, path)), None))
+    assert doc["generated_at"] == "t1" and [o["id"] for o in doc["operations"]] == ["2026-01-01|m", "2026-01-02|m", "2026-01-03|none"]
+    assert list(doc["operations"][0]) == sorted(doc["operations"][0]) and doc["operations"][0]["period"] is None
+    assert sorted(map(tuple, archive.load_operations(spark, path).select("id", "area_name", "status").collect())) == sorted(map(tuple, ops.select("id", "area_name", "status").collect()))
+    assert export.write_operations(ops.filter("mid = 'm'"), path, "t3") and archive.load_operations(spark, path).count() == 2
+    shapes = archive_tables[1].withColumns({"geom_type": F.lit("Polygon"), "doc_name": F.lit('é "x",')})
+    path = str(tmp_path / "shapes")
+    assert export.write_shapes(shapes, path) and not export.write_shapes(shapes, path)
+    assert [(r.mid, r.doc_name, len(r.polygons)) for r in archive.load_shapes(spark, path).collect()] == [("m", 'é "x",', 1)]
+    path = str(tmp_path / "none")
+    assert export.write_operations(ops.limit(0), path, "t") and archive.load_operations(spark, path).count() == 0
+
+
+def test_small_documents(spark, tmp_path):
+    path = str(tmp_path / "m")
+    assert export.write_json({"b": [1], "a": "é", "generated_at": "1"}, spark, path) and not export.write_json({"b": [1], "a": "é", "generated_at": "2"}, spark, path)
+    assert joined(Path(versions.current_folder(spark, path)), None) == '{\n  "a": "é",\n  "b": [\n    1\n  ],\n  "generated_at": "1"\n}\n'
+    assert export.write_json({"b": [2]}, spark, path) and export.read_json(spark, path) == {"b": [2]} and export.read_json(spark, str(tmp_path / "none")) is None
+
+
+def test_lenient_reader(spark, tmp_path):
+    (tmp_path / "bad").write_text("{broken")
+    assert archive.load_operations(spark, str(tmp_path / "bad"), lenient=True).count() == 0
+    with pytest.raises(Exception):  # noqa: B017
+        archive.load_operations(spark, str(tmp_path / "bad")).count()
+
+
+def test_decode(spark):
+    rows = [("é".encode(), None, "é"), ("é".encode("latin-1"), "text/html", "é"), ("é".encode("latin-1"), "text/html; charset=ISO-8859-1", "é"), (b"a\xff", 'text/html; Charset="utf-8"', "a�"), ("é".encode(), "x; charset=klingon", "é")]
+    got = spark.createDataFrame(rows, "content binary, kind string, want string").select(archive.decode(F.col("content"), F.col("kind")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got), got

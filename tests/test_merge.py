@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marshlight.functions import constants as K
 from marshlight.operators import merge, quality, timeline
 from marshlight.plans import pipeline
+from marshlight.sources import versions
 from marshlight.streaming.merge import newest, stream_merge
 
 FIELDS = ["id", "status", "status_text", "section", "source", "method", "products", "date", "mid", "first_seen", "seq"]
@@ -143,6 +144,32 @@ def test_stream_equals_batch(spark, tmp_path):
     assert newest(spark, str(tmp_path / "store")).count() == len(got)
 
 
+def test_stream_touches_few_buckets(spark, tmp_path):
+    """A batch rewrites the buckets of its ids only; an unfinished folder is never read; a published batch isn't done twice."""
+    rows = [observation(k) for k in range(60)]
+    frame(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = str(tmp_path / "store")
+    run = lambda: stream_merge(spark, str(tmp_path / "in"), frame(spark, rows).schema, store, str(tmp_path / "state"), lambda d: d, buckets=8)
+    run()
+    before = versions.read_version(spark, store)["of"]
+    count = newest(spark, store).count()
+    frame(spark, rows[:1]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    after = versions.read_version(spark, store)["of"]
+    assert sum(before[b] != after[b] for b in before) == 1 and newest(spark, store).count() == count
+    frame(spark, rows).write.parquet(f"{store}/batch-9/_bucket=1")
+    assert newest(spark, store).count() == count
+    with pytest.raises(FileNotFoundError):
+        newest(spark, str(tmp_path / "none"))
+
+
+def test_captures_of_many_days(spark):
+    """A chain in which each day's first digest is the one that the day before took."""
+    rows = [(f"2020{m:02d}{d:02d}0{h}0000", "200", f"g{k + h}", 2 * k + h) for k, (m, d) in enumerate((m, d) for m in range(1, 13) for d in range(1, 11)) for h in (0, 1)]
+    got = merge.capture_reasons(spark.createDataFrame(rows, "ts string, statuscode string, digest string, ord long"), F.lit(""))
+    assert {r.ord: r.reason for r in got.collect()} == greedy(rows, "")
+
+
 def clean_archive(spark):
     rows = [(f"2020-05-0{k}|m{k}", f"2020-05-0{k}", "ground", "adult", ["Dibrom"], "A", f"m{k}", "u", "complete", "past", "live", "t") for k in range(1, 6)]
     return spark.createDataFrame(rows, "id string, date string, method string, target string, products array<string>, area_name string, mid string, map_url string, status string, section string, source string, first_seen string")
@@ -199,6 +226,33 @@ def test_area_median(spark):
     assert tuple(quality.area_stats(rows).first()) == (1.0, 3.0, 4.0)
 
 
+def test_area_median_of_many(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEW", 20)
+    random.seed(3)
+    for values in ([random.expovariate(1) for _ in range(501)], [random.choice([1e-9, 2.0, 2.0, 1e9]) for _ in range(400)], [7.0] * 50):
+        got = quality.area_stats(spark.createDataFrame([(x,) for x in values], "area_sq_km double")).first()
+        assert tuple(got) == (min(values), sorted(values)[len(values) // 2], max(values))
+    assert tuple(quality.area_stats(spark.createDataFrame([], "area_sq_km double")).first()) == (None, None, None)
+
+
+def test_samples(spark):
+    rows = spark.createDataFrame([(f"c{k % 2}", f"v{k % 37:02d}") for k in range(300)] + [("c0", None)], "c string, v string")
+    got = {r["check"]: r["sample"] for r in quality.samples(rows.filter("v is not null"), F.col("c"), F.col("v"), 3).collect()}
+    assert got == {"c0": ["v00", "v01", "v02"], "c1": ["v00", "v01", "v02"]}
+
+
+def test_carry_forward_over_blocks(spark):
+    """One partition with most rows, which lie in several blocks."""
+    random.seed(5)
+    rows = [("hot" if k % 8 else f"u{k}", k, random.choice([None, None, None, "a", "b"])) for k in range(400)]
+    last, want = {}, []
+    for user, k, value in rows:
+        last[user] = value or last.get(user)
+        want.append((user, k, last[user]))
+    got = timeline.carry_forward(spark.createDataFrame(rows, "user string, pos int, value string").repartition(5), ["user"], ["pos"], "value").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
 def test_timeline(spark):
     days = timeline.per_day(spark.createDataFrame([("2020-01-01",), ("2020-01-01",), ("2020-01-02",), ("2020-01-05",), (None,)], "d string"), "d")
     text = lambda df: [tuple(str(v) for v in r) for r in df.orderBy("d").collect()]
@@ -220,3 +274,61 @@ def test_refresh(spark):
     rows = {r.mid: r for r in merged.collect()}
     assert len(rows) == 7 and rows["a"].status == "complete" and rows["a"].source == "live" and rows["b"].source.startswith("wayback:")
     assert sum(r.n for r in rejected.collect()) == 1
+
+
+def test_flags():
+    assert pipeline.Flags(backfill_limit=3).backfill and not pipeline.Flags().backfill
+    for bad in ({"shapes_only": True, "no_shapes": True}, {"shapes_only": True, "backfill": True}, {"shapes_only": True, "backfill_limit": 1}):
+        with pytest.raises(ValueError):
+            pipeline.Flags(**bad)
+
+
+def test_whole_run(spark, tmp_path):
+    """Stages fail one by one, an archive that can't be read is left alone, and a second run changes nothing."""
+    from test_documents import area, operation, page
+
+    from marshlight.operators import export
+    from marshlight.sources import archive
+
+    shown = lambda source, html: spark.createDataFrame([(source, 0, html)], "source string, page_ord int, html string")
+    live = lambda: shown("live", page(operation(area(mid="a")), operation(area(mid="b"))))
+    old = lambda _: shown("wayback:20260701000000", page(operation(area(mid="c"))))
+    ring = "<Polygon><outerBoundaryIs><LinearRing><coordinates>-121,37.5 -120.9,37.5 -120.9,37.6 -121,37.5</coordinates></LinearRing></outerBoundaryIs></Polygon>"
+    kml = lambda: spark.createDataFrame([("a", f"<kml><Document><name>D4</name>{ring}</Document></kml>"), ("b", "<kml/>")], "mid string, xml string")
+
+    def broken(*_):
+        raise OSError("no answer")
+
+    folder = str(tmp_path / "archive")
+    out, good = pipeline.run(spark, folder, broken, old, kml, "t0")
+    assert not good and out["total_ops"] == 0 and out["sources"]["wayback"]["status"] == "skipped" and out["errors"] == ["live: OSError: no answer"]
+    out, good = pipeline.run(spark, folder, live, old, kml, "t1", pipeline.Flags(backfill=True))
+    assert good and (out["page_ops"], out["new_ops"], out["total_ops"], out["total_shapes"], out["new_shapes"], out["shape_failures"]) == (2, 3, 3, 1, 1, 2)
+    assert out["sources"]["shapes"]["failed_mids"] == ["b", "c"] and out["sources"]["live"]["unique_mids"] == 2 and not out["errors"]
+    assert archive.load_operations(spark, f"{folder}/operations").count() == 3 and archive.load_shapes(spark, f"{folder}/shapes").count() == 1
+    assert export.read_json(spark, f"{folder}/manifest")["generated_at"] == "t1"
+    out, good = pipeline.run(spark, folder, live, broken, broken, "t2", pipeline.Flags(backfill=True))
+    assert good and out["new_ops"] == 0 and len(out["errors"]) == 2 and out["total_shapes"] == 1
+    assert archive.load_operations(spark, f"{folder}/operations").filter("first_seen = 't1'").count() == 3
+    kept = versions.newest_version(spark, f"{folder}/operations")
+    out, good = pipeline.run(spark, folder, live, old, kml, "t3", pipeline.Flags(shapes_only=True, dry_run=True))
+    assert good and not out["archive_written"] and versions.newest_version(spark, f"{folder}/operations") == kept
+    export.write_json({"operations": 3}, spark, f"{folder}/operations")  # damage it
+    out, good = pipeline.run(spark, folder, live, old, kml, "t4")
+    assert not good and not out["archive_written"] and export.read_json(spark, f"{folder}/operations") == {"operations": 3}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from marshlight import session
+
+    class Context:
+        applicationId, master, getCheckpointDir = "app-x", "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_dir(Session(), "x")
+    monkeypatch.setattr(Context, "getCheckpointDir", staticmethod(lambda: "hdfs://shared/c"))
+    assert session.scratch_dir(Session(), "x").startswith("hdfs://shared/c/x-")
