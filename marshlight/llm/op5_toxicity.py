@@ -16,8 +16,8 @@ from marshlight.llm.common import map_arrow, mix64, table, text_chunks
 from marshlight.llm.learning import append_score, calibrate, fold, sigmoid, training_sample
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-#: Subsequences of 3, 4 and 5 symbols whose span is at most 5, 6 and 6: so many inserted symbols are forgiven.
-ORDERS = {3: 5, 4: 6, 5: 6}
+#: Subsequences of 3, 4 and 5 symbols whose span is at most 5, 5 and 6: so many inserted symbols are forgiven.
+ORDERS = {3: 5, 4: 5, 5: 6}
 DECAY = 0.5
 LANDMARKS, HARD_NEGATIVES, ROUNDS = 160, 12_000, 3
 #: Lengths of the runs of symbols whose odds begin the training; those of one length may go on from word to word.
@@ -25,7 +25,7 @@ RUNS, PHRASE_RUN = (4, 6, 8, 12), 12
 #: Units that landmarks are chosen from, and units that one step of the arithmetic holds: fixed, so memory is bounded.
 POOL, BLOCK = 400, 16_384
 #: Bytes of text that are cut into units at once, and symbols that one step of the scoring holds.
-CHUNK, STEP = 1 << 19, 1 << 15
+CHUNK, STEP = 1 << 19, 1 << 14
 #: A unit is a word, or up to so many neighbouring words of so many symbols together.
 PHRASE_WORDS, PHRASE_SYMBOLS = 3, 26
 #: Longer words are searched in pieces of so many letters, every so many letters, for parts of these sizes that count as if
@@ -176,10 +176,11 @@ def _blocks(n: int) -> Iterator[slice]:
 
 def norms(lengths: np.ndarray) -> np.ndarray:
     """Root of the summed squared weights of a unit's subsequences: the kernel is divided by both units' norms."""
-    total = np.zeros(len(lengths))
+    most = int(lengths.max(initial=0)) if len(lengths) else 0
+    total = np.zeros(most + 1)
     for pattern in _PATTERNS:
-        total += np.maximum(lengths - pattern[-1], 0) * DECAY ** (2 * (pattern[-1] + 1))
-    return np.sqrt(np.maximum(total, 1e-12))
+        total += np.maximum(np.arange(most + 1) - pattern[-1], 0) * DECAY ** (2 * (pattern[-1] + 1))
+    return np.sqrt(np.maximum(total, 1e-12))[lengths]
 
 
 class Weights:
@@ -204,9 +205,9 @@ class Weights:
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of features that have a weight, weights)."""
         slot = (key >> np.uint64(_SHIFTS[0])).view(np.int64)
-        at = np.flatnonzero(self.seen[slot])
-        own, slot, (keys, values) = key[at], slot[at], self.tables[0]
-        hit, value = keys[slot] == own, values[slot]
+        at = np.flatnonzero(self.seen.take(slot))
+        own, slot, (keys, values) = key.take(at), slot.take(at), self.tables[0]
+        hit, value = keys.take(slot) == own, values.take(slot)
         miss = np.flatnonzero(~hit)
         if len(miss):
             keys, values = self.tables[1]
