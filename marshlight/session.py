@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 _folders: dict[str, str] = {}
+_made: list[str] = []
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -57,7 +58,23 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="marshlight-")
         spark.sparkContext.setCheckpointDir(base)
     _folders.setdefault(context.applicationId, base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def scratch_mark() -> int:
+    """How many scratch folders were made so far; what is made later can be dropped by ``drop_scratch``."""
+    return len(_made)
+
+
+def drop_scratch(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete the scratch folders that were made since ``mark``, but those that ``keep`` is read from. Nothing else may read them any more."""
+    held = {f.split("//")[-1].lstrip("/") for f in keep.inputFiles()}
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    for path in _made[mark:]:
+        plain = path.split("//")[-1].split(":", 1)[-1].lstrip("/")
+        if not any(plain in f for f in held):
+            make(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(make(path), True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -318,6 +318,18 @@ def test_whole_run(spark, tmp_path):
     assert not good and not out["archive_written"] and export.read_json(spark, f"{folder}/operations") == {"operations": 3}
 
 
+def test_scratch_is_dropped(spark):
+    from marshlight.session import drop_scratch, scratch_mark, stored
+
+    before = stored(spark.range(3), "before")
+    mark = scratch_mark()
+    between = stored(spark.range(4), "between")
+    out = stored(between.filter("id > 0"), "out")
+    drop_scratch(spark, mark, out)
+    assert out.count() == 3 and before.count() == 3
+    assert not versions.exists(spark, between.inputFiles()[0])
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
     from marshlight import session
 
