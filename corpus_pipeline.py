@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from marshlight.llm import op1_line_dedup, op2_near_dedup, op3_packing, op5_toxicity, op6_quality
 from marshlight.llm.common import free_name, stored, table
-from marshlight.session import ship_package
+from marshlight.session import drop_scratch, scratch_mark, ship_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written to the shared folder and read again."""
+    """All stages over the documents; each result is written to the shared folder and read again. What a stage left there
+    on its way is deleted when its result is written, and that when the next one's is."""
     ship_package(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        drop_scratch(spark, mark, docs)
     return docs

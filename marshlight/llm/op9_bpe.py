@@ -51,7 +51,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame, most: int = LEXICON_WORDS) -> list[bytes]:
-    """At most ``most`` words: all that occur so often that no more than ``most`` occur as often.
+    """At most ``most`` words: all that occur so often that no more than ``most`` occur as often, or some of the most frequent
+    where more than ``most`` are about as frequent. Which words are in it changes no result.
 
     The limit is found from a histogram over sixteenths of powers of two (at most 1,024 rows), so neither a global sort
     nor a task of all words is needed.
@@ -64,7 +65,10 @@ def frequent_words(counts: DataFrame, most: int = LEXICON_WORDS) -> list[bytes]:
         if held > most:
             break
         least = r["step"]
-    return [] if least is None else [bytes(r["word"]) for r in counts.filter(F.floor(F.log2("n") * 16) >= least).select("word").collect()]
+    if least is None:
+        top = counts.agg(F.max(step).alias("top")).first()["top"]
+        return [] if top is None else [bytes(r["word"]) for r in counts.filter(step == top).select("word").limit(most).collect()]
+    return [bytes(r["word"]) for r in counts.filter(F.floor(F.log2("n") * 16) >= least).select("word").collect()]
 
 
 def build_lexicon(words: list[bytes], tokenizer: str) -> Lexicon:

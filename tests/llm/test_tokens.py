@@ -233,6 +233,11 @@ def test_word_counts_cover_everything(spark, docs):
     assert len(words) <= 10 and b" b" in words
 
 
+def test_equally_frequent_words(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(100)))], "doc_id long, text string")
+    assert len(bpe_queries.frequent_words(bpe_queries.word_counts(docs), 5)) == 5
+
+
 def test_digests(spark, docs, library, tmp_path):
     docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     for r in bpe_queries.op9_bpe(spark, str(tmp_path)).collect():
