@@ -11,7 +11,7 @@ import functools
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -289,7 +289,11 @@ class Lexicon:
         )
 
     def save(self, path: str) -> None:
-        """One file: a line of JSON with the parts' types, sizes and places, then the arrays."""
+        with open(path, "wb") as f:
+            f.writelines(self.blocks())
+
+    def blocks(self) -> Iterator[bytes]:
+        """The content of the file: a line of JSON with the parts' types, sizes and places, then the arrays."""
         parts = {k: np.ascontiguousarray(getattr(self, k)) for k in self.PARTS}
         at, head = 0, {}
         for k, v in parts.items():
@@ -297,10 +301,9 @@ class Lexicon:
             at += -(-v.nbytes // 8) * 8
         line = json.dumps(head).encode()
         line += b" " * (-(len(line) + 1) % 8) + b"\n"
-        with open(path, "wb") as f:
-            f.write(line)
-            for v in parts.values():
-                f.write(v.tobytes() + b"\0" * (-v.nbytes % 8))
+        yield line
+        for v in parts.values():
+            yield v.tobytes() + b"\0" * (-v.nbytes % 8)
 
     @staticmethod
     def load(path: str) -> Lexicon:

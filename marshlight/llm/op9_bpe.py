@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marshlight.llm.bpe import Lexicon, default_tokenizer, distinct_words, encoder, pre_tokens, vocabulary
-from marshlight.llm.common import doc_columns, map_arrow, padded, span_hashes, stored, table, text_chunks
+from marshlight.llm.common import doc_columns, map_arrow, padded, scratch_dir, span_hashes, stored, table, text_chunks
 
 #: Bound on the lexicon; the most frequent words of all documents are in it.
 LEXICON_WORDS = 65_536
@@ -80,15 +78,16 @@ def build_lexicon(words: list[bytes], tokenizer: str) -> Lexicon:
 
 
 def share_lexicon(spark: SparkSession, lexicon: Lexicon) -> str:
-    """Ship a lexicon's file to every executor, once each; returns its name there.
-
-    The driver keeps its copy: executors that start later fetch it from there.
-    """
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = f"{tempfile.mkdtemp(prefix='marshlight-')}/{name}"
-    lexicon.save(path)
+    """Put a lexicon's file into the shared folder, from which every executor, early or late, fetches it once; returns its name there."""
+    path = f"{scratch_dir(spark, 'lexicon')}.bin"
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    stream = make(path).getFileSystem(spark._jsc.hadoopConfiguration()).create(make(path), False)
+    for block in lexicon.blocks():
+        for k in range(0, len(block), 1 << 20):
+            stream.write(bytearray(block[k : k + (1 << 20)]))
+    stream.close()
     spark.sparkContext.addFile(path)
-    return name
+    return path.rsplit("/", 1)[-1]
 
 
 def _digest(tokenizer: str, lexicon: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
