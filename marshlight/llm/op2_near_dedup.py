@@ -22,7 +22,7 @@ ESTIMATED_SIZE, ESTIMATE = 256, 0.5
 #: Fixed bound on the ids that are broadcast to pick the texts to compare; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 300_000
 #: Pairs of a centre that go to one task with a copy of its text.
-MEMBERS = 4_096
+MEMBERS = 512
 SKETCH = "doc_id long, n_shingles long, set1 long, set2 long, registers binary, bands array<long>"
 
 _PROBES = np.random.default_rng(7).integers(0, BUCKETS, size=(1024, BUCKETS))
