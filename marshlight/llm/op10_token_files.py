@@ -16,6 +16,8 @@ from marshlight.llm.common import doc_columns, map_arrow, parallelism, scratch_d
 END_ID = 2
 #: Bytes of text that a file holds at least and at most, about.
 SMALL_FILE, LARGE_FILE = 8 << 20, 256 << 20
+#: Fixed bound on the files whose running totals are broadcast, a row each.
+BROADCAST_FILES = 1_000_000
 SCHEMA = "doc_id long, n_tokens long, start_in_file long, ids array<int>"
 
 
@@ -77,6 +79,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(SCHEMA).parquet(path).withColumn("part", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int"))
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = F.broadcast(before) if len(rows.inputFiles()) <= BROADCAST_FILES else before
     return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
