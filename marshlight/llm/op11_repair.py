@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marshlight.llm.common import map_arrow, stored, table
-from marshlight.llm.turns import in_order, ordered_sha256, turn_digest
+from marshlight.llm.turns import in_order, order_columns, ordered_sha256
 
 #: Rows and characters of a segment: a conversation of more is repaired in pieces, which are put together after that.
 SEGMENT_ROWS, SEGMENT_CHARS = 1024, 2 << 20
@@ -296,7 +296,7 @@ def repair(rows: DataFrame, segment_rows: int = SEGMENT_ROWS, segment_chars: int
                         F.coalesce(F.col("text").cast("string"), F.lit(" ")).alias("text"), F.coalesce(F.col("alive"), F.lit(True)).alias("alive"))
     end = F.rtrim(F.col("text"), F.lit(BLANKS))
     fault = F.when(end == "", "blank").when(~F.substring(end, -1, 1).isin(".", "!", "?"), "truncated")
-    keyed = given.withColumns({"fault": fault, "who": turn_digest()})
+    keyed = given.withColumns({"fault": fault} | order_columns())
     place = F.struct(F.col("turn").isNotNull().alias("given"), F.col("turn"))
     seen = keyed.filter("alive and not fault <=> 'blank'").groupBy("conv_id", "who").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     seen = seen.select(F.col("conv_id").alias("c"), F.col("who").alias("w"), "first")

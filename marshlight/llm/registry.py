@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marshlight.llm import op1_line_dedup, op4_sharding, op7_exact_dedup, op8_top_k, op11_repair
+from marshlight.llm import op1_line_dedup, op4_sharding, op7_exact_dedup, op8_top_k, op11_repair, op12_trie
 from marshlight.llm.op2_near_dedup import op2_near_dedup
 from marshlight.llm.op3_packing import op3_packing
 from marshlight.llm.op5_toxicity import op5_toxicity
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe": op9_bpe,
         "op10_token_files": op10_token_files,
         "op11_repair": op11_repair.op11_repair,
+        "op12_trie": op12_trie.op12_trie,
     }
 
 
@@ -38,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": op7_exact_dedup.ORACLE,
         "op8_top_k": op8_top_k.ORACLE,
         "op11_repair": op11_repair.ORACLE,
+        "op12_trie": op12_trie.ORACLE,
     }

@@ -19,21 +19,18 @@ from marshlight.llm.common import map_arrow, parallelism, stored
 
 #: Characters of role and text that order rows of one turn; a digest of both decides behind them, so range bounds stay small.
 ORDER_CHARS = 64
-#: Rows of a task of the ordered table. Long tables get more tasks, as many as it takes.
-TASK_ROWS = 250_000
 ORDER = ("conv_id", "turn", "role_order", "text_order", "who")
 
 
-def turn_digest() -> Column:
-    """SHA-256 of role and text."""
-    return F.unhex(F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256))
+def order_columns() -> dict[str, Column]:
+    """What orders the rows of a turn: the heads of role and text, and ``who``, the SHA-256 of both in hex."""
+    who = F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)
+    return {"role_order": F.substring("role", 1, ORDER_CHARS), "text_order": F.substring("text", 1, ORDER_CHARS), "who": who}
 
 
 def in_order(rows: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Rows with ``who`` (the digest above) in tasks by ranges of their order: conv_id, turn (nulls first), role, text."""
-    keyed = rows.withColumns({"role_order": F.substring("role", 1, ORDER_CHARS), "text_order": F.substring("text", 1, ORDER_CHARS)})
-    tasks = tasks or parallelism(rows.sparkSession)
-    return keyed.repartitionByRange(tasks, *ORDER).sortWithinPartitions(*ORDER).drop("role_order", "text_order")
+    """Rows with the columns above in tasks by ranges of their order: conv_id, turn (nulls first), role, text."""
+    return rows.repartitionByRange(tasks or parallelism(rows.sparkSession), *ORDER).sortWithinPartitions(*ORDER).drop("role_order", "text_order")
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
