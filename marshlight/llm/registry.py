@@ -13,6 +13,7 @@ from marshlight.llm.op5_toxicity import op5_toxicity
 from marshlight.llm.op6_quality import op6_quality
 from marshlight.llm.op9_bpe import op9_bpe
 from marshlight.llm.op10_token_files import op10_token_files
+from marshlight.llm.op13_language import op13_language
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_files": op10_token_files,
         "op11_repair": op11_repair.op11_repair,
         "op12_trie": op12_trie.op12_trie,
+        "op13_language": op13_language,
     }
 
 
