@@ -18,8 +18,8 @@ BROADCAST_DOCS, BROADCAST_PLACES = 300_000, 2_000_000
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, h1, h2): a 128-bit hash of the lines pos, pos + 1 and pos + 2 of each text; windows of empty lines only are left out."""
-    lines = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.split("text", "\n").alias("lines"))
+    """(doc_id, row, pos, h1, h2): a 128-bit hash of the lines pos, pos + 1 and pos + 2 of each text; windows of empty lines only are left out."""
+    lines = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "row", F.split("text", "\n").alias("lines"))
     many = lines.filter(F.size("lines") >= WINDOW)
 
     def window(i: F.Column) -> F.Column:
@@ -27,16 +27,16 @@ def windows(docs: DataFrame) -> DataFrame:
         empty = (F.length(a) + F.length(b) + F.length(c)) == 0
         return F.struct(i.alias("pos"), F.xxhash64(a, b, c).alias("h1"), F.xxhash64(c, F.lit(1), b, a).alias("h2"), empty.alias("empty"))
 
-    found = many.select("doc_id", F.inline(F.transform(F.sequence(F.lit(0), F.size("lines") - WINDOW), window)))
+    found = many.select("doc_id", "row", F.inline(F.transform(F.sequence(F.lit(0), F.size("lines") - WINDOW), window)))
     return found.filter("not empty").drop("empty")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): the first lines of each document's windows that occur earlier, in (doc_id, position) order."""
-    found = windows(docs)
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, ["h1", "h2"]).filter(F.struct("doc_id", "pos") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("removed"))
+    """(doc_id, row, removed) of rows (doc_id, row, text): the first lines of each row's windows that occur earlier, in (doc_id, row, position) order."""
+    found, place = windows(docs), F.struct("doc_id", "row", "pos")
+    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = found.join(first, ["h1", "h2"]).filter(place > F.col("first"))
+    return later.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("removed"))
 
 
 def _remove(marks: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -68,21 +68,27 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """Remove later occurrences of repeated three-line windows; adds n_lines and n_removed to the columns of ``docs``.
 
     A window is three consecutive lines of a text, cut at line feeds, and equals another when all three lines are
-    identical. Of each window the occurrence with the smallest (doc_id, position) stays; the lines that the others
+    identical. Of each window the occurrence with the smallest (doc_id, row, position) stays; the lines that the others
     cover are removed, overlapping windows together. Texts of fewer than three lines lose nothing. Null texts stay null
-    (no lines); windows of empty lines only don't count; rows with a null doc_id stay as they are; rows that repeat a
-    doc_id count as one place. Columns called n_lines or n_removed in ``docs`` are replaced, all others stay.
+    (no lines); windows of empty lines only don't count; rows with a null doc_id stay as they are. Rows that share a
+    doc_id are texts of their own, in the order in which Spark reads them, so of equal rows the first keeps its lines.
+    Columns called n_lines or n_removed in ``docs`` are replaced, all others stay.
 
     Only hashes and positions are shuffled to find the windows: each task keeps the smallest place of a window before
     the shuffle, and the join back can be split where one window is in most documents. What is to be removed is broadcast
-    while it is within fixed bounds, so that no text moves; beyond them the texts are joined by a shuffle.
+    while it is within fixed bounds, so that no text moves; beyond them the texts are joined by a shuffle. A table in which
+    a doc_id repeats is written once with a number for each row; in others doc_id names the row.
     """
     docs = docs.drop("n_lines", "n_removed")
-    marks, key = free_name(docs, "removed"), free_name(docs, "removed_doc")
-    removed = stored(repeated_lines(docs).select(F.col("doc_id").alias(key), F.col("removed").alias(marks)), "removed-lines")
+    row, marks, key, key_row = (free_name(docs, n) for n in ("row", "removed", "removed_doc", "removed_row"))
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    numbered = docs.withColumn(row, F.lit(0).cast("long")) if repeated.isEmpty() else stored(docs.withColumn(row, F.monotonically_increasing_id()), "line-rows")
+    found = repeated_lines(numbered.select("doc_id", F.col(row).alias("row"), "text"))
+    removed = stored(found.select(F.col("doc_id").alias(key), F.col("row").alias(key_row), F.col("removed").alias(marks)), "removed-lines")
     size = removed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(marks)), F.lit(0)).alias("places")).first()
     small = size["rows"] <= BROADCAST_DOCS and size["places"] <= BROADCAST_PLACES
-    joined = docs.join(F.broadcast(removed) if small else removed, docs["doc_id"] == removed[key], "left").drop(key)
+    same = (numbered["doc_id"] == removed[key]) & (numbered[row] == removed[key_row])
+    joined = numbered.join(F.broadcast(removed) if small else removed, same, "left").drop(key, key_row, row)
     schema = joined.drop(marks).withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     for field in schema:
         field.nullable = True
