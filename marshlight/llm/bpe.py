@@ -42,6 +42,17 @@ def _classes() -> np.ndarray:
     return out
 
 
+def valid_utf8(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts with U+FFFD in place of what isn't UTF-8; the same arrays where all is."""
+    raw = data.tobytes()
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        texts = [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    return data, offsets
+
+
 def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, in bytes, of the pattern's pre-tokens in valid UTF-8; texts never share one."""
     if not len(data):
@@ -420,13 +431,8 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts given as UTF-8 and row offsets: (number of ids of each text, all ids). Special tokens' strings in a text become their ids."""
+        data, offsets = valid_utf8(data, offsets)
         raw = data.tobytes()
-        try:
-            raw.decode("utf-8")
-        except UnicodeDecodeError:
-            texts = [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            raw = b"".join(texts)
-            data, offsets = np.frombuffer(raw, np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
         specials = []  # (start, end, id) of special tokens' strings inside one text
         for string, number in self.vocabulary.special.items():
             at = raw.find(string)

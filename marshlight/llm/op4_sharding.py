@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marshlight.llm.common import scratch_dir, table
+from marshlight.llm.common import free_name, scratch_dir, table
 
 ARRIVALS = 6
-_COLUMN = "_arrival"
 
 
 @dataclass(frozen=True)
@@ -121,10 +120,9 @@ class ShardStore:
     def append_arrivals(self, rows: DataFrame, arrival: F.Column, compact: bool = True) -> int:
         """Append several arrivals that come in one table: one pass writes them apart, then each gets a version of its own,
         in the order of their numbers, followed by the compaction that it makes due."""
-        rows = rows.drop(_COLUMN)
         schema = merged_schema(self.manifest()[1], rows.schema)
-        folder = f"{self.path}/data/append-{uuid.uuid4().hex}"
-        rows.withColumn(_COLUMN, arrival.cast("int")).write.partitionBy(_COLUMN).parquet(folder)
+        folder, column = f"{self.path}/data/append-{uuid.uuid4().hex}", free_name(rows, "_arrival")
+        rows.withColumn(column, arrival.cast("int")).write.partitionBy(column).parquet(folder)
         by_arrival: dict[str, list[Shard]] = defaultdict(list)
         for shard in self._files(folder):
             by_arrival[shard.path.rsplit("/", 2)[1]].append(shard)
@@ -188,7 +186,7 @@ class ShardStore:
 def shard_documents(docs: DataFrame, path: str, arrivals: int = ARRIVALS, **options: int) -> ShardStore:
     """Store documents as ``arrivals`` deliveries (doc_id modulo their number; null ids in the first), compacting as they come.
 
-    Every row is stored once with all its columns (but one called _arrival), repeated rows and null or empty texts too.
+    Every row is stored once with all its columns, repeated rows and null or empty texts too.
     An empty table gives a version without shards that reads as an empty table.
     """
     store = ShardStore(docs.sparkSession, path, **options)

@@ -12,8 +12,8 @@ from marshlight.llm.common import LOWER_ASCII, UPPER_ASCII, doc_columns, mix64,
 #: Distinct digests of one index shard; fixed, so that building or probing a shard takes bounded memory.
 SHARD_DIGESTS = 100_000
 _LEVELS, _SPREAD = 40, 2
-INDEX = "shard int, sizes array<long>, bits binary, rest binary, digests binary, winners array<long>, named array<boolean>, counts array<long>"
-GROUPS = "digest binary, keep_id long, named boolean, group_size long"
+INDEX = "shard int, sizes array<long>, bits binary, rest binary, digests binary, winners array<long>, named array<boolean>, rows array<long>, counts array<long>"
+GROUPS = "digest binary, keep_id long, named boolean, keep_row long, group_size long"
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -23,8 +23,10 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size): the largest doc_id and the number of rows; summed in each task before the shuffle."""
-    return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    """(digest, keep_id, keep_row, group_size): the largest doc_id, the first row that has it, and the number of rows; summed in
+    each task before the shuffle. Without any id the first row stays."""
+    best = F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", (-F.col("row")).alias("row"))).alias("best")
+    return rows.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size")).select("digest", "best.doc_id", (-F.col("best.row")).alias("keep_row"), "group_size").withColumnRenamed("doc_id", "keep_id")
 
 
 def _keys(digest: np.ndarray) -> np.ndarray:
@@ -73,55 +75,58 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), 32)
 
 
-def _ids(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, whether each is one): of rows without an id the number means nothing."""
-    return rows["keep_id"].to_numpy().astype(np.int64), rows["named"].to_numpy().astype(bool)
+def _ids(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, whether each is one, rows): of rows without an id the number means nothing."""
+    return rows["keep_id"].to_numpy().astype(np.int64), rows["named"].to_numpy().astype(bool), rows["keep_row"].to_numpy().astype(np.int64)
 
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    digest, (ids, named) = _matrix(rows["digest"]), _ids(rows)
+    digest, (ids, named, place) = _matrix(rows["digest"]), _ids(rows)
     sizes, bits, rest = build_hash(digest)
     order = np.argsort(slots(digest, sizes, bits, rest))
-    packed = [int(rows["shard"].iloc[0]), sizes, np.packbits(bits).tobytes(), rest.tobytes(), digest[order].tobytes(), ids[order], named[order], rows["group_size"].to_numpy()[order]]
-    return pd.DataFrame([packed], columns=["shard", "sizes", "bits", "rest", "digests", "winners", "named", "counts"])
+    packed = [int(rows["shard"].iloc[0]), sizes, np.packbits(bits).tobytes(), rest.tobytes(), digest[order].tobytes(), ids[order], named[order], place[order], rows["group_size"].to_numpy()[order]]
+    return pd.DataFrame([packed], columns=["shard", "sizes", "bits", "rest", "digests", "winners", "named", "rows", "counts"])
 
 
 def _probe(arrivals: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     """All groups of a shard: the index' slots, with what arrived for them, and the arrivals that aren't in it."""
-    new, (ids, named), sizes = _matrix(arrivals["digest"]), _ids(arrivals), arrivals["group_size"].to_numpy().astype(np.int64)
+    new, (ids, named, place), sizes = _matrix(arrivals["digest"]), _ids(arrivals), arrivals["group_size"].to_numpy().astype(np.int64)
     if not len(index):
-        held, winners, known, counts, member = np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(len(new), bool)
+        held, winners, known, first = np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+        counts, member = np.zeros(0, np.int64), np.zeros(len(new), bool)
     else:
         r = index.iloc[0]
         held = np.frombuffer(r["digests"], np.uint8).reshape(-1, 32)
-        winners, known, counts = np.array(r["winners"], np.int64), np.array(r["named"], bool), np.array(r["counts"], np.int64)
+        winners, known, first, counts = np.array(r["winners"], np.int64), np.array(r["named"], bool), np.array(r["rows"], np.int64), np.array(r["counts"], np.int64)
         bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(np.sum(r["sizes"]))).astype(bool)
         slot = slots(new, list(r["sizes"]), bits, np.frombuffer(r["rest"], np.uint8).reshape(-1, 32))
         member = slot >= 0
         member[member] = (held[slot[member]] == new[member]).all(axis=1)  # the bytes decide
         at = slot[member]  # arrivals are distinct, so no slot comes twice
         better = named[member] & (~known[at] | (ids[member] > winners[at]))
+        better |= (named[member] == known[at]) & (~known[at] | (ids[member] == winners[at])) & (place[member] < first[at])
         winners[at], known[at], counts[at] = np.where(better, ids[member], winners[at]), known[at] | named[member], counts[at] + sizes[member]
+        first[at] = np.where(better, place[member], first[at])
     digest = np.concatenate([held, new[~member]])
-    out = {"digest": [d.tobytes() for d in digest], "keep_id": np.concatenate([winners, ids[~member]]), "named": np.concatenate([known, named[~member]]), "group_size": np.concatenate([counts, sizes[~member]])}
+    out = {"digest": [d.tobytes() for d in digest], "keep_id": np.concatenate([winners, ids[~member]]), "named": np.concatenate([known, named[~member]]), "keep_row": np.concatenate([first, place[~member]]), "group_size": np.concatenate([counts, sizes[~member]])}
     return pd.DataFrame(out)
 
 
 def _sharded(groups: DataFrame, shards: int) -> DataFrame:
     """With the shard of each digest; an id that is null is marked and becomes 0, so that ids stay whole numbers in pandas."""
     shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
-    return groups.select("digest", F.coalesce("keep_id", F.lit(0).cast("long")).alias("keep_id"), F.col("keep_id").isNotNull().alias("named"), "group_size", shard)
+    return groups.select("digest", F.coalesce("keep_id", F.lit(0).cast("long")).alias("keep_id"), F.col("keep_id").isNotNull().alias("named"), "keep_row", "group_size", shard)
 
 
 def build_index(history: DataFrame, shards: int) -> DataFrame:
-    """One row a shard from (digest, keep_id, group_size) with distinct digests; save it with ``write.parquet``."""
+    """One row a shard from (digest, keep_id, keep_row, group_size) with distinct digests; save it with ``write.parquet``."""
     return _sharded(history, shards).groupBy("shard").applyInPandas(_build, INDEX)
 
 
 def merge_groups(arrivals: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """All groups after ``arrivals`` (distinct digests) have been looked up in ``index``; both sides go by shard."""
     groups = _sharded(arrivals, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe, GROUPS)
-    return groups.select("digest", F.when(F.col("named"), F.col("keep_id")).alias("keep_id"), "group_size")
+    return groups.select("digest", F.when(F.col("named"), F.col("keep_id")).alias("keep_id"), "keep_row", "group_size")
 
 
 def exact_dedup(history: DataFrame, arrivals: DataFrame) -> DataFrame:
@@ -129,21 +134,22 @@ def exact_dedup(history: DataFrame, arrivals: DataFrame) -> DataFrame:
 
     Returns one row per document of either table: doc_id, keep_id (largest doc_id of its group), group_size, kept,
     text_sha256. Texts are equal when identical after lower-casing A-Z; null counts as empty. Ids are any longs; a
-    row with a null doc_id counts in group_size and is kept only if no row of its group has an id. Rows that
-    repeat a doc_id are counted and returned one by one. Either table may be empty.
+    row with a null doc_id counts in group_size and may stay only if no row of its group has an id. Rows that
+    repeat a doc_id are counted and returned one by one. Of each group exactly one row is kept: of those with the largest
+    doc_id, or of all where none has an id, the first as Spark reads them, those of ``history`` first. Either table may be empty.
 
     Only digests move: they are summed in each task before a shuffle, and the join that gives every document its
     group can be split where one text is most of the corpus.
     """
     spark = history.sparkSession
     old, new = digests(history).withColumn("arrival", F.lit(False)), digests(arrivals).withColumn("arrival", F.lit(True))
-    rows = stored(old.unionByName(new), "digests")
+    rows = stored(old.unionByName(new).withColumn("row", F.monotonically_increasing_id()), "digests")  # numbered once, as they are written
     shards = max(4 * parallelism(spark), -(-rows.count() // SHARD_DIGESTS))
     path = scratch_dir(spark, "digest-index")
     build_index(distinct_digests(rows.filter("not arrival")), shards).write.parquet(path)
     index = spark.read.schema(INDEX).parquet(path)
     groups = merge_groups(distinct_digests(rows.filter("arrival")), index, shards)
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    kept = (F.col("row") == F.col("keep_row")).alias("kept")
     return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"))
 
 

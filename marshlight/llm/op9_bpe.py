@@ -11,7 +11,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marshlight.llm.bpe import Lexicon, default_tokenizer, distinct_words, encoder, pre_tokens, vocabulary
+from marshlight.llm.bpe import Lexicon, default_tokenizer, distinct_words, encoder, pre_tokens, valid_utf8, vocabulary
 from marshlight.llm.common import doc_columns, map_arrow, padded, scratch_dir, span_hashes, stored, table, text_chunks
 
 #: Bound on the lexicon; the most frequent words of all documents are in it.
@@ -30,6 +30,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for _, _, data, offsets in text_chunks(batch.column("text")):
+            data, offsets = valid_utf8(data, offsets)
             starts, ends = pre_tokens(data, offsets)
             short = ends - starts <= LONGEST_WORD
             starts, ends = starts[short], ends[short]
@@ -143,7 +144,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     """Encode and decode every document; digests of both.
 
     The lexicon holds the most frequent words of all documents (their number is bounded), is compiled once and shipped
-    as a file that workers map into memory. Other words are merged exactly. Null and empty texts have no ids; equal
+    as a file that workers map into memory. Other words are merged exactly. Bytes that aren't UTF-8 count as U+FFFD. Null and empty texts have no ids; equal
     rows give equal rows; an empty table gives no rows.
     """
     tokenizer = tokenizer or default_tokenizer()

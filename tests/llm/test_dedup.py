@@ -140,7 +140,24 @@ def test_exact(spark, docs, split):
     mine = F.coalesce(F.expr(split), F.lit(False))
     rows = exact.exact_dedup(docs.filter(mine), docs.filter(~mine)).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in rows) == exact_brute([r[:2] for r in ROWS])
-    assert all(r.kept == (r.doc_id == r.keep_id) for r in rows)
+    assert_one_kept(rows)
+
+
+def assert_one_kept(rows):
+    """Of each group one row stays, and it has the group's largest id, if there is one."""
+    kept = [r for r in rows if r.kept]
+    assert all(r.doc_id == r.keep_id for r in kept)
+    assert sorted(r.text_sha256 for r in kept) == sorted({r.text_sha256 for r in rows})
+
+
+def test_exact_repeated_ids(spark):
+    """Equal rows of one doc_id, on one side of the index or on both, and groups without any id."""
+    rows = [(7, "same")] * 5 + [(7, "other"), (6, "same")] + [(None, "none")] * 4
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    for split in ("k % 2 = 0", "1 = 0", "1 = 1", "k < 3"):
+        got = exact.exact_dedup(docs.filter(split), docs.filter(f"not ({split})")).collect()
+        assert len(got) == len(rows) and sum(r.kept for r in got) == 3
+        assert_one_kept(got)
 
 
 def test_exact_of_any_ids(spark):
@@ -152,7 +169,7 @@ def test_exact_of_any_ids(spark):
         mine = F.coalesce(F.expr(split), F.lit(False))
         got = exact.exact_dedup(docs.filter(mine), docs.filter(~mine)).collect()
         assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == exact_brute(rows), split
-        assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+        assert_one_kept(got)
 
 
 def test_exact_query(spark, tmp_path):
@@ -177,9 +194,9 @@ def test_hash_is_minimal_and_perfect(n):
     assert (other < n).all()
 
 
-def lines_brute(rows):
+def lines_brute(rows, stable=False):
     seen, out = set(), []
-    for i, t in sorted(rows):
+    for i, t in sorted(rows, key=(lambda r: r[0]) if stable else None):
         own = t.split("\n")
         gone = set()
         for k in range(len(own) - 2):
@@ -199,6 +216,20 @@ def test_lines_random(spark):
     assert sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == lines_brute(rows)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_lines_of_rows_that_share_an_id(spark, monkeypatch, most):
+    """Different texts of different lengths under one doc_id: each loses what is repeated, and nothing else."""
+    monkeypatch.setattr(lines, "BROADCAST_PLACES", most)
+    random.seed(16)
+    rows = [(random.randrange(12), "\n".join(random.choices("abcd", k=random.randint(0, 9)))) for _ in range(120)]
+    rows += [(1, "a\nb\nc"), (5, "a\nb\nc"), (5, "x\ny\nz\nw"), (5, "p\nq"), (5, "x\ny\nz\nw")]
+    rows.sort(key=lambda r: r[0])  # Spark reads them in this order
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("row", F.lit("mine"))
+    got = lines.line_dedup(docs).collect()
+    assert all(r["row"] == "mine" for r in got)
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == sorted(lines_brute(rows, stable=True))
+
+
 @pytest.mark.parametrize("most", [1_000_000, 0])
 def test_lines_by_broadcast_and_by_shuffle(spark, docs, monkeypatch, most):
     monkeypatch.setattr(lines, "BROADCAST_PLACES", most)

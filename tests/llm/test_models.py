@@ -378,11 +378,12 @@ def test_maxscore_prunes_exactly():
 
 def test_store(spark, docs, no_docs):
     store = sharding.shard_documents(docs, scratch_dir(spark, "store"), smallest_bytes=100, target_bytes=50_000)
-    assert store.read().count() == len(ROWS) and "lang" in store.read().columns
+    assert store.read().count() == len(ROWS) and store.read().columns == docs.columns  # _arrival is the table's own
+    assert [r[0] for r in store.read().select("_arrival").distinct().collect()] == [1]
     versions = store.version()
     with pytest.raises(sharding.ConflictError):
         store._commit(versions - 1, [], docs.schema)
-    store.append(docs.drop("_arrival"))
+    store.append(docs)
     assert store.version() == versions + 1 and store.read().count() == 2 * len(ROWS)
     while store.compact():
         pass
@@ -396,8 +397,8 @@ def test_store(spark, docs, no_docs):
 def test_store_keeps_versions(spark, docs):
     """Compaction takes nothing from an earlier version or from a table read before it; vacuum keeps as many versions as asked."""
     store = sharding.ShardStore(spark, scratch_dir(spark, "versions"), smallest_bytes=100, target_bytes=1 << 20, fanout=2)
-    store.append(docs.drop("_arrival").coalesce(1))
-    store.append(docs.drop("_arrival").coalesce(1))
+    store.append(docs.coalesce(1))
+    store.append(docs.coalesce(1))
     before = store.read()
     assert store.compact() and store.version() == 3
     assert [store.read(v).count() for v in (1, 2, 3)] == [len(ROWS), 2 * len(ROWS), 2 * len(ROWS)]
@@ -530,6 +531,17 @@ def test_near_dedup_by_row(spark):
     assert sorted(left, key=str) == sorted([(5, one), (3, two), (None, three), (8, four + " end"), (1, ""), (1, "")], key=str)
 
 
+def test_line_dedup_by_row(spark):
+    """The pipeline's stage on rows that share a doc_id."""
+    import corpus_pipeline as pipeline
+    from test_dedup import lines_brute
+
+    rows = [(1, "a\nb\nc"), (5, "a\nb\nc"), (5, "x\ny\nz\nw"), (5, "u\nv"), (6, "w\nx\ny\nz\nw")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    left = sorted((r.doc_id, r.text, r.n_chars) for r in pipeline.line_dedup(spark, docs, "").collect())
+    assert left == sorted((i, t, len(t)) for i, _, n, t in lines_brute(rows, stable=True) if not n or t)
+
+
 def test_stages_on_edges(spark, docs, no_docs, tmp_path):
     import corpus_pipeline as pipeline
 

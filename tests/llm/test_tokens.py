@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marshlight.llm import op3_packing as packing
@@ -244,3 +245,11 @@ def test_digests(spark, docs, library, tmp_path):
         ids = library.encode({x[0]: x[1] for x in ROWS}[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_texts_that_are_not_utf8(spark, library):
+    """A byte that isn't UTF-8 becomes U+FFFD, in the words that are counted too; other texts of the table stay as they are."""
+    docs = spark.createDataFrame([(1, "plain words"), (2, "end")], "doc_id long, text string")
+    broken = docs.withColumn("text", F.when(F.col("doc_id") == 2, F.concat("text", F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("text")))
+    ids = {r.doc_id: r.ids for r in bpe_queries.encode(broken).collect()}
+    assert ids == {1: library.encode("plain words", add_special_tokens=False).ids, 2: library.encode("end\ufffd", add_special_tokens=False).ids}
