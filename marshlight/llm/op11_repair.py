@@ -279,8 +279,8 @@ def repair(rows: DataFrame, segment_rows: int = SEGMENT_ROWS, segment_chars: int
     """Repair conversations (conv_id, turn, role, text, and alive: false for a row that is lost): (summary, repaired turns).
 
     Summary, a row a conv_id, of lost rows too: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit. Repaired:
-    conv_id, task, nth, repaired (array of role and text), in this order; a conversation of at most ``segment_rows`` rows
-    and ``segment_chars`` characters that isn't cut by a task is one row, others are several.
+    conv_id, task, nth, whole, repaired (array of role and text), in this order; a conversation of at most ``segment_rows``
+    rows and ``segment_chars`` characters that isn't cut by a task is one row (whole), others are several.
 
     Rows go by turn, nulls first, and of one turn by role and text (the first 64 characters, then a digest). A row's first
     fault counts: blank (nothing but blanks), duplicate (role and text were there before), truncated (the last character
@@ -310,8 +310,8 @@ def repair(rows: DataFrame, segment_rows: int = SEGMENT_ROWS, segment_chars: int
     summary = whole.withColumn("gaps", gaps).select(*columns).unionByName(folded.filter("end").select(*columns))
     chosen = folded.select(F.col("conv_id").alias("c"), F.col("task").alias("k"), F.col("nth").alias("i"), "state", "piece")
     joined = pieces.join(chosen, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("task") == F.col("k")) & (F.col("nth") == F.col("i"))).select("conv_id", "task", "nth", "state", "piece", "turns")
-    out = ["conv_id", "task", "nth", "repaired"]
-    return summary, whole.select(*out).unionByName(map_arrow(joined, _replay, f"conv_id long, task int, nth long, repaired {_TURNS}"))
+    in_pieces = map_arrow(joined, _replay, f"conv_id long, task int, nth long, repaired {_TURNS}").withColumn("whole", F.lit(False))
+    return summary, whole.select("conv_id", "task", "nth", "whole", "repaired").unionByName(in_pieces)
 
 
 def damaged(rows: DataFrame) -> DataFrame:
@@ -328,8 +328,10 @@ def damaged(rows: DataFrame) -> DataFrame:
 def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations, damaged and repaired; of those in several pieces the digest is made piece by piece."""
     summary, repaired = repair(damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
-    lines = repaired.select("conv_id", "task", "nth", F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n").alias("lines"), F.size("repaired").alias("n"))
-    hashes = ordered_sha256(lines.filter("n > 0"), ["conv_id"], ["task", "nth"], "lines", "\n").select(F.col("conv_id").alias("c"), "sha256")
+    joined = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    lines = repaired.filter(F.size("repaired") > 0).select("conv_id", "task", "nth", "whole", joined.alias("lines"))
+    alone = lines.filter("whole").select("conv_id", F.sha2("lines", 256).alias("sha256"))
+    hashes = alone.unionByName(ordered_sha256(lines.filter("not whole"), ["conv_id"], ["task", "nth"], "lines", "\n")).withColumnRenamed("conv_id", "c")
     joined = summary.join(hashes, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
     return joined.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("sha256", F.lit(EMPTY_SHA)).alias("repaired_sha256"))
 
