@@ -111,7 +111,8 @@ def write_geojson(ops: DataFrame, shapes: DataFrame, path: str) -> int:
 
 def fingerprint(rows: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
     """One row that names a table's content whatever its order, without the columns ``but`` (a clock)."""
-    columns = sorted(c for c in rows.columns if c not in but)
+    texts = {f.name: F.to_json(f.name) for f in rows.schema if f.dataType.typeName() == "variant"}  # variants have no hash of their own
+    rows, columns = rows.withColumns(texts), sorted(c for c in rows.columns if c not in but)
     return rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("h1"), F.sum(F.xxhash64(F.lit(7), *columns).cast("decimal(38,0)")).alias("h2"))
 
 
@@ -128,31 +129,46 @@ def write_if_changed(rows: DataFrame, path: str, clock: tuple[str, ...] = ()) ->
 
 
 def operation_json(ops: DataFrame) -> Column:
-    """An operation as JSON: the contract's fields in alphabetical order, nulls kept."""
-    return F.to_json(F.struct(*sorted(c for c in ops.columns if c in archive.OPERATION_FIELDS)), {"ignoreNullFields": "false"})
-
-
-def write_operations(ops: DataFrame, path: str, generated_at: str) -> bool:
-    """Publish the operations document at ``path``, ordered by (date, id), unless only the clock would differ; True if it was written."""
+    """An operation as JSON: keys in alphabetical order, nulls kept, keys outside the contract (``more``) among them; a key that
+    ``present`` doesn't list is left out."""
+    names = sorted(c for c in ops.columns if c in archive.OPERATION_FIELDS)
+    plain = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    if not {"more", "present"} & set(ops.columns):
+        return plain
+    listed = F.col("present") if "present" in ops.columns else F.lit(None).cast("array<string>")
+    more = F.col("more") if "more" in ops.columns else F.lit(None).cast("variant")
+    known = F.create_map(*(x for c in names for x in (F.lit(c), F.col(c).cast("variant"))))
+    left = F.map_filter(known, lambda k, _: ~k.isin(*K.MUTABLE) | listed.isNull() | F.array_contains(listed, k))
+    every = F.map_concat(left, F.coalesce(more.cast("map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    keys = F.sort_array(F.map_keys(every))
+    full = F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(every, k))), {"ignoreNullFields": "false"})
+    held = [c for c in K.MUTABLE if c in names]
+    usual = more.isNull() & (listed.isNull() | (F.size(F.array_intersect(listed, F.array(*map(F.lit, held)))) == len(held)) if held else more.isNull())
+    return F.when(usual, plain).otherwise(full)
+
+
+def write_operations(ops: DataFrame, path: str, generated_at: str, base: int | None = None) -> bool:
+    """Publish the operations document at ``path``, ordered by (date, id), unless only the clock would differ; True if it was written.
+    ``base``: the version that ``ops`` were made from (see ``versions.replace_folder``)."""
     keys = [F.coalesce(c, F.lit("")).alias(f"_{c}") for c in ("date", "id")]
-    own = ops.select(*(c for c in ops.columns if c in archive.OPERATION_FIELDS))
+    own = ops.select(*(c for c in ops.columns if c in archive.OPERATION_FIELDS or c in ("more", "present")))
     if _same(ops.sparkSession, path, archive.load_operations, own):
         return False
     elements = own.select(operation_json(own).alias("value"), *keys)
     head = '{"generated_at":' + json.dumps(generated_at) + ',"operations":['
-    versions.replace_folder(ops.sparkSession, path, lambda folder: write_document(elements, ["_date", "_id"], head, "]}", folder))
+    versions.replace_folder(ops.sparkSession, path, lambda folder: write_document(elements, ["_date", "_id"], head, "]}", folder), base)
     return True
 
 
-def write_shapes(shapes: DataFrame, path: str) -> bool:
-    """Publish the shapes as a feature collection ordered by mid, unless it holds them already; True if it was written."""
+def write_shapes(shapes: DataFrame, path: str, base: int | None = None) -> bool:
+    """Publish the shapes as a feature collection ordered by mid, unless it holds them already; True if it was written. ``base`` as for operations."""
     if _same(shapes.sparkSession, path, archive.load_shapes, shapes):
         return False
     names = sorted(c for c in ("mid", "zone_code", "doc_name", "doc_description", "fetched_at", "area_sq_km") if c in shapes.columns)
     geometry = F.concat(F.lit('{"type":"'), F.col("geom_type"), F.lit('","coordinates":'), geo.geojson_coordinates(F.col("polygons")), F.lit("}"))
     parts = [F.lit('{"type":"Feature","id":'), _json_text(F.col("mid")), F.lit(',"properties":'), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), F.lit(',"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit("}")]
     elements = shapes.select(F.concat(*parts).alias("value"), "mid")
-    versions.replace_folder(shapes.sparkSession, path, lambda folder: write_document(elements, ["mid"], '{"type":"FeatureCollection","features":[', "]}", folder))
+    versions.replace_folder(shapes.sparkSession, path, lambda folder: write_document(elements, ["mid"], '{"type":"FeatureCollection","features":[', "]}", folder), base)
     return True
 
 
@@ -164,6 +180,9 @@ def _same(spark: SparkSession, path: str, load: Callable[[SparkSession, str], Da
         old = load(spark, path)
         shared = [c for c in old.columns if c in rows.columns]
         old, own = (t.select(*shared, *(F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns if c not in shared)) for t in (old, rows))
+        if "present" in old.columns:
+            every = F.array(*(F.lit(c) for c in sorted(K.MUTABLE) if c in rows.columns))
+            old, own = (t.withColumn("present", F.sort_array(F.coalesce("present", every))) for t in (old, own))
         return fingerprint(old).first() == fingerprint(own).first()
     except Exception:  # noqa: BLE001 - a document that can't be read is written anew
         return False

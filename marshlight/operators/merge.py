@@ -31,26 +31,63 @@ def last_by_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), seq).alias("_row")).select("_row.*")
 
 
+def _has(name: str) -> Column:
+    """Whether an observation has a key; without a list of its keys it has all."""
+    return F.col("present").isNull() | F.array_contains("present", name)
+
+
 def merge_append_only(existing: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame:
     """Never-shrinking merge of two tables with columns id, source, ``seq`` and any of the contract's.
 
     Every ``seq`` of ``existing`` is below every one of ``incoming``. Of equal ids in ``existing`` the last replaces the
     others. Then, per id: status, status_text, section and source come from the observation of the highest rank, the
     last of equal ones, nulls included; each derived field is the last value that isn't empty, or else the first;
-    all else is the first record's. Adds ``existed``. One aggregation, no join: tasks keep one state an id.
+    all else, keys outside the contract (``more``) too, is the first record's. Adds ``existed``. One aggregation, no join:
+    tasks keep one state an id.
+
+    Where either table has ``present`` (see ``archive.load_operations``), an observation changes only what it has of status,
+    status_text and section: each is of the last observation that has it and whose rank no earlier one exceeds. The same
+    aggregation finds it unless the best observations lack it; ids where they do are looked at again, as ``_by_presence`` says.
     """
-    rows = last_by_key(existing, "id", seq).withColumn("existed", F.lit(True)).unionByName(incoming.withColumn("existed", F.lit(False)))
-    winner = [c for c in (*K.MUTABLE, "source") if c in rows.columns]
+    rows = last_by_key(existing, "id", seq).withColumn("existed", F.lit(True)).unionByName(incoming.withColumn("existed", F.lit(False)), allowMissingColumns=True)
+    mutable = [c for c in K.MUTABLE if c in rows.columns]
     derived = [c for c in K.DERIVED if c in rows.columns]
-    rest = [c for c in rows.columns if c not in (*winner, *derived, "id", "existed")]
-    rank = X.observation_rank(F.col("source"))
+    listed = "present" in rows.columns
+    rest = [c for c in rows.columns if c not in (*mutable, *derived, "source", "present", "id", "existed")]
+    rows = rows.withColumn("_rank", X.observation_rank(F.col("source")))
+    place = F.struct("_rank", F.col(seq))
+    found = [F.max_by(F.struct(c, F.col("_rank").alias("rank")), F.when(_has(c), place)).alias(f"_{c}") for c in mutable] if listed else [F.max_by(F.struct(*mutable), place).alias("_winner")] if mutable else []
     merged = rows.groupBy("id").agg(
-        F.max_by(F.struct(*winner), F.struct(rank.alias("rank"), F.col(seq))).alias("_winner"),
+        F.max_by(F.struct("source"), place).alias("_source"),
+        *found,
         *(F.coalesce(F.max_by(c, F.when(_filled(rows, c), F.col(seq))), F.min_by(c, seq)).alias(c) for c in derived),
         F.min_by(F.struct(*rest), seq).alias("_first"),
         F.bool_or("existed").alias("existed"),
+        *([F.max("_rank").alias("_best")] if listed else []),
     )
-    return merged.select("id", "_winner.*", *derived, "_first.*", "existed")
+    if not listed:
+        return merged.select("id", *(["_winner.*"] if mutable else []), "_source.source", *derived, "_first.*", "existed")
+    merged = stored(merged, "merged")
+    unsure = merged.filter(" or ".join(f"_{c}.rank < _best" for c in mutable)).select("id") if mutable else merged.limit(0).select("id")
+    if not unsure.isEmpty():
+        again = _by_presence(rows.join(unsure, "id", "left_semi"), mutable, seq)
+        merged = merged.join(again, "id", "left").withColumns({f"_{c}": F.when(F.col("_again").isNotNull(), F.col(f"_again.{c}")).otherwise(F.when(F.col(f"_{c}").isNotNull(), F.struct(F.col(f"_{c}.{c}").alias(c)))) for c in mutable})
+    present = F.filter(F.array(*(F.when(F.col(f"_{c}").isNotNull(), F.lit(c)) for c in mutable)), lambda c: c.isNotNull()) if mutable else F.lit(None).cast("array<string>")
+    return merged.select("id", *(F.col(f"_{c}.{c}").alias(c) for c in mutable), "_source.source", *derived, "_first.*", present.alias("present"), "existed")
+
+
+def _by_presence(rows: DataFrame, mutable: list[str], seq: str) -> DataFrame:
+    """(id, _again: for each of ``mutable`` a struct of its value, null if no observation has it), by the order of observations.
+
+    An observation counts if none of a higher rank comes before it, that is, if it comes before the first one of every higher
+    rank. Ranks of an id are as many as captures at most, so the window over them is small however many rows an id has.
+    """
+    firsts = rows.groupBy("id", "_rank").agg(F.min(seq).alias("_from"))
+    higher = Window.partitionBy("id").orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, -1)
+    until = firsts.select("id", "_rank", F.min("_from").over(higher).alias("_until"))
+    counted = rows.join(until, ["id", "_rank"]).filter(F.col("_until").isNull() | (F.col(seq) < F.col("_until")))
+    values = counted.groupBy("id").agg(*(F.max_by(F.struct(c), F.when(_has(c), F.col(seq))).alias(c) for c in mutable))
+    return values.select("id", F.struct(*mutable).alias("_again"))
 
 
 def new_count(merged: DataFrame) -> DataFrame:
@@ -91,6 +128,10 @@ def _fold_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(take, pa.bool_()))
 
 
+#: Days of a thousand years: as many are broadcast. Stamps that are no dates may give more, which are joined by a shuffle.
+CALENDAR_DAYS = 366_000
+
+
 def capture_reasons(captures: DataFrame, floor: Column) -> DataFrame:
     """Captures (ts, statuscode, digest, ord) with ``reason``: kept, status, floor, same_day or digest.
 
@@ -102,9 +143,9 @@ def capture_reasons(captures: DataFrame, floor: Column) -> DataFrame:
     left = rows.filter("reason is null").select("ts", "ord", F.substring("ts", 1, 8).alias("day"), F.coalesce("digest", F.lit("")).alias("digest"))
     # of captures with one day and one digest only the first can be kept
     left = left.groupBy("day", "digest").agg(F.min(F.struct("ts", "ord")).alias("k")).select("k.ts", "k.ord", "day", "digest")
-    days = left.select("day").distinct().withColumn("nth_day", F.row_number().over(Window.orderBy("day")))
+    days = stored(left.select("day").distinct().withColumn("nth_day", F.row_number().over(Window.orderBy("day"))), "days")
     nth = F.row_number().over(Window.partitionBy("day").orderBy("ts", "ord"))
-    few = left.withColumn("nth", nth).join(F.broadcast(days), "day").filter("nth <= nth_day").select(*left.columns)
+    few = left.withColumn("nth", nth).join(F.broadcast(days) if days.count() <= CALENDAR_DAYS else days, "day").filter("nth <= nth_day").select(*left.columns)
     kept = stored(few.repartition(1).sortWithinPartitions("day", "ts", "ord").mapInArrow(_fold_days, few.schema), "kept")
     by_day = kept.select(F.col("day").alias("_day"), F.struct("ts", "ord").alias("_first"))
     joined = rows.join(by_day, F.substring("ts", 1, 8) == F.col("_day"), "left")

@@ -117,6 +117,16 @@ def join_checks(ops: DataFrame, shapes: DataFrame, known_missing: DataFrame) ->
     return count(unresolved(ops, shapes.select("mid"), known_missing), "unresolved maps").unionByName(count(stale, "stale exceptions"))
 
 
+def join_notes(ops: DataFrame, shapes: DataFrame, known_missing: DataFrame) -> DataFrame:
+    """(name, n): what a report says beside its checks, as it is no failure: shapes that no operation has, and operations, and
+    their maps, whose map is known to have none."""
+    orphans = shapes.select("mid").filter("mid <> ''").distinct().join(ops.select("mid").filter("mid is not null"), "mid", "left_anti")
+    expected = ops.filter("mid <> ''").join(known_missing.select("mid").distinct(), "mid", "left_semi")
+    counts = expected.agg(F.count(F.lit(1)).alias("ops"), F.count_distinct("mid").alias("maps"))
+    listed = F.inline(F.array(F.struct(F.lit("operations without an expected shape").alias("name"), F.col("ops").alias("n")), F.struct(F.lit("maps without an expected shape").alias("name"), F.col("maps").alias("n"))))
+    return orphans.agg(F.count(F.lit(1)).alias("n")).select(F.lit("orphan shapes").alias("name"), "n").unionByName(counts.select(listed))
+
+
 def samples(rows: DataFrame, check: Column, value: Column, most: int) -> DataFrame:
     """(check, sample): the first values of each check in order; a task keeps no more than it needs of them."""
     picked = rows.select(check.alias("check"), value.alias("value")).distinct()

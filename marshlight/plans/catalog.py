@@ -357,6 +357,63 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest(spark, store).select(*_MERGED_COLUMNS[:-1]).withColumn("existed", F.lit(False))
 
 
+_HAS_STATUS, _HAS_TEXT = "seq % 7 <> 0", "seq % 5 <> 0"
+_MERGE_KEYS = f"""WITH {OBS}, old AS (SELECT * FROM obs WHERE seq % 2 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+every AS (SELECT *, true AS existed, seq AS s FROM old UNION ALL SELECT *, false, seq + 1000000000 FROM obs WHERE seq % 2 = 1),
+r AS (SELECT *, level::VARCHAR || stamp AS k, max(level::VARCHAR || stamp) OVER (PARTITION BY id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM every),
+u AS (SELECT *, before IS NULL OR k >= before AS counts FROM r)
+SELECT id, (arg_max({{'t': status}}, s) FILTER (WHERE counts AND {_HAS_STATUS})).t AS status, (arg_max({{'t': status_text}}, s) FILTER (WHERE counts AND {_HAS_TEXT})).t AS status_text,
+  arg_max(section, s) FILTER (WHERE counts) AS section, arg_max(source, s) FILTER (WHERE counts) AS source, arg_min(date, s) AS date,
+  arg_min(CASE WHEN seq % 3 <> 0 THEN '{{"crew":"' || mid || '","visits":[' || seq || ',null]}}' ELSE '' END, s) AS more,
+  concat_ws(',', 'section', CASE WHEN bool_or(counts AND {_HAS_STATUS}) THEN 'status' END, CASE WHEN bool_or(counts AND {_HAS_TEXT}) THEN 'status_text' END) AS present FROM u GROUP BY id"""
+
+
+@query("merge_unknown_keys", _MERGE_KEYS)
+def merge_unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations as JSON elements, two thirds with keys outside the contract, some without status or status_text; read, merged, written as a document and read again."""
+    s = F.col("seq")
+    part = lambda name, value, when=None: F.when(F.lit(True) if when is None else when, F.concat(F.lit(f'"{name}":'), F.coalesce(F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))))
+    fields = [part(c, F.col(c)) for c in ("id", "date", "mid", "section", "source")]
+    fields += [part("status", F.col("status"), s % 7 != 0), part("status_text", F.col("status_text"), s % 5 != 0), part("crew", F.col("mid"), s % 3 != 0), part("visits", F.array(s, F.lit(None)), s % 3 != 0)]
+    items = T.observations(spark, sf_dir).select(s.alias("seq"), F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ","), F.lit("}")).alias("item"))
+    read = archive.operations_of_items(items, "seq").select("id", "date", "mid", "section", "source", "status", "status_text", "more", "present", "seq")
+    merged = merge.merge_append_only(read.filter("seq % 2 = 0"), read.filter("seq % 2 = 1").withColumn("seq", F.col("seq") + 1_000_000_000))
+    path = scratch_dir(spark, "unknown-keys")
+    export.write_operations(merged, path, "t")
+    found = archive.load_operations(spark, path)
+    return found.select("id", "status", "status_text", "section", "source", "date", F.coalesce(F.to_json("more"), F.lit("")).alias("more"), F.array_join(F.sort_array("present"), ",").alias("present"))
+
+
+_FOLDED = ["id", "status", "status_text", "section", "source", "first_seen", "area_name", "method"]
+
+
+@query("stream_fold", ORACLES["backfill_fold"])
+def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in files out of their order, folded by a stream of several batches with state between them."""
+    from marshlight.streaming import merge as streaming
+
+    folder, store, state = (scratch_dir(spark, n) for n in ("fold-in", "fold-store", "fold-state"))
+    obs = T.observations(spark, sf_dir)
+    obs.repartition(3, F.xxhash64("seq")).write.parquet(folder)
+    streaming.stream_fold(spark, folder, obs.schema, store, state, lambda rows: rows, files_per_batch=1)
+    return streaming.newest(spark, store).select(*_FOLDED)
+
+
+_BAD = "seq % 11 = 0 OR status = 'error'"
+
+
+@query("stream_rejects", f"WITH {OBS} SELECT seq, id, CASE WHEN status = 'error' THEN 'status' ELSE 'number' END AS reason, 0::BIGINT AS batch FROM obs WHERE {_BAD}")
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of one batch; observations that are bad go to the error table of the store."""
+    from marshlight.streaming import merge as streaming
+
+    folder, store, state = (scratch_dir(spark, n) for n in ("rejects-in", "rejects-store", "rejects-state"))
+    T.observations(spark, sf_dir).write.parquet(folder)
+    reason = F.when(F.col("status") == "error", "status").when(F.col("seq") % 11 == 0, "number")
+    streaming.stream_merge(spark, folder, spark.read.parquet(folder).schema, store, state, lambda rows: rows, files_per_batch=1_000_000, reason=reason)
+    return streaming.rejects(spark, store).select("seq", "id", "reason", "batch")
+
+
 @query("captures_distinct", "SELECT DISTINCT strftime(ts, '%Y%m%d%H%M%S') AS ts FROM events")
 def captures_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.distinct_captures(T.captures(spark, sf_dir))
@@ -641,7 +698,7 @@ def _kml_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = lambda p: F.concat(p["lon"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit(",0"))
     ring = lambda r: F.concat(F.lit("<LinearRing><coordinates>"), F.array_join(F.transform(r, pair), " "), F.lit("</coordinates></LinearRing>"))
     hole = lambda r: F.concat(F.lit("<innerBoundaryIs>"), ring(r), F.lit("</innerBoundaryIs>"))
-    polygon = lambda p: F.concat(F.lit("<Polygon><outerBoundaryIs>"), ring(F.get(p, 0)), F.lit("</outerBoundaryIs>"), F.array_join(F.transform(F.slice(p, 2, 99), hole), ""), F.lit("</Polygon>"))
+    polygon = lambda p: F.concat(F.lit("<Polygon><outerBoundaryIs>"), ring(F.get(p, 0)), F.lit("</outerBoundaryIs>"), F.array_join(F.transform(F.slice(p, 2, F.size(p)), hole), ""), F.lit("</Polygon>"))
     k = F.col("key")
     body = F.when(k % 20 == 0, "<Point><coordinates>-121,37,0</coordinates></Point>").otherwise(F.array_join(F.transform("polygons", polygon), ""))
     end = F.when(k % 19 == 0, "").otherwise("</kml>")
@@ -840,6 +897,17 @@ def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(found[c] for c in rows.columns)], rows.schema)
 
 
+@query("observed_manifest", ORACLES["run_manifest"])
+def observed_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same totals, taken by Spark while the tables are written."""
+    from marshlight.plans import pipeline
+
+    ops = T.operations(spark, sf_dir).withColumn("products_raw", F.col("products"))
+    existing, page = ops.filter("seq % 2 = 0"), ops.filter("seq % 2 = 1").withColumn("seq", F.col("seq") + 1_000_000_000)
+    shapes, failed = T.shapes(spark, sf_dir), T.load(spark, sf_dir, "customer").filter("c_custkey % 41 = 40")
+    return pipeline.observed_manifest(page, merge.merge_append_only(existing, page), shapes, shapes.filter("key % 5 = 0"), failed)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders a day: seen in the last 30 days, in all so far, with the empty days filled in."""
     days = timeline.calendar(timeline.per_day(T.load(spark, sf_dir, "orders"), "o_orderdate"))

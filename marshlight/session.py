@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 _folders: dict[str, str] = {}
 _made: list[str] = []
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -58,8 +62,26 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="marshlight-")
         spark.sparkContext.setCheckpointDir(base)
     _folders.setdefault(context.applicationId, base)
-    _made.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end the scratch folders that this thread made in it; nothing that is still needed may be read from them."""
+    mine: list[str] = []
+    token = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        make = spark._jvm.org.apache.hadoop.fs.Path
+        for path in mine:
+            make(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(make(path), True)
 
 
 def scratch_mark() -> int:
@@ -82,3 +104,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_with(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates over the rows that Spark takes as they are written: no job of their own, no second pass."""
+    observed = Observation(label)
+    rows = stored(df.observe(observed, *(c.alias(n) for n, c in metrics.items())), label)
+    return rows, dict(observed.get)

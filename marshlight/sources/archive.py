@@ -14,6 +14,9 @@ OPERATION = (
     "time_end string, area_name string, boundary_text string, mid string, map_url string, status string, status_text string, section string, "
     "source string, first_seen string"
 )
+#: What else is read of an operation: its keys outside the contract, as one variant, and which of the keys that an observation
+#: may change it has (null: all of them).
+OPERATION_READ = f"{OPERATION}, more variant, present array<string>"
 OPERATION_FIELDS = frozenset(field.split()[0] for field in OPERATION.split(", "))
 SHAPE = f"mid string, zone_code string, doc_name string, doc_description string, fetched_at string, area_sq_km double, geom_type string, polygons {geo.POLYGONS}"
 _PROPERTIES = "mid string, zone_code string, doc_name string, doc_description string, fetched_at string, area_sq_km double"
@@ -28,40 +31,58 @@ def json_items(document: Column, member: str) -> Column:
     return F.from_json(listing, "array<string>", {"mode": "FAILFAST"})
 
 
-def _items(spark: SparkSession, path: str, member: str, lenient: bool) -> DataFrame | None:
-    """(pos, item) of a document: a file that holds it, or the parts that were published at ``path``; None if there is none."""
-    folder = versions.current_folder(spark, path)
+def _items(spark: SparkSession, path: str, member: str, lenient: bool, version: int | None = None) -> DataFrame | None:
+    """(pos, item) of a document: a file that holds it, or the parts that were published at ``path``; None if there is none.
+
+    ``pos`` orders the elements as they are in the document: part, place of the split in it, and line in the split.
+    """
+    folder = versions.current_folder(spark, path, version)
     if folder is not None:
         frame = (F.col("value").startswith("{") & F.col("value").endswith("[")) | (F.col("value") == "]}")
+        pos = F.struct(F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
         # null in place of the frame, whatever order Spark gives to filters
-        lines = spark.read.text(folder).select(F.monotonically_increasing_id().alias("pos"), F.when(~frame, F.regexp_replace("value", ",$", "")).alias("item"))
+        lines = spark.read.text(folder).select(pos.alias("pos"), F.when(~frame, F.regexp_replace("value", ",$", "")).alias("item"))
         return lines.filter("item is not null")
     if not versions.exists(spark, path):
         return None
     text = spark.read.text(path, wholetext=True)
     if lenient:
         text = text.filter(F.try_parse_json("value").isNotNull())
-    return text.select(F.posexplode(json_items(F.col("value"), member)).alias("pos", "item"))
+    listed = text.select(F.posexplode(json_items(F.col("value"), member)).alias("line", "item"))
+    return listed.select(F.struct(F.lit("").alias("part"), F.lit(0).cast("long").alias("split"), F.col("line").cast("long").alias("line")).alias("pos"), "item")
+
+
+def operations_of_items(items: DataFrame, *others: str) -> DataFrame:
+    """OPERATION_READ, and the columns ``others``, of elements' texts (item). Elements that aren't objects are left out."""
+    objects = items.filter(F.ltrim("item").startswith("{"))
+    keys = F.json_object_keys("item")
+    extra = F.map_filter(F.from_json("item", "map<string,variant>"), lambda k, _: ~k.isin(*OPERATION_FIELDS))
+    unknown = F.size(F.array_except(keys, F.array(*map(F.lit, sorted(OPERATION_FIELDS))))) > 0
+    read = objects.select(
+        F.from_json("item", OPERATION, {"mode": "FAILFAST"}).alias("o"), F.when(unknown, F.to_variant_object(extra)).alias("more"),
+        F.array_intersect(keys, F.array(*map(F.lit, K.MUTABLE))).alias("present"), *others,
+    )
+    return read.filter("o is not null").select("o.*", "more", "present", *others)  # the filter keeps all fields, so a count finds errors too
 
 
-def load_operations(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+def load_operations(spark: SparkSession, path: str, lenient: bool = False, version: int | None = None, ordinal: str | None = None) -> DataFrame:
     """Operations of a JSON document; none if it is missing; an error if it is corrupt. Elements that aren't objects are left out.
 
     A single file is one value and is read by one task; a document published in parts is read by lines, in parallel.
-    ``lenient``: a document that isn't JSON counts as missing, for readers that only compare.
+    Keys outside the contract stay together in the variant ``more``, and ``present`` lists which of status, status_text and
+    section an element has. ``lenient``: a document that isn't JSON counts as missing, for readers that only compare.
+    ``version``: one of a published document, by default the newest. ``ordinal``: a column for the elements' order.
     """
-    items = _items(spark, path, "operations", lenient)
+    items = _items(spark, path, "operations", lenient, version)
     if items is None:
-        return spark.createDataFrame([], OPERATION)
-    objects = items.filter(F.ltrim("item").startswith("{"))
-    read = objects.select(F.from_json("item", OPERATION, {"mode": "FAILFAST"}).alias("o")).filter("o is not null")  # the filter keeps all fields, so a count finds errors too
-    return read.select("o.*")
+        return spark.createDataFrame([], OPERATION_READ + (f", {ordinal} struct<part:string,split:bigint,line:bigint>" if ordinal else ""))
+    return operations_of_items(items.withColumnRenamed("pos", ordinal), ordinal) if ordinal else operations_of_items(items)
 
 
-def load_shapes(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+def load_shapes(spark: SparkSession, path: str, lenient: bool = False, version: int | None = None) -> DataFrame:
     """Shapes of a GeoJSON document, the last of equal mids; a feature's mid is properties.mid or else id, without either it goes.
     Read as ``load_operations`` reads."""
-    items = _items(spark, path, "features", lenient)
+    items = _items(spark, path, "features", lenient, version)
     return spark.createDataFrame([], SHAPE) if items is None else shapes_of_features(items)
 
 

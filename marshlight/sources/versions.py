@@ -76,17 +76,34 @@ def publish_version(spark: SparkSession, path: str, version: int, content: dict)
         raise ConflictError(f"version {version} of {path} is taken")
 
 
-def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it; nothing if it isn't there."""
+    fs, make = file_system(spark, path)
+    fs.delete(make(path), True)
+
+
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None], base: int | None = None) -> str:
     """Let ``write`` fill a new folder below ``path`` and make it the current one. A reader sees the whole old folder or the
-    whole new one; a writer that dies leaves the old one current."""
-    version, folder = newest_version(spark, path) + 1, f"data-{uuid.uuid4().hex}"
+    whole new one; a writer that dies leaves the old one current.
+
+    ``base``: the version that the new one was made from. If another was published since, this one isn't, and
+    ``ConflictError`` tells so: read again and try again. Without it the newest is replaced, whatever it holds.
+    """
+    version, folder = (newest_version(spark, path) if base is None else base) + 1, f"data-{uuid.uuid4().hex}"
+    if newest_version(spark, path) >= version:  # known to be lost before anything is written
+        raise ConflictError(f"version {version} of {path} is taken")
     write(f"{path}/{folder}")
-    publish_version(spark, path, version, {"folder": folder})
+    try:
+        publish_version(spark, path, version, {"folder": folder})
+    except ConflictError:
+        delete(spark, f"{path}/{folder}")
+        raise
     return f"{path}/{folder}"
 
 
-def current_folder(spark: SparkSession, path: str) -> str | None:
-    found = read_version(spark, path)
+def current_folder(spark: SparkSession, path: str, version: int | None = None) -> str | None:
+    """The folder of a version, the newest by default; None without one."""
+    found = read_version(spark, path, version)
     return f"{path}/{found['folder']}" if found else None
 
 
