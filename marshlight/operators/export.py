@@ -66,14 +66,22 @@ def write_csv(rows: DataFrame, path: str) -> None:
     head.unionByName(lines).orderBy("_part", "date", "area_name", "id").select("value").write.option("lineSep", "\r\n").text(path)
 
 
+def geometry_json() -> Column:
+    """The polygons of a shape as a GeoJSON geometry."""
+    return F.concat(F.lit('{"type":"'), geo.geometry_type(F.col("polygons")), F.lit('","coordinates":'), geo.geojson_coordinates(F.col("polygons")), F.lit("}"))
+
+
+def feature_json() -> Column:
+    """A GeoJSON feature of an export row with ``geometry``."""
+    properties = F.to_json(F.struct(*K.EXPORT_COLUMNS, F.col("id").alias("operation_id")))
+    return F.concat(F.lit('{"type":"Feature","id":'), _json_text(F.col("id")), F.lit(',"properties":'), properties, F.lit(',"geometry":'), F.col("geometry"), F.lit("}"))
+
+
 def geojson_features(ops: DataFrame, shapes: DataFrame) -> DataFrame:
     """(id, date, area_name, feature): one GeoJSON feature for each operation whose shape has a geometry; the polygon is repeated."""
-    geometry = F.concat(F.lit('{"type":"'), geo.geometry_type(F.col("polygons")), F.lit('","coordinates":'), geo.geojson_coordinates(F.col("polygons")), F.lit("}"))
-    drawn = _shape_side(shapes.filter(F.size("polygons") > 0), geometry.alias("geometry"))
+    drawn = _shape_side(shapes.filter(F.size("polygons") > 0), geometry_json().alias("geometry"))
     rows = ops.join(drawn, "mid").select(*_export_columns(), "geometry")
-    properties = F.to_json(F.struct(*K.EXPORT_COLUMNS, F.col("id").alias("operation_id")))
-    feature = F.concat(F.lit('{"type":"Feature","id":'), _json_text(F.col("id")), F.lit(',"properties":'), properties, F.lit(',"geometry":'), F.col("geometry"), F.lit("}"))
-    return rows.select("id", "date", "area_name", feature.alias("feature"))
+    return rows.select("id", "date", "area_name", feature_json().alias("feature"))
 
 
 def _json_text(text: Column) -> Column:

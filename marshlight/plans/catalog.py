@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from marshlight.functions import constants as K
 from marshlight.functions import geo
 from marshlight.functions import text as X
-from marshlight.operators import export, merge, quality, timeline
+from marshlight.operators import export, merge, quality, sink, timeline
 from marshlight.plans import tables as T
 from marshlight.session import scratch_dir, stored
-from marshlight.sources import archive, html, kml
+from marshlight.sources import archive, captures, html, kml
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -720,18 +720,29 @@ def geo_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("mid", F.size("polygons").alias("polygons"), F.size(geo.rings(F.col("polygons"))).alias("rings"))
 
 
-@query("shapes_pipeline", f"WITH {OPS}, {SHAPES}, wanted AS (SELECT * FROM shapes WHERE mid IN (SELECT mid FROM ops)) SELECT mid, CASE WHEN key % 4 = 0 THEN 'known' ELSE coalesce({_KML_REASON}, 'fetched') END AS state FROM wanted")
+_KML_FAILS = "(key % 19 = 0 OR key % 20 = 0 OR key % 50 = 7)"
+_SHAPES_ALL = f"""WITH {OPS}, {SHAPES}, wanted AS (SELECT * FROM shapes WHERE mid IN (SELECT mid FROM ops)) SELECT mid,
+  CASE WHEN key % 4 = 0 THEN 'known' ELSE coalesce({_KML_REASON}, 'fetched') END AS state, CASE WHEN key % 4 <> 0 AND NOT {_KML_FAILS} THEN doc_name END AS doc_name,
+  CASE WHEN key % 4 <> 0 AND NOT {_KML_FAILS} THEN {_ZONE_SQL} END AS zone_code, CASE WHEN key % 4 <> 0 AND NOT {_KML_FAILS} THEN 'now' END AS fetched_at,
+  CASE WHEN key % 4 <> 0 AND NOT {_KML_FAILS} THEN {_AREA} END AS area_sq_km, CASE WHEN key % 4 <> 0 AND NOT {_KML_FAILS} THEN CASE WHEN key % 9 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END END AS geom_type,
+  CASE WHEN key % 4 <> 0 AND NOT {_KML_FAILS} THEN 5 * {_RINGS} END AS n_points FROM wanted"""
+
+
+@query("shapes_pipeline", _SHAPES_ALL)
 def shapes_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wanted maps without a shape (a quarter is known) go through the KML reader; failures keep their reason."""
+    """Wanted maps without a shape (a quarter is known) go through the KML reader; failures keep their reason. All columns of a shape."""
     from marshlight.plans.pipeline import resolve_shapes
 
     texts, ops = _kml_texts(spark, sf_dir), T.operations(spark, sf_dir)
     columns = {f.name: F.lit(None).cast(f.dataType) for f in spark.createDataFrame([], archive.SHAPE).schema} | {"mid": F.col("mid")}
     wanted = texts.join(ops.select("mid").distinct(), "mid", "left_semi")
     known = wanted.filter("key % 4 = 0").select(*(column.alias(name) for name, column in columns.items()))
-    kept, failed = resolve_shapes(ops.join(texts.select("mid"), "mid", "left_semi"), known, texts.select("mid", "xml"), F.lit(""))
+    kept, failed = resolve_shapes(ops.join(texts.select("mid"), "mid", "left_semi"), known, texts.select("mid", "xml"), F.lit("now"))
     state = F.when(F.col("fetched_at").isNull(), "known").otherwise("fetched")
-    return kept.filter(F.col("mid").isNotNull()).select("mid", state.alias("state")).unionByName(failed.select("mid", F.col("reason").alias("state")))
+    points = F.when(F.col("polygons").isNotNull(), F.size(F.flatten(F.flatten("polygons"))))
+    own = ["doc_name", "zone_code", "fetched_at", "area_sq_km", "geom_type"]
+    read = kept.filter(F.col("mid").isNotNull()).select("mid", state.alias("state"), *own, points.alias("n_points"))
+    return read.unionByName(failed.select("mid", F.col("reason").alias("state")), allowMissingColumns=True)
 
 
 # ---------------------------------------------------------------- documents
@@ -740,6 +751,16 @@ def src_plausible_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.plausible_pages(T.load(spark, sf_dir, "pages")).select("page_id")
 
 
+@query("src_cached_pages", f"""SELECT '2020' || lpad(page_id::VARCHAR, 10, '0') AS stamp, 'wayback:2020' || lpad(page_id::VARCHAR, 10, '0') AS source, length(html) AS n_chars, sha256(html) AS html_sha256
+FROM pages WHERE length(html) >= {K.SMALLEST_PAGE}""")
+def src_cached_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a file of a cache of captures, read back by the data source; short bodies are dropped by it."""
+    folder = scratch_dir(spark, "captures")
+    stamp = F.concat(F.lit("2020"), F.lpad(F.col("page_id").cast("string"), 10, "0"))
+    captures.cache_captures(T.load(spark, sf_dir, "pages").select(stamp.alias("stamp"), "html"), folder)
+    return captures.cached_captures(spark, folder).select("stamp", "source", F.length("html").cast("long").alias("n_chars"), F.sha2("html", 256).alias("html_sha256"))
+
+
 def _alert_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An alert page for each page of the table: its headings, two operations of two areas, and the page's own list of links."""
     k = F.col("page_id")
@@ -858,11 +879,40 @@ def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.substring("value", 1, 10).alias("date"), F.col("value").alias("line"))
 
 
-@query("export_geojson", f"WITH {OPS}, {SHAPES} SELECT id, CASE WHEN key % 9 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, id AS operation_id, status FROM ops JOIN shapes USING (mid)")
+_CORNERS = """(5 * (1 + (key % 10 = 0)::INT + (key % 9 = 0)::INT))::BIGINT AS n_points,
+  round((5 * w + 2 * dx) * (1 + (key % 9 = 0)::INT) + CASE WHEN key % 10 = 0 THEN 5 * w + 2.25 * dx ELSE 0 END, 6) AS sum_lon,
+  round(5 * s + 2 * dy + CASE WHEN key % 10 = 0 THEN 5 * s + 2.25 * dy ELSE 0 END + CASE WHEN key % 9 = 0 THEN 5 * s + 12 * dy ELSE 0 END, 6) AS sum_lat"""
+_FEATURES = f"SELECT id, CASE WHEN key % 9 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, id AS operation_id, status, {_CORNERS}"
+_EXTENT = """(SELECT struct_pack(west := round(min(w), 6), south := round(min(s), 6), east := round(max(w + dx), 6), north := round(max(CASE WHEN key % 9 = 0 THEN s + 3 * dy ELSE s + dy END), 6)) FROM ops JOIN shapes USING (mid)) AS box"""
+
+
+def _feature_columns(feature: str = "feature") -> list:
+    """What the exports' queries compare of a feature, read from its JSON: names, and count and sums of its coordinates."""
+    read = lambda path: F.get_json_object(feature, path)
+    numbers = F.transform(F.regexp_extract_all(read("$.geometry.coordinates"), F.lit(r"-?[0-9][0-9.]*(?:[eE]-?[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
+    total = lambda odd: F.round(F.aggregate(F.filter(numbers, lambda _, i: i % 2 == odd), F.lit(0.0), lambda a, x: a + x), 6)
+    return [read("$.id").alias("id"), read("$.geometry.type").alias("kind"), read("$.properties.operation_id").alias("operation_id"), read("$.properties.status").alias("status"),
+            (F.size(numbers) / 2).cast("long").alias("n_points"), total(0).alias("sum_lon"), total(1).alias("sum_lat")]
+
+
+@query("export_geojson", f"WITH {OPS}, {SHAPES}, x AS (SELECT {_EXTENT}) {_FEATURES}, box.west AS west, box.south AS south, box.east AS east, box.north AS north, "
+       "(SELECT count(*) FROM ops WHERE mid NOT IN (SELECT mid FROM shapes)) AS skipped FROM ops JOIN shapes USING (mid), x")
 def export_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = export.geojson_features(T.operations(spark, sf_dir), _shape_table(spark, sf_dir))
-    read = lambda path: F.get_json_object("feature", path)
-    return features.select(read("$.id").alias("id"), read("$.geometry.type").alias("kind"), read("$.properties.operation_id").alias("operation_id"), read("$.properties.status").alias("status"))
+    """Every feature with its coordinates, and beside it the extent and the count of operations without geometry."""
+    ops, shapes = T.operations(spark, sf_dir), _shape_table(spark, sf_dir)
+    extent = export.geojson_extent(ops, shapes).select(*(F.round(c, 6).alias(n) for n, c in zip(("west", "south", "east", "north"), sink.BOUNDS, strict=True)), "skipped")
+    return export.geojson_features(ops, shapes).select(*_feature_columns()).join(F.broadcast(extent))  # one row
+
+
+@query("export_sink", f"WITH {OPS}, {SHAPES}, x AS (SELECT {_EXTENT}) {_FEATURES}, box.west AS west, box.south AS south, box.east AS east, box.north AS north, "
+       "(SELECT count(*) FROM ops WHERE mid NOT IN (SELECT mid FROM shapes)) AS skipped, (SELECT count(*) FROM ops) AS records FROM ops JOIN shapes USING (mid), x")
+def export_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both exports published by the sink, and read back: features from their document, records of the other, extent and skipped from what was published."""
+    path = scratch_dir(spark, "export")
+    about = sink.publish_export(T.operations(spark, sf_dir), _shape_table(spark, sf_dir), path)
+    records = spark.read.option("lineSep", "\r\n").text(f"{path}/{about['folder']}/operations.csv").count() - 1
+    told = {**{n: round(v, 6) for n, v in zip(("west", "south", "east", "north"), about["bbox"], strict=True)}, "skipped": about["skipped"], "records": records}
+    return sink.exported_features(spark, path).select(*_feature_columns(), *(F.lit(v).cast("double" if isinstance(v, float) else "long").alias(n) for n, v in told.items()))
 
 
 @query("sink_change_detect", "SELECT count(*) AS n, true AS same, false AS same_after_change FROM orders")

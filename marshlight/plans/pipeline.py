@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marshlight.operators import export, merge, quality
+from marshlight.operators import export, merge, quality, sink
 from marshlight.session import scratch_scope, stored, stored_with
 from marshlight.sources import archive, html, kml, versions
 
@@ -190,9 +190,8 @@ def _run(spark: SparkSession, at: str, live: Callable[[], DataFrame], captures:
 
 
 def run_export(ops: DataFrame, shapes: DataFrame, folder: str) -> int:
-    """Both exports; returns how many operations have no geometry."""
-    export.write_csv(export.export_rows(ops, shapes), f"{folder}/operations.csv")
-    return export.write_geojson(ops, shapes, f"{folder}/operations.geojson")
+    """Publish both exports as the newest version of ``folder`` (see ``sink.publish_export``); returns how many operations have no geometry."""
+    return sink.publish_export(ops, shapes, folder)["skipped"]
 
 
 def verify(ops: DataFrame, shapes: DataFrame, known_missing: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
