@@ -13,7 +13,7 @@ from marshlight.functions import geo
 from marshlight.functions import text as X
 from marshlight.operators import export, merge, quality, sink, timeline
 from marshlight.plans import tables as T
-from marshlight.session import scratch_dir, stored
+from marshlight.session import scratch_dir, spread, stored
 from marshlight.sources import archive, captures, html, kml
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,7 +213,7 @@ _CLEAN = """SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), chr
 
 @query("clean_text", _CLEAN)
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.load(spark, sf_dir, "documents").select("doc_id", X.clean(F.col("text")).alias("text"))
+    return spread(T.load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.clean(F.col("text")).alias("text"))
 
 
 @query("extract_param", "SELECT page_id, nullif(regexp_extract(url || CASE WHEN page_id % 3 = 0 THEN '&mid=1a_B-' || page_id ELSE '' END, '[?&]mid=([A-Za-z0-9_\\-]+)', 1), '') AS mid FROM pages")
@@ -771,7 +771,7 @@ def _alert_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.concat(F.lit("<li><ul></ul>A<strong>erial spraying</strong> for larvae on July 25, 2026 POSTPONED TO MONDAY, JULY 27, 2026<ul>"), area(2, ""), F.lit("<li>no link</li></ul></li>"))
     third = F.when(k % 5 == 0, "<li>Ground spraying some day<ul><li>x</li></ul></li>").otherwise("")
     page = F.concat(F.lit("<html><body><div><h1>Spray Alerts</h1><h2>Current Operations</h2><ul>"), first, F.lit("</ul><h2>Past Completed Operations:</h2><ul>"), second, F.lit("</ul><ul>"), third, F.lit("</ul></div>"), F.col("html"), F.lit("</body></html>"))
-    return T.load(spark, sf_dir, "pages").select(F.lit("live").alias("source"), k.alias("page_ord"), page.alias("html"))
+    return spread(T.load(spark, sf_dir, "pages")).select(F.lit("live").alias("source"), k.alias("page_ord"), page.alias("html"))
 
 
 _EXTRACTED = """WITH p AS (SELECT page_id, unnest([0, 1, 2]) AS i FROM pages)

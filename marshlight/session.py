@@ -99,6 +99,16 @@ def drop_scratch(spark: SparkSession, mark: int, keep: DataFrame) -> None:
             make(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(make(path), True)
 
 
+#: A table of fewer bytes than this, by Spark's estimate, may be dealt to all cores before costly work on its rows.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, which often is a single split, in as many parts as there are cores; a larger one stays as it is, without a shuffle."""
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared scratch folder and read it back: the lineage ends here and any executor can reread it."""
     path = scratch_dir(df.sparkSession, label)

@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
 from marshlight.functions import constants as K
 from marshlight.functions import text as X
@@ -148,29 +149,50 @@ AREAS = (
     "container int, op int, area int, headings array<string>, header string, bold_name string, full_text string, status_raw string, leftover string, "
     "anchors array<struct<href:string,text:string>>"
 )
-
-
-@udtf(returnType=AREAS)
+_LINK = pa.struct([("href", pa.string()), ("text", pa.string())])
+_AREAS = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), *(pa.string(),) * 5, pa.list_(_LINK))
+_AREA_NAMES = [field.split()[0] for field in AREAS.split(", ")]
+
+
+def areas_of(html: str) -> Iterator[tuple]:
+    """Structure only: a row (as AREAS) for each area of each operation; one without areas has a row with a null area."""
+    for c, container in enumerate(_containers(document(html or ""))):
+        children = [x for x in container.children if isinstance(x, Node)]
+        real = any(x.name in _HEADINGS for x in children)
+        headings: list[str] = []
+        op = 0
+        for child in children:
+            if child.name in _HEADINGS or (not real and child.name in ("p", "div", *_BOLD) and len(_squeezed(child.text())) <= K.HEADING_LETTERS):
+                headings.append(child.text())
+            elif child.name == "ul":
+                for item in child.elements("li"):
+                    areas = [li for sub in item.elements(*_LISTS) for li in sub.elements("li")]
+                    for a, li in enumerate(areas):
+                        yield (c, op, a, list(headings), _header(item), *_area(li))
+                    if not areas:
+                        yield (c, op, None, list(headings), _header(item), None, None, None, None, None)
+                    op += 1
+
+
+@arrow_udtf(returnType=f"source string, page_ord bigint, {AREAS}")
 class ExtractAreas:
-    """Structure only: a row for each area of each operation; one without areas has a row with a null area."""
-
-    def eval(self, html: str):  # noqa: ANN201
-        for c, container in enumerate(_containers(document(html or ""))):
-            children = [x for x in container.children if isinstance(x, Node)]
-            real = any(x.name in _HEADINGS for x in children)
-            headings: list[str] = []
-            op = 0
-            for child in children:
-                if child.name in _HEADINGS or (not real and child.name in ("p", "div", *_BOLD) and len(_squeezed(child.text())) <= K.HEADING_LETTERS):
-                    headings.append(child.text())
-                elif child.name == "ul":
-                    for item in child.elements("li"):
-                        areas = [li for sub in item.elements(*_LISTS) for li in sub.elements("li")]
-                        for a, li in enumerate(areas):
-                            yield (c, op, a, list(headings), _header(item), *_area(li))
-                        if not areas:
-                            yield (c, op, None, list(headings), _header(item), None, None, None, None, None)
-                        op += 1
+    """``marshlight_extract_areas(TABLE(source, page_ord, html))``: the areas of each page, a batch of pages at a time."""
+
+    def eval(self, pages: pa.RecordBatch) -> Iterator[pa.Table]:
+        sources, numbers, texts = pages.columns
+        found, page = [], []
+        for k, html in enumerate(texts.to_pylist()):
+            for row in areas_of(html):
+                found.append(row)
+                page.append(k)
+        took = pa.array(page, pa.int32())
+        columns = [sources.take(took), numbers.take(took)]
+        for k, kind in enumerate(_AREAS):
+            values = (r[k] for r in found)
+            if kind == _AREAS[-1]:
+                values = (None if v is None else [{"href": h, "text": t} for h, t in v] for v in values)
+            columns.append(pa.array(list(values), kind))
+        yield pa.table(columns, names=["source", "page_ord", *_AREA_NAMES])
 
 
 def pick_mid(anchors: Column) -> Column:
@@ -214,7 +236,9 @@ def extract_areas(pages: DataFrame) -> DataFrame:
 def _lateral(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     spark.udtf.register("marshlight_extract_areas", ExtractAreas)
-    return spark.sql("SELECT p.source, p.page_ord, t.* FROM {p} p, LATERAL marshlight_extract_areas(p.html) t", p=pages)
+    plain = pages.select(F.col("source").cast("string").alias("source"), F.col("page_ord").cast("long").alias("page_ord"), F.col("html").cast("string").alias("html"))
+    read = spark.sql("SELECT * FROM marshlight_extract_areas(TABLE(SELECT source, page_ord, html FROM {p}))", p=plain)
+    return read.withColumn("page_ord", F.col("page_ord").cast(pages.schema["page_ord"].dataType))
 
 
 def operations(areas: DataFrame, first_seen: Column) -> DataFrame:
