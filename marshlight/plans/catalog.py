@@ -886,13 +886,14 @@ _FEATURES = f"SELECT id, CASE WHEN key % 9 = 0 THEN 'MultiPolygon' ELSE 'Polygon
 _EXTENT = """(SELECT struct_pack(west := round(min(w), 6), south := round(min(s), 6), east := round(max(w + dx), 6), north := round(max(CASE WHEN key % 9 = 0 THEN s + 3 * dy ELSE s + dy END), 6)) FROM ops JOIN shapes USING (mid)) AS box"""
 
 
-def _feature_columns(feature: str = "feature") -> list:
-    """What the exports' queries compare of a feature, read from its JSON: names, and count and sums of its coordinates."""
-    read = lambda path: F.get_json_object(feature, path)
-    numbers = F.transform(F.regexp_extract_all(read("$.geometry.coordinates"), F.lit(r"-?[0-9][0-9.]*(?:[eE]-?[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
-    total = lambda odd: F.round(F.aggregate(F.filter(numbers, lambda _, i: i % 2 == odd), F.lit(0.0), lambda a, x: a + x), 6)
-    return [read("$.id").alias("id"), read("$.geometry.type").alias("kind"), read("$.properties.operation_id").alias("operation_id"), read("$.properties.status").alias("status"),
-            (F.size(numbers) / 2).cast("long").alias("n_points"), total(0).alias("sum_lon"), total(1).alias("sum_lat")]
+def _features_read(rows: DataFrame, *others) -> DataFrame:  # noqa: ANN002
+    """What the exports' queries compare of features, read from their JSON: names, and count and sums of their coordinates."""
+    shape = "id string, properties struct<operation_id:string,status:string>, geometry struct<type:string,coordinates:string>"
+    read = rows.select(F.from_json("feature", shape).alias("f"), *others)
+    numbers = F.transform(F.split(F.translate("f.geometry.coordinates", "[]", ""), ","), lambda x: x.cast("double"))
+    read = read.withColumn("numbers", numbers)
+    total = lambda odd: F.round(F.aggregate(F.filter("numbers", lambda _, i: i % 2 == odd), F.lit(0.0), lambda a, x: a + x), 6)
+    return read.select("f.id", F.col("f.geometry.type").alias("kind"), "f.properties.operation_id", "f.properties.status", (F.size("numbers") / 2).cast("long").alias("n_points"), total(0).alias("sum_lon"), total(1).alias("sum_lat"), *others)
 
 
 @query("export_geojson", f"WITH {OPS}, {SHAPES}, x AS (SELECT {_EXTENT}) {_FEATURES}, box.west AS west, box.south AS south, box.east AS east, box.north AS north, "
@@ -901,7 +902,7 @@ def export_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature with its coordinates, and beside it the extent and the count of operations without geometry."""
     ops, shapes = T.operations(spark, sf_dir), _shape_table(spark, sf_dir)
     extent = export.geojson_extent(ops, shapes).select(*(F.round(c, 6).alias(n) for n, c in zip(("west", "south", "east", "north"), sink.BOUNDS, strict=True)), "skipped")
-    return export.geojson_features(ops, shapes).select(*_feature_columns()).join(F.broadcast(extent))  # one row
+    return _features_read(export.geojson_features(ops, shapes)).join(F.broadcast(extent))  # one row
 
 
 @query("export_sink", f"WITH {OPS}, {SHAPES}, x AS (SELECT {_EXTENT}) {_FEATURES}, box.west AS west, box.south AS south, box.east AS east, box.north AS north, "
@@ -912,7 +913,7 @@ def export_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     about = sink.publish_export(T.operations(spark, sf_dir), _shape_table(spark, sf_dir), path)
     records = spark.read.option("lineSep", "\r\n").text(f"{path}/{about['folder']}/operations.csv").count() - 1
     told = {**{n: round(v, 6) for n, v in zip(("west", "south", "east", "north"), about["bbox"], strict=True)}, "skipped": about["skipped"], "records": records}
-    return sink.exported_features(spark, path).select(*_feature_columns(), *(F.lit(v).cast("double" if isinstance(v, float) else "long").alias(n) for n, v in told.items()))
+    return _features_read(sink.exported_features(spark, path)).select("*", *(F.lit(v).cast("double" if isinstance(v, float) else "long").alias(n) for n, v in told.items()))
 
 
 @query("sink_change_detect", "SELECT count(*) AS n, true AS same, false AS same_after_change FROM orders")

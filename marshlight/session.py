@@ -105,7 +105,7 @@ SPREAD_BYTES = 32 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """A small table, which often is a single split, in as many parts as there are cores; a larger one stays as it is, without a shuffle."""
-    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_BYTES
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
 
 
