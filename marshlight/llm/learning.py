@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marshlight.llm.common import doc_columns, map_arrow, stored, table, text_chunks
+from marshlight.session import spread
 
 #: Most labelled documents that a classifier is fitted on, and most bytes of their texts together: those of the smallest
 #: hashes of doc_id. Texts of over a 64th of these bytes aren't fitted on. Fixed bounds; only the fit is bounded.
@@ -65,7 +66,7 @@ def append_score(docs: DataFrame, scorer: Callable[[], Callable[[np.ndarray, np.
     ``scorer`` is called once a task and gives a function of (bytes, row offsets) of some texts. Null counts as empty.
     """
     names = list(dict.fromkeys([*keep, "text"]))
-    rows = docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in names))
+    rows = spread(docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from marshlight.llm.common import map_arrow, mix64, span_hashes, stored, table, text_chunks, words
 from marshlight.llm.learning import fold
+from marshlight.session import spread
 
 FOLDS, HELD_OUT = 5, 0
 #: Bytes of an n-gram; it lies in a word, with one blank before and behind it.
@@ -149,7 +150,7 @@ def fit(docs: DataFrame) -> Filters:
     The driver gets the languages and the slots that are set, whose number follows from LEAST_SHARE.
     """
     known = docs.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = stored(map_arrow(known, _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
+    counts = stored(map_arrow(spread(known), _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
     totals = {(r["lang"], r["gram"]): r["n"] for r in counts.filter("gram <= 0").collect()}  # two rows a language
     languages = sorted({lang for lang, _ in totals})
     if not languages:
@@ -190,7 +191,7 @@ def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id
     lettered = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
     columns = list(dict.fromkeys([*keep, "text"]))
     inner = "_lettered"
-    rows = docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in columns), lettered.alias(inner))
+    rows = spread(docs.select(*(F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in columns), lettered.alias(inner)))
     if not filters.languages:
         return rows.select(*keep, F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]))
     listed = pa.array(filters.languages)

@@ -16,10 +16,10 @@ from marshlight.llm.common import map_arrow, mix64, table, text_chunks
 from marshlight.llm.learning import append_score, calibrate, fold, sigmoid, training_sample
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-#: Subsequences of 3, 4 and 5 symbols whose span is at most 5, 5 and 6: so many inserted symbols are forgiven.
-ORDERS = {3: 5, 4: 5, 5: 6}
+#: Subsequences of 3, 4 and 5 symbols whose span is at most 5, 6 and 6: so many inserted symbols are forgiven.
+ORDERS = {3: 5, 4: 6, 5: 6}
 DECAY = 0.5
-LANDMARKS, HARD_NEGATIVES, ROUNDS = 160, 12_000, 3
+LANDMARKS, HARD_NEGATIVES, ROUNDS = 160, 12_000, 2
 #: Lengths of the runs of symbols whose odds begin the training; those of one length may go on from word to word.
 RUNS, PHRASE_RUN = (4, 6, 8, 12), 12
 #: Units that landmarks are chosen from, and units that one step of the arithmetic holds: fixed, so memory is bounded.
@@ -48,7 +48,7 @@ _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, size=5, dtype=np.uint
 #: All beginnings of patterns, shorter ones first.
 _PREFIXES = sorted({p[:k] for p in _PATTERNS for k in range(2, len(p) + 1)}, key=lambda p: (len(p), p))
 _COMPLETE = set(_PATTERNS)
-#: Units of the training are cut to so many symbols: of the longest words the first are enough to tell what they are.
+#: Units of more symbols aren't trained on, so that the kernel's matrices stay small; they are scored as all others are.
 LONGEST = 64
 _TABLE_BITS = 17
 _SHIFTS = (64 - _TABLE_BITS, 64 - 2 * _TABLE_BITS)
@@ -400,15 +400,21 @@ def _candidates(guess: Guess, model: Model | None) -> Callable[[Iterator[pa.Reco
                     continue
                 odds = guess.values(u)
                 value = model.values(u) if model else odds
+                fits = u.end - u.begin <= LONGEST
                 order = np.lexsort((u.begin, u.end - u.begin, -value, u.text))
+                order = order[fits[order]]
+                if not len(order):
+                    continue
                 heads = np.flatnonzero(np.append(True, u.text[order][1:] != u.text[order][:-1]))
                 nth = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
                 toxic = label[u.text[order]] == 1
                 kinds = [(1, order[toxic & (nth == 0)]), (0, order[~toxic & (nth < WORST)])]
                 chance = mix64(unit_keys(u))
-                mixed = np.lexsort((chance, u.text))
+                mixed = order[np.lexsort((chance[order], u.text[order]))]
+                heads = np.flatnonzero(np.append(True, u.text[mixed][1:] != u.text[mixed][:-1]))
+                nth = np.arange(len(mixed)) - np.repeat(heads, np.diff(np.append(heads, len(mixed))))
                 kinds.append((0, mixed[(label[u.text[mixed]] == 0) & (nth < OTHERS)]))
-                kinds.append((1, np.flatnonzero((label[u.text] == 1) & (odds >= STRONG) & u.is_word)))
+                kinds.append((1, np.flatnonzero((label[u.text] == 1) & (odds >= STRONG) & u.is_word & fits)))
                 at = np.concatenate([a for _, a in kinds])
                 size = u.end[at] - u.begin[at]
                 flat = u.symbols[np.arange(int(size.sum())) + np.repeat(u.begin[at] - (np.cumsum(size) - size), size)]
@@ -487,7 +493,7 @@ def _spread(table_of: np.ndarray, most: int) -> np.ndarray:
 
 
 class _Found:
-    """The distinct units that came from the texts, each of at most ``LONGEST`` symbols, and how often each was a witness."""
+    """The distinct units that came from the texts, and how often each was a witness."""
 
     def __init__(self) -> None:
         self.votes: dict[bytes, int] = {}
@@ -496,7 +502,7 @@ class _Found:
     def add(self, rows: pa.Table) -> None:
         self.votes = {}
         for kind, unit in zip(rows.column("kind").to_pylist(), rows.column("unit").to_pylist(), strict=True):
-            key = np.array(unit[:LONGEST], np.uint32).tobytes()
+            key = np.array(unit, np.uint32).tobytes()
             if kind:
                 self.votes[key] = self.votes.get(key, 0) + 1
             else:

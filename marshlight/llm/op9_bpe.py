@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marshlight.llm.bpe import Lexicon, default_tokenizer, distinct_words, encoder, pre_tokens, valid_utf8, vocabulary
 from marshlight.llm.common import doc_columns, map_arrow, padded, scratch_dir, span_hashes, stored, table, text_chunks
+from marshlight.session import spread
 
 #: Bound on the lexicon; the most frequent words of all documents are in it.
 LEXICON_WORDS = 65_536
@@ -46,7 +47,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts; each task sums its own words before the shuffle."""
-    return map_arrow(doc_columns(docs).select(F.coalesce("text", F.lit("")).alias("text")), _count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(spread(doc_columns(docs)).select(F.coalesce("text", F.lit("")).alias("text")), _count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int = LEXICON_WORDS) -> list[bytes]:
@@ -150,4 +151,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
     tokenizer = tokenizer or default_tokenizer()
     docs = table(spark, sf_dir, "documents")
     name = share_lexicon(spark, build_lexicon(frequent_words(word_counts(docs)), tokenizer))
-    return map_arrow(doc_columns(docs), _digest(tokenizer, name), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(spread(doc_columns(docs)), _digest(tokenizer, name), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
