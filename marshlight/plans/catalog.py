@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marshlight.functions import constants as K
 from marshlight.functions import geo
 from marshlight.functions import text as X
-from marshlight.operators import export, merge, quality, sink, timeline
+from marshlight.operators import export, footprint, merge, quality, sink, timeline
 from marshlight.plans import tables as T
 from marshlight.session import scratch_dir, spread, stored
 from marshlight.sources import archive, captures, html, kml
@@ -207,6 +207,20 @@ def hdr_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("hdr_all_sql", ORACLES["hdr_all"])
+def hdr_all_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hdr_all`` as one SQL text over the registered functions."""
+    from marshlight.functions import sql
+
+    sql.register(spark)
+    return spark.sql(
+        """SELECT key, ml_header_method(h) AS method, ml_header_target(h) AS target, ml_header_period(h) AS period, clock.time_start, clock.time_end,
+             array_join(ml_canonical_products(ml_products_raw(h)), '; ') AS products, date_format(first.date, 'yyyy-MM-dd') AS date, ml_status_of(h).status AS status
+           FROM (SELECT key, h, ml_header_times(h) AS clock, ml_first_date(h) AS first FROM (SELECT key, ml_clean_text(header) AS h FROM {headers}))""",
+        headers=T.headers(spark, sf_dir),
+    )
+
+
 # ---------------------------------------------------------------- other text
 _CLEAN = """SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), chr(160) || chr(8217) || chr(8203), ' '''), '[\\s\\x0b\\x1c-\\x1f\\x85\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS text FROM documents"""
 
@@ -745,6 +759,21 @@ def shapes_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.unionByName(failed.select("mid", F.col("reason").alias("state")), allowMissingColumns=True)
 
 
+_FOOTPRINT = f"""WITH {SHAPES}, r AS (SELECT w AS x0, w + dx AS x1, s AS y0, s + dy AS y1 FROM shapes WHERE key % 10 <> 0 UNION ALL SELECT w, w + dx, s + 2 * dy, s + 2 * dy + dy FROM shapes WHERE key % 9 = 0
+  UNION ALL SELECT w, w + dx / 4, s, s + dy FROM shapes WHERE key % 10 = 0 UNION ALL SELECT w + dx / 4 + dx / 2, w + dx, s, s + dy FROM shapes WHERE key % 10 = 0
+  UNION ALL SELECT w + dx / 4, w + dx / 4 + dx / 2, s, s + dy / 4 FROM shapes WHERE key % 10 = 0 UNION ALL SELECT w + dx / 4, w + dx / 4 + dx / 2, s + dy / 4 + dy / 2, s + dy FROM shapes WHERE key % 10 = 0),
+x AS (SELECT a, lead(a) OVER (ORDER BY a) AS b FROM (SELECT x0 AS a FROM r UNION SELECT x1 FROM r)),
+i AS (SELECT a, b, y0, y1, max(y1) OVER (PARTITION BY a ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x JOIN r ON x0 <= a AND x1 >= b),
+g AS (SELECT a, b, greatest(y0, coalesce(reach, y0)) AS y0, y1 FROM i WHERE reach IS NULL OR y1 > reach)
+SELECT round(sum(radians(b - a) * (sin(radians(y1)) - sin(radians(y0)))) * {K.EARTH_RADIUS_KM} * {K.EARTH_RADIUS_KM}, 3) AS footprint_sq_km FROM g"""
+
+
+@query("footprint_area", _FOOTPRINT)
+def footprint_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ground that all shapes cover together; they overlap each other many times."""
+    return footprint.footprint_area(T.shapes(spark, sf_dir)).select(F.round("footprint_sq_km", 3).alias("footprint_sq_km"))
+
+
 # ---------------------------------------------------------------- documents
 @query("src_plausible_pages", f"SELECT page_id FROM pages WHERE length(html) >= {K.SMALLEST_PAGE}")
 def src_plausible_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
