@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from marshlight.llm.common import map_arrow, parallelism, stored, table
 
 SCALE = 256
-#: Fixed sizes: candidates of a shard, and candidates that one step of the traversal takes.
-SHARD_ROWS, STEP_ROWS = 65_536, 1_024
+#: Fixed sizes: bytes of a shard's components (a task holds a few times as many), and candidates that one step of the traversal takes.
+#: All queries pass every shard, so their copies are queries x bytes of all candidates / SHARD_BYTES: raise it where executors are large.
+SHARD_BYTES, STEP_ROWS = 32 << 20, 1_024
 PROBE_TERMS = 8
 #: A dimension is kept as a list of the candidates that aren't 0 in it while they are at most one in so many.
 SPARSE = 4
@@ -194,10 +195,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     queries of their own. With fewer candidates all are returned. A score among the k best that doesn't fit a long is
     an error, and so is a component beyond the doubles after scaling.
 
-    Candidates are dealt by hash to shards of a fixed size, each once; every shard's task builds the shard's postings
+    Candidates are dealt by hash to shards of a fixed number of bytes, whatever their length, each once; every shard's task builds the shard's postings
     from the rows that come first and then walks all queries as they stream past. The shards' best are merged per query.
     """
-    spark, shards = candidates.sparkSession, max(parallelism(candidates.sparkSession), -(-candidates.count() // SHARD_ROWS))
+    spark = candidates.sparkSession
+    held = candidates.agg(F.coalesce(F.sum(8 * F.greatest(F.size("embedding"), F.lit(0)).cast("long")), F.lit(0))).first()[0]
+    shards = max(parallelism(spark), -(-held // SHARD_BYTES))
     asked = stored(whole_vectors(queries).dropDuplicates(["vec_id", "v"]).withColumn("query", F.monotonically_increasing_id()), "queries")
     mine = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")
     rows = whole_vectors(candidates).select(mine.alias("shard"), F.lit(False).alias("ask"), F.lit(-1).cast("long").alias("query"), "vec_id", "v")

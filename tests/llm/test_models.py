@@ -336,6 +336,16 @@ def test_search(spark):
     assert search.top_k(table.filter("vec_id = 50"), table.filter("vec_id in (50, 51)")).count() == 1
 
 
+def test_search_in_shards_of_bytes(spark, monkeypatch):
+    """Long vectors make more shards, and the answers stay the same."""
+    monkeypatch.setattr(search, "SHARD_BYTES", 8 * 64 * 20)
+    rng = np.random.default_rng(18)
+    rows = [(i, rng.normal(0, 0.2, 64).round(2).tolist()) for i in range(300)] + [(1000, None), (1001, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = search.top_k(table.filter("vec_id % 50 = 0"), table)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()) == search_brute(rows, 5)
+
+
 def test_search_of_large_components(spark):
     """Components of any size keep their value; a score among the best that isn't a long is an error."""
     rows = [(0, [0.5, 0.25]), *((k, [1e10 * k, -3e9 * k]) for k in range(1, 8)), (8, [2e14, 0.0]), (9, [-2e14, 1.0]), (10, [1.0, 1e14])]
