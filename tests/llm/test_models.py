@@ -563,3 +563,40 @@ def test_stages_on_edges(spark, docs, no_docs, tmp_path):
             assert out.count() <= 200
             if name != "packing":
                 assert out.columns == some.columns
+
+
+def test_classifier_queries(spark, tmp_path):
+    """The registered queries: one row a document, folds by crc32, scores in range, predictions by the threshold, held-out texts told
+    apart, and labels of the held-out fold without any effect."""
+    import zlib
+
+    random.seed(17)
+    rows, labels = [], []
+    for i in range(300):
+        words = prose(60).split()
+        if i % 4 == 1:
+            words[7] = random.choice(INSULTS)
+        if i % 4 == 2:
+            words = [w + "###" for w in words]
+        rows.append((i, " ".join(words), i % 4))
+        labels.append((i, int(i % 4 != 2), int(i % 4 == 1)))
+    rows += [(900, None, 0), (901, "", 0), (None, prose(20), 0), (5, rows[5][1], 1)]
+    spark.createDataFrame([(i, t, "en", "s", 0.5) for i, t, _ in rows], "doc_id long, text string, lang string, source string, score double").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, folds, out, good in ((toxicity.op5_toxicity, 4, 2, lambda k: k == 1), (quality.op6_quality, 5, 0, lambda k: k != 2)):
+        held = {i: zlib.crc32(str(i).encode()) % folds == out for i, _, _ in rows if i is not None}
+        results = []
+        for flip in (False, True):
+            given = [(i, q ^ (flip and held[i]), t ^ (flip and held[i])) for i, q, t in labels]
+            spark.createDataFrame([(i, int(q), int(t)) for i, q, t in given], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+            got = query(spark, str(tmp_path))
+            assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+            results.append(sorted((str(r.doc_id), r.held_out, round(r.score, 9), r.predicted) for r in got.collect()))
+            if flip:
+                continue
+            found = got.collect()
+            assert len(found) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in found)
+            assert all(r.held_out == held[r.doc_id] for r in found if r.doc_id is not None)
+            kinds = {i: k for i, _, k in rows}
+            right = [r.predicted == int(good(kinds[r.doc_id])) for r in found if r.doc_id is not None and r.doc_id < 300 and r.held_out]
+            assert np.mean(right) >= 0.93
+        assert results[0] == results[1]
