@@ -19,6 +19,10 @@ from marshlight.llm.common import free_name, scratch_dir, table
 ARRIVALS = 6
 
 
+#: Shards of a full segment of a manifest.
+SEGMENT_SHARDS = 4_096
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str
@@ -41,6 +45,10 @@ def merged_schema(old: T.StructType | None, new: T.StructType) -> T.StructType:
 class ShardStore:
     """Shards under ``<path>/data`` and one manifest a version under ``<path>/manifests``.
 
+    A version is a short list of segments, files of up to ``segment_shards`` shards that never change; a commit writes those segments
+    anew that it takes shards from, or that have room, and one for what it adds, so that its work doesn't grow with the store.
+    For very large stores raise ``target_bytes`` too: a shard is what a manifest counts.
+
     A shard never changes. A version lists the live shards and the columns of all shards so far: deliveries may bring new
     columns, which are null in older rows, and may lack some; a column of another type is refused. A version becomes visible when its finished file gets its name, by a
     link on a local file system and by a rename elsewhere. Both fail if the name is taken (on HDFS too; an object store
@@ -50,38 +58,67 @@ class ShardStore:
     they list, with files of jobs that died, which no manifest lists.
     """
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 64 << 20, fanout: int = 4, smallest_bytes: int = 1 << 20):
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 64 << 20, fanout: int = 4, smallest_bytes: int = 1 << 20, segment_shards: int = SEGMENT_SHARDS):
         self.spark, self.path, self.target, self.fanout, self.smallest = spark, path.rstrip("/"), target_bytes, fanout, smallest_bytes
+        self.segment, self._known = segment_shards, {}
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def version(self) -> int:
         """The newest version; 0: nothing committed."""
+        return max([0, *(int(n[1:-5]) for n in self._names() if n.startswith("v") and n.endswith(".json"))])
+
+    def _names(self) -> list[str]:
         folder = self._path(f"{self.path}/manifests")
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        return max([0, *(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))])
+        return [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+
+    def _read(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/manifests/{name}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _write(self, name: str, content: dict | list) -> None:
+        stream = self._fs.create(self._path(f"{self.path}/manifests/{name}"), False)
+        stream.write(bytearray(json.dumps(content).encode()))
+        stream.close()
+
+    def _segments(self, version: int) -> dict[str, list[Shard]]:
+        """The segments that a version lists, with their shards; each is read once, as it never changes."""
+        names = self._read(f"v{version}.json")["segments"] if version else []
+        for name in names:
+            if name not in self._known:
+                self._known[name] = [Shard(**s) for s in self._read(name)]
+        return {name: self._known[name] for name in names}
 
     def manifest(self, version: int | None = None) -> tuple[list[Shard], T.StructType | None]:
         version = self.version() if version is None else version
         if version == 0:
             return [], None
-        stream = self._fs.open(self._path(f"{self.path}/manifests/v{version}.json"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        found = json.loads(text)
-        return [Shard(**s) for s in found["shards"]], T.StructType.fromJson(found["schema"])
+        schema = T.StructType.fromJson(self._read(f"v{version}.json")["schema"])
+        return [s for shards in self._segments(version).values() for s in shards], schema
 
     def _commit(self, base: int, shards: list[Shard], schema: T.StructType) -> int:
-        folder, name = f"{self.path}/manifests", f"v{base + 1}.json"
-        draft, final = self._path(f"{folder}/draft-{uuid.uuid4().hex}"), self._path(f"{folder}/{name}")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps({"version": base + 1, "schema": schema.jsonValue(), "shards": [vars(s) for s in shards]}).encode()))
-        stream.close()
+        """Segments all of whose shards are still live stay, but for a last one that has room; the other shards get new segments."""
+        live, kept = set(shards), {}
+        for name, held in (self._segments(base) if base == self.version() else {}).items():
+            if len(held) == self.segment and live.issuperset(held):
+                kept[name] = held
+        listed = {s for held in kept.values() for s in held}
+        new = [s for s in shards if s not in listed]
+        names = list(kept)
+        for k in range(0, len(new), self.segment):
+            names.append(f"segment-{uuid.uuid4().hex}.json")
+            self._write(names[-1], [vars(s) for s in new[k : k + self.segment]])
+        draft = f"draft-{uuid.uuid4().hex}"
+        self._write(draft, {"version": base + 1, "schema": schema.jsonValue(), "segments": names})
+        draft, final = (self._path(f"{self.path}/manifests/{n}") for n in (draft, f"v{base + 1}.json"))
         taken = not self._named(draft, final)
         self._fs.delete(draft, False)
         if taken:
+            for name in names[len(kept) :]:
+                self._fs.delete(self._path(f"{self.path}/manifests/{name}"), False)
             raise ConflictError(f"version {base + 1} of {self.path} is taken")
         return base + 1
 
@@ -174,6 +211,10 @@ class ShardStore:
         dead = [s for s in self._files(f"{self.path}/data") if s.path not in live]
         for s in dead:
             self._fs.delete(self._path(s.path), False)
+        listed = {name for v in range(max(newest - max(keep, 1), 0) + 1, newest + 1) for name in self._segments(v)}
+        for name in self._names():
+            if name.startswith("segment-") and name not in listed:
+                self._fs.delete(self._path(f"{self.path}/manifests/{name}"), False)
         return len(dead)
 
     def read(self, version: int | None = None) -> DataFrame:

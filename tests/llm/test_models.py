@@ -417,6 +417,22 @@ def test_store_keeps_versions(spark, docs):
     assert store.vacuum() == 2 and store.read().count() == 2 * len(ROWS)
 
 
+def test_store_segments(spark, docs):
+    """A commit rewrites the segments that it touches and leaves full ones alone; old versions keep theirs until vacuum."""
+    store = sharding.ShardStore(spark, scratch_dir(spark, "segments"), smallest_bytes=100, target_bytes=1 << 20, fanout=3, segment_shards=2)
+    for _ in range(5):
+        store.append(docs.select("doc_id").coalesce(1))
+    first, shards = list(store._segments(5)), store.manifest()[0]
+    assert len(first) == 3 and len(shards) == 5 and list(store._segments(3))[0] == first[0] == list(store._segments(4))[0]
+    store._commit(5, [*shards[:2], shards[4]], docs.select("doc_id").schema)
+    assert list(store._segments(6))[0] == first[0] and len(store._segments(6)) == 2 and store.manifest()[0] == [*shards[:2], shards[4]]
+    again = sharding.ShardStore(spark, store.path, segment_shards=2)
+    assert again.manifest(5)[0] == shards and again.read(5).count() == 5 * len(ROWS) and again.read().count() == 3 * len(ROWS)
+    with pytest.raises(sharding.ConflictError):
+        again._commit(5, shards, docs.select("doc_id").schema)
+    assert again.vacuum() == 2 and sum(n.startswith("segment-") for n in again._names()) == 2 and again.read().count() == 3 * len(ROWS)
+
+
 def test_store_columns(spark, docs):
     """New columns are null in older rows, lacking ones in the delivery that lacks them; another type is refused."""
     store = sharding.ShardStore(spark, scratch_dir(spark, "columns"), smallest_bytes=100, fanout=2)
