@@ -58,6 +58,12 @@ def per_year(rows: DataFrame, day: str) -> DataFrame:
     return rows.groupBy(F.year(day).alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def per_year_and_era(rows: DataFrame, day: str, source: str = "source") -> DataFrame:
+    """(year, era, n): operations by the year that they fall in and by what shows them: the live page, captures of a year, or anything else."""
+    era = F.when(F.col(source) == "live", "live").when(F.col(source).startswith("wayback:"), F.concat(F.lit("captures of "), F.substring(source, 9, 4))).otherwise("other")
+    return rows.groupBy(F.year(day).alias("year"), era.alias("era")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def facets(rows: DataFrame, fields: list[str]) -> DataFrame:
     """(facet, value, n) for every value of every field; array fields count each element. One pass over the table."""
 

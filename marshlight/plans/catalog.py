@@ -76,6 +76,11 @@ def ops_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.per_year(T.operations(spark, sf_dir), "date")
 
 
+@query("ops_per_era", f"WITH {OBS} SELECT substr(date, 1, 4)::INTEGER AS year, CASE WHEN source = 'live' THEN 'live' WHEN source LIKE 'wayback:%' THEN 'captures of ' || substr(source, 9, 4) ELSE 'other' END AS era, count(*) AS n FROM obs GROUP BY 1, 2")
+def ops_per_era(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.per_year_and_era(T.observations(spark, sf_dir), "date")
+
+
 @query(
     "section_ffill",
     """SELECT event_id AS pos, last_value(kind IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS section
