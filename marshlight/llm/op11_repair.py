@@ -15,6 +15,8 @@ from marshlight.llm.turns import in_order, order_columns, ordered_sha256
 
 #: Rows and characters of a segment: a conversation of more is repaired in pieces, which are put together after that.
 SEGMENT_ROWS, SEGMENT_CHARS = 1024, 2 << 20
+#: Repeated turns that are broadcast to mark the later ones.
+BROADCAST_SEEN = 200_000
 BLANKS = " \t\n\x0b\x0c\r"
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -299,7 +301,8 @@ def repair(rows: DataFrame, segment_rows: int = SEGMENT_ROWS, segment_chars: int
     keyed = given.withColumns({"fault": fault} | order_columns())
     place = F.struct(F.col("turn").isNotNull().alias("given"), F.col("turn"))
     seen = keyed.filter("alive and not fault <=> 'blank'").groupBy("conv_id", "who").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    seen = seen.select(F.col("conv_id").alias("c"), F.col("who").alias("w"), "first")
+    seen = stored(seen.select(F.col("conv_id").alias("c"), F.col("who").alias("w"), "first"), "repair-seen")
+    seen = F.broadcast(seen) if seen.count() <= BROADCAST_SEEN else seen  # else the texts are shuffled once more
     marked = keyed.join(seen, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("who") == F.col("w")), "left").withColumn("again", F.coalesce(place > F.col("first"), F.lit(False))).drop("c", "w", "first")
     segments = stored(map_arrow(in_order(marked), _cut(segment_rows, segment_chars), SEGMENT), "repair-segments")
     whole, pieces = segments.filter("whole"), segments.filter("not whole")

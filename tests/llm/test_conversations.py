@@ -101,6 +101,7 @@ def talk(n, seed, turns):
 def test_repair(spark, monkeypatch, segment, tasks):
     """Whole conversations, and ones in pieces of one or three rows that lie in several tasks."""
     monkeypatch.setattr(repair, "in_order", lambda rows: in_order(rows, tasks))
+    monkeypatch.setattr(repair, "BROADCAST_SEEN", 200_000 if segment == 3 else 0)
     rows = talk(60, segment, 9) + talk(1, 99, 60) + [(None, 1, "user", "Hi."), (None, 2, "assistant", "Ho."), (70, None, None, None), (71, 5, "user", "x" * 5000)]
     rows = list(dict.fromkeys(rows))
     table = repair.damaged(spark.createDataFrame(rows, SCHEMA).repartition(3))
