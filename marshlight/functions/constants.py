@@ -37,6 +37,10 @@ MAP_URL = "https://www.google.com/maps/d/viewer?mid=%s"
 KML_URL = "https://www.google.com/maps/d/kml?mid=%s&forcekml=1"
 SNAPSHOT_URL = "https://web.archive.org/web/%sid_/%s"
 
+#: White space in the JVM's dialect: what (?U)\s has, and the separators U+001C to U+001F.
+WHITE_PATTERN = r"(?U)[\s\x1c-\x1f]+"
+#: What the patterns below begin with, put before them: a look at one letter is cheaper than a test for the border of a word.
+STATUS_AHEAD, TIME_AHEAD, DATE_AHEAD, PRODUCT_AHEAD = "(?=[CPR])", r"(?U)(?=\d)", "(?=[JFMASONDjfmasond\u017f])", "(?=[Uu])"
 #: Patterns in the JVM's dialect.
 METHOD_PATTERN = r"(?iU)\b(aerial|ground)\s+spray"
 TARGET_PATTERN = r"(?iU)\bfor\s+(adult|larval|larvae)\b"

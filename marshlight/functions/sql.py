@@ -35,24 +35,28 @@ def _found(text: str, pattern: str, group: int = 1) -> str:
 
 
 def _clean(text: str) -> str:
-    return rf"trim(regexp_replace(translate(coalesce({text}, ''), ' ’​', ' \''), r'(?U)[\s\x1c-\x1f]+', ' '))"
+    plain = rf"replace(replace(replace(coalesce({text}, ''), ' ', ' '), '’', '\''), '​', '')"
+    return f"trim(regexp_replace({plain}, {_quoted(K.WHITE_PATTERN)}, ' '))"
+
+
+def _parts(text: str, pattern: str) -> str:
+    return rf"split(regexp_replace({text}, {_quoted(pattern)}, '$1\n$2\n$3'), '\n')"
 
 
 def _clock(text: str) -> str:
-    part = lambda k: f"regexp_extract({text}, {_quoted(K.TIME_PATTERN)}, {k})"
-    hour = f"CASE WHEN lower({part(3)}) = 'a' THEN CASE WHEN h = 12 THEN 0 ELSE h END ELSE CASE WHEN h = 12 THEN 12 ELSE h + 12 END END"
-    hours = _let(f"try_cast({part(1)} AS INT)", "h", f"CAST({hour} AS STRING)")
-    return f"concat(lpad({hours}, 2, '0'), ':', {part(2)})"
+    hour = "CASE WHEN lower(get(c, 2)) = 'a' THEN CASE WHEN h = 12 THEN 0 ELSE h END ELSE CASE WHEN h = 12 THEN 12 ELSE h + 12 END END"
+    hours = _let("try_cast(get(c, 0) AS INT)", "h", f"CAST({hour} AS STRING)")
+    return _let(_parts(text, K.TIME_PATTERN), "c", f"concat(lpad({hours}, 2, '0'), ':', get(c, 1))")
 
 
 def _date(text: str) -> str:
-    part = lambda k: f"regexp_extract({text}, {_quoted(K.DATE_PATTERN)}, {k})"
-    month = f"CAST(array_position(array({_listed(K.MONTHS)}), lower({part(1)})) AS STRING)"
-    return f"CASE WHEN try_cast({part(3)} AS INT) >= 1 THEN try_cast(concat_ws('-', {part(3)}, lpad({month}, 2, '0'), lpad({part(2)}, 2, '0')) AS DATE) END"
+    month = f"CAST(array_position(array({_listed(K.MONTHS)}), lower(get(d, 0))) AS STRING)"
+    dated = f"CASE WHEN try_cast(get(d, 2) AS INT) >= 1 THEN try_cast(concat_ws('-', get(d, 2), lpad({month}, 2, '0'), lpad(get(d, 1), 2, '0')) AS DATE) END"
+    return _let(_parts(text, K.DATE_PATTERN), "d", dated)
 
 
 def _first_date(text: str) -> str:
-    each = f"transform(regexp_extract_all({text}, {_quoted(K.DATE_PATTERN)}, 0), m -> named_struct('date', {_date('m')}, 'date_text', m))"
+    each = f"transform(regexp_extract_all({text}, {_quoted(K.DATE_AHEAD + K.DATE_PATTERN)}, 0), m -> named_struct('date', {_date('m')}, 'date_text', m))"
     return f"get(filter({each}, x -> x.date IS NOT NULL), 0)"
 
 
@@ -62,7 +66,7 @@ def _product(name: str) -> str:
 
 def _status(text: str) -> str:
     kind = "CASE WHEN upper(p) LIKE '%CANCEL%' THEN 'cancelled' WHEN upper(p) LIKE '%POSTPON%' OR upper(p) LIKE '%RESCHEDUL%' THEN 'postponed' WHEN upper(p) LIKE '%COMPLET%' THEN 'complete' END"
-    phrase = rf"btrim({_clean(f'coalesce(regexp_substr(b, {_quoted(K.STATUS_PHRASE_PATTERN)}), CASE WHEN b RLIKE {_quoted(K.STATUS_START_PATTERN)} THEN b END)')}, ' \t.,;:-')"
+    phrase = rf"btrim({_clean(f'coalesce(regexp_substr(b, {_quoted(K.STATUS_AHEAD + K.STATUS_PHRASE_PATTERN)}), CASE WHEN b RLIKE {_quoted(K.STATUS_START_PATTERN)} THEN b END)')}, ' \t.,;:-')"
     both = _let(kind, "k", "named_struct('status', coalesce(k, 'scheduled'), 'status_text', CASE WHEN k IS NOT NULL THEN p END)")
     return _let(_let(_clean(text), "b", phrase), "p", both)
 
@@ -76,7 +80,7 @@ def _boundary(text: str) -> str:
 
 
 def _products_raw(header: str) -> str:
-    phrase = _clean(f"regexp_replace(regexp_extract({header}, {_quoted(K.PRODUCT_PATTERN)}, 1), {_quoted(K.PRODUCT_STOP_PATTERN)}, '')")
+    phrase = _clean(f"regexp_replace(regexp_extract({header}, {_quoted(K.PRODUCT_AHEAD + K.PRODUCT_PATTERN)}, 1), {_quoted(K.PRODUCT_STOP_PATTERN)}, '')")
     names = f"transform(split({phrase}, {_quoted(K.PRODUCT_SPLIT_PATTERN)}), t -> btrim({_clean("translate(t, '®™©', '')")}, ' .,;:/'))"
     return f"filter({names}, n -> n <> '' AND lower(n) NOT IN ('the', 'a', 'an'))"
 
@@ -96,7 +100,7 @@ def definitions() -> dict[str, tuple[str, str, str]]:
         "header_method": text(f"lower({_found('x', K.METHOD_PATTERN)})"),
         "header_target": text(f"CASE WHEN lower({_found('x', K.TARGET_PATTERN)}) LIKE 'larv%' THEN 'larval' WHEN {_found('x', K.TARGET_PATTERN)} IS NOT NULL THEN 'adult' END"),
         "header_period": text(f"lower({_found('x', K.PERIOD_PATTERN)})"),
-        "header_times": text(_let(f"regexp_extract_all(x, {_quoted(K.TIME_PATTERN)}, 0)", "f", f"named_struct('time_start', {_clock('get(f, 0)')}, 'time_end', {_clock('get(f, 1)')})"), _CLOCK),
+        "header_times": text(_let(f"regexp_extract_all(x, {_quoted(K.TIME_AHEAD + K.TIME_PATTERN)}, 0)", "f", f"named_struct('time_start', {_clock('get(f, 0)')}, 'time_end', {_clock('get(f, 1)')})"), _CLOCK),
         "first_date": text(_first_date("x"), _DATED),
         "products_raw": text(_products_raw("x"), "ARRAY<STRING>"),
         "canonical_product": text(_product("x")),

@@ -23,8 +23,10 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def clean(text: Column) -> Column:
     """Null to "", NBSP to a blank, curly apostrophe straight, zero-width spaces out, white space collapsed and trimmed."""
-    plain = F.translate(F.coalesce(text, F.lit("")), " ’​", " '")
-    return F.trim(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f]+", " "))
+    plain = F.coalesce(text, F.lit(""))
+    for odd, usual in ((" ", " "), ("’", "'"), ("​", "")):  # a text without them is only searched
+        plain = F.replace(plain, F.lit(odd), F.lit(usual))
+    return F.trim(F.regexp_replace(plain, K.WHITE_PATTERN, " "))
 
 
 def none_if_empty(text: Column) -> Column:
@@ -44,37 +46,48 @@ def period(header: Column) -> Column:
     return F.lower(_found(header, K.PERIOD_PATTERN))
 
 
+def _parts(text: Column, pattern: str, groups: str) -> Column:
+    """Groups of a text that a pattern matches whole, found in one run; null stays null."""
+    return F.split(F.regexp_replace(text, pattern, groups), "\n")
+
+
 def clock_24h(text: Column) -> Column:
-    """ "8:40 p.m." to "20:40". Hours aren't range-checked: "25:99 p.m." is "37:99"."""
-    hour = F.regexp_extract(text, K.TIME_PATTERN, 1).try_cast("int")
-    early = F.lower(F.regexp_extract(text, K.TIME_PATTERN, 3)) == "a"
-    shifted = let(hour, lambda h: F.when(early, F.when(h == 12, 0).otherwise(h)).otherwise(F.when(h == 12, 12).otherwise(h + 12)).cast("string"))
-    return F.concat(F.lpad(shifted, 2, "0"), F.lit(":"), F.regexp_extract(text, K.TIME_PATTERN, 2))
+    """ "8:40 p.m." to "20:40". Hours aren't range-checked: "25:99 p.m." is "37:99". ``text`` is a match of the pattern."""
+
+    def read(parts: Column) -> Column:
+        hour, early = F.get(parts, 0).try_cast("int"), F.lower(F.get(parts, 2)) == "a"
+        shifted = let(hour, lambda h: F.when(early, F.when(h == 12, 0).otherwise(h)).otherwise(F.when(h == 12, 12).otherwise(h + 12)).cast("string"))
+        return F.concat(F.lpad(shifted, 2, "0"), F.lit(":"), F.get(parts, 1))
+
+    return let(_parts(text, K.TIME_PATTERN, "$1\n$2\n$3"), read)
 
 
 def times(header: Column) -> Column:
     """struct(time_start, time_end): the first two clock readings."""
-    found = F.regexp_extract_all(header, F.lit(K.TIME_PATTERN), F.lit(0))
+    found = F.regexp_extract_all(header, F.lit(K.TIME_AHEAD + K.TIME_PATTERN), F.lit(0))
     return let(found, lambda f: F.struct(clock_24h(F.get(f, 0)).alias("time_start"), clock_24h(F.get(f, 1)).alias("time_end")))
 
 
 def _to_date(text: Column) -> Column:
-    name = F.lower(F.regexp_extract(text, K.DATE_PATTERN, 1))
-    number = F.array_position(F.array(*map(F.lit, K.MONTHS)), name).cast("string")
-    day, year = F.regexp_extract(text, K.DATE_PATTERN, 2), F.regexp_extract(text, K.DATE_PATTERN, 3)
-    date = F.concat_ws("-", year, F.lpad(number, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
-    return F.when(year.try_cast("int") >= 1, date)
+    """``text`` is a match of the pattern."""
+
+    def read(parts: Column) -> Column:
+        number = F.array_position(F.array(*map(F.lit, K.MONTHS)), F.lower(F.get(parts, 0))).cast("string")
+        date = F.concat_ws("-", F.get(parts, 2), F.lpad(number, 2, "0"), F.lpad(F.get(parts, 1), 2, "0")).try_cast("date")
+        return F.when(F.get(parts, 2).try_cast("int") >= 1, date)
+
+    return let(_parts(text, K.DATE_PATTERN, "$1\n$2\n$3"), read)
 
 
 def first_date(text: Column) -> Column:
     """struct(date, date_text): the first date in words that exists in the calendar; null if there is none."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(K.DATE_PATTERN), F.lit(0)), lambda m: F.struct(_to_date(m).alias("date"), m.alias("date_text")))
+    found = F.transform(F.regexp_extract_all(text, F.lit(K.DATE_AHEAD + K.DATE_PATTERN), F.lit(0)), lambda m: F.struct(_to_date(m).alias("date"), m.alias("date_text")))
     return F.get(F.filter(found, lambda x: x["date"].isNotNull()), 0)
 
 
 def products_raw(header: Column) -> Column:
     """The products named after "using", in source order and wording."""
-    phrase = clean(F.regexp_replace(F.regexp_extract(header, K.PRODUCT_PATTERN, 1), K.PRODUCT_STOP_PATTERN, ""))
+    phrase = clean(F.regexp_replace(F.regexp_extract(header, K.PRODUCT_AHEAD + K.PRODUCT_PATTERN, 1), K.PRODUCT_STOP_PATTERN, ""))
     names = F.transform(F.split(phrase, K.PRODUCT_SPLIT_PATTERN), lambda t: F.btrim(clean(F.translate(t, "®™©", "")), F.lit(" .,;:/")))
     return F.filter(names, lambda n: (n != "") & ~F.lower(n).isin("the", "a", "an"))
 
@@ -102,7 +115,7 @@ def status(text: Column) -> Column:
         return F.when(upper.contains("CANCEL"), "cancelled").when(upper.contains("POSTPON") | upper.contains("RESCHEDUL"), "postponed").when(upper.contains("COMPLET"), "complete")
 
     def phrase_of(blob: Column) -> Column:
-        shouted = F.regexp_substr(blob, F.lit(K.STATUS_PHRASE_PATTERN))
+        shouted = F.regexp_substr(blob, F.lit(K.STATUS_AHEAD + K.STATUS_PHRASE_PATTERN))
         return F.btrim(clean(F.coalesce(shouted, F.when(blob.rlike(K.STATUS_START_PATTERN), blob))), F.lit(" \t.,;:-"))
 
     def both(phrase: Column) -> Column:

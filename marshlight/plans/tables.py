@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marshlight.functions import constants as K
-from marshlight.session import spread
+from marshlight.session import dealt
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,7 +132,7 @@ kept AS (SELECT pick.ts AS ts, pick.ord AS ord, pick.digest AS digest FROM walk
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header sentence for each order, with the fields that it was made from."""
-    o = spread(load(spark, sf_dir, "orders"))
+    o = dealt(load(spark, sf_dir, "orders"), "o_orderkey")
     k = F.col("o_orderkey")
     hour, minute = F.pmod(k, F.lit(12)) + 1, F.lpad(F.pmod(k, F.lit(60)).cast("string"), 2, "0")
     half = F.when(k % 2 == 0, "a.m.").otherwise("p.m.")

@@ -109,6 +109,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if small else df
 
 
+#: Bytes, by Spark's estimate, of a table of narrow rows in each of the parts that it is dealt to.
+DEALT_BYTES = 1 << 20
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """A table whose narrow rows are costly, or become wide, in parts of about ``DEALT_BYTES`` by the unique columns ``by``, and in at least as
+    many as there are cores: tasks stay short and small however large the table is. Only what is used of the narrow rows is shuffled."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(-(-size // DEALT_BYTES), df.sparkSession.sparkContext.defaultParallelism), *by)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared scratch folder and read it back: the lineage ends here and any executor can reread it."""
     path = scratch_dir(df.sparkSession, label)
