@@ -77,7 +77,7 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(k % 10 == 0, F.array(ring(w, s, dx, dy), ring(w + dx / 4, s + dy / 4, dx / 2, dy / 2, True))).otherwise(F.array(ring(w, s, dx, dy)))
     polygons = F.when(k % 9 == 0, F.array(first, F.array(ring(w, s + 2 * dy, dx, dy)))).otherwise(F.array(first))
     name = zone_name(k)
-    return load(spark, sf_dir, "customer").filter(k % 41 != 40).select(F.concat(F.lit("Z"), k).alias("mid"), name.alias("doc_name"), polygons.alias("polygons"), k.alias("key"))
+    return dealt(load(spark, sf_dir, "customer"), "c_custkey").filter(k % 41 != 40).select(F.concat(F.lit("Z"), k).alias("mid"), name.alias("doc_name"), polygons.alias("polygons"), k.alias("key"))
 
 
 def zone_name(key: Column) -> Column:

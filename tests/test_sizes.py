@@ -33,6 +33,11 @@ def test_headers_of_a_large_table_are_dealt_by_its_size(spark, folder, monkeypat
     assert parts(T.headers(spark, folder)) > 8
 
 
+def test_shapes_of_a_large_table_are_dealt_by_its_size(spark, folder, monkeypatch):
+    monkeypatch.setattr(session, "DEALT_BYTES", 1 << 10, raising=False)
+    assert parts(T.shapes(spark, folder)) > 8
+
+
 def test_cheap_scans_find_what_the_patterns_find(spark):
     odd = ["at 8:40 p.m. and 12:05 AM", "٣:٤٥ pm", "ſeptember 3, 2001 or auguſt 31, 2001", "xJuly 4, 2001", "June 31, 2001, July 4th 2001", "it's over​ now  \x1c COMPLETE. ", "UNCOMPLETE", "USING Dibrom® or the Altosid is", None, ""]
     rows = spark.createDataFrame(list(enumerate(odd)), "k int, h string")
