@@ -55,14 +55,12 @@ def _items(spark: SparkSession, path: str, member: str, lenient: bool, version:
 def operations_of_items(items: DataFrame, *others: str) -> DataFrame:
     """OPERATION_READ, and the columns ``others``, of elements' texts (item). Elements that aren't objects are left out."""
     objects = items.filter(F.ltrim("item").startswith("{"))
-    keys = F.json_object_keys("item")
+    # a generator of one row: an element is parsed once, though the filter below and the fields need what is parsed
+    parsed = F.stack(F.lit(1), F.from_json("item", OPERATION, {"mode": "FAILFAST"}), F.json_object_keys("item")).alias("o", "keys")
     extra = F.map_filter(F.from_json("item", "map<string,variant>"), lambda k, _: ~k.isin(*OPERATION_FIELDS))
-    unknown = F.size(F.array_except(keys, F.array(*map(F.lit, sorted(OPERATION_FIELDS))))) > 0
-    read = objects.select(
-        F.from_json("item", OPERATION, {"mode": "FAILFAST"}).alias("o"), F.when(unknown, F.to_variant_object(extra)).alias("more"),
-        F.array_intersect(keys, F.array(*map(F.lit, K.MUTABLE))).alias("present"), *others,
-    )
-    return read.filter("o is not null").select("o.*", "more", "present", *others)  # the filter keeps all fields, so a count finds errors too
+    unknown = F.size(F.array_except("keys", F.array(*map(F.lit, sorted(OPERATION_FIELDS))))) > 0
+    read = objects.select("item", parsed, *others).filter("o is not null")  # the filter keeps all fields, so a count finds errors too
+    return read.select("o.*", F.when(unknown, F.to_variant_object(extra)).alias("more"), F.array_intersect("keys", F.array(*map(F.lit, K.MUTABLE))).alias("present"), *others)
 
 
 def load_operations(spark: SparkSession, path: str, lenient: bool = False, version: int | None = None, ordinal: str | None = None) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 
 from marshlight import session
 from marshlight.functions import sql
 from marshlight.functions import text as X
 from marshlight.plans import tables as T
+from marshlight.sources import archive, html
 from pyspark.sql import functions as F
 
 
@@ -47,3 +49,18 @@ def test_cheap_scans_find_what_the_patterns_find(spark):
     assert tuple(got[0][2]) == ("20:40", "00:05") and got[1][2]["time_end"] is None and got[5][1] == "it's over now COMPLETE." and got[5][5]["status"] == "complete"
     assert [str(r[3]["date"]) if r[3] else None for r in got] == [None, None, None, None, "2001-07-04"] + [None] * 5
     assert got[6][5]["status"] == "scheduled" and got[7][4] == ["Dibrom", "the Altosid"]
+
+
+def test_an_element_of_a_document_is_parsed_once(spark):
+    items = spark.range(3).select(F.concat(F.lit('{"id":"'), "id", F.lit('","crew":1}')).alias("item"))
+    read = archive.operations_of_items(items)
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("from_json" in line for line in plan.splitlines() if "Filter " in line)
+    assert sorted(r["id"] for r in read.select("id", F.to_json("more").alias("more")).collect()) == ["0", "1", "2"]
+
+
+def test_pages_are_read_in_small_batches():
+    """A worker holds the areas of a few pages, not those of a whole batch."""
+    pages = pa.record_batch([pa.array(["live"] * 40), pa.array(range(40)), pa.array(["<ul><li>x<ul><li>y <a href='?mid=1'>map</a></li></ul></li></ul>" + " " * 200_000] * 40)], names=["source", "page_ord", "html"])
+    tables = list(html.ExtractAreas.func().eval(pages))
+    assert len(tables) > 1 and sum(t.num_rows for t in tables) == 40 and [n for t in tables for n in t.column("page_ord").to_pylist()] == list(range(40))
