@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -151,6 +152,8 @@ AREAS = (
 )
 _LINK = pa.struct([("href", pa.string()), ("text", pa.string())])
 _AREAS = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), *(pa.string(),) * 5, pa.list_(_LINK))
+#: Letters of pages that are read before their areas are given on.
+MOST_READ = 4 << 20
 _AREA_NAMES = [field.split()[0] for field in AREAS.split(", ")]
 
 
@@ -180,19 +183,29 @@ class ExtractAreas:
 
     def eval(self, pages: pa.RecordBatch) -> Iterator[pa.Table]:
         sources, numbers, texts = pages.columns
-        found, page = [], []
-        for k, html in enumerate(texts.to_pylist()):
+        found, page, read = [], [], 0
+
+        def table() -> pa.Table:
+            took = pa.array(page, pa.int32())
+            columns = [sources.take(took), numbers.take(took)]
+            for k, kind in enumerate(_AREAS):
+                values = (r[k] for r in found)
+                if kind == _AREAS[-1]:
+                    values = (None if v is None else [{"href": h, "text": t} for h, t in v] for v in values)
+                columns.append(pa.array(list(values), kind))
+            return pa.table(columns, names=["source", "page_ord", *_AREA_NAMES])
+
+        for k, text in enumerate(texts):  # a page at a time: of a batch only its Arrow buffers are whole in memory
+            html = text.as_py()
             for row in areas_of(html):
                 found.append(row)
                 page.append(k)
-        took = pa.array(page, pa.int32())
-        columns = [sources.take(took), numbers.take(took)]
-        for k, kind in enumerate(_AREAS):
-            values = (r[k] for r in found)
-            if kind == _AREAS[-1]:
-                values = (None if v is None else [{"href": h, "text": t} for h, t in v] for v in values)
-            columns.append(pa.array(list(values), kind))
-        yield pa.table(columns, names=["source", "page_ord", *_AREA_NAMES])
+            read += len(html or "")
+            if read >= MOST_READ:
+                yield table()
+                found, page, read = [], [], 0
+                gc.collect()  # parents and children of a document hold each other
+        yield table()
 
 
 def pick_mid(anchors: Column) -> Column:
