@@ -10,6 +10,8 @@ import pytest
 from marshlight import session
 from marshlight.functions import sql
 from marshlight.functions import text as X
+from marshlight.operators import sink
+from marshlight.plans import catalog
 from marshlight.plans import tables as T
 from marshlight.sources import archive, html
 from pyspark.sql import functions as F
@@ -64,3 +66,10 @@ def test_pages_are_read_in_small_batches():
     pages = pa.record_batch([pa.array(["live"] * 40), pa.array(range(40)), pa.array(["<ul><li>x<ul><li>y <a href='?mid=1'>map</a></li></ul></li></ul>" + " " * 200_000] * 40)], names=["source", "page_ord", "html"])
     tables = list(html.ExtractAreas.func().eval(pages))
     assert len(tables) > 1 and sum(t.num_rows for t in tables) == 40 and [n for t in tables for n in t.column("page_ord").to_pylist()] == list(range(40))
+
+
+def test_exports_are_sorted_before_their_texts_are_made(spark, folder):
+    table = sink.export_table(T.operations(spark, folder), catalog._shape_table(spark, folder))
+    lines = table._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    sort = next(k for k, line in enumerate(lines) if "Sort [" in line)
+    assert not any("operation_id" in line for line in lines[sort:])
