@@ -55,6 +55,7 @@ def merge_append_only(existing: DataFrame, incoming: DataFrame, seq: str = "seq"
     listed = "present" in rows.columns
     rest = [c for c in rows.columns if c not in (*mutable, *derived, "source", "present", "id", "existed")]
     rows = rows.withColumn("_rank", X.observation_rank(F.col("source")))
+    rows = stored(rows, "observed") if listed else rows  # read up to three times, and what it is made from may be costly
     place = F.struct("_rank", F.col(seq))
     found = [F.max_by(F.struct(c, F.col("_rank").alias("rank")), F.when(_has(c), place)).alias(f"_{c}") for c in mutable] if listed else [F.max_by(F.struct(*mutable), place).alias("_winner")] if mutable else []
     merged = rows.groupBy("id").agg(

@@ -10,7 +10,7 @@ import pytest
 from marshlight import session
 from marshlight.functions import sql
 from marshlight.functions import text as X
-from marshlight.operators import sink
+from marshlight.operators import merge, sink
 from marshlight.plans import catalog
 from marshlight.plans import tables as T
 from marshlight.sources import archive, html
@@ -73,3 +73,11 @@ def test_exports_are_sorted_before_their_texts_are_made(spark, folder):
     lines = table._jdf.queryExecution().optimizedPlan().toString().splitlines()
     sort = next(k for k, line in enumerate(lines) if "Sort [" in line)
     assert not any("operation_id" in line for line in lines[sort:])
+
+
+def test_observations_with_keys_are_made_once_for_a_merge(spark, monkeypatch):
+    labels, stored = [], merge.stored
+    monkeypatch.setattr(merge, "stored", lambda rows, label: labels.append(label) or stored(rows, label))
+    seen = spark.createDataFrame([("a", "live", "x", ["status"], 1), ("a", "live", "y", [], 2)], "id string, source string, status string, present array<string>, seq int")
+    got = merge.merge_append_only(seen.filter("seq = 1"), seen.filter("seq = 2")).first()
+    assert got["status"] == "x" and labels[0] == "observed"
