@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,59 +12,83 @@ from pyspark.sql import functions as F
 
 from marshlight.functions import constants as K
 from marshlight.functions import geo
+from marshlight.functions.text import let
 from marshlight.session import stored
 
-#: Degrees of a cell, edges that one cell is swept with, and how often a cell with more is split in four.
-CELL, MOST_EDGES, SPLITS = 0.25, 512, 20
+#: Degrees of a cell, edges that one cell is swept with, into how many columns and rows a cell with more is split, and how often.
+CELL, MOST_EDGES, PARTS, SPLITS = 0.25, 512, 4, 10
 _KM2 = K.EARTH_RADIUS_KM**2
-PIECE = "ix long, iy long, poly string, x1 double, y1 double, x2 double, y2 double, way int"
-
-
-def _pieces(polygons: DataFrame, cell: float) -> DataFrame:
-    """(ix, iy, poly, x1, y1, x2, y2, way): the edges of different polygons, cut at the sides of columns of cells, in each cell of a
-    column between the polygon's lowest and highest. ``way``: 1 if the ring goes to the east here, -1 to the west. Edges that
-    go due north or south bound nothing on their own and are left out."""
-    named = polygons.select(F.sha2(F.to_json("p"), 256).alias("poly"), "p").dropDuplicates(["poly"])
-    box = geo.bbox(F.array("p"))
-    rings = F.transform("p", lambda r, i: F.when(i == 0, geo.orient(r, True)).otherwise(geo.orient(r, False)))
-    rows = named.select("poly", box.alias("box"), F.explode(rings).alias("ring")).filter(F.size("ring") > 3)
-    edges = F.transform(F.sequence(F.lit(0), F.size("ring") - 2), lambda i: F.struct(F.get("ring", i).alias("a"), F.get("ring", i + 1).alias("b")))
-    rows = rows.select("poly", "box", F.explode(edges).alias("e")).filter("e.a.lon <> e.b.lon")
-    east = F.col("e.a.lon") < F.col("e.b.lon")
-    end = lambda first, c: F.when(east == first, F.col(f"e.a.{c}")).otherwise(F.col(f"e.b.{c}"))
-    rows = rows.select("poly", "box", end(True, "lon").alias("x1"), end(True, "lat").alias("y1"), end(False, "lon").alias("x2"), end(False, "lat").alias("y2"), F.when(east, 1).otherwise(-1).alias("way"))
-    number = lambda x: F.floor(x / cell)
-    rows = rows.withColumn("ix", F.explode(F.sequence(number(F.col("x1")), number(F.col("x2")))))
-    rows = rows.withColumn("iy", F.explode(F.sequence(number(F.col("box.min_lat")), number(F.col("box.max_lat")))))
-    return _clipped(rows, F.col("ix") * cell, (F.col("ix") + 1) * cell).select(*(f.split()[0] for f in PIECE.split(", ")))
+EDGE = ("x1", "y1", "x2", "y2", "way")
+
+
+def _edge(*values: Column) -> Column:
+    return F.struct(*(v.alias(n) for v, n in zip(values, EDGE, strict=True)))
+
+
+def _edges(shapes: DataFrame) -> DataFrame:
+    """(es): a polygon's edges from west to east. ``way``: 1 if the ring goes to the east here, -1 to the west. Edges that go due north
+    or south bound nothing on their own and are left out."""
+    rings = F.filter(F.transform("p", lambda r, i: F.when(i == 0, geo.orient(r, True)).otherwise(geo.orient(r, False))), lambda r: F.size(r) > 3)
+    pairs = F.flatten(F.transform(rings, lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: F.struct(F.get(r, i).alias("a"), F.get(r, i + 1).alias("b")))))
+    east = lambda e: _edge(e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"], F.lit(1))
+    west = lambda e: _edge(e["b"]["lon"], e["b"]["lat"], e["a"]["lon"], e["a"]["lat"], F.lit(-1))
+    es = F.transform(F.filter(pairs, lambda e: e["a"]["lon"] != e["b"]["lon"]), lambda e: F.when(e["a"]["lon"] < e["b"]["lon"], east(e)).otherwise(west(e)))
+    return shapes.filter("polygons is not null").select(F.explode("polygons").alias("p")).select(es.alias("es")).filter(F.size("es") > 0)
+
+
+def _cut(es: Column, west: Column, east: Column) -> Column:
+    """Edges cut at two meridians; those that have no length there go."""
+
+    def cut(e: Column) -> Column:
+        slope = (e["y2"] - e["y1"]) / (e["x2"] - e["x1"])
+        y1 = F.when((e["x1"] >= west) | (e["y1"] == e["y2"]), e["y1"]).otherwise(e["y1"] + slope * (west - e["x1"]))
+        y2 = F.when((e["x2"] <= east) | (e["y1"] == e["y2"]), e["y2"]).otherwise(e["y1"] + slope * (east - e["x1"]))
+        return _edge(F.greatest(e["x1"], west), y1, F.least(e["x2"], east), y2, e["way"])
+
+    return F.transform(F.filter(es, lambda e: (e["x1"] < east) & (e["x2"] > west)), cut)
 
 
-def _clipped(rows: DataFrame, west: Column, east: Column) -> DataFrame:
-    """Pieces cut at two meridians; those that have no length there go."""
-    at = lambda x: F.when(x == F.col("x1"), F.col("y1")).when(x == F.col("x2"), F.col("y2")).otherwise(F.col("y1") + (F.col("y2") - F.col("y1")) * (x - F.col("x1")) / (F.col("x2") - F.col("x1")))
-    left, right = F.greatest("x1", west), F.least("x2", east)
-    cut = rows.withColumns({"_x1": left, "_x2": right}).filter("_x1 < _x2")
-    cut = cut.withColumns({"_y1": at(F.col("_x1")), "_y2": at(F.col("_x2"))})
-    return cut.drop("x1", "x2", "y1", "y2").withColumnsRenamed({f"_{c}": c for c in ("x1", "x2", "y1", "y2")})
+def _flat(es: Column, south: Column, north: Column) -> Column:
+    """Edges wholly under a cell on its southern side and those wholly over it on its northern: polygons that differ only elsewhere are equal here."""
 
+    def flat(e: Column) -> Column:
+        at = lambda y: _edge(e["x1"], y, e["x2"], y, e["way"])
+        return F.when(F.greatest(e["y1"], e["y2"]) <= south, at(south)).when(F.least(e["y1"], e["y2"]) >= north, at(north)).otherwise(e)
 
-def _split(pieces: DataFrame, cell: float) -> DataFrame:
-    """Pieces of cells in the four halves of each."""
-    rows = pieces.withColumns({"ix": F.explode(F.array(2 * F.col("ix"), 2 * F.col("ix") + 1))}).withColumn("iy", F.explode(F.array(2 * F.col("iy"), 2 * F.col("iy") + 1)))
-    half = cell / 2
-    return _clipped(rows, F.col("ix") * half, (F.col("ix") + 1) * half).select(*(f.split()[0] for f in PIECE.split(", ")))
+    return F.transform(es, flat)
 
 
-def _settled(pieces: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
-    """(pieces that still matter, cells that one polygon covers): a polygon without an edge inside a cell covers it or is outside."""
-    south, north = F.col("iy") * cell, (F.col("iy") + 1) * cell
-    inside = (F.greatest("y1", "y2") > south) & (F.least("y1", "y2") < north)
-    under = F.sum(F.when(F.greatest("y1", "y2") <= south, F.col("way") * (F.col("x2") - F.col("x1"))).otherwise(0.0))
-    of = pieces.groupBy("ix", "iy", "poly").agg(F.bool_or(inside).alias("inside"), F.abs(under).alias("under"))
-    covered = of.filter((~F.col("inside")) & (F.col("under") > cell * (1 - 1e-9))).select("ix", "iy").distinct()
-    gone = of.filter((~F.col("inside")) & (F.col("under") < cell * 1e-9)).select("ix", "iy", "poly")
-    left = pieces.join(covered, ["ix", "iy"], "left_anti").join(gone, ["ix", "iy", "poly"], "left_anti")
-    return left, covered
+def _share(es: Column, south: Column, north: Column, cell: float) -> Column:
+    """Of a polygon without an edge inside a cell the part of the cell's width that it covers, 0 to 1 by the even-odd rule, else null."""
+    inside = F.exists(es, lambda e: (F.greatest(e["y1"], e["y2"]) > south) & (F.least(e["y1"], e["y2"]) < north))
+    under = F.aggregate(es, F.lit(0.0), lambda total, e: total + F.when(F.greatest(e["y1"], e["y2"]) <= south, e["way"] * (e["x2"] - e["x1"])).otherwise(0.0))
+    return let(F.when(~inside, F.abs(under) / cell), lambda n: F.when(F.abs(n - F.round(n)) < 1e-9, F.pmod(F.round(n), F.lit(2.0))).otherwise(n))
+
+
+def _in_cells(rows: DataFrame, cell: float, of_cells: bool) -> DataFrame:
+    """(ix, iy, es, share): a row for each cell in which a polygon has ground or ends, with its edges there. ``of_cells``: rows are polygons in cells that are
+    ``PARTS`` times as wide. A polygon stays one row, so what it covers is known without a shuffle."""
+    number = lambda x: F.floor(x / cell)
+    least = lambda *names: F.array_min(F.transform("es", lambda e: F.least(*(e[n] for n in names)) if len(names) > 1 else e[names[0]]))
+    most = lambda *names: F.array_max(F.transform("es", lambda e: F.greatest(*(e[n] for n in names)) if len(names) > 1 else e[names[0]]))
+
+    def numbers(low: Column, high: Column, parent: str) -> Column:
+        low, high = number(low), number(high)
+        if of_cells:
+            low, high = (F.least(F.greatest(n, F.col(parent) * PARTS), F.col(parent) * PARTS + (PARTS - 1)) for n in (low, high))
+        return F.sequence(low, high)
+
+    kept = ["py"] if of_cells else []
+    rows = rows.withColumnsRenamed({"ix": "px", "iy": "py"}) if of_cells else rows
+    columns = F.transform(numbers(least("x1"), most("x2"), "px"), lambda ix: F.struct(ix.alias("ix"), _cut(F.col("es"), ix * cell, (ix + 1) * cell).alias("es")))
+    rows = rows.select(*kept, F.explode(columns).alias("c")).select(*kept, "c.ix", "c.es")
+
+    def part(iy: Column) -> Column:
+        south, north = iy * cell, (iy + 1) * cell
+        return let(_flat(F.col("es"), south, north), lambda es: F.struct(iy.alias("iy"), es.alias("es"), _share(es, south, north, cell).alias("share")))
+
+    cells = F.transform(numbers(least("y1", "y2"), most("y1", "y2"), "py"), part)
+    return rows.select("ix", F.explode(cells).alias("c")).select("ix", "c.iy", "c.es", "c.share").filter("share is null or share > 0")
 
 
 def _under(x: np.ndarray, y1: np.ndarray, y2: np.ndarray) -> np.ndarray:
@@ -112,54 +137,50 @@ def union_area(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, p
     return total
 
 
-def _sweep(cell: float):  # noqa: ANN202
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def area(rows: pd.DataFrame) -> float:
-            south = float(rows["iy"].iloc[0]) * cell
-            return union_area(*(rows[c].to_numpy() for c in ("x1", "y1", "x2", "y2")), pd.factorize(rows["poly"])[0], south, south + cell)
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
 
-        for batch in batches:
-            done = []
-            for key, rows in batch.groupby(["ix", "iy"], sort=False):
-                if held and tuple(held[0][["ix", "iy"]].iloc[0]) != key:
-                    done.append(area(pd.concat(held)))
-                    held = []
-                held.append(rows)
-            yield pd.DataFrame({"area": done}, dtype=float)
-        if held:
-            yield pd.DataFrame({"area": [area(pd.concat(held))]})
+    def area(rows: pd.DataFrame) -> float:
+        south, cell = float(rows["iy"].iloc[0]) * float(rows["cell"].iloc[0]), float(rows["cell"].iloc[0])
+        return union_area(*(rows[c].to_numpy() for c in ("x1", "y1", "x2", "y2")), rows["poly"].to_numpy(), south, south + cell)
 
-    return run
+    for batch in batches:
+        done = []
+        for key, rows in batch.groupby(["cell", "ix", "iy"], sort=False):
+            if held and tuple(held[0][["cell", "ix", "iy"]].iloc[0]) != key:
+                done.append(area(pd.concat(held)))
+                held = []
+            held.append(rows)
+        yield pd.DataFrame({"area": done}, dtype=float)
+    if held:
+        yield pd.DataFrame({"area": [area(pd.concat(held))]})
 
 
 def footprint_area(shapes: DataFrame, cell: float = CELL, most_edges: int = MOST_EDGES) -> DataFrame:
     """One row, footprint_sq_km: the area of the union of all polygons of ``shapes`` (polygons) on the sphere, edges being straight in degrees.
 
-    Equal polygons count once. The plane is cut into cells of ``cell`` degrees, and each cell is swept by itself with the edges
-    in it. A cell with more than ``most_edges`` is split in four, and again, in Spark: polygons that cover a part settle it,
-    and those outside of it leave it, so a task holds a bounded number of edges however many polygons lie on one another.
+    The plane is cut into cells of ``cell`` degrees, and each cell is swept by itself with the edges in it. A cell with more than
+    ``most_edges`` is split in 16, and again, in Spark: one polygon that covers a part settles it, polygons that are equal there
+    count once, and those outside of it leave it, so a task holds a bounded number of edges however many polygons lie on one
+    another. Of polygons only those in cells that are still to be split move or are written.
     """
-    polygons = shapes.filter("polygons is not null").select(F.explode("polygons").alias("p"))
-    pieces, parts = stored(_pieces(polygons, cell), "footprint"), []
-    for _ in range(SPLITS):
-        counts = pieces.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
-        many = stored(counts.filter(F.col("n") > most_edges).select("ix", "iy"), "footprint-many")
-        if many.isEmpty():
+    rows, areas, leaves = stored(_edges(shapes), "footprint"), [], []
+    for split in range(SPLITS + 1):
+        parts = _in_cells(rows, cell, split > 0)
+        whole = F.coalesce(F.bool_or(F.col("share") == 1), F.lit(False))
+        cells = stored(parts.groupBy("ix", "iy").agg(F.sum(F.size("es")).alias("n"), whole.alias("whole")), "footprint-cells")
+        areas.append(cells.filter("whole").select((F.radians(F.lit(cell)) * (F.sin(F.radians((F.col("iy") + 1) * cell)) - F.sin(F.radians(F.col("iy") * cell))) * _KM2).alias("area")))
+        many = F.col("n") > (most_edges if split < SPLITS else 1 << 62)
+        of = lambda which, parts=parts, cells=cells: parts.join(cells.filter(~F.col("whole") & which).select("ix", "iy"), ["ix", "iy"], "left_semi").select("ix", "iy", "es")
+        leaves.append(of(~many).select(F.lit(cell).alias("cell"), "ix", "iy", "es"))
+        if cells.filter(~F.col("whole") & many).isEmpty():
             break
-        parts.append(_swept(pieces.join(many, ["ix", "iy"], "left_anti"), cell))
-        left, covered = _settled(stored(_split(pieces.join(many, ["ix", "iy"], "left_semi"), cell), "footprint-split"), cell / 2)
-        cell /= 2
-        whole = F.radians(F.lit(cell)) * (F.sin(F.radians((F.col("iy") + 1) * cell)) - F.sin(F.radians(F.col("iy") * cell))) * _KM2
-        parts.append(covered.select(whole.alias("area")))
-        pieces = stored(left, "footprint")
-    parts.append(_swept(pieces, cell))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        rows, cell = stored(of(many).distinct(), "footprint"), cell / PARTS
+    every = functools.reduce(DataFrame.unionByName, [_swept(functools.reduce(DataFrame.unionByName, leaves)), *areas])
     return every.agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("footprint_sq_km"))
 
 
-def _swept(pieces: DataFrame, cell: float) -> DataFrame:
-    return pieces.repartition("ix", "iy").sortWithinPartitions("ix", "iy").mapInPandas(_sweep(cell), "area double")
+def _swept(leaves: DataFrame) -> DataFrame:
+    rows = leaves.repartition("cell", "ix", "iy").sortWithinPartitions("cell", "ix", "iy")
+    rows = rows.withColumn("poly", F.monotonically_increasing_id()).select("cell", "ix", "iy", "poly", F.inline("es"))
+    return rows.mapInPandas(_sweep, "area double")

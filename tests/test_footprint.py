@@ -69,3 +69,28 @@ def test_edges(spark):
     assert footprint.footprint_area(table(spark, flat)).first()[0] == 0.0
     one = [[[(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1), (-0.1, -0.1)]]]  # over four cells
     assert footprint.footprint_area(table(spark, one)).first()[0] == pytest.approx(math.radians(0.2) * 2 * math.sin(math.radians(0.1)) * K.EARTH_RADIUS_KM**2, rel=1e-9)
+
+
+def test_only_polygons_of_cells_that_are_split_are_kept(spark, monkeypatch):
+    """What overlapping polygons write shrinks from split to split; neither a piece for every cell nor those of a settled cell are kept."""
+    kept, stored = [], footprint.stored
+
+    def noted(rows, label):
+        out = stored(rows, label)
+        kept.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(footprint, "stored", noted)
+    square = lambda x, y: [(x, y), (x + 0.2, y), (x + 0.2, y + 0.2), (x, y + 0.2), (x, y)]
+    polygons = [[square(-121.4 + i / 200, 37.6 + j / 200)] for i in range(20) for j in range(20)]
+    got = footprint.footprint_area(table(spark, polygons), 0.25, 40).first()[0]
+    side = 0.2 + 19 / 200
+    assert got == pytest.approx(math.radians(side) * (math.sin(math.radians(37.6 + side)) - math.sin(math.radians(37.6))) * K.EARTH_RADIUS_KM**2, rel=1e-9)
+    edges = [n for label, n in kept if "many" not in label and "cells" not in label]
+    assert sum(edges) < 12 * len(polygons)
+
+
+def test_a_ring_that_goes_round_twice_covers_nothing(spark):
+    """By the even-odd rule; also where no edge of it lies inside a cell."""
+    square = [(-121.4, 37.6), (-120.9, 37.6), (-120.9, 38.1), (-121.4, 38.1)]
+    assert footprint.footprint_area(table(spark, [[[*square, *square, square[0]]]]), 0.25).first()[0] == pytest.approx(0, abs=1e-9)
