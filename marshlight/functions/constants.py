@@ -39,8 +39,12 @@ SNAPSHOT_URL = "https://web.archive.org/web/%sid_/%s"
 
 #: White space in the JVM's dialect: what (?U)\s has, and the separators U+001C to U+001F.
 WHITE_PATTERN = r"(?U)[\s\x1c-\x1f]+"
-#: What the patterns below begin with, put before them: a look at one letter is cheaper than a test for the border of a word.
-STATUS_AHEAD, TIME_AHEAD, DATE_AHEAD, PRODUCT_AHEAD = "(?=[CPR])", r"(?U)(?=\d)", "(?=[JFMASONDjfmasond\u017f])", "(?=[Uu])"
+#: White space that isn't one blank already; a letter, digit or sign of ASCII is told by its range.
+ODD_WHITE_PATTERN = r"(?U)(?=[^!-~])(?: [\s\x1c-\x1f]+|[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*)"
+#: What the patterns below begin with, put before them: a look at one letter, and at one of ASCII before it, is cheaper than a test for the border of a word.
+_BEFORE = "(?<![A-Za-z0-9_])"
+STATUS_AHEAD, TIME_AHEAD, DATE_AHEAD, PRODUCT_AHEAD = "(?=[CPR])", r"(?U)(?=[^\x00-/:-\x7f])(?=\d)", "(?=[JFMASONDjfmasond\u017f])" + _BEFORE, "(?=[Uu])" + _BEFORE
+METHOD_AHEAD, FOR_AHEAD = "(?=[AaGg])" + _BEFORE, "(?=[Ff])" + _BEFORE
 #: Patterns in the JVM's dialect.
 METHOD_PATTERN = r"(?iU)\b(aerial|ground)\s+spray"
 TARGET_PATTERN = r"(?iU)\bfor\s+(adult|larval|larvae)\b"

@@ -36,7 +36,7 @@ def _found(text: str, pattern: str, group: int = 1) -> str:
 
 def _clean(text: str) -> str:
     plain = rf"replace(replace(replace(coalesce({text}, ''), ' ', ' '), '’', '\''), '​', '')"
-    return f"trim(regexp_replace({plain}, {_quoted(K.WHITE_PATTERN)}, ' '))"
+    return f"trim(regexp_replace({plain}, {_quoted(K.ODD_WHITE_PATTERN)}, ' '))"
 
 
 def _parts(text: str, pattern: str) -> str:
@@ -97,9 +97,9 @@ def definitions() -> dict[str, tuple[str, str, str]]:
     return {
         "clean_text": text(_clean("x")),
         "text_or_none": text("nullif(trim(x), '')"),
-        "header_method": text(f"lower({_found('x', K.METHOD_PATTERN)})"),
-        "header_target": text(f"CASE WHEN lower({_found('x', K.TARGET_PATTERN)}) LIKE 'larv%' THEN 'larval' WHEN {_found('x', K.TARGET_PATTERN)} IS NOT NULL THEN 'adult' END"),
-        "header_period": text(f"lower({_found('x', K.PERIOD_PATTERN)})"),
+        "header_method": text(f"lower({_found('x', K.METHOD_AHEAD + K.METHOD_PATTERN)})"),
+        "header_target": text(f"CASE WHEN lower({_found('x', K.FOR_AHEAD + K.TARGET_PATTERN)}) LIKE 'larv%' THEN 'larval' WHEN {_found('x', K.FOR_AHEAD + K.TARGET_PATTERN)} IS NOT NULL THEN 'adult' END"),
+        "header_period": text(f"lower({_found('x', K.FOR_AHEAD + K.PERIOD_PATTERN)})"),
         "header_times": text(_let(f"regexp_extract_all(x, {_quoted(K.TIME_AHEAD + K.TIME_PATTERN)}, 0)", "f", f"named_struct('time_start', {_clock('get(f, 0)')}, 'time_end', {_clock('get(f, 1)')})"), _CLOCK),
         "first_date": text(_first_date("x"), _DATED),
         "products_raw": text(_products_raw("x"), "ARRAY<STRING>"),

@@ -26,7 +26,7 @@ def clean(text: Column) -> Column:
     plain = F.coalesce(text, F.lit(""))
     for odd, usual in ((" ", " "), ("’", "'"), ("​", "")):  # a text without them is only searched
         plain = F.replace(plain, F.lit(odd), F.lit(usual))
-    return F.trim(F.regexp_replace(plain, K.WHITE_PATTERN, " "))
+    return F.trim(F.regexp_replace(plain, K.ODD_WHITE_PATTERN, " "))
 
 
 def none_if_empty(text: Column) -> Column:
@@ -34,16 +34,15 @@ def none_if_empty(text: Column) -> Column:
 
 
 def method(header: Column) -> Column:
-    return F.lower(_found(header, K.METHOD_PATTERN))
+    return F.lower(_found(header, K.METHOD_AHEAD + K.METHOD_PATTERN))
 
 
 def target(header: Column) -> Column:
-    found = F.lower(_found(header, K.TARGET_PATTERN))
-    return F.when(found.startswith("larv"), "larval").when(found.isNotNull(), "adult")
+    return let(F.lower(_found(header, K.FOR_AHEAD + K.TARGET_PATTERN)), lambda found: F.when(found.startswith("larv"), "larval").when(found.isNotNull(), "adult"))
 
 
 def period(header: Column) -> Column:
-    return F.lower(_found(header, K.PERIOD_PATTERN))
+    return F.lower(_found(header, K.FOR_AHEAD + K.PERIOD_PATTERN))
 
 
 def _parts(text: Column, pattern: str, groups: str) -> Column:
@@ -107,8 +106,8 @@ def display_product(products: Column) -> Column:
     return F.get(F.filter(F.array(*map(F.lit, known)), lambda p: F.array_contains(products, p)), 0)
 
 
-def status(text: Column) -> Column:
-    """struct(status, status_text). A phrase in capitals first; else a text that begins with a status word."""
+def status(text: Column, cleaned: bool = False) -> Column:
+    """struct(status, status_text). A phrase in capitals first; else a text that begins with a status word. ``cleaned``: the text is."""
 
     def kind_of(phrase: Column) -> Column:
         upper = F.upper(phrase)
@@ -121,7 +120,7 @@ def status(text: Column) -> Column:
     def both(phrase: Column) -> Column:
         return let(kind_of(phrase), lambda kind: F.struct(F.coalesce(kind, F.lit("scheduled")).alias("status"), F.when(kind.isNotNull(), phrase).alias("status_text")))
 
-    return let(let(clean(text), phrase_of), both)
+    return let(let(text if cleaned else clean(text), phrase_of), both)
 
 
 def resolve_date(header_date: Column, kind: Column, text: Column) -> Column:
@@ -196,5 +195,5 @@ def header_fields(header: Column) -> dict[str, Column]:
     """
     return {
         "method": method(header), "target": target(header), "products_raw": products_raw(header), "period": period(header),
-        "clock": times(header), "first": first_date(header), "header_status": status(header),
+        "clock": times(header), "first": first_date(header), "header_status": status(header, cleaned=True),
     }

@@ -53,6 +53,20 @@ def test_cheap_scans_find_what_the_patterns_find(spark):
     assert got[6][5]["status"] == "scheduled" and got[7][4] == ["Dibrom", "the Altosid"]
 
 
+def test_cleaned_headers_are_cleaned_once(spark):
+    """A header's white space is looked for once, blanks that are single already aren't replaced, and the result is the plain pattern's."""
+    fields = spark.range(1).select(F.lit("x").alias("h")).select(*X.header_fields(F.col("h")).values())
+    plan = fields._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace(replace(replace(replace(coalesce(h" not in plan
+    odd = ["a  b", "\ta b", "a \tb\n", "a\u2003b", "a\x1cb \x1f c", "a b", " \x85 ", "é \u3000ü~!", "it’s\u00a0 now", "x\u200b y"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    plain = F.col("t")
+    for a, b in (("\u00a0", " "), ("’", "'"), ("\u200b", "")):
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    got = rows.select(X.clean(F.col("t")), F.trim(F.regexp_replace(plain, X.K.WHITE_PATTERN, " "))).collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+
+
 def test_an_element_of_a_document_is_parsed_once(spark):
     items = spark.range(3).select(F.concat(F.lit('{"id":"'), "id", F.lit('","crew":1}')).alias("item"))
     read = archive.operations_of_items(items)
