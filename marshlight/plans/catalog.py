@@ -13,7 +13,7 @@ from marshlight.functions import geo
 from marshlight.functions import text as X
 from marshlight.operators import export, footprint, merge, quality, sink, timeline
 from marshlight.plans import tables as T
-from marshlight.session import scratch_dir, spread, stored
+from marshlight.session import parts_of, scratch_dir, spread, stored
 from marshlight.sources import archive, captures, html, kml
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -408,13 +408,15 @@ _FOLDED = ["id", "status", "status_text", "section", "source", "first_seen", "ar
 
 @query("stream_fold", ORACLES["backfill_fold"])
 def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events in files out of their order, folded by a stream of several batches with state between them."""
+    """The events in files out of their order, folded by a stream of three batches with state between them. A batch has as many files as its
+    size asks for, so no task writes or reads a whole batch."""
     from marshlight.streaming import merge as streaming
 
     folder, store, state = (scratch_dir(spark, n) for n in ("fold-in", "fold-store", "fold-state"))
     obs = T.observations(spark, sf_dir)
-    obs.repartition(3, F.xxhash64("seq")).write.parquet(folder)
-    streaming.stream_fold(spark, folder, obs.schema, store, state, lambda rows: rows, files_per_batch=1)
+    files = -(-parts_of(T.load(spark, sf_dir, "events")) // 3)
+    obs.repartition(3 * files, F.xxhash64("seq")).write.parquet(folder)
+    streaming.stream_fold(spark, folder, obs.schema, store, state, lambda rows: rows, files_per_batch=files)
     return streaming.newest(spark, store).select(*_FOLDED)
 
 

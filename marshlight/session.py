@@ -113,11 +113,15 @@ def spread(df: DataFrame) -> DataFrame:
 DEALT_BYTES = 1 << 20
 
 
+def parts_of(df: DataFrame) -> int:
+    """How many parts of about ``DEALT_BYTES`` a table has, by Spark's estimate."""
+    return max(-(-int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // DEALT_BYTES), 1)
+
+
 def dealt(df: DataFrame, *by: str) -> DataFrame:
     """A table whose narrow rows are costly, or become wide, in parts of about ``DEALT_BYTES`` by the unique columns ``by``, and in at least as
     many as there are cores: tasks stay short and small however large the table is. Only what is used of the narrow rows is shuffled."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(max(-(-size // DEALT_BYTES), df.sparkSession.sparkContext.defaultParallelism), *by)
+    return df.repartition(max(parts_of(df), df.sparkSession.sparkContext.defaultParallelism), *by)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
-from marshlight.operators.merge import backfill_fold, merge_append_only, overlay
+from marshlight.operators.merge import backfill_fold, merge_append_only
 from marshlight.session import scratch_scope, stored, stored_with
 from marshlight.sources import versions
 
@@ -41,7 +41,7 @@ def query_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def merge_batch(spark: SparkSession, store: str, query: str, number: int, incoming: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame], buckets: int, bad: DataFrame | None = None) -> dict | None:
-    """Combine rows (with id) of a query's batch into a store; what was published of it (rows, new, rejected), None if it was before.
+    """Combine rows (with id, stored, as they are read several times) of a query's batch into a store; what was published of it (rows, new, rejected), None if it was before.
 
     ``combine``: (stored rows, incoming rows) to rows, with ``existed`` if new ones are to be counted. ``bad``: rows for the
     error table, which the same version publishes. Another query that publishes first makes this one read and merge again.
@@ -53,18 +53,17 @@ def merge_batch(spark: SparkSession, store: str, query: str, number: int, incomi
         if found["done"].get(query, -1) >= number:
             return None
         bucket, folder, made = bucket_of(found["buckets"]), f"{store}/batch-{uuid.uuid4().hex}", []
-        rows, counted = stored_with(incoming.withColumn("_bucket", bucket), "batch", rows=F.count(F.lit(1)))
-        touched = sorted(r["_bucket"] for r in rows.select("_bucket").distinct().collect())  # at most as many as there are buckets
+        sizes = {r["_bucket"]: r["count"] for r in incoming.groupBy(bucket.alias("_bucket")).count().collect()}  # at most as many as there are buckets
+        touched, counted = sorted(sizes), {"rows": sum(sizes.values())}
         paths = [found["of"][str(b)] for b in touched if str(b) in found["of"]]
-        rows = rows.drop("_bucket")
-        old = spark.read.schema(T.StructType.fromJson(found["columns"])).parquet(*paths) if paths else spark.createDataFrame([], rows.schema)
-        merged = combine(old, rows)
+        old = spark.read.schema(T.StructType.fromJson(found["columns"])).parquet(*paths) if paths else incoming.limit(0)
+        merged = combine(old, incoming)
         if "existed" in merged.columns:
             merged, news = stored_with(merged, "merged", new=F.count_if(~F.col("existed")))
             counted |= news
         merged = merged.drop(*COLUMNS_NOT_STORED)
         if touched:
-            merged.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(folder)
+            merged.withColumn("_bucket", bucket).repartition(found["buckets"], "_bucket").write.partitionBy("_bucket").parquet(folder)
             made.append(folder)
         if bad is not None:
             wrong, n_bad = stored_with(bad, "rejects", rejected=F.count(F.lit(1)))
@@ -133,6 +132,11 @@ def stream_merge(
     rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of ``new``, and of ``old`` those of other ids; an id is once in each, so nothing has to be grouped."""
+    return old.join(new.select("id"), "id", "left_anti").unionByName(new)
+
+
 def stream_fold(spark: SparkSession, folder: str, schema: T.StructType, store: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], files_per_batch: int = 100, buckets: int = BUCKETS) -> None:
     """Fold all files of ``folder`` that this checkpoint didn't read yet as captures are folded (``merge.backfill_fold``) and stop.
 
@@ -146,7 +150,7 @@ def stream_fold(spark: SparkSession, folder: str, schema: T.StructType, store: s
 
     def replace(batch: DataFrame, number: int) -> None:
         with scratch_scope(spark):
-            merge_batch(spark, store, query_id(spark, checkpoint), number, stored(batch, "folded"), lambda old, new: overlay(old, new, "id"), buckets)
+            merge_batch(spark, store, query_id(spark, checkpoint), number, stored(batch, "folded"), _replaced, buckets)
 
     rows = prepare(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder))
     backfill_fold(rows).writeStream.outputMode("update").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -254,6 +254,15 @@ def test_fold_is_restarted(spark, tmp_path):
     assert got == want
 
 
+def test_a_batch_writes_a_file_for_a_bucket(spark, tmp_path):
+    """However many tasks a batch has, and a batch counts its rows without a copy of them."""
+    rows, store = [observation(k) for k in range(120)], str(tmp_path / "store")
+    done = streaming.merge_batch(spark, store, "one", 0, frame(spark, rows).repartition(8), lambda old, new: new, 4)
+    assert done == {"rows": 120}
+    found = streaming.versions.read_version(spark, store)
+    assert [len(list(__import__("pathlib").Path(path).glob("*.parquet"))) for path in found["of"].values()] == [1] * len(found["of"])
+
+
 def test_counts_take_no_jobs(spark):
     """Writing with metrics runs as many jobs as writing alone."""
     from marshlight.session import stored
